@@ -45,3 +45,91 @@ def _variant_pareto_ord(spark, d):
 @register("pareto_check")
 def _pareto_check(spark, d):
     return stats.pareto_check(L.ord_log(spark, d))
+
+
+# ------------------------------------------------------------------ filters (C, D2, D3)
+from .operators import filters as C  # noqa: E402
+
+D1, D2 = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+
+
+def _events(lg):
+    return lg.df
+
+
+def _reg_filter(name, make_log, fn):
+    QUERIES[name] = lambda spark, d: _events(fn(make_log(spark, d)))
+
+
+_reg_filter("flt_time_contained", L.day_log, lambda lg: C.time_contained(lg, D1, D2))
+_reg_filter("flt_time_intersecting", L.day_log, lambda lg: C.time_intersecting(lg, D1, D2))
+_reg_filter("flt_time_events", L.day_log, lambda lg: C.time_events(lg, D1, D2))
+_reg_filter("flt_case_performance", L.day_log, lambda lg: C.case_performance(lg, 3600, 6 * 3600))
+_reg_filter("flt_start_activity", L.day_log, lambda lg: C.start_activity(lg, ["signup", "view"]))
+_reg_filter("flt_start_frequent", L.day_log, lambda lg: C.start_frequent(lg, 0.97))
+_reg_filter("flt_end_activity", L.day_log, lambda lg: C.end_activity(lg, "purchase"))
+_reg_filter("flt_endpoint_keywords", L.day_log,
+            lambda lg: C.endpoint_keywords(lg, ["sign", "VIEW"], ["purch", "ERR"]))
+_reg_filter("flt_variants_in", L.day_log,
+            lambda lg: C.variants_in(lg, ["view", "click", "error,view"]))
+_reg_filter("anti_variants", L.day_log,
+            lambda lg: C.variants_in(lg, ["view", "click", "error,view"], positive=False))
+_reg_filter("flt_variants_percentage", L.ord_log, lambda lg: C.variants_percentage(lg, 0.3))
+_reg_filter("flt_variants_top_k", L.ord_log, lambda lg: C.variants_top_k(lg, 10))
+_reg_filter("flt_variants_coverage", L.day_log, lambda lg: C.variants_coverage(lg, 0.01))
+_reg_filter("flt_attr_cases", L.day_log, lambda lg: C.attr_cases(lg, "resource", ["7", "42"]))
+_reg_filter("flt_attr_events", L.day_log, lambda lg: C.attr_events(lg, "resource", ["7", "42"]))
+_reg_filter("flt_numeric_cases", L.day_log, lambda lg: C.numeric_cases(lg, "num", 40, 51))
+_reg_filter("flt_numeric_events", L.day_log, lambda lg: C.numeric_events(lg, "num", 40, 51))
+_reg_filter("flt_between", L.user_log, lambda lg: C.between(lg, "view", "purchase"))
+_reg_filter("flt_between_same", L.user_log, lambda lg: C.between(lg, "click", "click"))
+_reg_filter("flt_case_size", L.day_log, lambda lg: C.case_size(lg, 3, 5))
+_reg_filter("flt_rework", L.day_log, lambda lg: C.rework(lg, "click", 2))
+_reg_filter("flt_paths_performance", L.day_log,
+            lambda lg: C.paths_performance(lg, "click", "error", 0, 3600))
+_reg_filter("flt_variant_text", L.day_log, lambda lg: C.variant_text(lg, 0, "exact"))
+_reg_filter("flt_variant_substring", L.ord_log, lambda lg: C.variant_text(lg, 2, "substring"))
+_reg_filter("flt_case_predicate", L.user_log,
+            lambda lg: C.case_predicate(lg, lambda ct: ct["case_size"] > 70))
+_reg_filter("flt_event_predicate", L.day_log,
+            lambda lg: C.event_predicate(lg, F.length("activity") % 2 == 0))
+_reg_filter("flt_first_of", L.day_log, lambda lg: C.first_of(lg, "click", "purchase", "purchase"))
+_reg_filter("flt_balanced", L.day_log, lambda lg: C.balanced(lg, "click", "purchase"))
+_reg_filter("flt_has_activity", L.day_log, lambda lg: C.has_activity(lg, "view"))
+
+
+def _with_category(lg):
+    cats = F.element_at(F.array(*[F.lit(c) for c in C.CATEGORIES]),
+                        (F.col("user_id") % 4 + 1).cast("int"))
+    return lg.with_df(lg.df.withColumn("category", cats))
+
+
+_reg_filter("flt_category_compliant", L.day_log,
+            lambda lg: C.category_compliant(_with_category(lg), "category", "click", "purchase", "view"))
+
+
+def _with_area(lg):
+    area = (F.when(F.col("resource") == "7", F.lit("")).when(F.col("resource") == "13", F.lit(None))
+            .otherwise(F.col("resource")))
+    return lg.with_df(lg.df.withColumn("area", area))
+
+
+_reg_filter("flt_empty_attr", L.day_log, lambda lg: C.empty_attr(_with_area(lg), "area"))
+_reg_filter("flt_duplicates_none", L.day_log,
+            lambda lg: C.duplicates_none(lg.with_df(lg.df.withColumn("dup_id", F.col("tie") % 9973)),
+                                         "dup_id"))
+_reg_filter("flt_single_case", L.ord_log, lambda lg: C.single_case(lg, "1"))
+
+
+@register("flt_frequent_activity")
+def _frequent_activity(spark, d):
+    return C.frequent_activities(L.ord_log(spark, d), 0.05)
+
+
+@register("semi_case_ids")
+def _semi_case_ids(spark, d):
+    lg = L.day_log(spark, d)
+    cust = L.read_table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    ids = (lg.df.join(cust, lg.df["user_id"] == cust["c_custkey"], "left_semi")
+           .select("case_id").distinct())
+    return C.semi_case_ids(lg, ids).df

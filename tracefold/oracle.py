@@ -72,3 +72,150 @@ SELECT CAST((SELECT count(*) FROM vc) AS BIGINT) AS n_variants, rank0 AS pareto_
        round(cum * 100.0 / total, 6) AS cum_percentage,
        round(cum * 100.0 / total, 6) > 80 AS is_pareto
 FROM pr WHERE rank0 = CAST(floor((SELECT count(*) FROM vc) * 0.2) AS BIGINT)"""
+
+
+# ------------------------------------------------------------------ filters (C, D2, D3)
+def _desc(log: str) -> str:
+    return ", ".join(f"{c.strip()} DESC" for c in ORDER[log].split(","))
+
+
+def ct_cte(log: str) -> str:
+    """Case table: size, start, end, first and last activity (window form)."""
+    o = ORDER[log]
+    return f"""ct AS (
+  SELECT case_id, count(*) AS case_size, min(ts) AS case_start, max(ts) AS case_end,
+         min(fa) AS first_activity, min(la) AS last_activity
+  FROM (SELECT *, first_value(activity) OVER (PARTITION BY case_id ORDER BY {o}) AS fa,
+                  first_value(activity) OVER (PARTITION BY case_id ORDER BY {_desc(log)}) AS la
+        FROM log) GROUP BY case_id)
+"""
+
+
+def keep_where(log: str, cond: str, extra: str = "") -> str:
+    return (f"WITH log AS ({LOGS[log]}),\n{ct_cte(log)}{extra}\n"
+            f"SELECT * FROM log WHERE case_id IN (SELECT case_id FROM ct WHERE {cond})")
+
+
+_D1, _D2 = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-20 12:00:00'"
+SQL["flt_time_contained"] = keep_where("day", f"case_start >= {_D1} AND case_end <= {_D2}")
+SQL["flt_time_intersecting"] = keep_where("day", f"case_start <= {_D2} AND case_end >= {_D1}")
+SQL["flt_time_events"] = with_log("day", f"SELECT * FROM log WHERE ts BETWEEN {_D1} AND {_D2}")
+SQL["flt_case_performance"] = keep_where(
+    "day", "epoch_us(case_end) - epoch_us(case_start) BETWEEN 3600000000 AND 21600000000")
+SQL["flt_start_activity"] = keep_where("day", "first_activity IN ('signup', 'view')")
+SQL["flt_start_frequent"] = keep_where("day", "first_activity IN (SELECT activity FROM sf WHERE fails = 0)", """,
+sa AS (SELECT first_activity AS activity, count(*) AS n FROM ct GROUP BY 1),
+sr AS (SELECT activity, n, lag(n) OVER (ORDER BY n DESC, activity) AS pn FROM sa),
+sf AS (SELECT activity, sum(CASE WHEN pn IS NOT NULL AND n < 0.97 * pn THEN 1 ELSE 0 END)
+              OVER (ORDER BY n DESC, activity ROWS UNBOUNDED PRECEDING) AS fails FROM sr)""")
+SQL["flt_end_activity"] = keep_where("day", "last_activity = 'purchase'")
+SQL["flt_endpoint_keywords"] = keep_where(
+    "day", "(lower(first_activity) LIKE '%sign%' OR lower(first_activity) LIKE '%view%') "
+           "AND (lower(last_activity) LIKE '%purch%' OR lower(last_activity) LIKE '%err%')")
+
+_VLIST = "('view', 'click', 'error,view')"
+SQL["flt_variants_in"] = variants_cte("day") + (
+    f"SELECT * FROM log WHERE case_id IN (SELECT case_id FROM cv WHERE variant IN {_VLIST})")
+SQL["anti_variants"] = variants_cte("day") + (
+    f"SELECT * FROM log WHERE case_id NOT IN (SELECT case_id FROM cv WHERE variant IN {_VLIST})")
+
+
+def _variant_keep(log: str, cond: str) -> str:
+    return variants_cte(log) + _PARETO + (
+        f"SELECT * FROM log WHERE case_id IN (SELECT case_id FROM cv WHERE variant IN "
+        f"(SELECT variant FROM pr WHERE {cond}))")
+
+
+SQL["flt_variants_percentage"] = _variant_keep("ord", "rank0 = 0 OR cum <= 0.3 * total")
+SQL["flt_variants_top_k"] = _variant_keep("ord", "rank0 < 10")
+SQL["flt_variants_coverage"] = _variant_keep("day", "n_cases >= 0.01 * total")
+SQL["flt_variant_text"] = _variant_keep("day", "rank0 = 0")
+SQL["flt_variant_substring"] = variants_cte("ord") + _PARETO + """
+SELECT * FROM log WHERE case_id IN (
+  SELECT case_id FROM log WHERE contains((SELECT variant FROM pr WHERE rank0 = 2), activity))"""
+
+SQL["flt_attr_cases"] = with_log("day", "SELECT * FROM log WHERE case_id IN "
+                                 "(SELECT case_id FROM log WHERE resource IN ('7', '42'))")
+SQL["flt_attr_events"] = with_log("day", "SELECT * FROM log WHERE resource IN ('7', '42')")
+SQL["flt_numeric_cases"] = with_log("day", "SELECT * FROM log WHERE case_id IN "
+                                    "(SELECT case_id FROM log WHERE num BETWEEN 40 AND 51)")
+SQL["flt_numeric_events"] = with_log("day", "SELECT * FROM log WHERE num BETWEEN 40 AND 51")
+
+SQL["flt_between"] = (f"WITH log AS ({USER}),\n" + """
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS pos,
+             coalesce(sum(CASE WHEN activity = 'purchase' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY case_id ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+      FROM log),
+pc AS (SELECT case_id, k, min(CASE WHEN activity = 'view' THEN pos END) AS p1,
+              max(CASE WHEN activity = 'purchase' THEN pos END) AS p2
+       FROM r GROUP BY case_id, k)
+SELECT r.case_id || '#' || CAST(r.k AS VARCHAR) AS case_id, activity, ts, tie, resource, num, user_id
+FROM r JOIN pc ON r.case_id = pc.case_id AND r.k = pc.k
+WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND pos BETWEEN p1 AND p2""")
+
+SQL["flt_between_same"] = f"WITH log AS ({USER}),\n" + """
+r AS (SELECT *, sum(is_c) OVER (PARTITION BY case_id ORDER BY ts, tie ROWS UNBOUNDED PRECEDING) AS c,
+             sum(is_c) OVER (PARTITION BY case_id) AS tot
+      FROM (SELECT *, CASE WHEN activity = 'click' THEN 1 ELSE 0 END AS is_c FROM log))
+SELECT case_id || '#' || CAST(c - 1 AS VARCHAR) AS case_id, activity, ts, tie, resource, num, user_id
+FROM r WHERE is_c = 1 AND c >= 2
+UNION ALL
+SELECT case_id || '#' || CAST(c AS VARCHAR), activity, ts, tie, resource, num, user_id
+FROM r WHERE is_c = 1 AND c < tot
+UNION ALL
+SELECT case_id || '#' || CAST(c AS VARCHAR), activity, ts, tie, resource, num, user_id
+FROM r WHERE is_c = 0 AND c >= 1 AND c < tot"""
+
+SQL["flt_case_size"] = keep_where("day", "case_size BETWEEN 3 AND 5")
+SQL["flt_rework"] = with_log("day", """SELECT * FROM log WHERE case_id IN (
+  SELECT case_id FROM log GROUP BY case_id HAVING sum(CASE WHEN activity = 'click' THEN 1 ELSE 0 END) >= 2)""")
+SQL["flt_paths_performance"] = with_log("day", """SELECT * FROM log WHERE case_id IN (
+  SELECT case_id FROM (
+    SELECT case_id, activity, ts,
+           lead(activity) OVER (PARTITION BY case_id ORDER BY ts, tie) AS na,
+           lead(ts) OVER (PARTITION BY case_id ORDER BY ts, tie) AS nt FROM log)
+  WHERE activity = 'click' AND na = 'error'
+    AND epoch_us(nt) - epoch_us(ts) BETWEEN 0 AND 3600000000)""")
+SQL["flt_case_predicate"] = keep_where("user", "case_size > 70")
+SQL["flt_event_predicate"] = with_log("day", "SELECT * FROM log WHERE length(activity) % 2 = 0")
+
+_FIRST_XY = """fx AS (SELECT case_id, activity AS first_xy FROM (
+  SELECT case_id, activity, row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) AS rn
+  FROM log WHERE activity IN ('click', 'purchase')) WHERE rn = 1)"""
+SQL["flt_first_of"] = f"WITH log AS ({DAY}),\n{_FIRST_XY}\n" + \
+    "SELECT * FROM log WHERE case_id IN (SELECT case_id FROM fx WHERE first_xy = 'purchase')"
+SQL["flt_balanced"] = with_log("day", """SELECT * FROM log WHERE case_id IN (
+  SELECT case_id FROM log GROUP BY case_id
+  HAVING sum(CASE WHEN activity = 'click' THEN 1 ELSE 0 END) = sum(CASE WHEN activity = 'purchase' THEN 1 ELSE 0 END))""")
+SQL["flt_has_activity"] = with_log("day", "SELECT * FROM log WHERE case_id IN "
+                                   "(SELECT case_id FROM log WHERE activity = 'view')")
+
+_CAT_LOG = f"""SELECT *, CASE user_id % 4 WHEN 0 THEN '2-way match' WHEN 1 THEN 'Consignment'
+  WHEN 2 THEN '3-way match, invoice after GR' ELSE '3-way match, invoice before GR' END AS category
+FROM ({DAY})"""
+SQL["flt_category_compliant"] = f"WITH log AS ({_CAT_LOG}),\n{_FIRST_XY},\n" + """
+f AS (SELECT case_id, min(user_id) % 4 AS cat,
+             sum(CASE WHEN activity = 'click' THEN 1 ELSE 0 END)
+               - sum(CASE WHEN activity = 'purchase' THEN 1 ELSE 0 END) AS bal,
+             bool_or(activity = 'click') AS hi, bool_or(activity = 'purchase') AS hg,
+             bool_or(activity = 'view') AS hc
+      FROM log GROUP BY case_id)
+SELECT * FROM log WHERE case_id IN (
+  SELECT f.case_id FROM f LEFT JOIN fx ON f.case_id = fx.case_id
+  WHERE CASE cat WHEN 2 THEN bal = 0 AND hi AND hg AND hc AND first_xy = 'purchase'
+                 WHEN 3 THEN bal = 0 AND hi AND hg AND hc AND first_xy = 'click'
+                 WHEN 0 THEN hi AND hc
+                 ELSE hg END)"""
+
+_AREA_LOG = f"""SELECT *, CASE WHEN resource = '7' THEN '' WHEN resource = '13' THEN NULL
+  ELSE resource END AS area FROM ({DAY})"""
+SQL["flt_empty_attr"] = f"WITH log AS ({_AREA_LOG})\n" + (
+    "SELECT * FROM log WHERE case_id NOT IN (SELECT case_id FROM log WHERE area IS NULL OR area = '')")
+SQL["flt_duplicates_none"] = f"WITH log AS (SELECT *, tie % 9973 AS dup_id FROM ({DAY}))\n" + (
+    "SELECT * FROM log WHERE dup_id IN (SELECT dup_id FROM log GROUP BY dup_id HAVING count(*) = 1)")
+SQL["flt_single_case"] = with_log("ord", "SELECT * FROM log WHERE case_id = '1'")
+SQL["flt_frequent_activity"] = with_log("ord", """SELECT activity, n_events, round(n_events / total, 6) AS share
+FROM (SELECT activity, count(*) AS n_events, sum(count(*)) OVER () AS total FROM log GROUP BY activity)
+WHERE n_events / total > 0.05""")
+SQL["semi_case_ids"] = with_log("day", """SELECT * FROM log WHERE case_id IN (
+  SELECT case_id FROM log WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""")
