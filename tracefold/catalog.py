@@ -133,3 +133,109 @@ def _semi_case_ids(spark, d):
     ids = (lg.df.join(cust, lg.df["user_id"] == cust["c_custkey"], "left_semi")
            .select("case_id").distinct())
     return C.semi_case_ids(lg, ids).df
+
+
+# ------------------------------------------------------------------ aggregates, windows, top-k, charts
+from .operators import stats as S  # noqa: E402
+from .plans.sequence import sequenced  # noqa: E402
+
+DAY_ACTS = ["click", "error", "purchase", "signup", "view"]
+
+QUERIES["case_profile"] = lambda spark, d: S.case_profile(L.day_log(spark, d))
+QUERIES["variant_profile"] = lambda spark, d: S.variant_profile(L.day_log(spark, d))
+QUERIES["attribute_values"] = lambda spark, d: S.attribute_values(L.day_log(spark, d), "resource")
+QUERIES["start_activities"] = lambda spark, d: C.start_activity_counts(L.day_log(spark, d))
+QUERIES["end_activities"] = lambda spark, d: C.end_activity_counts(L.day_log(spark, d))
+QUERIES["activity_counts"] = lambda spark, d: S.activity_counts(L.ord_log(spark, d))
+
+
+def _events_k(spark, d):
+    return L.read_table(spark, d, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int"))
+
+
+QUERIES["topic_dimensions"] = lambda spark, d: S.topic_dimensions(_events_k(spark, d), "event_type", ["value", "k"])
+QUERIES["topic_counts"] = lambda spark, d: S.topic_counts(L.read_table(spark, d, "conversations"), "role")
+
+
+@register("region_totals")
+def _region_totals(spark, d):
+    o, c = L.read_table(spark, d, "orders"), L.read_table(spark, d, "customer")
+    n, r = L.read_table(spark, d, "nation"), L.read_table(spark, d, "region")
+    t = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+         .join(r, n.n_regionkey == r.r_regionkey)
+         .select("r_name", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+                 F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal")))
+    return S.group_totals(t, "r_name")
+
+
+QUERIES["distinct_per_column"] = lambda spark, d: S.distinct_per_column(L.read_table(spark, d, "events"))
+QUERIES["nulls_per_column"] = lambda spark, d: S.nulls_per_column(_with_area(L.day_log(spark, d)).df)
+QUERIES["value_counts_all"] = lambda spark, d: S.value_counts_all(
+    L.read_table(spark, d, "events"), ["event_type", "user_id", "props", "value"])
+QUERIES["crosstab_case_activity"] = lambda spark, d: S.crosstab_case_activity(L.day_log(spark, d), DAY_ACTS)
+QUERIES["pivot_start_end"] = lambda spark, d: S.pivot_start_end(L.day_log(spark, d))
+QUERIES["events_per_case_by_category"] = lambda spark, d: S.events_per_case_by(
+    _with_category(L.day_log(spark, d)), "category")
+
+
+@register("filter_effect")
+def _filter_effect(spark, d):
+    lg = _with_area(L.day_log(spark, d))
+    lg = lg.with_df(lg.df.withColumn("dup_id", F.col("tie") % 9973))
+    return S.filter_effect(lg, "area", "dup_id", D1, D2)
+
+
+QUERIES["cumulative_percentage"] = lambda spark, d: S.cumulative_percentage(
+    S.activity_counts(L.ord_log(spark, d)), "activity", "n_events")
+QUERIES["rank_index"] = lambda spark, d: S.rank_index(
+    S.case_profile(L.day_log(spark, d)).select("case_id", "n_events"),
+    [F.col("n_events").desc(), F.col("case_id").asc()])
+
+
+@register("next_event")
+def _next_event(spark, d):
+    s = sequenced(L.day_log(spark, d), carry=("activity", "ts"))
+    return s.select("case_id", "activity", "ts", "tie", "pos", "next_activity", "next_ts")
+
+
+QUERIES["zscore_columns"] = lambda spark, d: S.zscore_columns(
+    S.topic_dimensions(_events_k(spark, d), "event_type", ["value", "k"]), "topic")
+
+
+def _durations(spark, d):
+    return S.case_profile(L.day_log(spark, d)).select("case_id", "duration_s")
+
+
+QUERIES["empirical_cdf"] = lambda spark, d: S.empirical_cdf(_durations(spark, d), "duration_s", 50)
+QUERIES["histogram_bins"] = lambda spark, d: S.histogram_bins(_durations(spark, d), "duration_s", 50)
+QUERIES["sort_cases"] = lambda spark, d: S.rank_index(
+    S.case_profile(L.day_log(spark, d)).select("case_id", "n_events", "duration_s"),
+    [F.col("n_events").desc(), F.col("duration_s").desc(), F.col("case_id").asc()])
+QUERIES["top_n_frame"] = lambda spark, d: S.top_n_frame(
+    S.variant_stats(L.ord_log(spark, d)), [F.col("n_cases").desc(), F.col("variant").asc()], 100)
+QUERIES["top_topics"] = lambda spark, d: S.top_n_frame(
+    S.zscore_columns(S.topic_dimensions(_events_k(spark, d), "event_type", ["value", "k"]), "topic"),
+    [F.col("z_duration_s").desc(), F.col("topic").asc()], 3)
+
+
+@register("pie_others")
+def _pie_others(spark, d):
+    ct = L.day_log(spark, d).df.groupBy("case_id").agg(F.count(F.lit(1)).alias("case_size"))
+    sizes = ct.groupBy("case_size").agg(F.count(F.lit(1)).alias("n_cases"))
+    return S.pie_others(sizes, "case_size", "n_cases", 0.05)
+
+
+QUERIES["category_ratio"] = lambda spark, d: S.category_ratio(_with_category(L.day_log(spark, d)), "category")
+
+
+@register("set_all_categories")
+def _set_all_categories(spark, d):
+    lg = _with_category(L.day_log(spark, d))
+    parts = [C.category_compliant(lg.with_df(lg.df.where(F.col("category") == c)),
+                                  "category", "click", "purchase", "view").df
+             for c in C.CATEGORIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

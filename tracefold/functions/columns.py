@@ -26,3 +26,21 @@ def seconds_between(a: Column, b: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den, NULL when den is 0 (ANSI-safe)."""
     return F.try_divide(num.cast("double"), den.cast("double"))
+
+
+def exact_mean_std(x_us: Column, scale: float = 1_000_000.0) -> tuple[Column, Column]:
+    """Mean and sample std of an integer column from exact sums, divided last.
+
+    sum(x) and sum(x^2) are kept as DECIMAL(38,0), so the result does not
+    depend on the order in which partial sums arrive; both engines then do
+    the same few double operations. std is NULL for one value.
+    """
+    x = x_us.cast("decimal(38,0)")
+    n = F.count(x_us)
+    s1 = F.sum(x)
+    s2 = F.sum(x * x)
+    mean = F.try_divide(s1.cast("double"), n.cast("double")) / F.lit(scale)
+    num = (s2 * n.cast("decimal(38,0)") - s1 * s1).cast("double")
+    den = (n * (n - 1)).cast("double")
+    std = F.when(n > 1, F.sqrt(num / den) / F.lit(scale))
+    return mean, std

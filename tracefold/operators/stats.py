@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6, seconds_between
+from ..functions.columns import exact_mean_std, r6, seconds_between, us_between
 from ..log import EventLog
 from ..plans.cases import case_table, case_variants, variant_counts
 from ..plans.ranking import global_rank_sum
@@ -55,3 +55,224 @@ def pareto_check(log: EventLog, share: float = 0.2, threshold: float = 80.0) ->
             .select(n_var.cast("long").alias("n_variants"), F.col("rank0").alias("pareto_rank"),
                     F.col("cum_percentage"),
                     (F.col("cum_percentage") > F.lit(threshold)).alias("is_pareto")))
+
+
+# ------------------------------------------------------------- case / variant profiles
+
+def case_profile(log: EventLog) -> DataFrame:
+    """Per case: events, activity list (', '), distinct resources, duration (s)."""
+    return _case_profile_us(log).drop("duration_us")
+
+
+def _case_profile_us(log: EventLog) -> DataFrame:
+    agg = log.df.groupBy(log.case).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_distinct("resource").alias("n_resources"),
+        F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    acts = case_variants(log, sep=", ", name="activity_list").drop("activity_list_len")
+    return agg.join(acts, log.case).select(
+        log.case, "n_events", "activity_list", "n_resources",
+        seconds_between(F.col("_t0"), F.col("_t1")).alias("duration_s"),
+        us_between(F.col("_t0"), F.col("_t1")).alias("duration_us"))
+
+
+def variant_profile(log: EventLog) -> DataFrame:
+    """Per activity list: mean events, cases, mean resources, duration mean/min/std, sum."""
+    p = _case_profile_us(log)
+    mean, std = exact_mean_std(F.col("duration_us"))
+    g = p.groupBy("activity_list").agg(
+        F.avg("n_events").alias("avg_activity"),
+        F.count(F.lit(1)).alias("cases"),
+        F.avg("n_resources").alias("avg_resource"),
+        mean.alias("_avg"), std.alias("_std"),
+        F.min("duration_us").alias("_min"),
+        F.sum("duration_us").alias("_sum"))
+    return g.select("activity_list", r6(F.col("avg_activity")).alias("avg_activity"), "cases",
+                    r6(F.col("avg_resource")).alias("avg_resource"),
+                    r6(F.col("_avg")).alias("avg_duration"),
+                    r6(F.col("_min") / 1e6).alias("minimal_duration"),
+                    r6(F.col("_std")).alias("std_duration"),
+                    r6(F.col("_sum") / 1e6).alias("sum_duration"))
+
+
+def attribute_values(log: EventLog, attr: str) -> DataFrame:
+    """Value -> number of events for one attribute."""
+    return log.df.groupBy(F.col(attr).alias("value")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def activity_counts(log: EventLog) -> DataFrame:
+    """Events per activity."""
+    return attribute_values(log, log.activity).withColumnRenamed("value", "activity")
+
+
+def topic_dimensions(df: DataFrame, topic: str, sums: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Per topic: occurrences, sum of each listed column, duration max-min (s)."""
+    return df.groupBy(F.col(topic).alias("topic")).agg(
+        F.count(F.lit(1)).alias("occurences"),
+        *[_sum_keep_type(df, c).alias(f"sum_{c}") for c in sums],
+        (seconds_between(F.min(ts), F.max(ts))).alias("duration_s"))
+
+
+def _sum_keep_type(df: DataFrame, c: str) -> Column:
+    t = dict(df.dtypes)[c]
+    if t.startswith("decimal"):
+        return F.sum(c).cast("double")
+    if t in ("double", "float"):
+        return r6(F.sum(c))
+    return F.sum(c).cast("long")
+
+
+def topic_counts(df: DataFrame, topic: str) -> DataFrame:
+    """Rows per topic."""
+    return df.groupBy(F.col(topic).alias("topic")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def group_totals(df: DataFrame, key: str) -> DataFrame:
+    """Sum of every numeric column per key."""
+    nums = [c for c, t in df.dtypes if c != key and (t in ("int", "bigint", "double", "float", "smallint")
+                                                      or t.startswith("decimal"))]
+    return df.groupBy(key).agg(*[_sum_keep_type(df, c).alias(f"sum_{c}") for c in nums])
+
+
+def distinct_per_column(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Number of distinct non-NULL values per column, one pass over the table."""
+    fn = F.approx_count_distinct if approx else F.count_distinct
+    row = df.agg(*[fn(F.col(c)).alias(c) for c in df.columns])
+    return row.unpivot([], df.columns, "column", "n_distinct")
+
+
+def nulls_per_column(df: DataFrame) -> DataFrame:
+    """Number of NULL values per column, one pass over the table."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    return row.unpivot([], df.columns, "column", "n_null")
+
+
+def value_counts_all(df: DataFrame, cols: Sequence[str], max_distinct: int = 2000) -> DataFrame:
+    """Value counts of each listed column; columns with >= max_distinct values skipped."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [], list(cols), "column", "value")
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("_nd")).where(F.col("_nd") < max_distinct)
+    # one row per listed column: a bounded broadcast side
+    return vc.join(F.broadcast(per_col.select("column")), "column")
+
+
+def crosstab_case_activity(log: EventLog, values: Sequence[str] | None = None) -> DataFrame:
+    """Case x activity count matrix (0 where absent)."""
+    p = log.df.groupBy(log.case).pivot(log.activity, list(values) if values else None).count()
+    return p.fillna(0, subset=[c for c in p.columns if c != log.case])
+
+
+def pivot_start_end(log: EventLog) -> DataFrame:
+    """First and last timestamp per case."""
+    return log.df.groupBy(log.case).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+
+
+def events_per_case_by(log: EventLog, category: str) -> DataFrame:
+    """Events, cases and events per case (2 decimals) per category."""
+    return log.df.groupBy(category).agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_distinct(log.case).alias("n_cases"),
+    ).select(category, "n_events", "n_cases",
+             F.round(F.col("n_events") / F.col("n_cases"), 2).alias("events_per_case"))
+
+
+def filter_effect(log: EventLog, area: str, dup_id: str, d1, d2) -> DataFrame:
+    """Cases before / after each cleaning step and the share lost.
+
+    Steps in order: drop cases with an empty ``area``; drop every row of a
+    duplicated ``dup_id``; keep cases contained in [d1, d2] (on the rows
+    left). One conditional aggregate per case, then one over cases.
+    """
+    once = log.df.groupBy(dup_id).agg(F.count(F.lit(1)).alias("_dn"))
+    ev = log.df.join(once, dup_id)
+    ok = F.col("_dn") == 1
+    per = ev.groupBy(log.case).agg(
+        F.bool_and(F.nullif(F.col(area), F.lit("")).isNotNull()).alias("ok_area"),
+        F.count_if(ok).alias("n_left"),
+        F.min(F.when(ok, F.col("ts"))).alias("t0"), F.max(F.when(ok, F.col("ts"))).alias("t1"))
+    s1 = F.col("ok_area")
+    s2 = s1 & (F.col("n_left") > 0)
+    s3 = s2 & (F.col("t0") >= F.lit(d1).cast("timestamp_ntz")) & (F.col("t1") <= F.lit(d2).cast("timestamp_ntz"))
+    tot = per.agg(F.count(F.lit(1)).alias("c0"), F.count_if(s1).alias("c1"),
+                  F.count_if(s2).alias("c2"), F.count_if(s3).alias("c3"))
+    steps = F.array(
+        F.struct(F.lit(1).alias("step"), F.lit("empty_area").alias("filter"), F.col("c0").alias("before"), F.col("c1").alias("after")),
+        F.struct(F.lit(2).alias("step"), F.lit("duplicate_ids").alias("filter"), F.col("c1").alias("before"), F.col("c2").alias("after")),
+        F.struct(F.lit(3).alias("step"), F.lit("date_contained").alias("filter"), F.col("c2").alias("before"), F.col("c3").alias("after")))
+    out = tot.select(F.inline(steps))
+    return out.select("step", "filter", "before", "after",
+                      r6((1 - F.try_divide(F.col("after").cast("double"), F.col("before"))) * 100).alias("lost_pct"))
+
+
+# ------------------------------------------------------------- windows (F)
+
+def cumulative_percentage(counts: DataFrame, label: str, n: str) -> DataFrame:
+    """percentage and running percentage in (n desc, label asc) order."""
+    total = counts.select(F.sum(n)).scalar()
+    r = global_rank_sum(counts, [F.col(n).desc(), F.col(label).asc()], {"_cum": F.col(n)}, "rank0")
+    return r.select(label, n, "rank0", r6(F.col(n) * 100.0 / total).alias("percentage"),
+                    r6(F.col("_cum") * 100.0 / total).alias("cum_percentage"))
+
+
+def rank_index(df: DataFrame, order: Sequence[Column], name: str = "rank0") -> DataFrame:
+    """F2 / G1: dense 0-based index after a total sort (distributed)."""
+    return global_rank_sum(df, order, {}, name)
+
+
+def zscore_columns(df: DataFrame, key: str) -> DataFrame:
+    """(x - mean) / sample std for every numeric column of an aggregated table."""
+    nums = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
+    stats = {c: (df.select(F.avg(c)).scalar(), df.select(F.stddev_samp(c)).scalar()) for c in nums}
+    return df.select(key, *[r6(F.try_divide(F.col(c) - stats[c][0], stats[c][1])).alias(f"z_{c}")
+                            for c in nums])
+
+
+def histogram_bins(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+    """L1: equal-width bins over [min, max], last bin closed; empty bins included."""
+    lo = df.select(F.min(col).cast("double")).scalar()
+    hi = df.select(F.max(col).cast("double")).scalar()
+    width = (hi - lo) / F.lit(bins)
+    b = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1))).cast("int")
+    counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (F.broadcast(frame).join(counts, "bin", "left")
+            .select("bin", r6(lo + F.col("bin") * width).alias("lo"),
+                    r6(lo + (F.col("bin") + 1) * width).alias("hi"),
+                    F.coalesce(F.col("n"), F.lit(0)).alias("n")))
+
+
+def empirical_cdf(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+    """PDF and CDF over the histogram bins (bins are few: plain window)."""
+    h = histogram_bins(df, col, bins)
+    total = h.select(F.sum("n")).scalar()
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return h.select("bin", "hi", "n", r6(F.col("n") / total).alias("pdf"),
+                    r6(F.sum("n").over(w) / total).alias("cdf"))
+
+
+# ------------------------------------------------------------- top-k (G)
+
+def top_n_frame(df: DataFrame, order: Sequence[Column], n: int = 100) -> DataFrame:
+    """First ``n`` rows in a total order (TakeOrderedAndProject)."""
+    return df.orderBy(*order).limit(n)
+
+
+# ------------------------------------------------------------- chart data (L)
+
+def pie_others(df: DataFrame, label: str, value: str, share: float = 0.05) -> DataFrame:
+    """L2: labels under ``share`` of the total folded into one 'others' row (always present)."""
+    total = df.select(F.sum(value)).scalar()
+    small = F.col(value) < F.lit(share) * total
+    keep = df.where(~small).select(F.col(label).cast("string").alias("label"), F.col(value).alias("value"))
+    others = df.agg(F.lit("others").alias("label"),
+                    F.coalesce(F.sum(F.when(small, F.col(value))), F.lit(0)).alias("value"))
+    return keep.unionByName(others)
+
+
+def category_ratio(log: EventLog, category: str) -> DataFrame:
+    """Cases per category and their share of all cases."""
+    per = log.df.groupBy(log.case).agg(F.min(category).alias("category"))
+    c = per.groupBy("category").agg(F.count(F.lit(1)).alias("n_cases"))
+    total = c.select(F.sum("n_cases")).scalar()
+    return c.select("category", "n_cases", r6(F.col("n_cases") * 100.0 / total).alias("percentage"))

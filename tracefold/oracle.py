@@ -219,3 +219,131 @@ FROM (SELECT activity, count(*) AS n_events, sum(count(*)) OVER () AS total FROM
 WHERE n_events / total > 0.05""")
 SQL["semi_case_ids"] = with_log("day", """SELECT * FROM log WHERE case_id IN (
   SELECT case_id FROM log WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""")
+
+
+# ------------------------------------------------------------------ aggregates, windows, top-k, charts
+def _cv(log: str, sep: str, name: str) -> str:
+    return (f"SELECT case_id, string_agg(activity, '{sep}' ORDER BY {ORDER[log]}) AS {name} "
+            f"FROM log GROUP BY case_id")
+
+
+_PROFILE = f"""prof AS (
+  SELECT a.case_id, n_events, activity_list, n_resources, duration_s FROM (
+    SELECT case_id, count(*) AS n_events, count(DISTINCT resource) AS n_resources,
+           (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s
+    FROM log GROUP BY case_id) a
+  JOIN ({_cv('day', ', ', 'activity_list')}) b ON a.case_id = b.case_id)
+"""
+SQL["case_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}SELECT * FROM prof"
+SQL["variant_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}" + """
+SELECT activity_list, round(avg(n_events), 6) AS avg_activity, count(*) AS cases,
+       round(avg(n_resources), 6) AS avg_resource,
+       round(CAST(sum(us) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS avg_duration,
+       round(min(us) / 1000000.0, 6) AS minimal_duration,
+       round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(us AS HUGEINT) * us) * count(*) - sum(CAST(us AS HUGEINT)) * sum(CAST(us AS HUGEINT)) AS DOUBLE)
+             / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_duration,
+       round(sum(us) / 1000000.0, 6) AS sum_duration
+FROM (SELECT *, CAST(round(duration_s * 1000000) AS BIGINT) AS us FROM prof) GROUP BY activity_list"""
+SQL["attribute_values"] = with_log("day", "SELECT resource AS value, count(*) AS n_events FROM log GROUP BY 1")
+SQL["start_activities"] = f"WITH log AS ({DAY}),\n{ct_cte('day')}" + \
+    "SELECT first_activity AS activity, count(*) AS n_cases FROM ct GROUP BY 1"
+SQL["end_activities"] = f"WITH log AS ({DAY}),\n{ct_cte('day')}" + \
+    "SELECT last_activity AS activity, count(*) AS n_cases FROM ct GROUP BY 1"
+SQL["activity_counts"] = with_log("ord", "SELECT activity, count(*) AS n_events FROM log GROUP BY 1")
+
+_TOPICS = """tp AS (SELECT event_type AS topic, count(*) AS occurences, round(sum(value), 6) AS sum_value,
+       CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s
+FROM events GROUP BY event_type)"""
+SQL["topic_dimensions"] = f"WITH {_TOPICS} SELECT * FROM tp"
+SQL["topic_counts"] = "SELECT role AS topic, count(*) AS n_rows FROM conversations GROUP BY role"
+SQL["region_totals"] = """SELECT r_name, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_o_totalprice,
+       CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS sum_c_acctbal
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+SQL["distinct_per_column"] = """SELECT * FROM (SELECT count(DISTINCT event_id) AS event_id, count(DISTINCT ts) AS ts,
+  count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type,
+  count(DISTINCT value) AS value, count(DISTINCT props) AS props FROM events)
+UNPIVOT (n_distinct FOR "column" IN (event_id, ts, user_id, event_type, value, props))"""
+SQL["nulls_per_column"] = f"WITH log AS ({_AREA_LOG})\n" + """SELECT * FROM (SELECT
+  count(*) FILTER (WHERE case_id IS NULL) AS case_id, count(*) FILTER (WHERE activity IS NULL) AS activity,
+  count(*) FILTER (WHERE ts IS NULL) AS ts, count(*) FILTER (WHERE tie IS NULL) AS tie,
+  count(*) FILTER (WHERE resource IS NULL) AS resource, count(*) FILTER (WHERE num IS NULL) AS num,
+  count(*) FILTER (WHERE user_id IS NULL) AS user_id, count(*) FILTER (WHERE area IS NULL) AS area FROM log)
+UNPIVOT (n_null FOR "column" IN (case_id, activity, ts, tie, resource, num, user_id, area))"""
+SQL["value_counts_all"] = """WITH long AS (
+  SELECT 'event_type' AS "column", event_type AS value FROM events
+  UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events
+  UNION ALL SELECT 'props', props FROM events
+  UNION ALL SELECT 'value', CAST(value AS VARCHAR) FROM events),
+vc AS (SELECT "column", value, count(*) AS n FROM long GROUP BY 1, 2)
+SELECT * FROM vc WHERE "column" IN (SELECT "column" FROM vc GROUP BY 1 HAVING count(*) < 2000)"""
+SQL["crosstab_case_activity"] = with_log("day", """SELECT case_id,
+  count(*) FILTER (WHERE activity = 'click') AS click, count(*) FILTER (WHERE activity = 'error') AS error,
+  count(*) FILTER (WHERE activity = 'purchase') AS purchase, count(*) FILTER (WHERE activity = 'signup') AS signup,
+  count(*) FILTER (WHERE activity = 'view') AS view
+FROM log GROUP BY case_id""")
+SQL["pivot_start_end"] = with_log("day", "SELECT case_id, min(ts) AS start_ts, max(ts) AS end_ts FROM log GROUP BY 1")
+SQL["events_per_case_by_category"] = f"WITH log AS ({_CAT_LOG})\n" + """SELECT category, count(*) AS n_events,
+  count(DISTINCT case_id) AS n_cases, round(count(*) / count(DISTINCT case_id), 2) AS events_per_case
+FROM log GROUP BY category"""
+SQL["filter_effect"] = f"WITH log AS (SELECT *, tie % 9973 AS dup_id FROM ({_AREA_LOG})),\n" + """
+d AS (SELECT dup_id, count(*) AS dn FROM log GROUP BY 1),
+per AS (SELECT case_id, bool_and(area IS NOT NULL AND area <> '') AS ok_area,
+          count(*) FILTER (WHERE dn = 1) AS n_left,
+          min(ts) FILTER (WHERE dn = 1) AS t0, max(ts) FILTER (WHERE dn = 1) AS t1
+        FROM log JOIN d USING (dup_id) GROUP BY case_id),
+c AS (SELECT count(*) AS c0, count(*) FILTER (WHERE ok_area) AS c1,
+        count(*) FILTER (WHERE ok_area AND n_left > 0) AS c2,
+        count(*) FILTER (WHERE ok_area AND n_left > 0 AND t0 >= TIMESTAMP '2024-01-05 00:00:00'
+                         AND t1 <= TIMESTAMP '2024-01-20 12:00:00') AS c3 FROM per),
+s AS (SELECT 1 AS step, 'empty_area' AS filter, c0 AS before, c1 AS after FROM c
+      UNION ALL SELECT 2, 'duplicate_ids', c1, c2 FROM c
+      UNION ALL SELECT 3, 'date_contained', c2, c3 FROM c)
+SELECT step, filter, before, after, round((1 - after / before) * 100, 6) AS lost_pct FROM s"""
+SQL["cumulative_percentage"] = with_log("ord", """SELECT activity, n_events,
+  CAST(row_number() OVER (ORDER BY n_events DESC, activity) - 1 AS BIGINT) AS rank0,
+  round(n_events * 100.0 / sum(n_events) OVER (), 6) AS percentage,
+  round(sum(n_events) OVER (ORDER BY n_events DESC, activity ROWS UNBOUNDED PRECEDING) * 100.0
+        / sum(n_events) OVER (), 6) AS cum_percentage
+FROM (SELECT activity, count(*) AS n_events FROM log GROUP BY 1)""")
+SQL["rank_index"] = with_log("day", """SELECT case_id, n_events,
+  CAST(row_number() OVER (ORDER BY n_events DESC, case_id) - 1 AS BIGINT) AS rank0
+FROM (SELECT case_id, count(*) AS n_events FROM log GROUP BY 1)""")
+SQL["next_event"] = with_log("day", """SELECT case_id, activity, ts, tie,
+  CAST(row_number() OVER w - 1 AS BIGINT) AS pos, lead(activity) OVER w AS next_activity, lead(ts) OVER w AS next_ts
+FROM log WINDOW w AS (PARTITION BY case_id ORDER BY ts, tie)""")
+SQL["zscore_columns"] = f"WITH {_TOPICS}\n" + """SELECT topic,
+  round((occurences - avg(occurences) OVER ()) / stddev_samp(occurences) OVER (), 6) AS z_occurences,
+  round((sum_value - avg(sum_value) OVER ()) / stddev_samp(sum_value) OVER (), 6) AS z_sum_value,
+  round((sum_k - avg(sum_k) OVER ()) / stddev_samp(sum_k) OVER (), 6) AS z_sum_k,
+  round((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER (), 6) AS z_duration_s
+FROM tp"""
+SQL["top_topics"] = SQL["zscore_columns"] + " ORDER BY z_duration_s DESC, topic LIMIT 3"
+_DUR = f"""WITH log AS ({DAY}),
+dur AS (SELECT case_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s FROM log GROUP BY 1),
+mm AS (SELECT min(duration_s) AS lo, max(duration_s) AS hi, (max(duration_s) - min(duration_s)) / 50 AS w FROM dur),
+b AS (SELECT CASE WHEN w = 0 THEN 0 ELSE least(CAST(floor((duration_s - lo) / w) AS INTEGER), 49) END AS bin, count(*) AS n
+      FROM dur, mm GROUP BY 1),
+h AS (SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + g.bin * w, 6) AS lo, round(lo + (g.bin + 1) * w, 6) AS hi,
+             coalesce(b.n, 0) AS n
+      FROM (SELECT range AS bin FROM range(50)) g CROSS JOIN mm LEFT JOIN b ON b.bin = g.bin)
+"""
+SQL["histogram_bins"] = _DUR + "SELECT * FROM h"
+SQL["empirical_cdf"] = _DUR + """SELECT bin, hi, n, round(n / sum(n) OVER (), 6) AS pdf,
+  round(sum(n) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS cdf FROM h"""
+SQL["sort_cases"] = with_log("day", """SELECT case_id, n_events, duration_s,
+  CAST(row_number() OVER (ORDER BY n_events DESC, duration_s DESC, case_id) - 1 AS BIGINT) AS rank0
+FROM (SELECT case_id, count(*) AS n_events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s
+      FROM log GROUP BY 1)""")
+SQL["top_n_frame"] = variants_cte("ord") + "SELECT variant, n_cases FROM vc ORDER BY n_cases DESC, variant LIMIT 100"
+SQL["pie_others"] = with_log("day", """, sz AS (SELECT case_size, count(*) AS n_cases FROM
+  (SELECT case_id, count(*) AS case_size FROM log GROUP BY 1) GROUP BY 1),
+t AS (SELECT sum(n_cases) AS total FROM sz)
+SELECT CAST(case_size AS VARCHAR) AS label, n_cases AS value FROM sz, t WHERE n_cases >= 0.05 * total
+UNION ALL
+SELECT 'others', coalesce(sum(n_cases) FILTER (WHERE n_cases < 0.05 * total), 0) FROM sz, t""")
+SQL["category_ratio"] = f"WITH log AS ({_CAT_LOG})\n" + """SELECT category, count(*) AS n_cases,
+  round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percentage
+FROM (SELECT case_id, min(category) AS category FROM log GROUP BY 1) GROUP BY category"""
+SQL["set_all_categories"] = SQL["flt_category_compliant"]
