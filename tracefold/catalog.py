@@ -239,3 +239,90 @@ def _set_all_categories(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ preparation (B), joins (D1, D4, D5), time (H)
+from .operators import prepare as B  # noqa: E402
+from .operators import timing as H  # noqa: E402
+
+QUERIES["log_rename"] = lambda spark, d: B.rename(
+    L.read_table(spark, d, "events"), {"user_id": "case_id", "event_type": "activity"})
+QUERIES["log_drop_columns"] = lambda spark, d: B.drop_columns(L.read_table(spark, d, "events"), ["props", "value"])
+QUERIES["log_sorted"] = lambda spark, d: B.sorted_log(L.day_log(spark, d))
+QUERIES["log_event_index"] = lambda spark, d: B.event_index(L.day_log(spark, d)).select(
+    "case_id", "activity", "ts", "tie", "index", "index_in_trace")
+
+
+@register("log_to_cases")
+def _log_to_cases(spark, d):
+    c = B.to_cases(L.ord_log(spark, d), ["activity", "ts"])
+    return c.select("case_id", F.size("events").cast("long").alias("n_events"),
+                    F.transform("events", lambda e: e["activity"]).alias("activities"),
+                    F.col("events")[0]["ts"].alias("first_ts"))
+
+
+@register("cases_to_log")
+def _cases_to_log(spark, d):
+    return B.from_cases(B.to_cases(L.ord_log(spark, d), ["activity", "ts"]))
+
+
+QUERIES["case_attributes"] = lambda spark, d: B.case_attributes(
+    L.day_log(spark, d).with_df(L.day_log(spark, d).df.withColumn("day", F.to_date("ts"))), ["user_id", "day"])
+QUERIES["case_relative_time"] = lambda spark, d: B.relative_time(L.day_log(spark, d))
+QUERIES["log_classifier"] = lambda spark, d: B.classifier(L.day_log(spark, d), ["activity", "resource"]).select(
+    "case_id", "tie", "classifier")
+QUERIES["log_artificial_ends"] = lambda spark, d: B.artificial_ends(L.day_log(spark, d))
+QUERIES["case_number"] = lambda spark, d: B.case_number(L.day_log(spark, d).df)
+QUERIES["trace_features"] = lambda spark, d: B.trace_features(L.day_log(spark, d), DAY_ACTS)
+
+
+def _tables(spark, d, *names):
+    return [L.read_table(spark, d, n) for n in names]
+
+
+QUERIES["value_per_region"] = lambda spark, d: B.region_value(*_tables(spark, d, "orders", "customer", "nation", "region"))
+
+
+def _order_flags(spark, d):
+    o = L.read_table(spark, d, "orders")
+    flags = {"f_finished": F.col("o_orderstatus") == "F",
+             "f_priority": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"),
+             "f_large": F.col("o_totalprice") > 150000,
+             "f_year_end": F.month("o_orderdate").isin(11, 12)}
+    return B.tiered_value(o, "o_orderkey", flags)
+
+
+QUERIES["tiered_value"] = _order_flags
+
+
+@register("compare_as_is_to_be")
+def _compare(spark, d):
+    o, c, n, r = _tables(spark, d, "orders", "customer", "nation", "region")
+    as_is = B.region_value(o, c, n, r).select("r_name", F.col("value").alias("as_is_value"))
+    t = (_order_flags(spark, d).join(o, "o_orderkey").join(c, o.o_custkey == c.c_custkey)
+         .join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+         .groupBy("r_name").agg(F.sum("price").cast("long").alias("to_be_value")))
+    return B.compare_side_by_side(as_is, t, "r_name")
+
+
+QUERIES["join_case_stats"] = lambda spark, d: B.join_case_stats(L.day_log(spark, d))
+QUERIES["eventually_follows"] = lambda spark, d: H.eventually_follows(L.day_log(spark, d))
+QUERIES["temporal_profile"] = lambda spark, d: H.temporal_profile(L.user_log(spark, d))
+QUERIES["case_durations"] = lambda spark, d: H.case_durations(L.day_log(spark, d)).drop("duration_us")
+QUERIES["median_case_duration"] = lambda spark, d: H.median_case_duration(L.day_log(spark, d))
+QUERIES["case_arrival_avg"] = lambda spark, d: H.case_arrival_avg(L.day_log(spark, d), "start")
+QUERIES["case_dispersion_avg"] = lambda spark, d: H.case_arrival_avg(L.day_log(spark, d), "end")
+QUERIES["business_hours"] = lambda spark, d: H.business_hours(L.ivl_log(spark, d, per_user=True), weekends=(5, 6, 7))
+QUERIES["lead_cycle_time"] = lambda spark, d: H.lead_cycle_time(L.ivl_log(spark, d, per_user=True))
+QUERIES["lead_cycle_business"] = lambda spark, d: H.lead_cycle_time(
+    L.ivl_log(spark, d, per_user=True), business={"work": (8, 16), "weekends": (6, 7)})
+QUERIES["case_profile_times"] = lambda spark, d: H.case_profile_times(L.ivl_log(spark, d, per_user=True))
+QUERIES["sojourn_time"] = lambda spark, d: H.sojourn_time(L.ivl_log(spark, d))
+QUERIES["performance_spectrum"] = lambda spark, d: H.performance_spectrum(
+    L.user_log(spark, d), ["signup", "view", "click", "purchase"])
+
+
+@register("scatter_case_time")
+def _scatter(spark, d):
+    r = B.relative_time(L.day_log(spark, d))
+    return B.case_number(r).join(r, "case_id").select("case_number", "rel_s", "activity", "case_id", "tie")

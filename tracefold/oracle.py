@@ -347,3 +347,133 @@ SQL["category_ratio"] = f"WITH log AS ({_CAT_LOG})\n" + """SELECT category, coun
   round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percentage
 FROM (SELECT case_id, min(category) AS category FROM log GROUP BY 1) GROUP BY category"""
 SQL["set_all_categories"] = SQL["flt_category_compliant"]
+
+
+# ------------------------------------------------------------------ preparation (B), joins (D), time (H)
+SQL["log_rename"] = "SELECT event_id, ts, user_id AS case_id, event_type AS activity, value, props FROM events"
+SQL["log_drop_columns"] = "SELECT event_id, ts, user_id, event_type FROM events"
+SQL["log_sorted"] = with_log("day", "SELECT * FROM log ORDER BY case_id, ts, tie")
+SQL["log_event_index"] = with_log("day", """SELECT case_id, activity, ts, tie,
+  CAST(row_number() OVER (ORDER BY ts, tie, case_id) - 1 AS BIGINT) AS "index",
+  CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS BIGINT) AS index_in_trace FROM log""")
+SQL["log_to_cases"] = with_log("ord", """SELECT case_id, count(*) AS n_events,
+  list(activity ORDER BY ts, tie, tie2, tie3) AS activities, min(ts) AS first_ts FROM log GROUP BY case_id""")
+SQL["cases_to_log"] = with_log("ord", """SELECT case_id,
+  CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, tie, tie2, tie3) - 1 AS BIGINT) AS pos, activity, ts FROM log""")
+SQL["case_attributes"] = with_log("day", "SELECT case_id, min(user_id) AS user_id, min(CAST(ts AS DATE)) AS day FROM log GROUP BY 1")
+_REL = """rel AS (SELECT case_id, activity, ts, tie, min(ts) OVER (PARTITION BY case_id) AS case_start,
+  max(ts) OVER (PARTITION BY case_id) AS case_end,
+  (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY case_id))) / 1000000.0 AS rel_s,
+  CAST(floor((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY case_id))) / 86400000000) AS BIGINT) AS rel_days
+FROM log)"""
+SQL["case_relative_time"] = f"WITH log AS ({DAY}),\n{_REL}\nSELECT * FROM rel"
+SQL["log_classifier"] = with_log("day", "SELECT case_id, tie, concat_ws('+', activity, resource) AS classifier FROM log")
+SQL["log_artificial_ends"] = with_log("day", """SELECT case_id, activity, ts,
+  CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS BIGINT) AS pos FROM log
+UNION ALL SELECT case_id, '▶', min(ts), -1 FROM log GROUP BY case_id
+UNION ALL SELECT case_id, '■', max(ts), count(*) FROM log GROUP BY case_id""")
+SQL["case_number"] = with_log("day", """SELECT DISTINCT case_id,
+  TRY_CAST(regexp_extract(case_id, '(\\d+)', 1) AS BIGINT) AS case_number FROM log""")
+_ACTS = ["click", "error", "purchase", "signup", "view"]
+SQL["trace_features"] = with_log("day", ", s AS (SELECT *, lead(activity) OVER (PARTITION BY case_id ORDER BY ts, tie) AS na,"
+    " row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, tie DESC) AS rl FROM log)\nSELECT case_id, " + ", ".join(
+    [f"count(*) FILTER (WHERE activity = '{a}') AS act_{a}" for a in _ACTS]
+    + [f"count(*) FILTER (WHERE activity = '{a}' AND na = '{b}') AS succ_{a}_{b}" for a in _ACTS for b in _ACTS]
+    + ["max(num) FILTER (WHERE rl = 1) AS last_num"]) + " FROM s GROUP BY case_id")
+_RV = """rv AS (
+  SELECT r_name, sold, round(unit_price, 6) AS unit_price, round(sold * unit_price, 6) AS value FROM
+  (SELECT n_regionkey, count(*) AS sold FROM orders JOIN customer ON o_custkey = c_custkey
+     JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) s
+  JOIN (SELECT n_regionkey, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS unit_price
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) p USING (n_regionkey)
+  JOIN region ON n_regionkey = r_regionkey)"""
+SQL["value_per_region"] = f"WITH {_RV} SELECT * FROM rv"
+_TV = """tv AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS f_finished,
+  CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS f_priority,
+  CAST(o_totalprice > 150000 AS INTEGER) AS f_large, CAST(month(o_orderdate) IN (11, 12) AS INTEGER) AS f_year_end
+  FROM orders),
+tv2 AS (SELECT *, f_finished + f_priority + f_large + f_year_end AS n_flags,
+  CASE WHEN f_finished + f_priority + f_large + f_year_end < 3 THEN 100 ELSE 120 END AS price FROM tv)"""
+SQL["tiered_value"] = f"WITH {_TV} SELECT * FROM tv2"
+SQL["compare_as_is_to_be"] = f"WITH {_RV}, {_TV}" + """,
+tb AS (SELECT r_name, CAST(sum(price) AS BIGINT) AS to_be_value FROM tv2 JOIN orders USING (o_orderkey)
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT coalesce(rv.r_name, tb.r_name) AS r_name, value AS as_is_value, to_be_value
+FROM rv FULL OUTER JOIN tb ON rv.r_name = tb.r_name"""
+SQL["join_case_stats"] = with_log("day", """SELECT log.*, case_size, case_duration_s FROM log JOIN (
+  SELECT case_id, count(*) AS case_size, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS case_duration_s
+  FROM log GROUP BY 1) c USING (case_id)""")
+_PAIRS = """p AS (SELECT i.activity AS a, j.activity AS b, CAST(epoch_us(j.ts) - epoch_us(i.ts) AS HUGEINT) AS d
+  FROM log i JOIN log j ON i.case_id = j.case_id AND (i.ts < j.ts OR (i.ts = j.ts AND i.tie < j.tie)))"""
+SQL["eventually_follows"] = f"WITH log AS ({DAY}),\n{_PAIRS}\nSELECT a, b, count(*) AS n_pairs FROM p GROUP BY a, b"
+SQL["temporal_profile"] = f"WITH log AS ({USER}),\n{_PAIRS}\n" + """SELECT a, b, count(*) AS n_pairs,
+  round(CAST(sum(d) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s,
+  round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(d * d) * count(*) - sum(d) * sum(d) AS DOUBLE)
+        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_s
+FROM p GROUP BY a, b"""
+_DURS = "SELECT case_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM log GROUP BY 1"
+SQL["case_durations"] = with_log("day", f"SELECT case_id, us / 1000000.0 AS duration_s FROM ({_DURS})")
+SQL["median_case_duration"] = with_log("day", f"SELECT quantile_cont(us, 0.5) / 1000000.0 AS median_s FROM ({_DURS})")
+SQL["case_arrival_avg"] = with_log("day", """SELECT round(coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
+  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0, 6) AS case_arrival_avg_s
+FROM (SELECT case_id, min(ts) AS t FROM log GROUP BY 1)""")
+SQL["case_dispersion_avg"] = with_log("day", """SELECT round(coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
+  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0, 6) AS case_dispersion_avg_s
+FROM (SELECT case_id, max(ts) AS t FROM log GROUP BY 1)""")
+
+IVL_USER = f"""SELECT *, ts - to_microseconds(CAST(floor(num * 60) AS BIGINT) * 1000000) AS start_ts FROM ({USER})"""
+
+
+def _bus_us(a: str, b: str, weekends: str = "6, 7") -> str:
+    """Working microseconds in [a, b]: one clipped 8-16 h window per calendar day."""
+    return f"""(SELECT coalesce(sum(greatest(0, epoch_us(least({b}, g.d + INTERVAL 16 HOUR))
+                  - epoch_us(greatest({a}, g.d + INTERVAL 8 HOUR)))), 0)
+  FROM (SELECT unnest(generate_series(date_trunc('day', {a}), date_trunc('day', {b}), INTERVAL 1 DAY)) AS d) g
+  WHERE isodow(g.d) NOT IN ({weekends}))"""
+
+
+SQL["business_hours"] = f"WITH log AS ({IVL_USER})\n" + f"""SELECT case_id, tie,
+  (epoch_us(ts) - epoch_us(start_ts)) / 1000000.0 AS plain_s,
+  round(CASE WHEN ts > start_ts THEN {_bus_us('start_ts', 'ts', '5, 6, 7')} ELSE 0 END / 1000000.0, 6) AS business_s
+FROM log"""
+
+
+def _lead_cycle(business: bool) -> str:
+    if business:
+        w = f"CASE WHEN ts > fr THEN {_bus_us('fr', 'ts')} ELSE 0 END"
+        i = f"CASE WHEN m IS NOT NULL AND start_ts > m THEN {_bus_us('m', 'start_ts')} ELSE 0 END"
+    else:
+        w = "CASE WHEN ts > fr THEN epoch_us(ts) - epoch_us(fr) ELSE 0 END"
+        i = "CASE WHEN m IS NOT NULL AND start_ts > m THEN epoch_us(start_ts) - epoch_us(m) ELSE 0 END"
+    return f"WITH log AS ({IVL_USER}),\n" + f"""
+mm AS (SELECT *, max(ts) OVER (PARTITION BY case_id ORDER BY start_ts, tie
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM log),
+wi AS (SELECT *, {w} AS w, {i} AS i
+       FROM (SELECT *, CASE WHEN m IS NULL THEN start_ts ELSE greatest(start_ts, m) END AS fr FROM mm)),
+rs AS (SELECT *, sum(w) OVER (PARTITION BY case_id ORDER BY start_ts, tie ROWS UNBOUNDED PRECEDING) AS cyc,
+              sum(w + i) OVER (PARTITION BY case_id ORDER BY start_ts, tie ROWS UNBOUNDED PRECEDING) AS lead
+       FROM wi)
+SELECT case_id, activity, tie, start_ts, ts, round(cyc / 1000000.0, 6) AS partial_cycle_s,
+  round(lead / 1000000.0, 6) AS partial_lead_s, round((lead - cyc) / 1000000.0, 6) AS overall_waste_s,
+  round(i / 1000000.0, 6) AS this_waste_s,
+  round(CASE WHEN lead = 0 THEN 1.0 ELSE CAST(cyc AS DOUBLE) / CAST(lead AS DOUBLE) END, 6) AS ratio_cycle_lead
+FROM rs"""
+
+
+SQL["lead_cycle_time"] = _lead_cycle(False)
+SQL["lead_cycle_business"] = _lead_cycle(True)
+SQL["case_profile_times"] = "WITH lc AS (" + _lead_cycle(False) + """)
+SELECT case_id, count(*) AS n_events, count(DISTINCT activity) AS n_activities, max(partial_cycle_s) AS cycle_s,
+  max(partial_lead_s) AS lead_s, round(max(partial_lead_s) - max(partial_cycle_s), 6) AS waste_s
+FROM lc GROUP BY case_id"""
+SQL["sojourn_time"] = with_log("ivl", """SELECT activity,
+  round(CAST(sum(epoch_us(ts) - epoch_us(start_ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS sojourn_s,
+  count(*) AS n_events FROM log GROUP BY activity""")
+SQL["performance_spectrum"] = with_log("user", """SELECT case_id, activity AS from_activity, na AS to_activity,
+  ts AS start_ts, nt AS end_ts, (epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS duration_s FROM (
+  SELECT *, lead(activity) OVER w AS na, lead(ts) OVER w AS nt FROM log
+  WHERE activity IN ('signup', 'view', 'click', 'purchase') WINDOW w AS (PARTITION BY case_id ORDER BY ts, tie))
+WHERE (activity = 'signup' AND na = 'view') OR (activity = 'view' AND na = 'click') OR (activity = 'click' AND na = 'purchase')""")
+SQL["scatter_case_time"] = f"WITH log AS ({DAY}),\n{_REL}\n" + """SELECT
+  TRY_CAST(regexp_extract(case_id, '(\\d+)', 1) AS BIGINT) AS case_number, rel_s, activity, case_id, tie FROM rel"""

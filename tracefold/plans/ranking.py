@@ -11,6 +11,12 @@ distributed way:
 3. per-partition totals are one row per partition: a window over that
    tiny table gives each partition its offset; it is broadcast (its size is
    the partition count, fixed by configuration) and added back.
+
+Steps 2 and 3 must see the same partition of every row. The range bounds
+come from sampling, and the sample depends on the order rows arrive from
+the previous shuffle, so the partitioned table is materialised once with a
+reliable ``checkpoint()`` (in the session's checkpoint folder) and both
+steps read that.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None,
                     rank_name: str = "rank0", num_partitions: int | None = None) -> DataFrame:
@@ -29,7 +37,9 @@ def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Colu
     """
     sums = sums or {}
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    r = (df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+         .checkpoint(eager=True))
     w = Window.partitionBy("_pid").orderBy(*order)
     wrun = w.rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", (F.row_number().over(w) - 1).alias("_lrank"),
