@@ -326,3 +326,34 @@ QUERIES["performance_spectrum"] = lambda spark, d: H.performance_spectrum(
 def _scatter(spark, d):
     r = B.relative_time(L.day_log(spark, d))
     return B.case_number(r).join(r, "case_id").select("case_number", "rel_s", "activity", "case_id", "tie")
+
+
+# ------------------------------------------------------------------ discovery (I)
+from .operators import discovery as I  # noqa: E402
+
+QUERIES["dfg_frequency"] = lambda spark, d: I.dfg_frequency(L.day_log(spark, d))
+QUERIES["dfg_frequency_ord"] = lambda spark, d: I.dfg_frequency(L.ord_log(spark, d))
+QUERIES["dfg_performance"] = lambda spark, d: I.dfg_performance(L.day_log(spark, d))
+QUERIES["dfg_triples"] = lambda spark, d: I.dfg_triples(L.day_log(spark, d))
+QUERIES["dfg_case_attributes"] = lambda spark, d: I.dfg_case_attribute(_with_category(L.day_log(spark, d)), "category")
+QUERIES["dfg_with_ends"] = lambda spark, d: I.dfg_with_ends(L.day_log(spark, d))
+QUERIES["dfg_clean_noise"] = lambda spark, d: I.dfg_clean_noise(I.dfg_frequency(L.ord_log(spark, d)), 0.05)
+QUERIES["footprint"] = lambda spark, d: I.footprint(L.day_log(spark, d))
+QUERIES["alpha_plus_relations"] = lambda spark, d: I.alpha_plus_relations(L.day_log(spark, d))
+QUERIES["dependency_graph"] = lambda spark, d: I.dependency_graph(L.day_log(spark, d), 0.05, 100, 50, 0.9)
+
+
+@register("and_splits")
+def _and_splits(spark, d):
+    lg = L.day_log(spark, d)
+    return I.and_splits(I.dependency_graph(lg, -1.0, 1, 1, 2.0), I.dfg_frequency(lg), 0.65)
+
+
+QUERIES["parameter_sweep"] = lambda spark, d: I.parameter_sweep(L.day_log(spark, d))
+QUERIES["sweep_bounds"] = lambda spark, d: I.sweep_bounds(L.ord_log(spark, d))
+
+
+@register("model_decoration")
+def _model_decoration(spark, d):
+    lg = L.day_log(spark, d)
+    return I.model_decoration(lg, I.dependency_graph(lg, 0.05, 100, 50, 0.9))

@@ -477,3 +477,92 @@ SQL["performance_spectrum"] = with_log("user", """SELECT case_id, activity AS fr
 WHERE (activity = 'signup' AND na = 'view') OR (activity = 'view' AND na = 'click') OR (activity = 'click' AND na = 'purchase')""")
 SQL["scatter_case_time"] = f"WITH log AS ({DAY}),\n{_REL}\n" + """SELECT
   TRY_CAST(regexp_extract(case_id, '(\\d+)', 1) AS BIGINT) AS case_number, rel_s, activity, case_id, tie FROM rel"""
+
+
+# ------------------------------------------------------------------ discovery (I)
+def steps_cte(log: str) -> str:
+    o = ORDER[log]
+    return f"""steps AS (SELECT *, lead(activity) OVER w AS na, lead(ts) OVER w AS nt, lag(activity) OVER w AS pa,
+  lead(activity, 2) OVER w AS nna FROM log WINDOW w AS (PARTITION BY case_id ORDER BY {o}))"""
+
+
+def _disc(log: str, body: str, src: str | None = None) -> str:
+    return f"WITH log AS ({src or LOGS[log]}),\n{steps_cte(log)},\n" + \
+        "dfg AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2)" + body
+
+
+SQL["dfg_frequency"] = _disc("day", "\nSELECT * FROM dfg")
+SQL["dfg_frequency_ord"] = _disc("ord", "\nSELECT * FROM dfg")
+SQL["dfg_performance"] = _disc("day", """
+SELECT activity AS a, na AS b, count(*) AS n,
+  round(CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s,
+  round(min(epoch_us(nt) - epoch_us(ts)) / 1000000.0, 6) AS min_s,
+  round(max(epoch_us(nt) - epoch_us(ts)) / 1000000.0, 6) AS max_s,
+  round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT) * (epoch_us(nt) - epoch_us(ts))) * count(*)
+        - sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) * sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) AS DOUBLE)
+        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_s
+FROM steps WHERE na IS NOT NULL GROUP BY 1, 2""")
+SQL["dfg_triples"] = _disc("day", "\nSELECT activity AS a, na AS b, nna AS c, count(*) AS n FROM steps WHERE nna IS NOT NULL GROUP BY 1, 2, 3")
+SQL["dfg_case_attributes"] = _disc("day", "\nSELECT category, activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2, 3", _CAT_LOG)
+SQL["dfg_with_ends"] = _disc("day", """
+SELECT a, b, count(*) AS n FROM (
+  SELECT coalesce(pa, '▶') AS a, activity AS b FROM steps
+  UNION ALL SELECT activity, '■' FROM steps WHERE na IS NULL) GROUP BY a, b""")
+SQL["dfg_clean_noise"] = _disc("ord", """,
+node AS (SELECT x, max(n) AS mx FROM (SELECT a AS x, n FROM dfg UNION ALL SELECT b, n FROM dfg) GROUP BY x)
+SELECT dfg.a, dfg.b, dfg.n FROM dfg JOIN node na_ ON na_.x = dfg.a JOIN node nb_ ON nb_.x = dfg.b
+WHERE dfg.n >= 0.05 * least(na_.mx, nb_.mx)""")
+_FP = """,
+acts AS (SELECT DISTINCT activity AS x FROM log),
+fp AS (SELECT p.a, p.b, CASE WHEN coalesce(f.n, 0) > 0 AND coalesce(r.n, 0) > 0 THEN '||'
+                            WHEN coalesce(f.n, 0) > 0 THEN '->' WHEN coalesce(r.n, 0) > 0 THEN '<-' ELSE '#' END AS relation
+  FROM (SELECT a1.x AS a, a2.x AS b FROM acts a1, acts a2) p
+  LEFT JOIN dfg f ON f.a = p.a AND f.b = p.b LEFT JOIN dfg r ON r.a = p.b AND r.b = p.a)"""
+SQL["footprint"] = _disc("day", _FP + "\nSELECT * FROM fp")
+SQL["alpha_plus_relations"] = _disc("day", _FP + """,
+l2 AS (SELECT DISTINCT a, b FROM (SELECT activity AS a, na AS b FROM steps WHERE nna = activity AND na <> activity
+       UNION ALL SELECT na, activity FROM steps WHERE nna = activity AND na <> activity)),
+l1 AS (SELECT DISTINCT a FROM dfg WHERE a = b)
+SELECT fp.a, fp.b, CASE WHEN relation = '||' AND l2.a IS NOT NULL THEN '<->' ELSE relation END AS relation,
+  l1.a IS NOT NULL AS a_loop1, l2.a IS NOT NULL AS loop2
+FROM fp LEFT JOIN l2 ON l2.a = fp.a AND l2.b = fp.b LEFT JOIN l1 ON l1.a = fp.a""")
+
+
+def _dep(dep: float, min_act: int, min_edge: int, loop2: float) -> str:
+    return f""",
+cnt AS (SELECT activity AS x, count(*) AS c FROM log GROUP BY 1),
+tri AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE nna = activity AND na <> activity GROUP BY 1, 2),
+dd AS (SELECT d.a, d.b, d.n, coalesce(r.n, 0) AS nba, coalesce(t1.n, 0) + coalesce(t2.n, 0) AS l2n, ca.c AS ca, cb.c AS cb
+  FROM dfg d LEFT JOIN dfg r ON r.a = d.b AND r.b = d.a LEFT JOIN tri t1 ON t1.a = d.a AND t1.b = d.b
+  LEFT JOIN tri t2 ON t2.a = d.b AND t2.b = d.a JOIN cnt ca ON ca.x = d.a JOIN cnt cb ON cb.x = d.b),
+dg AS (SELECT *, CASE WHEN a = b THEN n / (n + 1) ELSE (n - nba) / (n + nba + 1) END AS dep,
+  l2n / (l2n + 1) AS dep2 FROM dd),
+kept AS (SELECT a, b, n, round(dep, 6) AS dependency, round(dep2, 6) AS loop2_dependency,
+  (l2n > 0 AND dep2 >= {loop2}) AS loop2 FROM dg
+  WHERE n >= {min_edge} AND ca >= {min_act} AND cb >= {min_act} AND (dep >= {dep} OR (l2n > 0 AND dep2 >= {loop2})))"""
+
+
+SQL["dependency_graph"] = _disc("day", _dep(0.05, 100, 50, 0.9) + "\nSELECT * FROM kept")
+SQL["and_splits"] = _disc("day", _dep(-1.0, 1, 1, 2.0) + """
+SELECT x.a, x.b, y.b AS c,
+  round((coalesce(bc.n, 0) + coalesce(cb.n, 0)) / (x.n + y.n + 1), 6) AS and_measure,
+  CASE WHEN (coalesce(bc.n, 0) + coalesce(cb.n, 0)) / (x.n + y.n + 1) >= 0.65 THEN 'AND' ELSE 'XOR' END AS kind
+FROM kept x JOIN kept y ON x.a = y.a AND x.b < y.b
+LEFT JOIN dfg bc ON bc.a = x.b AND bc.b = y.b LEFT JOIN dfg cb ON cb.a = y.b AND cb.b = x.b""")
+SQL["parameter_sweep"] = _disc("day", _dep(-1.0, 0, 0, 2.0) + """,
+g AS (SELECT * FROM (VALUES (0.6, 3, 3), (0.9, 30, 30), (0.9, 300, 300), (0.99, 3000, 3000)) t(dep_t, act_t, edge_t)),
+x AS (SELECT g.*, dg.* FROM g JOIN dg ON dg.dep >= g.dep_t AND dg.n >= g.edge_t AND dg.ca >= g.act_t AND dg.cb >= g.act_t)
+SELECT CAST(dep_t AS DOUBLE) AS dep_t, act_t, edge_t, count(*) AS n_edges,
+  (SELECT count(DISTINCT v) FROM (SELECT a AS v FROM x x2 WHERE x2.dep_t = x.dep_t AND x2.act_t = x.act_t
+     UNION ALL SELECT b FROM x x3 WHERE x3.dep_t = x.dep_t AND x3.act_t = x.act_t)) AS n_activities,
+  CAST(sum(n) AS BIGINT) AS covered_steps
+FROM x GROUP BY dep_t, act_t, edge_t""")
+SQL["sweep_bounds"] = variants_cte("ord") + """SELECT min(n_cases) AS min_count, max(n_cases) AS max_count,
+  (SELECT n_cases FROM (SELECT n_cases, row_number() OVER (ORDER BY n_cases DESC, variant) - 1 AS r FROM vc)
+   WHERE r = floor((SELECT count(*) FROM vc) * 0.1)) AS count_at_10pct FROM vc"""
+SQL["model_decoration"] = _disc("day", _dep(0.05, 100, 50, 0.9) + """
+SELECT k.a, k.b, coalesce(p.n, 0) AS freq, p.mean_s, c.c AS act_freq FROM kept k
+LEFT JOIN (SELECT activity AS a, na AS b, count(*) AS n,
+  round(CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s
+  FROM steps WHERE na IS NOT NULL GROUP BY 1, 2) p ON p.a = k.a AND p.b = k.b
+LEFT JOIN cnt c ON c.x = k.a""")
