@@ -357,3 +357,79 @@ QUERIES["sweep_bounds"] = lambda spark, d: I.sweep_bounds(L.ord_log(spark, d))
 def _model_decoration(spark, d):
     lg = L.day_log(spark, d)
     return I.model_decoration(lg, I.dependency_graph(lg, 0.05, 100, 50, 0.9))
+
+
+# ------------------------------------------------------------------ conformance (J, D6) and evaluation (K, G4)
+from .operators import conformance as J  # noqa: E402
+from .operators import evaluation as K  # noqa: E402
+
+
+def _net(spark):
+    return J.net_tables(spark)
+
+
+def _replay(fn):
+    def q(spark, d):
+        p, a = _net(spark)
+        return fn(L.day_log(spark, d), p, a)
+    return q
+
+
+QUERIES["token_replay"] = _replay(J.token_replay)
+QUERIES["replay_problems"] = _replay(J.replay_problems)
+QUERIES["anomalous_cases"] = _replay(J.anomalous_cases)
+QUERIES["replay_diagnostics"] = _replay(J.replay_diagnostics_transitions)
+QUERIES["replay_diagnostics_places"] = _replay(J.replay_diagnostics_places)
+
+
+def _edges(spark):
+    return spark.createDataFrame(J.FIXED_EDGES, "a string, b string")
+
+
+QUERIES["edge_conformance"] = lambda spark, d: J.edge_conformance(L.day_log(spark, d), _edges(spark))
+
+
+def _moves(spark, d):
+    return J.positional_moves(L.day_log(spark, d))
+
+
+QUERIES["alignment_summary"] = lambda spark, d: J.alignment_summary(J.alignment_costs(_moves(spark, d)))
+QUERIES["anomaly_odds"] = lambda spark, d: J.anomaly_odds(J.alignment_costs(_moves(spark, d)))
+QUERIES["anomaly_classes"] = lambda spark, d: J.anomaly_classes(_moves(spark, d))
+QUERIES["model_move_pairs"] = lambda spark, d: J.model_move_pairs(_moves(spark, d))
+
+
+@register("consensus_sequence")
+def _consensus(spark, d):
+    lg = L.day_log(spark, d)
+    p, a = _net(spark)
+    grp = J.token_replay(lg, p, a).select(
+        "case_id", F.when(F.col("is_fit"), "regular").otherwise("irregular").alias("grp"))
+    return J.consensus_sequence(lg, grp)
+
+
+QUERIES["replay_fitness"] = _replay(K.replay_fitness)
+QUERIES["etc_precision"] = _replay(K.etc_precision)
+QUERIES["generalization"] = lambda spark, d: K.generalization(L.day_log(spark, d), _net(spark)[1])
+
+
+@register("simplicity")
+def _simplicity(spark, d):
+    # the net's arcs restricted to transitions seen in the log, so the work reads the log
+    p, a = _net(spark)
+    seen = L.day_log(spark, d).df.select(F.col("activity")).distinct()
+    return K.simplicity(p, a.join(seen, "activity", "left_semi"))
+
+
+QUERIES["edge_precision"] = lambda spark, d: K.edge_precision(L.day_log(spark, d), _edges(spark))
+QUERIES["model_score"] = lambda spark, d: K.rate_net(L.day_log(spark, d), *_net(spark), "fixed_net")
+
+
+def _rating(spark, d):
+    nets = {"fixed_net": _net(spark),
+            "sequential_net": J.net_tables(spark, J.SEQUENTIAL_NET_PLACES, J.SEQUENTIAL_NET_ARCS)}
+    return K.rating_table(L.day_log(spark, d), nets)
+
+
+QUERIES["rating_table"] = _rating
+QUERIES["rank_models"] = lambda spark, d: _rating(spark, d).select("rank", "model", "score", "score_compat")

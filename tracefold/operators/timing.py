@@ -225,3 +225,15 @@ def temporal_profile(log: EventLog) -> DataFrame:
     std = F.when(F.col("n") > 1, F.sqrt(num / (F.col("n") * (F.col("n") - 1)).cast("double")) / 1e6)
     return p.select("a", "b", F.col("n").cast("long").alias("n_pairs"),
                     r6(mean).alias("mean_s"), r6(std).alias("std_s"))
+
+
+def exact_group_median(df: DataFrame, keys: Sequence[str], col: str, tie: str) -> DataFrame:
+    """Exact median of ``col`` per group, from distributed ranks (no group held in one task)."""
+    keys = list(keys)
+    r = global_rank_sum(df.select(*keys, col, tie),
+                        [*(F.col(k).asc() for k in keys), F.col(col).asc(), F.col(tie).asc()], {}, "_r")
+    g = r.groupBy(*keys).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    j = r.join(g, keys)
+    mid = (F.col("_r") == F.col("_s") + F.floor((F.col("_n") - 1) / 2)) | \
+          (F.col("_r") == F.col("_s") + F.ceil((F.col("_n") - 1) / 2))
+    return j.where(mid).groupBy(*keys).agg(F.avg(col).alias("median"))

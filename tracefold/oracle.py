@@ -566,3 +566,189 @@ LEFT JOIN (SELECT activity AS a, na AS b, count(*) AS n,
   round(CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s
   FROM steps WHERE na IS NOT NULL GROUP BY 1, 2) p ON p.a = k.a AND p.b = k.b
 LEFT JOIN cnt c ON c.x = k.a""")
+
+
+# ------------------------------------------------------------------ conformance (J, D6) and evaluation (K)
+from .operators.conformance import (FIXED_EDGES, FIXED_NET_ARCS, FIXED_NET_PLACES,  # noqa: E402
+                                    REFERENCE_TRACE, SEQUENTIAL_NET_ARCS, SEQUENTIAL_NET_PLACES)
+
+
+def _values(rows, cols: str) -> str:
+    def lit(v):
+        return f"'{v}'" if isinstance(v, str) else str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) t({cols}))"
+
+
+def replay_ctes(places=FIXED_NET_PLACES, arcs=FIXED_NET_ARCS) -> str:
+    return f"""WITH log AS ({DAY}),
+arcs AS {_values(arcs, 'activity, place, phase, delta')},
+places AS {_values(places, 'place, m0, mf')},
+span AS (SELECT case_id, min(ts) AS t0, max(ts) AS t1 FROM log GROUP BY 1),
+rws AS (SELECT l.case_id, l.activity, a.place, a.phase, a.delta, 1 AS o, l.ts, l.tie FROM log l JOIN arcs a ON a.activity = l.activity
+  UNION ALL SELECT s.case_id, NULL, p.place, 1, p.m0, 0, s.t0, NULL FROM span s CROSS JOIN places p WHERE p.m0 > 0
+  UNION ALL SELECT s.case_id, NULL, p.place, 0, -p.mf, 2, s.t1, NULL FROM span s CROSS JOIN places p WHERE p.mf > 0),
+bal AS (SELECT *, sum(delta) OVER (PARTITION BY case_id, place ORDER BY ts, o, tie, phase ROWS UNBOUNDED PRECEDING) AS b,
+               FROM rws),
+bal2 AS (SELECT *, min(b) OVER (PARTITION BY case_id, place ORDER BY ts, o, tie, phase
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_low FROM bal),
+cp AS (SELECT case_id, place, sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS p,
+              sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS c, greatest(0, -min(b)) AS m FROM bal GROUP BY 1, 2),
+cs AS (SELECT case_id, CAST(sum(p) AS BIGINT) AS produced, CAST(sum(c) AS BIGINT) AS consumed,
+              CAST(sum(m) AS BIGINT) AS missing, CAST(sum(p + m - c) AS BIGINT) AS remaining FROM cp GROUP BY 1),
+skp AS (SELECT case_id, count(*) AS skipped FROM log WHERE activity NOT IN (SELECT activity FROM arcs) GROUP BY 1),
+tr AS (SELECT cs.*, 0.5 * (1 - remaining / produced) + 0.5 * (1 - missing / consumed) AS fit_raw,
+              missing = 0 AND remaining = 0 AS is_fit, CAST(coalesce(skipped, 0) AS BIGINT) AS skipped
+       FROM cs LEFT JOIN skp USING (case_id)),
+probs AS (SELECT case_id, coalesce(activity, '(final marking)') AS transition, place, ts, tie,
+                 CAST(least(coalesce(prev_low, 0), 0) - b AS BIGINT) AS missing_tokens
+          FROM bal2 WHERE delta < 0 AND b < least(coalesce(prev_low, 0), 0))
+"""
+
+
+SQL["token_replay"] = replay_ctes() + """SELECT case_id, produced, consumed, missing, remaining,
+  round(fit_raw, 6) AS fitness, is_fit, skipped FROM tr"""
+SQL["replay_problems"] = replay_ctes() + "SELECT * FROM probs"
+SQL["anomalous_cases"] = replay_ctes() + """,
+tags AS (SELECT case_id, 'missing:' || transition || '@' || place AS tag FROM probs
+         UNION SELECT case_id, 'remaining:' || place FROM cp WHERE p + m - c > 0),
+sig AS (SELECT case_id, string_agg(DISTINCT tag, ';' ORDER BY tag) AS signature FROM tags GROUP BY 1)
+SELECT coalesce(signature, '') AS signature, count(*) AS n_cases, CAST(sum(missing) AS BIGINT) AS missing_tokens,
+  CAST(sum(remaining) AS BIGINT) AS remaining_tokens, min(tr.case_id) AS example_case,
+  round(count(*) * 100.0 / (SELECT count(*) FROM tr), 6) AS pct_cases
+FROM tr LEFT JOIN sig USING (case_id) WHERE NOT is_fit GROUP BY 1"""
+SQL["replay_diagnostics_places"] = replay_ctes() + """SELECT place, count(*) FILTER (WHERE m > 0) AS underfed_cases,
+  count(*) FILTER (WHERE p + m - c > 0) AS overfed_cases, CAST(sum(m) AS BIGINT) AS missing_tokens,
+  CAST(sum(p + m - c) AS BIGINT) AS remaining_tokens FROM cp GROUP BY place"""
+SQL["replay_diagnostics"] = replay_ctes() + """,
+x AS (SELECT DISTINCT l.case_id, l.activity AS transition, is_fit, epoch_us(s.t1) - epoch_us(s.t0) AS us
+      FROM log l JOIN tr USING (case_id) JOIN span s USING (case_id))
+SELECT transition, count(*) FILTER (WHERE is_fit) AS fit_cases, count(*) FILTER (WHERE NOT is_fit) AS unfit_cases,
+  round(quantile_cont(us, 0.5) FILTER (WHERE is_fit) / 1000000.0, 6) AS median_fit_s,
+  round(quantile_cont(us, 0.5) FILTER (WHERE NOT is_fit) / 1000000.0, 6) AS median_unfit_s
+FROM x GROUP BY transition"""
+SQL["edge_conformance"] = f"WITH log AS ({DAY}),\n{steps_cte('day')},\nedges AS {_values(FIXED_EDGES, 'a, b')}" + """,
+st AS (SELECT case_id, coalesce(pa, '▶') AS a, activity AS b FROM steps
+       UNION ALL SELECT case_id, activity, '■' FROM steps WHERE na IS NULL)
+SELECT case_id, count(*) AS n_steps, count(e.a) AS n_allowed, count(*) - count(e.a) AS n_deviations,
+  round(count(e.a) / count(*), 6) AS fitness
+FROM st LEFT JOIN edges e USING (a, b) GROUP BY case_id"""
+
+_REF = _values([(i, a) for i, a in enumerate(REFERENCE_TRACE)], "pos, model_act")
+_MOVES = f"""WITH log AS ({DAY}),
+ref AS {_REF},
+ev AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS BIGINT) AS pos,
+              activity AS log_act FROM log),
+mdl AS (SELECT c.case_id, CAST(r.pos AS BIGINT) AS pos, r.model_act FROM (SELECT DISTINCT case_id FROM log) c CROSS JOIN ref r),
+j AS (SELECT coalesce(ev.case_id, mdl.case_id) AS case_id, coalesce(ev.pos, mdl.pos) AS pos, log_act, model_act
+      FROM ev FULL OUTER JOIN mdl ON ev.case_id = mdl.case_id AND ev.pos = mdl.pos),
+moves AS (SELECT case_id, pos, log_act, model_act FROM j WHERE log_act = model_act
+          UNION ALL SELECT case_id, pos, log_act, NULL FROM j WHERE log_act IS NOT NULL AND log_act IS DISTINCT FROM model_act
+          UNION ALL SELECT case_id, pos, NULL, model_act FROM j WHERE model_act IS NOT NULL AND log_act IS DISTINCT FROM model_act),
+costs AS (SELECT case_id, count(*) FILTER (WHERE log_act IS NULL OR model_act IS NULL) AS cost,
+                 count(log_act) AS log_len, count(model_act) AS model_len FROM moves GROUP BY 1),
+costs2 AS (SELECT *, round(1 - cost / (log_len + model_len), 6) AS fitness FROM costs)
+"""
+SQL["alignment_summary"] = _MOVES + """SELECT cost = 0 AS is_fit, count(*) AS n_cases, round(avg(cost), 6) AS mean_cost,
+  min(cost) AS min_cost, max(cost) AS max_cost, min(fitness) AS min_fitness, arg_min(case_id, (fitness, case_id)) AS min_fitness_case,
+  max(fitness) AS max_fitness, arg_max(case_id, (fitness, case_id)) AS max_fitness_case,
+  round(count(*) / (SELECT count(*) FROM costs2), 6) AS share
+FROM costs2 GROUP BY 1"""
+SQL["anomaly_odds"] = _MOVES + """SELECT count(*) FILTER (WHERE cost > 0) AS n_unfit, count(*) FILTER (WHERE cost = 0) AS n_fit,
+  round(count(*) FILTER (WHERE cost > 0) / count(*), 6) AS unfit_share,
+  round(count(*) FILTER (WHERE cost > 0) / nullif(count(*) FILTER (WHERE cost = 0), 0), 6) AS odds_unfit_fit FROM costs2"""
+SQL["model_move_pairs"] = _MOVES + """SELECT l.case_id, l.log_act AS activity, l.pos AS log_pos, m.pos AS model_pos
+FROM (SELECT * FROM moves WHERE model_act IS NULL) l JOIN (SELECT * FROM moves WHERE log_act IS NULL) m
+ON l.case_id = m.case_id AND l.log_act = m.model_act"""
+SQL["anomaly_classes"] = _MOVES + """, lm AS (SELECT case_id, log_act AS activity, pos FROM moves WHERE model_act IS NULL),
+mm AS (SELECT case_id, model_act AS activity, pos FROM moves WHERE log_act IS NULL)
+SELECT DISTINCT * FROM (
+  SELECT lm.case_id, lm.activity, CASE WHEN mm.pos < lm.pos THEN 'Late' ELSE 'Early' END AS class
+  FROM lm JOIN mm ON lm.case_id = mm.case_id AND lm.activity = mm.activity
+  UNION ALL SELECT case_id, activity, 'Skip' FROM mm WHERE NOT EXISTS
+    (SELECT 1 FROM lm WHERE lm.case_id = mm.case_id AND lm.activity = mm.activity)
+  UNION ALL SELECT case_id, activity, 'Insert' FROM lm WHERE NOT EXISTS
+    (SELECT 1 FROM mm WHERE lm.case_id = mm.case_id AND lm.activity = mm.activity))"""
+SQL["consensus_sequence"] = replay_ctes() + """,
+g AS (SELECT case_id, CASE WHEN is_fit THEN 'regular' ELSE 'irregular' END AS grp FROM tr),
+ps AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS BIGINT) AS pos, activity FROM log),
+c AS (SELECT grp, pos, activity, count(*) AS n FROM ps JOIN g USING (case_id) GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY grp, pos ORDER BY n DESC, activity) AS r FROM c)
+SELECT t.grp, pos, activity AS mode, n AS count, round(n / nt, 6) AS share
+FROM t JOIN (SELECT grp, count(*) AS nt FROM g GROUP BY 1) USING (grp) WHERE r = 1"""
+
+_K1 = """SELECT round(count(*) FILTER (WHERE is_fit) * 100.0 / count(*), 6) AS perc_fit_traces,
+  round(avg(fit_raw), 6) AS average_trace_fitness,
+  round(0.5 * (1 - sum(remaining) / sum(produced)) + 0.5 * (1 - sum(missing) / sum(consumed)), 6) AS log_fitness FROM tr"""
+SQL["replay_fitness"] = replay_ctes() + _K1
+
+
+def _etc(places, arcs) -> str:
+    P = [(p, m0) for p, m0, _ in places]
+    T = sorted({a for a, _, _, _ in arcs})
+    inputs = {t: sorted({p for a, p, ph, d in arcs if a == t and d < 0}) for t in T}
+    marks = []
+    for p, m0 in P:
+        cases = " ".join(f"WHEN activity = '{a}' THEN {d}" for a, pl, ph, d in arcs if pl == p)
+        delta = f"(CASE {cases} ELSE 0 END)" if cases else "0"
+        marks.append(f"coalesce(sum({delta}) OVER (PARTITION BY case_id ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING "
+                     f"AND 1 PRECEDING), 0) + {m0} AS \"m_{p}\"")
+    en = {t: " AND ".join(f"\"m_{p}\" >= 1" for p in inputs[t]) or "TRUE" for t in T}
+    ok = " OR ".join(f"(activity = '{t}' AND {en[t]})" for t in T)
+    en_cols = ", ".join(f"({en[t]}) AS \"en_{t}\"" for t in T)
+    esc = " + ".join(f"CAST(bool_or(\"en_{t}\") AND NOT bool_or(activity = '{t}') AS INTEGER)" for t in T)
+    n_en = " + ".join(f"CAST(bool_or(\"en_{t}\") AS INTEGER)" for t in T)
+    return f"""WITH log AS ({DAY}),
+mk AS (SELECT case_id, activity, ts, tie, row_number() OVER (PARTITION BY case_id ORDER BY ts, tie) - 1 AS pos,
+  coalesce(string_agg(activity, ',') OVER (PARTITION BY case_id ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prefix,
+  {', '.join(marks)} FROM log),
+ev AS (SELECT *, CAST(({ok}) AS INTEGER) AS ok, {en_cols} FROM mk),
+fp AS (SELECT *, min(ok) OVER (PARTITION BY case_id ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fit_before FROM ev),
+g AS (SELECT pos, prefix, count(*) AS w, {esc} AS esc, {n_en} AS n_en FROM fp
+      WHERE fit_before IS NULL OR fit_before = 1 GROUP BY pos, prefix)
+"""
+
+
+SQL["etc_precision"] = _etc(FIXED_NET_PLACES, FIXED_NET_ARCS) + \
+    "SELECT round(1 - sum(w * esc) / sum(w * n_en), 6) AS precision FROM g"
+
+
+def _gen(arcs) -> str:
+    return f"""(SELECT round(1 - avg(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE 1 / sqrt(n) END), 6) AS generalization
+FROM (SELECT DISTINCT activity FROM {_values(arcs, 'activity, place, phase, delta')}) t
+LEFT JOIN (SELECT event_type AS activity, count(*) AS n FROM events GROUP BY 1) c USING (activity))"""
+
+
+def _simp(places, arcs) -> str:
+    n_nodes = len({p for p, _, _ in places}) + len({a for a, _, _, _ in arcs})
+    return f"(SELECT round(1 / (1 + greatest(0, 2.0 * {len(arcs)} / {n_nodes} - 2)), 6) AS simplicity)"
+
+
+SQL["generalization"] = "SELECT * FROM " + _gen(FIXED_NET_ARCS)
+SQL["simplicity"] = "SELECT * FROM " + _simp(FIXED_NET_PLACES, FIXED_NET_ARCS)
+SQL["edge_precision"] = f"WITH log AS ({DAY}),\n{steps_cte('day')},\nedges AS {_values(FIXED_EDGES, 'a, b')}" + """,
+dfg AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2),
+seen AS (SELECT e.a, count(*) AS n_allowed, count(d.n) AS n_seen FROM edges e LEFT JOIN dfg d USING (a, b) GROUP BY 1),
+w AS (SELECT a, sum(n) AS w FROM dfg GROUP BY 1)
+SELECT round(sum(w * n_seen / n_allowed) / sum(w), 6) AS edge_precision FROM seen JOIN w USING (a)"""
+
+
+def _score(name: str, places, arcs) -> str:
+    k1 = replay_ctes(places, arcs) + _K1
+    k2 = _etc(places, arcs) + "SELECT round(1 - sum(w * esc) / sum(w * n_en), 6) AS precision FROM g"
+    return f"""(SELECT '{name}' AS model, f.*, p.precision, g.generalization, s.simplicity,
+  round((perc_fit_traces / 100 + average_trace_fitness + log_fitness + perc_fit_traces / 100) / 4
+        + precision + generalization + simplicity, 6) AS score,
+  round(((CASE WHEN perc_fit_traces < 1 THEN perc_fit_traces ELSE perc_fit_traces / 100 END) * 2
+         + (CASE WHEN average_trace_fitness < 1 THEN average_trace_fitness ELSE average_trace_fitness / 100 END)
+         + (CASE WHEN log_fitness < 1 THEN log_fitness ELSE log_fitness / 100 END)) / 4
+        + precision + generalization + simplicity, 6) AS score_compat
+FROM ({k1}) f, ({k2}) p, {_gen(arcs)} g, {_simp(places, arcs)} s)"""
+
+
+SQL["model_score"] = "SELECT * FROM " + _score("fixed_net", FIXED_NET_PLACES, FIXED_NET_ARCS)
+_RT = f"""SELECT *, row_number() OVER (ORDER BY score DESC, model) AS rank FROM (
+  SELECT * FROM {_score('fixed_net', FIXED_NET_PLACES, FIXED_NET_ARCS)}
+  UNION ALL SELECT * FROM {_score('sequential_net', SEQUENTIAL_NET_PLACES, SEQUENTIAL_NET_ARCS)})"""
+SQL["rating_table"] = _RT
+SQL["rank_models"] = f"SELECT rank, model, score, score_compat FROM ({_RT})"
