@@ -433,3 +433,77 @@ def _rating(spark, d):
 
 QUERIES["rating_table"] = _rating
 QUERIES["rank_models"] = lambda spark, d: _rating(spark, d).select("rank", "model", "score", "score_compat")
+
+
+# ------------------------------------------------------------------ sources and sinks (A): write, read back
+from .sources import io as A  # noqa: E402
+
+_DAY_COLS = ["case_id", "activity", "ts", "tie", "resource", "num", "user_id"]
+_CSV_SCHEMA = ("`case:concept:name` string, `concept:name` string, `time:timestamp` timestamp_ntz, "
+               "tie long, `org:resource` string, num double, user_id long")
+
+
+def _xes_named(df):
+    return df.withColumnsRenamed({"case_id": "case:concept:name", "activity": "concept:name",
+                                  "ts": "time:timestamp", "resource": "org:resource"})
+
+
+@register("src_csv_log")
+def _src_csv(spark, d):
+    path = A.scratch_path(spark, "csv")
+    A.write_table(_xes_named(L.day_log(spark, d).df), path, "csv", encoding="ISO-8859-1")
+    return A.read_csv_log(spark, path, schema=_CSV_SCHEMA).select(*_DAY_COLS)
+
+
+@register("src_csv_semicolon")
+def _src_csv_semi(spark, d):
+    path = A.scratch_path(spark, "csv")
+    A.write_table(_xes_named(L.day_log(spark, d).df), path, "csv", sep=";")
+    return A.read_csv_log(spark, path, schema=_CSV_SCHEMA, sep=";").select(*_DAY_COLS)
+
+
+@register("src_parse_timestamps")
+def _src_parse(spark, d):
+    path = A.scratch_path(spark, "csv")
+    A.write_table(L.day_log(spark, d).df, path, "csv")
+    text = A.read_csv_log(spark, path)                      # every column read as text
+    parsed = A.parse_timestamps(text)
+    return parsed.select("case_id", "activity", "ts", F.col("tie").cast("long").alias("tie"))
+
+
+@register("src_cached_table")
+def _src_cached(spark, d):
+    path = A.scratch_path(spark, "parquet")
+    A.write_table(L.day_log(spark, d).df, path)
+    return A.read_table(spark, path)
+
+
+@register("sink_table")
+def _sink_table(spark, d):
+    path = A.scratch_path(spark, "parquet")
+    A.write_table(S.case_profile(L.day_log(spark, d)), path)
+    return A.read_table(spark, path)
+
+
+@register("sink_by_category")
+def _sink_by_category(spark, d):
+    path = A.scratch_path(spark, "bycat")
+    A.write_table(_with_category(L.day_log(spark, d)).df, path, partition_by=["category"])
+    # read one category back: the folder filter is pruned at listing time
+    return A.read_table(spark, path).where(F.col("category") == "Consignment")
+
+
+@register("sink_report")
+def _sink_report(spark, d):
+    path = A.scratch_path(spark, "report")
+    A.write_report(_rating(spark, d).select("rank", "model", "score", "score_compat"), path)
+    return spark.read.schema("rank int, model string, score double, score_compat double").json(path)
+
+
+@register("src_xes")
+def _src_xes(spark, d):
+    lg = L.day_log(spark, d)
+    path = A.scratch_path(spark, "xes")
+    from .operators.prepare import to_cases
+    A.write_xes(to_cases(lg, ["activity", "ts", "resource"]), path)
+    return A.read_xes(spark, path).select("case_id", "activity", "ts", "resource")

@@ -135,35 +135,37 @@ def variants_in(log: EventLog, variants, positive: bool = True) -> EventLog:
     return keep_cases(log, cv, negate=not positive)
 
 
-def _ranked_variants(log: EventLog) -> DataFrame:
-    v = variant_counts(log)
+def _ranked_variants(cv: DataFrame) -> DataFrame:
+    v = cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
     return global_rank_sum(v, [F.col("n_cases").desc(), F.col("variant").asc()],
-                           {"_cum": F.col("n_cases")}, rank_name="rank0")
+                           {"_cum": F.col("n_cases")}, rank_name="rank0", totals=True)
 
 
-def _keep_variants(log: EventLog, kept: DataFrame) -> EventLog:
-    cases = case_variants(log).join(kept.select("variant"), "variant", "left_semi")
-    return keep_cases(log, cases)
+def _keep_variants(log: EventLog, cv: DataFrame, kept: DataFrame) -> EventLog:
+    """Events of the cases whose variant is in ``kept`` (one variant table, built once)."""
+    return keep_cases(log, cv.join(kept.select("variant"), "variant", "left_semi"))
 
 
 def variants_percentage(log: EventLog, pct: float) -> EventLog:
     """Most frequent variants while the cumulative share <= pct (rank 1 always)."""
-    r = _ranked_variants(log)
-    total = r.select(F.sum("n_cases")).scalar()
-    kept = r.where((F.col("rank0") == 0) | (F.col("_cum") <= F.lit(pct) * total))
-    return _keep_variants(log, kept)
+    cv = case_variants(log)
+    r = _ranked_variants(cv)
+    kept = r.where((F.col("rank0") == 0) | (F.col("_cum") <= F.lit(pct) * F.col("_cum_total")))
+    return _keep_variants(log, cv, kept)
 
 
 def variants_top_k(log: EventLog, k: int) -> EventLog:
     """C11: cases of the k most frequent variants."""
-    return _keep_variants(log, _ranked_variants(log).where(F.col("rank0") < k))
+    cv = case_variants(log)
+    return _keep_variants(log, cv, _ranked_variants(cv).where(F.col("rank0") < k))
 
 
 def variants_coverage(log: EventLog, min_share: float) -> EventLog:
     """Variants covering at least ``min_share`` of the cases."""
-    v = variant_counts(log)
-    total = v.select(F.sum("n_cases")).scalar()
-    return _keep_variants(log, v.where(F.col("n_cases") >= F.lit(min_share) * total))
+    cv = case_variants(log)
+    v = cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
+    total = cv.select(F.count(F.lit(1))).scalar()
+    return _keep_variants(log, cv, v.where(F.col("n_cases") >= F.lit(min_share) * total))
 
 
 def variant_text(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
@@ -173,9 +175,10 @@ def variant_text(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
     behaviour, a case passes when any of its activity names occurs as a
     substring of that variant's text.
     """
-    r = _ranked_variants(log).where(F.col("rank0") == row).select(F.col("variant").alias("_v"))
+    cv = case_variants(log)
+    r = _ranked_variants(cv).where(F.col("rank0") == row).select(F.col("variant").alias("_v"))
     if match == "exact":
-        return _keep_variants(log, r.withColumnRenamed("_v", "variant"))
+        return _keep_variants(log, cv, r.withColumnRenamed("_v", "variant"))
     target = r.select(F.col("_v").alias("variant")).scalar()
     ids = log.df.where(F.contains(target, F.col(log.activity))).select(log.case).distinct()
     return keep_cases(log, ids)

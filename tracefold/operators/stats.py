@@ -29,6 +29,11 @@ def variant_stats(log: EventLog) -> DataFrame:
 
 
 def variant_pareto(log: EventLog) -> DataFrame:
+    """E1 plus log2 frequency, percentage and cumulative percentage."""
+    return _pareto(log).drop("n_total")
+
+
+def _pareto(log: EventLog) -> DataFrame:
     """E1 plus log2 frequency, percentage and cumulative percentage.
 
     Rank order: count desc, variant asc. Percentages are relative to the
@@ -36,23 +41,22 @@ def variant_pareto(log: EventLog) -> DataFrame:
     running count, then divided.
     """
     v = variant_counts(log)
-    total = v.select(F.sum("n_cases")).scalar()
     ranked = global_rank_sum(v, [F.col("n_cases").desc(), F.col("variant").asc()],
-                             {"_cum": F.col("n_cases")}, rank_name="rank0")
+                             {"_cum": F.col("n_cases")}, rank_name="rank0", totals=True)
+    total = F.col("_cum_total")
     return ranked.select(
         "variant", "n_cases", "rank0",
         r6(F.log2(F.col("n_cases").cast("double"))).alias("frequency"),
         r6(F.col("n_cases") * 100.0 / total).alias("percentage"),
-        r6(F.col("_cum") * 100.0 / total).alias("cum_percentage"))
+        r6(F.col("_cum") * 100.0 / total).alias("cum_percentage"), "n_total")
 
 
 def pareto_check(log: EventLog, share: float = 0.2, threshold: float = 80.0) -> DataFrame:
     """Cumulative percentage at 0-based rank floor(share * n_variants) > threshold."""
-    p = variant_pareto(log)
-    n_var = p.select(F.count(F.lit(1))).scalar()
-    idx = F.floor(n_var * F.lit(share)).cast("long")
+    p = _pareto(log)
+    idx = F.floor(F.col("n_total") * F.lit(share)).cast("long")
     return (p.where(F.col("rank0") == idx)
-            .select(n_var.cast("long").alias("n_variants"), F.col("rank0").alias("pareto_rank"),
+            .select(F.col("n_total").cast("long").alias("n_variants"), F.col("rank0").alias("pareto_rank"),
                     F.col("cum_percentage"),
                     (F.col("cum_percentage") > F.lit(threshold)).alias("is_pareto")))
 
@@ -208,8 +212,9 @@ def filter_effect(log: EventLog, area: str, dup_id: str, d1, d2) -> DataFrame:
 
 def cumulative_percentage(counts: DataFrame, label: str, n: str) -> DataFrame:
     """percentage and running percentage in (n desc, label asc) order."""
-    total = counts.select(F.sum(n)).scalar()
-    r = global_rank_sum(counts, [F.col(n).desc(), F.col(label).asc()], {"_cum": F.col(n)}, "rank0")
+    r = global_rank_sum(counts, [F.col(n).desc(), F.col(label).asc()], {"_cum": F.col(n)}, "rank0",
+                        totals=True)
+    total = F.col("_cum_total")
     return r.select(label, n, "rank0", r6(F.col(n) * 100.0 / total).alias("percentage"),
                     r6(F.col("_cum") * 100.0 / total).alias("cum_percentage"))
 

@@ -752,3 +752,14 @@ _RT = f"""SELECT *, row_number() OVER (ORDER BY score DESC, model) AS rank FROM
   UNION ALL SELECT * FROM {_score('sequential_net', SEQUENTIAL_NET_PLACES, SEQUENTIAL_NET_ARCS)})"""
 SQL["rating_table"] = _RT
 SQL["rank_models"] = f"SELECT rank, model, score, score_compat FROM ({_RT})"
+
+
+# ------------------------------------------------------------------ sources and sinks: the source table is the oracle
+SQL["src_csv_log"] = with_log("day", "SELECT * FROM log")
+SQL["src_csv_semicolon"] = with_log("day", "SELECT * FROM log")
+SQL["src_parse_timestamps"] = with_log("day", "SELECT case_id, activity, ts, tie FROM log")
+SQL["src_cached_table"] = with_log("day", "SELECT * FROM log")
+SQL["sink_table"] = SQL["case_profile"]
+SQL["sink_by_category"] = f"WITH log AS ({_CAT_LOG}) SELECT * FROM log WHERE category = 'Consignment'"
+SQL["sink_report"] = SQL["rank_models"]
+SQL["src_xes"] = with_log("day", "SELECT case_id, activity, ts, resource FROM log")

@@ -46,17 +46,17 @@ def case_variants(log: EventLog, sep: str = VARIANT_SEP, name: str = "variant",
     """(case_id, variant, variant_len): the case's activities joined by ``sep``."""
     df, cut = with_chunks(log)
     keys = [log.case, "_chunk"] if cut else [log.case]
-    ordered = F.array_sort(F.collect_list(
+    ordered = F.sort_array(F.collect_list(
         F.struct(*[F.col(c) for c in log.order_cols], F.col(value or log.activity).alias("_a"))))
     per = df.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["_a"]), sep).alias("_txt"),
+        F.array_join(ordered["_a"], sep).alias("_txt"),
         F.count(F.lit(1)).alias("_len"))
     if not cut:
         return per.select(log.case, F.col("_txt").alias(name),
                           F.col("_len").alias(f"{name}_len"))
-    texts = F.array_sort(F.collect_list(F.struct("_chunk", "_txt")))
+    texts = F.sort_array(F.collect_list(F.struct("_chunk", "_txt")))
     return per.groupBy(log.case).agg(
-        F.array_join(F.transform(texts, lambda x: x["_txt"]), sep).alias(name),
+        F.array_join(texts["_txt"], sep).alias(name),
         F.sum("_len").alias(f"{name}_len"))
 
 
@@ -70,11 +70,10 @@ def case_arrays(log: EventLog, cols) -> DataFrame:
     keys = [log.case, "_chunk"] if cut else [log.case]
     st = F.struct(*[F.col(c) for c in log.order_cols],
                   *[F.col(c).alias(f"v_{c}") for c in cols])
-    per = df.groupBy(*keys).agg(F.array_sort(F.collect_list(st)).alias("_arr"))
+    per = df.groupBy(*keys).agg(F.sort_array(F.collect_list(st)).alias("_arr"))
     if cut:
         per = per.groupBy(log.case).agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_arr"))),
-                                  lambda x: x["_arr"])).alias("_arr"))
+            F.flatten(F.sort_array(F.collect_list(F.struct("_chunk", "_arr")))["_arr"]).alias("_arr"))
     proj = F.transform("_arr", lambda x: F.struct(*[x[f"v_{c}"].alias(c) for c in cols]))
     return per.select(log.case, proj.alias("events"))
 

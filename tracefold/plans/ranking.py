@@ -30,10 +30,14 @@ from ..session import ensure_checkpoint_dir
 
 
 def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None,
-                    rank_name: str = "rank0", num_partitions: int | None = None) -> DataFrame:
+                    rank_name: str = "rank0", num_partitions: int | None = None,
+                    totals: bool = False) -> DataFrame:
     """Adds 0-based ``rank_name`` in ``order`` and inclusive running sums.
 
     ``order`` must be total (ties broken) for the rank to be deterministic.
+    ``totals=True`` also adds ``n_total`` (row count) and ``<sum>_total``
+    (grand totals), read from the per-partition table instead of a second
+    pass over the input.
     """
     sums = sums or {}
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -47,9 +51,13 @@ def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Colu
     tot = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"),
                                 *[F.sum(e).alias(f"_ps_{k}") for k, e in sums.items()])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     off = tot.select("_pid", F.coalesce(F.sum("_pc").over(wp), F.lit(0)).alias("_pco"),
                      *[F.coalesce(F.sum(f"_ps_{k}").over(wp), F.lit(0)).alias(f"_pso_{k}")
-                       for k in sums])
+                       for k in sums],
+                     F.sum("_pc").over(wall).alias("n_total"),
+                     *[F.sum(f"_ps_{k}").over(wall).alias(f"{k}_total") for k in sums])
     j = local.join(F.broadcast(off), "_pid")
+    extra = (["n_total"] + [f"{k}_total" for k in sums]) if totals else []
     return j.select(*df.columns, (F.col("_lrank") + F.col("_pco")).cast("long").alias(rank_name),
-                    *[(F.col(f"_ls_{k}") + F.col(f"_pso_{k}")).alias(k) for k in sums])
+                    *[(F.col(f"_ls_{k}") + F.col(f"_pso_{k}")).alias(k) for k in sums], *extra)
