@@ -507,3 +507,9 @@ def _src_xes(spark, d):
     from .operators.prepare import to_cases
     A.write_xes(to_cases(lg, ["activity", "ts", "resource"]), path)
     return A.read_xes(spark, path).select("case_id", "activity", "ts", "resource")
+QUERIES["nearest_trace_alignment"] = lambda spark, d: J.nearest_trace_alignment(L.day_log(spark, d))
+QUERIES["alignment_moves"] = lambda spark, d: J.alignment_moves(L.day_log(spark, d))
+QUERIES["alpha_places"] = lambda spark, d: I.alpha_places(L.conv_log(spark, d))
+QUERIES["activity_cut"] = lambda spark, d: I.activity_cut(L.day_log(spark, d))
+QUERIES["log_split_by_cut"] = lambda spark, d: I.log_split_by_cut(
+    L.day_log(spark, d), I.activity_cut(L.day_log(spark, d)))

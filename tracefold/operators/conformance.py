@@ -283,3 +283,111 @@ def consensus_sequence(log: EventLog, groups: DataFrame | None = None) -> DataFr
     top = c.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return top.join(n, "grp").select("grp", "pos", F.col("activity").alias("mode"), F.col("n").alias("count"),
                                      r6(F.col("n") / F.col("n_traces")).alias("share"))
+
+
+# ------------------------------------------------------------------ alignments to model traces
+
+# The language of the fixed net (its complete firing sequences).
+FIXED_NET_TRACES = [["signup", "error"], ["signup", "view", "click", "purchase"],
+                    ["signup", "click", "view", "purchase"]]
+
+
+def _lcs_rows(v: Column, m: Column) -> Column:
+    """All rows of the LCS table of arrays v and m (row i = prefix of v of length i)."""
+    k = F.size(m)
+    first = F.array_repeat(F.lit(0), k + 1)
+
+    def step(rows, x):
+        prev = F.element_at(rows, -1)
+        new = F.aggregate(F.sequence(F.lit(1), k), F.array(F.lit(0)), lambda cur, j: F.concat(
+            cur, F.array(F.when(x == F.element_at(m, j), F.element_at(prev, j) + 1)
+                         .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))))))
+        return F.concat(rows, F.array(new))
+    return F.aggregate(v, F.array(first), step)
+
+
+def _lcs(v: Column, m: Column) -> Column:
+    """Length of the longest common subsequence, one DP row kept at a time."""
+    k = F.size(m)
+
+    def step(prev, x):
+        return F.aggregate(F.sequence(F.lit(1), k), F.array(F.lit(0)), lambda cur, j: F.concat(
+            cur, F.array(F.when(x == F.element_at(m, j), F.element_at(prev, j) + 1)
+                         .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))))))
+    return F.element_at(F.aggregate(v, F.array_repeat(F.lit(0), k + 1), step), -1)
+
+
+def _model_array(traces: Sequence[Sequence[str]]) -> Column:
+    return F.array(*[F.array(*[F.lit(a) for a in t]) for t in traces])
+
+
+def variant_arrays(log: EventLog) -> DataFrame:
+    """Distinct activity sequences (ARRAY<STRING>) with their number of cases."""
+    from ..plans.cases import case_arrays
+    c = case_arrays(log, [log.activity]).select(log.case, F.col("events")[log.activity].alias("trace"))
+    return c.groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+def nearest_trace_alignment(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
+    """Optimal alignment cost of each distinct variant against the nearest model trace.
+
+    Without silent transitions a log or model move costs 1 and a
+    synchronous move 0, so cost = |v| + |m| - 2 LCS(v, m); the worst case
+    is |v| + the shortest model trace (S17). Work is per distinct variant;
+    the model (bounded) is a literal array, not a join.
+    """
+    v = variant_arrays(log)
+    models = _model_array(traces)
+    min_len = min(len(t) for t in traces)
+    scored = F.transform(models, lambda m: F.struct(
+        (F.size("trace") + F.size(m) - 2 * _lcs(F.col("trace"), m)).alias("cost"),
+        F.array_join(m, ",").alias("model_trace")))
+    best = F.array_min(scored)
+    return v.select(F.array_join("trace", ",").alias("variant"), "n_cases", best["cost"].alias("cost"),
+                    best["model_trace"].alias("model_trace"),
+                    r6(1 - best["cost"] / (F.size("trace") + F.lit(min_len))).alias("fitness"))
+
+
+def alignment_moves(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
+    """The move list of J6's optimal alignment, one row per move.
+
+    The DP table is built per (variant, nearest trace) and walked back
+    from the end: synchronous move first, then log move, then model move.
+    Rows: (variant, n_cases, pos, log_act, model_act), NULL for '>>'.
+    """
+    nt = nearest_trace_alignment(log, traces).select("variant", "n_cases", "model_trace")
+    v = variant_arrays(log).select(F.array_join("trace", ",").alias("variant"), "trace")
+    j = nt.join(v, "variant").withColumn("m", F.split("model_trace", ","))
+    rows = _lcs_rows(F.col("trace"), F.col("m"))
+    n, k = F.size("trace"), F.size("m")
+
+    def cell(i, jj):
+        return F.element_at(F.element_at(F.col("_rows"), i + 1), jj + 1)
+
+    def back(st, _):
+        i, jj = st["i"], st["j"]
+        sync = (i > 0) & (jj > 0) & (F.element_at(F.col("trace"), F.greatest(i, F.lit(1)))
+                                     == F.element_at(F.col("m"), F.greatest(jj, F.lit(1)))) \
+            & (cell(i, jj) == cell(F.greatest(i - 1, F.lit(0)), F.greatest(jj - 1, F.lit(0))) + 1)
+        logm = (i > 0) & (cell(F.greatest(i - 1, F.lit(0)), jj) == cell(i, jj))
+        done = (i == 0) & (jj == 0)
+        mv_sync = F.struct(F.element_at(F.col("trace"), F.greatest(i, F.lit(1))).alias("l"),
+                           F.element_at(F.col("m"), F.greatest(jj, F.lit(1))).alias("m"))
+        mv_log = F.struct(F.element_at(F.col("trace"), F.greatest(i, F.lit(1))).alias("l"),
+                          F.lit(None).cast("string").alias("m"))
+        mv_model = F.struct(F.lit(None).cast("string").alias("l"),
+                            F.element_at(F.col("m"), F.greatest(jj, F.lit(1))).alias("m"))
+        return (F.when(done, st)
+                .when(sync, F.struct((i - 1).alias("i"), (jj - 1).alias("j"),
+                                     F.concat(F.array(mv_sync), st["mv"]).alias("mv")))
+                .when(logm, F.struct((i - 1).alias("i"), jj.alias("j"),
+                                     F.concat(F.array(mv_log), st["mv"]).alias("mv")))
+                .otherwise(F.struct(i.alias("i"), (jj - 1).alias("j"),
+                                    F.concat(F.array(mv_model), st["mv"]).alias("mv"))))
+    empty = F.array().cast("array<struct<l:string,m:string>>")
+    init = F.struct(n.alias("i"), k.alias("j"), empty.alias("mv"))
+    walk = F.aggregate(F.sequence(F.lit(1), n + k), init, back)
+    out = j.withColumn("_rows", rows).select("variant", "n_cases", walk["mv"].alias("mv"))
+    return out.select("variant", "n_cases", F.posexplode("mv").alias("pos", "_m")).select(
+        "variant", "n_cases", F.col("pos").cast("long").alias("pos"),
+        F.col("_m")["l"].alias("log_act"), F.col("_m")["m"].alias("model_act"))

@@ -17,7 +17,7 @@ from ..functions.columns import exact_mean_std, r6, us_between
 from ..log import END_SYMBOL, START_SYMBOL, EventLog
 from ..plans.cases import variant_counts
 from ..plans.ranking import global_rank_sum
-from ..plans.sequence import sequenced
+from ..plans.sequence import running, sequenced
 
 
 def _steps(log: EventLog, extra: Sequence[str] = ()) -> DataFrame:
@@ -201,3 +201,227 @@ def model_decoration(log: EventLog, edges: DataFrame) -> DataFrame:
     counts = log.df.groupBy(F.col(log.activity).alias("a")).agg(F.count(F.lit(1)).alias("act_freq"))
     return (edges.select("a", "b").join(perf, ["a", "b"], "left").join(counts, "a", "left")
             .select("a", "b", F.coalesce("freq", F.lit(0)).alias("freq"), "mean_s", "act_freq"))
+
+
+# ------------------------------------------------------------------ iterative model construction
+# These run on alphabet-sized tables (footprint, DFG). Each round is a small
+# Spark job; its result is checkpointed (reliable, in the session's
+# checkpoint folder) so the lineage of the driver loop stays short.
+
+_SEP = "\x1f"
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _rel_lookup(fp: DataFrame):
+    """A literal map 'a<sep>b' -> relation built from the footprint (alphabet squared entries)."""
+    rows = fp.collect()
+    acts = sorted({r["a"] for r in rows})
+    kv = []
+    for r in rows:
+        kv += [F.lit(r["a"] + _SEP + r["b"]), F.lit(r["relation"])]
+    rel = F.create_map(*kv)
+    return acts, (lambda x, y: F.element_at(rel, F.concat(x, F.lit(_SEP), y)))
+
+
+def alpha_places(log: EventLog) -> DataFrame:
+    """Places of the alpha algorithm: maximal (A, B) with A -> B causal, A and B choice-free.
+
+    Valid pairs are closed under taking subsets, so they grow level by
+    level from single causal pairs (adding larger names only, distinct per
+    level); a pair is maximal when no single activity can be added to
+    either side. Plus the start place (-> first activities) and end place.
+    """
+    fp = footprint(log)
+    acts, R = _rel_lookup(fp)
+    alph = F.array(*[F.lit(a) for a in acts])
+    spark = log.spark
+
+    def ok_a(A, B, x):
+        return ((R(x, x) == "#") & F.forall(A, lambda a: R(x, a) == "#")
+                & F.forall(B, lambda b: R(x, b) == "->"))
+
+    def ok_b(A, B, y):
+        return ((R(y, y) == "#") & F.forall(B, lambda b: R(y, b) == "#")
+                & F.forall(A, lambda a: R(a, y) == "->"))
+
+    seeds = fp.where((F.col("relation") == "->") & (R(F.col("a"), F.col("a")) == "#")
+                     & (R(F.col("b"), F.col("b")) == "#")) \
+        .select(F.array("a").alias("A"), F.array("b").alias("B"))
+    level = _checkpoint(seeds.distinct())
+    found = level
+    for _ in range(2 * len(acts)):
+        ea = level.select("A", "B", F.explode(alph).alias("x")) \
+            .where((F.col("x") > F.array_max("A")) & ok_a(F.col("A"), F.col("B"), F.col("x"))) \
+            .select(F.array_sort(F.array_union("A", F.array("x"))).alias("A"), "B")
+        eb = level.select("A", "B", F.explode(alph).alias("y")) \
+            .where((F.col("y") > F.array_max("B")) & ok_b(F.col("A"), F.col("B"), F.col("y"))) \
+            .select("A", F.array_sort(F.array_union("B", F.array("y"))).alias("B"))
+        level = _checkpoint(ea.unionByName(eb).distinct())
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    maximal = found.where(
+        ~F.exists(alph, lambda x: ~F.array_contains("A", x) & ok_a(F.col("A"), F.col("B"), x))
+        & ~F.exists(alph, lambda y: ~F.array_contains("B", y) & ok_b(F.col("A"), F.col("B"), y)))
+    places = maximal.select(F.array_join("A", ",").alias("inputs"), F.array_join("B", ",").alias("outputs"))
+    from ..plans.cases import case_table
+    ct = case_table(log)
+    start = ct.agg(F.array_join(F.array_sort(F.collect_set("first_activity")), ",").alias("outputs")) \
+        .select(F.lit("").alias("inputs"), "outputs")
+    end = ct.agg(F.array_join(F.array_sort(F.collect_set("last_activity")), ",").alias("inputs")) \
+        .select("inputs", F.lit("").alias("outputs"))
+    out = places.unionByName(start).unionByName(end)
+    return out.select(F.concat(F.lit("p("), "inputs", F.lit("|"), "outputs", F.lit(")")).alias("place"),
+                      "inputs", "outputs")
+
+
+def _closure(edges: DataFrame) -> DataFrame:
+    """Transitive closure (a reaches b in >= 1 step) by squaring until stable."""
+    r = _checkpoint(edges.select("a", "b").distinct())
+    n = r.count()
+    while True:
+        step = r.alias("x").join(r.alias("y"), F.col("x.b") == F.col("y.a")) \
+            .select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        nxt = _checkpoint(r.unionByName(step).distinct())
+        m = nxt.count()
+        if m == n:
+            return nxt
+        r, n = nxt, m
+
+
+def _components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, grp): connected components of an undirected graph; label = smallest member."""
+    und = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    selfs = nodes.select(F.col("x").alias("a"), F.col("x").alias("b"))
+    c = _closure(und.unionByName(selfs))
+    return c.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("grp"))
+
+
+def activity_cut(log: EventLog, noise: float = 0.0) -> DataFrame:
+    """Inductive-miner cut of the activity set from the DFG (IMd style).
+
+    Tried in order: exclusive (components of the undirected DFG),
+    sequence (groups of activities that reach each other both ways or not
+    at all, totally ordered by reachability), parallel (components of
+    "not connected both ways", every group with a start and an end
+    activity), loop (do part = what start activities reach without the
+    end -> start edges; the rest is the redo part). ``noise`` > 0 first drops
+    edges below noise x the largest out-edge of their source (IMf).
+    Rows: (activity, cut, grp, grp_order); cut 'none' when no cut is found.
+    """
+    d = dfg_frequency(log)
+    if noise > 0:
+        mo = d.groupBy("a").agg(F.max("n").alias("_mo"))
+        d = d.join(mo, "a").where(F.col("n") >= F.lit(noise) * F.col("_mo")).drop("_mo")
+    d = _checkpoint(d)
+    nodes = _checkpoint(log.df.select(F.col(log.activity).alias("x")).distinct())
+    n_nodes = nodes.count()
+    from ..plans.cases import case_table
+    ct = case_table(log)
+    starts = ct.select(F.col("first_activity").alias("x")).distinct()
+    ends = ct.select(F.col("last_activity").alias("x")).distinct()
+
+    def result(groups: DataFrame, cut: str, order: DataFrame | None = None) -> DataFrame:
+        g = groups.withColumn("cut", F.lit(cut))
+        if order is None:
+            g = g.withColumn("grp_order", F.dense_rank().over(Window.orderBy("grp")) - 1)
+        else:
+            g = g.join(order, "grp")
+        return g.select(F.col("x").alias("activity"), "cut", "grp", F.col("grp_order").cast("int"))
+
+    xor = _components(nodes, d.where(F.col("a") != F.col("b")))
+    if xor.select("grp").distinct().count() > 1:
+        return result(xor, "xor")
+
+    reach = _closure(d)
+    rr = reach.select("a", "b", F.lit(True).alias("f"))
+    rv = reach.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("r"))
+    alph = nodes.agg(F.collect_set("x").alias("acts"))
+    allp = alph.select(F.explode("acts").alias("a"), "acts").select("a", F.explode("acts").alias("b")) \
+        .where(F.col("a") < F.col("b"))
+    pr = allp.join(rr, ["a", "b"], "left").join(rv, ["a", "b"], "left")
+    same = pr.where(F.col("f").isNull() == F.col("r").isNull())
+    seq = _checkpoint(_components(nodes, same))
+    if seq.select("grp").distinct().count() > 1:
+        ga = seq.withColumnRenamed("x", "a").withColumnRenamed("grp", "ga")
+        gb = seq.withColumnRenamed("x", "b").withColumnRenamed("grp", "gb")
+        cross = pr.join(ga, "a").join(gb, "b").where(F.col("ga") != F.col("gb"))
+        bad = cross.where(F.col("f").isNull() == F.col("r").isNull()).limit(1).count()
+        if not bad:
+            # order: groups reached by fewer groups come first
+            before = cross.select(F.when(F.col("f").isNotNull(), F.col("ga")).otherwise(F.col("gb")).alias("g_from"),
+                                  F.when(F.col("f").isNotNull(), F.col("gb")).otherwise(F.col("ga")).alias("grp")) \
+                .distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("grp_order"))
+            order = seq.select("grp").distinct().join(before, "grp", "left") \
+                .select("grp", F.coalesce("grp_order", F.lit(0)).alias("grp_order"))
+            return result(seq, "sequence", order)
+
+    fwd = d.select("a", "b", F.lit(True).alias("f"))
+    bwd = d.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("r"))
+    not_both = allp.join(fwd, ["a", "b"], "left").join(bwd, ["a", "b"], "left") \
+        .where(F.col("f").isNull() | F.col("r").isNull())
+    par = _checkpoint(_components(nodes, not_both))
+    n_groups = par.select("grp").distinct().count()
+    if n_groups > 1:
+        has = par.join(starts.withColumn("s", F.lit(1)), "x", "left").join(ends.withColumn("e", F.lit(1)), "x", "left") \
+            .groupBy("grp").agg(F.max("s").alias("s"), F.max("e").alias("e"))
+        if has.where(F.col("s").isNull() | F.col("e").isNull()).limit(1).count() == 0:
+            return result(par, "parallel")
+
+    core = starts.unionByName(ends).distinct()
+    rest = nodes.join(core, "x", "left_anti")
+    if rest.limit(1).count() > 0:
+        rest_edges = d.join(rest.select(F.col("x").alias("a")), "a", "left_semi") \
+            .join(rest.select(F.col("x").alias("b")), "b", "left_semi").where(F.col("a") != F.col("b"))
+        comp = _checkpoint(_components(rest, rest_edges))
+        ca = comp.select(F.col("x").alias("a"), F.col("grp").alias("ga"))
+        cb = comp.select(F.col("x").alias("b"), F.col("grp").alias("gb"))
+        e = d.join(ca, "a", "left").join(cb, "b", "left")
+        into = e.where(F.col("gb").isNotNull() & (F.col("ga").isNull() | (F.col("ga") != F.col("gb")))) \
+            .join(ends.withColumnRenamed("x", "a").withColumn("_end", F.lit(True)), "a", "left") \
+            .where(F.col("_end").isNull()).select(F.col("gb").alias("grp"))
+        out_ = e.where(F.col("ga").isNotNull() & (F.col("gb").isNull() | (F.col("ga") != F.col("gb")))) \
+            .join(starts.withColumnRenamed("x", "b").withColumn("_st", F.lit(True)), "b", "left") \
+            .where(F.col("_st").isNull()).select(F.col("ga").alias("grp"))
+        bad = into.unionByName(out_).distinct()
+        redo = comp.join(bad, "grp", "left_anti")
+        if redo.limit(1).count() > 0:
+            loop = nodes.join(redo.select("x", F.lit("redo").alias("grp")), "x", "left") \
+                .select("x", F.coalesce("grp", F.lit("do")).alias("grp"))
+            order = loop.select("grp").distinct().select(
+                "grp", F.when(F.col("grp") == "do", 0).otherwise(1).alias("grp_order"))
+            return result(loop, "loop", order)
+    if n_nodes == 1:
+        return result(nodes.withColumn("grp", F.col("x")), "activity")
+    return result(nodes.withColumn("grp", F.lit("all")), "none")
+
+
+def log_split_by_cut(log: EventLog, cut: DataFrame) -> DataFrame:
+    """Project the log on a cut (one level of the inductive recursion).
+
+    xor: every case goes to the group holding most of its events (ties:
+    smallest group name); sequence / parallel: each event goes to its
+    activity's group, the sub-case is (case, group); loop: the case is cut
+    into pieces at every switch between do and redo part. Rows: events with
+    ``grp`` and ``sub_case``. The cut table is alphabet-sized (broadcast).
+    """
+    c = F.broadcast(cut.select(F.col("activity").alias(log.activity), "cut", "grp"))
+    ev = log.df.join(c, log.activity)
+    kind = cut.select(F.first("cut")).collect()[0][0]
+    if kind == "xor":
+        per = ev.groupBy(log.case, "grp").agg(F.count(F.lit(1)).alias("_n"))
+        best = per.groupBy(log.case).agg(F.min_by("grp", F.struct(-F.col("_n"), F.col("grp"))).alias("_g"))
+        out = ev.join(best, log.case).where(F.col("grp") == F.col("_g")).drop("_g")
+        return out.withColumn("sub_case", F.concat_ws("#", log.case, "grp"))
+    if kind == "loop":
+        s = sequenced(log.with_df(ev), carry=("grp",))
+        chg = (F.col("prev_grp").isNull() | (F.col("prev_grp") != F.col("grp"))).cast("long")
+        r = running(log.with_df(s.select(*ev.columns, chg.alias("_chg"))), None, [log.case],
+                    {"_piece": ("sum", F.col("_chg"))})
+        return r.withColumn("sub_case", F.concat_ws("#", log.case, F.col("_piece").cast("string"))).drop("_chg", "_piece")
+    return ev.withColumn("sub_case", F.concat_ws("#", log.case, "grp"))
