@@ -151,4 +151,4 @@ def rating_table(log: EventLog, nets: dict[str, tuple[DataFrame, DataFrame]]) ->
         r = rate_net(log, p, a, name)
         rows = r if rows is None else rows.unionByName(r)
     w = Window.orderBy(F.col("score").desc(), F.col("model").asc())   # one row per model
-    return rows.withColumn("rank", F.row_number().over(w))
+    return rows.withColumn("rank", F.row_number().over(w).cast("long"))

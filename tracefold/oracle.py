@@ -342,7 +342,7 @@ SQL["pie_others"] = with_log("day", """, sz AS (SELECT case_size, count(*) AS n_
 t AS (SELECT sum(n_cases) AS total FROM sz)
 SELECT CAST(case_size AS VARCHAR) AS label, n_cases AS value FROM sz, t WHERE n_cases >= 0.05 * total
 UNION ALL
-SELECT 'others', coalesce(sum(n_cases) FILTER (WHERE n_cases < 0.05 * total), 0) FROM sz, t""")
+SELECT 'others', CAST(coalesce(sum(n_cases) FILTER (WHERE n_cases < 0.05 * total), 0) AS BIGINT) FROM sz, t""")
 SQL["category_ratio"] = f"WITH log AS ({_CAT_LOG})\n" + """SELECT category, count(*) AS n_cases,
   round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percentage
 FROM (SELECT case_id, min(category) AS category FROM log GROUP BY 1) GROUP BY category"""
@@ -747,7 +747,7 @@ FROM ({k1}) f, ({k2}) p, {_gen(arcs)} g, {_simp(places, arcs)} s)"""
 
 
 SQL["model_score"] = "SELECT * FROM " + _score("fixed_net", FIXED_NET_PLACES, FIXED_NET_ARCS)
-_RT = f"""SELECT *, row_number() OVER (ORDER BY score DESC, model) AS rank FROM (
+_RT = f"""SELECT *, CAST(row_number() OVER (ORDER BY score DESC, model) AS BIGINT) AS rank FROM (
   SELECT * FROM {_score('fixed_net', FIXED_NET_PLACES, FIXED_NET_ARCS)}
   UNION ALL SELECT * FROM {_score('sequential_net', SEQUENTIAL_NET_PLACES, SEQUENTIAL_NET_ARCS)})"""
 SQL["rating_table"] = _RT

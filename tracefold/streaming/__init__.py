@@ -1 +1,8 @@
+"""No streaming operators.
 
+The reference reads whole files at every entry point; it has no watermark,
+event-time window, state or late data, so nothing here is built. Every
+batch operator in ``tracefold.operators`` that is a per-event filter or
+projection works unchanged on a streaming DataFrame; the case-order
+operators need whole cases and stay batch.
+"""
