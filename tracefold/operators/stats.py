@@ -69,9 +69,11 @@ def case_profile(log: EventLog) -> DataFrame:
 
 
 def _case_profile_us(log: EventLog) -> DataFrame:
+    res = (F.count_distinct("resource") if "resource" in log.df.columns
+           else F.lit(None).cast("long"))       # logs without a resource column
     agg = log.df.groupBy(log.case).agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.count_distinct("resource").alias("n_resources"),
+        res.alias("n_resources"),
         F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
     acts = case_variants(log, sep=", ", name="activity_list").drop("activity_list_len")
     return agg.join(acts, log.case).select(

@@ -233,7 +233,8 @@ def exact_group_median(df: DataFrame, keys: Sequence[str], col: str, tie: str) -
     r = global_rank_sum(df.select(*keys, col, tie),
                         [*(F.col(k).asc() for k in keys), F.col(col).asc(), F.col(tie).asc()], {}, "_r")
     g = r.groupBy(*keys).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = r.join(g, keys)
+    # a group key can be hot, so the small per-group table is broadcast once its size is known
+    j = r.join(F.broadcast(g) if g.count() <= 1_000_000 else g, keys)
     mid = (F.col("_r") == F.col("_s") + F.floor((F.col("_n") - 1) / 2)) | \
           (F.col("_r") == F.col("_s") + F.ceil((F.col("_n") - 1) / 2))
     return j.where(mid).groupBy(*keys).agg(F.avg(col).alias("median"))
