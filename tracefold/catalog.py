@@ -216,7 +216,7 @@ QUERIES["top_n_frame"] = lambda spark, d: S.top_n_frame(
     S.variant_stats(L.ord_log(spark, d)), [F.col("n_cases").desc(), F.col("variant").asc()], 100)
 QUERIES["top_topics"] = lambda spark, d: S.top_n_frame(
     S.zscore_columns(S.topic_dimensions(_events_k(spark, d), "event_type", ["value", "k"]), "topic"),
-    [F.col("z_duration_s").desc(), F.col("topic").asc()], 3)
+    [F.col("z_duration_s").desc(), F.col("topic").asc()], 5)
 
 
 @register("pie_others")

@@ -319,7 +319,7 @@ SQL["zscore_columns"] = f"WITH {_TOPICS}\n" + """SELECT topic,
   round((sum_k - avg(sum_k) OVER ()) / stddev_samp(sum_k) OVER (), 6) AS z_sum_k,
   round((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER (), 6) AS z_duration_s
 FROM tp"""
-SQL["top_topics"] = SQL["zscore_columns"] + " ORDER BY z_duration_s DESC, topic LIMIT 3"
+SQL["top_topics"] = SQL["zscore_columns"] + " ORDER BY z_duration_s DESC, topic LIMIT 5"
 _DUR = f"""WITH log AS ({DAY}),
 dur AS (SELECT case_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s FROM log GROUP BY 1),
 mm AS (SELECT min(duration_s) AS lo, max(duration_s) AS hi, (max(duration_s) - min(duration_s)) / 50 AS w FROM dur),
