@@ -78,3 +78,27 @@ def test_log_split_loop_pieces(spark):
     cut = I.activity_cut(log)
     out = sorted((r["sub_case"], r["activity"]) for r in I.log_split_by_cut(log, cut).collect())
     assert [s for s, _ in out] == ["c0#1", "c0#2", "c0#3", "c0#4", "c0#5"]
+
+
+def _tree(spark, traces):
+    rows = I.inductive_tree(_log(spark, traces)).collect()
+    kids = {}
+    nodes = {r["node"]: r for r in rows}
+    for r in rows:
+        kids.setdefault(r["parent"], []).append(r["node"])
+
+    def show(n):
+        r = nodes[n]
+        if r["op"] == "activity":
+            return r["activity"]
+        ch = [show(c) for c in sorted(kids.get(n, []))]
+        if r["op"] in ("xor", "parallel", "flower"):
+            ch = sorted(ch)
+        return f"{r['op']}({', '.join(ch)})"
+    return show("0")
+
+
+def test_inductive_tree(spark):
+    assert _tree(spark, [list("abcd"), list("acbd")]) == "sequence(a, parallel(b, c), d)"
+    assert _tree(spark, [list("ab"), list("cd")]) == "xor(sequence(a, b), sequence(c, d))"
+    assert _tree(spark, [list("a"), list("aba"), list("ababa")]) == "loop(a, b)"

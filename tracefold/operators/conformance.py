@@ -180,7 +180,7 @@ def replay_diagnostics_transitions(log: EventLog, places: DataFrame, arcs: DataF
         F.max(F.when(~F.col("is_fit"), F.col("median"))).alias("_mu"))
     return counts.join(pv, "transition", "left").select(
         "transition", "fit_cases", "unfit_cases",
-        r6(F.col("_mf") / 1e6).alias("median_fit_s"), r6(F.col("_mu") / 1e6).alias("median_unfit_s"))
+        (F.col("_mf") / 1e6).alias("median_fit_s"), (F.col("_mu") / 1e6).alias("median_unfit_s"))
 
 
 def edge_conformance(log: EventLog, edges: DataFrame) -> DataFrame:

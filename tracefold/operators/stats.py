@@ -93,12 +93,13 @@ def variant_profile(log: EventLog) -> DataFrame:
         mean.alias("_avg"), std.alias("_std"),
         F.min("duration_us").alias("_min"),
         F.sum("duration_us").alias("_sum"))
-    return g.select("activity_list", r6(F.col("avg_activity")).alias("avg_activity"), "cases",
-                    r6(F.col("avg_resource")).alias("avg_resource"),
-                    r6(F.col("_avg")).alias("avg_duration"),
-                    r6(F.col("_min") / 1e6).alias("minimal_duration"),
-                    r6(F.col("_std")).alias("std_duration"),
-                    r6(F.col("_sum") / 1e6).alias("sum_duration"))
+    # exact sums and the same final double operations in every engine: no rounding
+    # (rounding a mean of integer microseconds would meet .5 ties)
+    return g.select("activity_list", "avg_activity", "cases", "avg_resource",
+                    F.col("_avg").alias("avg_duration"),
+                    (F.col("_min") / 1e6).alias("minimal_duration"),
+                    F.col("_std").alias("std_duration"),
+                    (F.col("_sum") / 1e6).alias("sum_duration"))
 
 
 def attribute_values(log: EventLog, attr: str) -> DataFrame:

@@ -62,7 +62,7 @@ def case_arrival_avg(log: EventLog, which: str = "start") -> DataFrame:
     out = ct.agg(us_between(F.min("_t"), F.max("_t")).alias("_span"), F.count(F.lit(1)).alias("_n"))
     v = F.coalesce(F.try_divide(F.col("_span").cast("double"), (F.col("_n") - 1).cast("double")), F.lit(0.0))
     name = "case_arrival_avg_s" if which == "start" else "case_dispersion_avg_s"
-    return out.select(r6(v / 1e6).alias(name))
+    return out.select((v / 1e6).alias(name))
 
 
 # ------------------------------------------------------------------ business hours (H5)
@@ -155,7 +155,7 @@ def case_profile_times(log: EventLog, start: str = "start_ts", end: str = "ts")
 def sojourn_time(log: EventLog, start: str = "start_ts", end: str = "ts") -> DataFrame:
     """H8: mean (end - start) per activity, seconds."""
     mean, _ = exact_mean_std(us_between(F.col(start), F.col(end)))
-    return log.df.groupBy(log.activity).agg(r6(mean).alias("sojourn_s"), F.count(F.lit(1)).alias("n_events"))
+    return log.df.groupBy(log.activity).agg(mean.alias("sojourn_s"), F.count(F.lit(1)).alias("n_events"))
 
 
 def performance_spectrum(log: EventLog, acts: Sequence[str]) -> DataFrame:
@@ -223,8 +223,7 @@ def temporal_profile(log: EventLog) -> DataFrame:
     mean = F.col("s1").cast("double") / F.col("n").cast("double") / 1e6
     num = (F.col("s2") * n - F.col("s1") * F.col("s1")).cast("double")
     std = F.when(F.col("n") > 1, F.sqrt(num / (F.col("n") * (F.col("n") - 1)).cast("double")) / 1e6)
-    return p.select("a", "b", F.col("n").cast("long").alias("n_pairs"),
-                    r6(mean).alias("mean_s"), r6(std).alias("std_s"))
+    return p.select("a", "b", F.col("n").cast("long").alias("n_pairs"), mean.alias("mean_s"), std.alias("std_s"))
 
 
 def exact_group_median(df: DataFrame, keys: Sequence[str], col: str, tie: str) -> DataFrame:

@@ -236,13 +236,13 @@ _PROFILE = f"""prof AS (
 """
 SQL["case_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}SELECT * FROM prof"
 SQL["variant_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}" + """
-SELECT activity_list, round(avg(n_events), 6) AS avg_activity, count(*) AS cases,
-       round(avg(n_resources), 6) AS avg_resource,
-       round(CAST(sum(us) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS avg_duration,
-       round(min(us) / 1000000.0, 6) AS minimal_duration,
-       round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(us AS HUGEINT) * us) * count(*) - sum(CAST(us AS HUGEINT)) * sum(CAST(us AS HUGEINT)) AS DOUBLE)
-             / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_duration,
-       round(sum(us) / 1000000.0, 6) AS sum_duration
+SELECT activity_list, avg(n_events) AS avg_activity, count(*) AS cases,
+       avg(n_resources) AS avg_resource,
+       CAST(sum(us) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS avg_duration,
+       min(us) / 1000000.0 AS minimal_duration,
+       CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(us AS HUGEINT) * us) * count(*) - sum(CAST(us AS HUGEINT)) * sum(CAST(us AS HUGEINT)) AS DOUBLE)
+             / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_duration,
+       sum(us) / 1000000.0 AS sum_duration
 FROM (SELECT *, CAST(round(duration_s * 1000000) AS BIGINT) AS us FROM prof) GROUP BY activity_list"""
 SQL["attribute_values"] = with_log("day", "SELECT resource AS value, count(*) AS n_events FROM log GROUP BY 1")
 SQL["start_activities"] = f"WITH log AS ({DAY}),\n{ct_cte('day')}" + \
@@ -408,18 +408,18 @@ _PAIRS = """p AS (SELECT i.activity AS a, j.activity AS b, CAST(epoch_us(j.ts) -
   FROM log i JOIN log j ON i.case_id = j.case_id AND (i.ts < j.ts OR (i.ts = j.ts AND i.tie < j.tie)))"""
 SQL["eventually_follows"] = f"WITH log AS ({DAY}),\n{_PAIRS}\nSELECT a, b, count(*) AS n_pairs FROM p GROUP BY a, b"
 SQL["temporal_profile"] = f"WITH log AS ({USER}),\n{_PAIRS}\n" + """SELECT a, b, count(*) AS n_pairs,
-  round(CAST(sum(d) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s,
-  round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(d * d) * count(*) - sum(d) * sum(d) AS DOUBLE)
-        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_s
+  CAST(sum(d) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS mean_s,
+  CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(d * d) * count(*) - sum(d) * sum(d) AS DOUBLE)
+        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_s
 FROM p GROUP BY a, b"""
 _DURS = "SELECT case_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM log GROUP BY 1"
 SQL["case_durations"] = with_log("day", f"SELECT case_id, us / 1000000.0 AS duration_s FROM ({_DURS})")
 SQL["median_case_duration"] = with_log("day", f"SELECT quantile_cont(us, 0.5) / 1000000.0 AS median_s FROM ({_DURS})")
-SQL["case_arrival_avg"] = with_log("day", """SELECT round(coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
-  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0, 6) AS case_arrival_avg_s
+SQL["case_arrival_avg"] = with_log("day", """SELECT coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
+  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0 AS case_arrival_avg_s
 FROM (SELECT case_id, min(ts) AS t FROM log GROUP BY 1)""")
-SQL["case_dispersion_avg"] = with_log("day", """SELECT round(coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
-  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0, 6) AS case_dispersion_avg_s
+SQL["case_dispersion_avg"] = with_log("day", """SELECT coalesce(CAST(epoch_us(max(t)) - epoch_us(min(t)) AS DOUBLE)
+  / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 0) / 1000000.0 AS case_dispersion_avg_s
 FROM (SELECT case_id, max(ts) AS t FROM log GROUP BY 1)""")
 
 IVL_USER = f"""SELECT *, ts - to_microseconds(CAST(floor(num * 60) AS BIGINT) * 1000000) AS start_ts FROM ({USER})"""
@@ -468,7 +468,7 @@ SELECT case_id, count(*) AS n_events, count(DISTINCT activity) AS n_activities,
   max(partial_lead_s) AS lead_s, round(max(partial_lead_s) - max(partial_cycle_s), 6) AS waste_s
 FROM lc GROUP BY case_id"""
 SQL["sojourn_time"] = with_log("ivl", """SELECT activity,
-  round(CAST(sum(epoch_us(ts) - epoch_us(start_ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS sojourn_s,
+  CAST(sum(epoch_us(ts) - epoch_us(start_ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS sojourn_s,
   count(*) AS n_events FROM log GROUP BY activity""")
 SQL["performance_spectrum"] = with_log("user", """SELECT case_id, activity AS from_activity, na AS to_activity,
   ts AS start_ts, nt AS end_ts, (epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS duration_s FROM (
@@ -495,12 +495,12 @@ SQL["dfg_frequency"] = _disc("day", "\nSELECT * FROM dfg")
 SQL["dfg_frequency_ord"] = _disc("ord", "\nSELECT * FROM dfg")
 SQL["dfg_performance"] = _disc("day", """
 SELECT activity AS a, na AS b, count(*) AS n,
-  round(CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s,
-  round(min(epoch_us(nt) - epoch_us(ts)) / 1000000.0, 6) AS min_s,
-  round(max(epoch_us(nt) - epoch_us(ts)) / 1000000.0, 6) AS max_s,
-  round(CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT) * (epoch_us(nt) - epoch_us(ts))) * count(*)
+  CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS mean_s,
+  min(epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS min_s,
+  max(epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS max_s,
+  CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT) * (epoch_us(nt) - epoch_us(ts))) * count(*)
         - sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) * sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) AS DOUBLE)
-        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END, 6) AS std_s
+        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_s
 FROM steps WHERE na IS NOT NULL GROUP BY 1, 2""")
 SQL["dfg_triples"] = _disc("day", "\nSELECT activity AS a, na AS b, nna AS c, count(*) AS n FROM steps WHERE nna IS NOT NULL GROUP BY 1, 2, 3")
 SQL["dfg_case_attributes"] = _disc("day", "\nSELECT category, activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2, 3", _CAT_LOG)
@@ -563,7 +563,7 @@ SQL["sweep_bounds"] = variants_cte("ord") + """SELECT min(n_cases) AS min_count,
 SQL["model_decoration"] = _disc("day", _dep(0.05, 100, 50, 0.9) + """
 SELECT k.a, k.b, coalesce(p.n, 0) AS freq, p.mean_s, c.c AS act_freq FROM kept k
 LEFT JOIN (SELECT activity AS a, na AS b, count(*) AS n,
-  round(CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0, 6) AS mean_s
+  CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS mean_s
   FROM steps WHERE na IS NOT NULL GROUP BY 1, 2) p ON p.a = k.a AND p.b = k.b
 LEFT JOIN cnt c ON c.x = k.a""")
 
@@ -624,8 +624,8 @@ SQL["replay_diagnostics"] = replay_ctes() + """,
 x AS (SELECT DISTINCT l.case_id, l.activity AS transition, is_fit, epoch_us(s.t1) - epoch_us(s.t0) AS us
       FROM log l JOIN tr USING (case_id) JOIN span s USING (case_id))
 SELECT transition, count(*) FILTER (WHERE is_fit) AS fit_cases, count(*) FILTER (WHERE NOT is_fit) AS unfit_cases,
-  round(quantile_cont(us, 0.5) FILTER (WHERE is_fit) / 1000000.0, 6) AS median_fit_s,
-  round(quantile_cont(us, 0.5) FILTER (WHERE NOT is_fit) / 1000000.0, 6) AS median_unfit_s
+  quantile_cont(us, 0.5) FILTER (WHERE is_fit) / 1000000.0 AS median_fit_s,
+  quantile_cont(us, 0.5) FILTER (WHERE NOT is_fit) / 1000000.0 AS median_unfit_s
 FROM x GROUP BY transition"""
 SQL["edge_conformance"] = f"WITH log AS ({DAY}),\n{steps_cte('day')},\nedges AS {_values(FIXED_EDGES, 'a, b')}" + """,
 st AS (SELECT case_id, coalesce(pa, '▶') AS a, activity AS b FROM steps
