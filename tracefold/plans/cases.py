@@ -43,9 +43,13 @@ def duration_us(start: Column, end: Column) -> Column:
 
 def case_variants(log: EventLog, sep: str = VARIANT_SEP, name: str = "variant",
                   value: str | None = None) -> DataFrame:
-    """(case_id, variant, variant_len): the case's activities joined by ``sep``."""
-    df, cut = with_chunks(log)
-    keys = [log.case, "_chunk"] if cut else [log.case]
+    """(case_id, variant, variant_len): the case's activities joined by ``sep``.
+
+    Only hot (cut) cases take the second step that joins slice texts; all
+    other cases are finished by the first aggregation.
+    """
+    df, cut = with_chunks(log, flag=True)
+    keys = [log.case, "_chunk", "_hot"] if cut else [log.case]
     ordered = F.sort_array(F.collect_list(
         F.struct(*[F.col(c) for c in log.order_cols], F.col(value or log.activity).alias("_a"))))
     per = df.groupBy(*keys).agg(
@@ -54,10 +58,13 @@ def case_variants(log: EventLog, sep: str = VARIANT_SEP, name: str = "variant",
     if not cut:
         return per.select(log.case, F.col("_txt").alias(name),
                           F.col("_len").alias(f"{name}_len"))
+    cold = per.where(~F.col("_hot")).select(log.case, F.col("_txt").alias(name),
+                                            F.col("_len").alias(f"{name}_len"))
     texts = F.sort_array(F.collect_list(F.struct("_chunk", "_txt")))
-    return per.groupBy(log.case).agg(
+    hot = per.where(F.col("_hot")).groupBy(log.case).agg(
         F.array_join(texts["_txt"], sep).alias(name),
         F.sum("_len").alias(f"{name}_len"))
+    return cold.unionByName(hot)
 
 
 def case_arrays(log: EventLog, cols) -> DataFrame:
@@ -66,14 +73,15 @@ def case_arrays(log: EventLog, cols) -> DataFrame:
     By definition one row holds a whole case; the sort happens per chunk,
     so no task sorts a hot case on its own.
     """
-    df, cut = with_chunks(log)
-    keys = [log.case, "_chunk"] if cut else [log.case]
+    df, cut = with_chunks(log, flag=True)
+    keys = [log.case, "_chunk", "_hot"] if cut else [log.case]
     st = F.struct(*[F.col(c) for c in log.order_cols],
                   *[F.col(c).alias(f"v_{c}") for c in cols])
     per = df.groupBy(*keys).agg(F.sort_array(F.collect_list(st)).alias("_arr"))
     if cut:
-        per = per.groupBy(log.case).agg(
+        hot = per.where(F.col("_hot")).groupBy(log.case).agg(
             F.flatten(F.sort_array(F.collect_list(F.struct("_chunk", "_arr")))["_arr"]).alias("_arr"))
+        per = per.where(~F.col("_hot")).select(log.case, "_arr").unionByName(hot)
     proj = F.transform("_arr", lambda x: F.struct(*[x[f"v_{c}"].alias(c) for c in cols]))
     return per.select(log.case, proj.alias("events"))
 

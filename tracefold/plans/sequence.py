@@ -54,19 +54,27 @@ def hot_cases(log: EventLog) -> DataFrame:
                     "_lo", "_hi"))
 
 
-def with_chunks(log: EventLog) -> tuple[DataFrame, bool]:
-    """Events with ``_chunk``; second value tells whether any case was cut."""
+def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
+    """Events with ``_chunk``; second value tells whether any case was cut.
+
+    ``flag=True`` also keeps ``_hot`` (the case was cut), so callers can
+    finish the other cases in one step.
+    """
     hot = hot_cases(log)
     n_hot = hot.count()  # size check before choosing the join
     if n_hot == 0:
-        return log.df.withColumn("_chunk", F.lit(0).cast("long")), False
+        out = log.df.withColumn("_chunk", F.lit(0).cast("long"))
+        return (out.withColumn("_hot", F.lit(False)) if flag else out), False
     side = F.broadcast(hot) if n_hot <= BROADCAST_HOT_ROWS else hot
     o = log.order_number()
     j = log.df.join(side, log.case, "left")
     frac = (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1))
     chunk = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
         F.least(F.floor(frac * F.col("_k")), F.col("_k") - 1)).cast("long")
-    return j.withColumn("_chunk", chunk).drop("_k", "_lo", "_hi"), True
+    j = j.withColumn("_chunk", chunk)
+    if flag:
+        j = j.withColumn("_hot", F.col("_k").isNotNull())
+    return j.drop("_k", "_lo", "_hi"), True
 
 
 def _order(log: EventLog) -> list[Column]:
