@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog, micros
-from ..plans.cases import case_table, case_variants, keep_cases, variant_counts
+from ..plans.cases import case_table, case_variants, keep_cases
 from ..plans.ranking import global_rank_sum
 from ..plans.sequence import running, sequenced
 

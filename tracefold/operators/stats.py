@@ -9,7 +9,6 @@ single-partition window.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_mean_std, r6, seconds_between, us_between
 from ..log import EventLog
-from ..plans.cases import case_table, case_variants, variant_counts
+from ..plans.cases import case_variants, variant_counts
 from ..plans.ranking import global_rank_sum
 
 
