@@ -91,7 +91,7 @@ def replay_moves(log: EventLog, places: DataFrame, arcs: DataFrame) -> tuple[Dat
     rows = moves.select(case, log.activity, "place", "phase", "delta", "_o", *log.order_cols) \
         .unionByName(init.select(case, log.activity, "place", "phase", "delta", "_o", *log.order_cols))
     rlog = EventLog(rows, order=("ts",), tie=("_o", *log.tie, "phase"), case=case,
-                    activity=log.activity, split_rows=log.split_rows)
+                    activity=log.activity, split_rows=log.split_rows, extra=log.extra)
     return rows, rlog
 
 

@@ -118,7 +118,7 @@ def lead_cycle_time(log: EventLog, start: str = "start_ts", end: str = "ts",
     "weekends": (6, 7)} measures every difference in working time.
     """
     ordered = EventLog(log.df, order=(start,), tie=log.tie, case=log.case,
-                       activity=log.activity, split_rows=log.split_rows)
+                       activity=log.activity, split_rows=log.split_rows, extra=log.extra)
     m = running(ordered, None, [log.case], {"_m": ("max", F.col(end))}, inclusive=False)
     s, e, M = F.col(start), F.col(end), F.col("_m")
     if business:
