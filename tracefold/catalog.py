@@ -514,3 +514,4 @@ QUERIES["activity_cut"] = lambda spark, d: I.activity_cut(L.day_log(spark, d))
 QUERIES["log_split_by_cut"] = lambda spark, d: I.log_split_by_cut(
     L.day_log(spark, d), I.activity_cut(L.day_log(spark, d)))
 QUERIES["process_tree"] = lambda spark, d: I.inductive_tree(L.day_log(spark, d))
+QUERIES["unfit_case_ids"] = _replay(J.unfit_case_signatures)

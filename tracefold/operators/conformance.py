@@ -139,8 +139,12 @@ def replay_problems(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFr
                     "place", "ts", *log.tie, created.cast("long").alias("missing_tokens")))
 
 
-def anomalous_cases(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Unfit cases grouped by problem signature: count, share, tokens, one example case."""
+def unfit_case_signatures(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
+    """J3 (ids): every unfit case with its problem signature and token counts.
+
+    Signature = sorted distinct tags 'missing:<transition>@<place>' and
+    'remaining:<place>'; one row per case, so no id list is gathered into a row.
+    """
     probs = replay_problems(log, places, arcs).select(
         log.case, F.concat(F.lit("missing:"), F.col("transition"), F.lit("@"), F.col("place")).alias("tag"))
     rem = replay_places(log, places, arcs).where(F.col("r") > 0).select(
@@ -148,9 +152,18 @@ def anomalous_cases(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFr
     sig = probs.unionByName(rem).groupBy(log.case).agg(
         F.array_join(F.array_sort(F.collect_set("tag")), ";").alias("signature"))
     tr = token_replay(log, places, arcs)
-    n_all = tr.select(F.count(F.lit(1))).scalar()
-    j = tr.where(~F.col("is_fit")).join(sig, log.case, "left")
-    return j.groupBy(F.coalesce("signature", F.lit("")).alias("signature")).agg(
+    return tr.where(~F.col("is_fit")).join(sig, log.case, "left").select(
+        log.case, F.coalesce("signature", F.lit("")).alias("signature"), "missing", "remaining")
+
+
+def anomalous_cases(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Unfit cases grouped by problem signature: count, share, tokens, one example case.
+
+    The ids themselves are ``unfit_case_signatures`` (one row per case).
+    """
+    j = unfit_case_signatures(log, places, arcs)
+    n_all = log.df.select(F.count_distinct(log.case)).scalar()
+    return j.groupBy("signature").agg(
         F.count(F.lit(1)).alias("n_cases"), F.sum("missing").alias("missing_tokens"),
         F.sum("remaining").alias("remaining_tokens"), F.min(log.case).alias("example_case")
     ).withColumn("pct_cases", r6(F.col("n_cases") * 100.0 / n_all))

@@ -763,3 +763,9 @@ SQL["sink_table"] = SQL["case_profile"]
 SQL["sink_by_category"] = f"WITH log AS ({_CAT_LOG}) SELECT * FROM log WHERE category = 'Consignment'"
 SQL["sink_report"] = SQL["rank_models"]
 SQL["src_xes"] = with_log("day", "SELECT case_id, activity, ts, resource FROM log")
+SQL["unfit_case_ids"] = replay_ctes() + """,
+tags AS (SELECT case_id, 'missing:' || transition || '@' || place AS tag FROM probs
+         UNION SELECT case_id, 'remaining:' || place FROM cp WHERE p + m - c > 0),
+sig AS (SELECT case_id, string_agg(DISTINCT tag, ';' ORDER BY tag) AS signature FROM tags GROUP BY 1)
+SELECT tr.case_id, coalesce(signature, '') AS signature, missing, remaining
+FROM tr LEFT JOIN sig USING (case_id) WHERE NOT is_fit"""
