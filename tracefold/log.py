@@ -65,8 +65,13 @@ class EventLog:
         return int(conf) if conf else DEFAULT_SPLIT_ROWS
 
     def with_df(self, df: DataFrame) -> "EventLog":
+        """Same cases (or a subset), new rows: remembered case statistics stay."""
         return replace(self, df=df)
 
+    def with_cases(self, df: DataFrame) -> "EventLog":
+        """New case ids (pieces, sub-logs): nothing remembered carries over."""
+        return replace(self, df=df, extra={})
+
     def transform(self, fn: Callable[..., "EventLog"], *args, **kw) -> "EventLog":
         return fn(self, *args, **kw)
 

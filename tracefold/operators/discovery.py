@@ -474,5 +474,5 @@ def inductive_tree(log: EventLog, noise: float = 0.0, max_depth: int | None = No
                 continue
             child = split.where(F.col("grp") == g).select(
                 *[F.col("sub_case").alias(c) if c == log.case else F.col(c) for c in cols])
-            queue.append((f"{node}.{i}", node, depth + 1, sub.with_df(child)))
+            queue.append((f"{node}.{i}", node, depth + 1, sub.with_cases(child)))
     return log.spark.createDataFrame(rows, "node string, parent string, depth int, op string, activity string")

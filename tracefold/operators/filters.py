@@ -241,7 +241,7 @@ def between(log: EventLog, act1: str, act2: str) -> EventLog:
                .where((F.col("_pos") >= F.col("_p1")) & (F.col("_pos") <= F.col("_p2"))))
     cols = [F.concat(F.col(log.case), F.lit("#"), F.col("_k").cast("string")).alias(log.case)]
     cols += [F.col(c) for c in log.df.columns if c != log.case]
-    return log.with_df(out.select(*cols))
+    return log.with_cases(out.select(*cols))
 
 
 def case_size(log: EventLog, lo: int, hi: int) -> EventLog:

@@ -60,17 +60,18 @@ def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
     ``flag=True`` also keeps ``_hot`` (the case was cut), so callers can
     finish the other cases in one step.
     """
-    # "no hot case" is remembered on the log and shared with logs derived by
-    # ``with_df`` (same case ids, at most a constant factor more rows). The
-    # slicing only balances work, it never changes a result, so a log that
-    # gains rows later only risks balance; build a new EventLog for it.
-    memo_key = ("no_hot", log.order[0], log.chunk_rows())
-    n_hot = 0 if log.extra.get(memo_key) else None
-    if n_hot is None:
+    # The hot-case table and its size are remembered on the log and shared
+    # with logs derived by ``with_df`` (same or sub-cases, at most a constant
+    # factor more rows), so a chain of ordered operators counts once. The
+    # slicing only balances work, it never changes a result; a log that
+    # gains rows later only risks balance, so build a new EventLog for it.
+    memo_key = ("hot", log.order[0], log.chunk_rows())
+    if memo_key in log.extra:
+        hot, n_hot = log.extra[memo_key]
+    else:
         hot = hot_cases(log)
         n_hot = hot.count()  # size check before choosing the join
-        if n_hot == 0:
-            log.extra[memo_key] = True
+        log.extra[memo_key] = (hot, n_hot)
     if n_hot == 0:
         out = log.df.withColumn("_chunk", F.lit(0).cast("long"))
         return (out.withColumn("_hot", F.lit(False)) if flag else out), False
