@@ -43,3 +43,16 @@ def test_sliced_results_equal_plain(spark):
                      (S.variant_stats, ["variant", "n_cases"]),
                      (S.case_profile, ["case_id", "n_events", "activity_list"])]:
         assert _rows(fn(plain), cols) == _rows(fn(sliced), cols), fn.__name__
+
+
+def test_case_statistics_follow_case_ids(spark):
+    log = _skewed(spark, split=50)
+    with_chunks(log)                                     # counts once and remembers
+    derived = log.with_df(log.df.where("activity <> 'e'"))
+    assert derived.extra is log.extra                    # same cases: shared
+    _, cut = with_chunks(derived)
+    assert cut
+    renamed = log.with_cases(log.df.withColumn("case_id", F.concat("case_id", F.lit("#0"))))
+    assert renamed.extra == {}                           # new case ids: counted afresh
+    df, cut = with_chunks(renamed)
+    assert cut and df.where("case_id = 'hot#0'").select("_chunk").distinct().count() >= 40
