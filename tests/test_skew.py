@@ -26,10 +26,10 @@ def test_hot_case_is_sliced(spark):
     df, cut = with_chunks(_skewed(spark, split=50))
     assert cut
     per = {r["case_id"]: r["n"] for r in df.groupBy("case_id").agg(F.count_distinct("_chunk").alias("n")).collect()}
-    assert per["hot"] >= 40                      # 2 * ceil(1200 / 50) = 48 equal-time slices
+    assert per["hot"] >= 24                      # equal-depth slices of about 50 events
     assert max(v for c, v in per.items() if c != "hot") == 1
     biggest = df.where("case_id = 'hot'").groupBy("_chunk").count().agg(F.max("count")).collect()[0][0]
-    assert biggest <= 50
+    assert biggest <= 50 + 4                     # split_rows plus at most one fine bucket
 
 
 def _rows(df, cols):
@@ -55,4 +55,27 @@ def test_case_statistics_follow_case_ids(spark):
     renamed = log.with_cases(log.df.withColumn("case_id", F.concat("case_id", F.lit("#0"))))
     assert renamed.extra == {}                           # new case ids: counted afresh
     df, cut = with_chunks(renamed)
-    assert cut and df.where("case_id = 'hot#0'").select("_chunk").distinct().count() >= 40
+    assert cut and df.where("case_id = 'hot#0'").select("_chunk").distinct().count() >= 24
+
+
+def test_bursty_hot_case_gets_equal_depth_slices(spark):
+    # half of the hot case's events fall into the first 5 % of its time span
+    rows, k = [], 0
+    for i in range(600):
+        k += 1
+        rows.append(("hot", "abcde"[i % 5], i * 0.05, k))
+    for i in range(600):
+        k += 1
+        rows.append(("hot", "abcde"[(i * 3) % 5], 30 + i, k))
+    for c in range(300):
+        for i in range(4):
+            k += 1
+            rows.append((f"c{c}", "abcde"[(c + i) % 5], c + i, k))
+    log = make_log(spark, rows, split_rows=50)
+    df, cut = with_chunks(log)
+    sizes = [r["count"] for r in df.where("case_id = 'hot'").groupBy("_chunk").count().collect()]
+    assert cut and max(sizes) <= 2 * 50 and sum(sizes) == 1200
+    plain = make_log(spark, rows)
+    cols = ["a", "b", "n"]
+    rows_of = lambda d: sorted(tuple(r[c] for c in cols) for r in d.collect())
+    assert rows_of(I.dfg_frequency(log)) == rows_of(I.dfg_frequency(plain))

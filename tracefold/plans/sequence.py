@@ -13,12 +13,13 @@ So a case is cut into ordered *chunks* when it holds more than
 1. ``hot`` = cases with more than ``split_rows`` events, found by a
    partially aggregated ``groupBy(case).count`` (map-side combine, skew
    safe). Its size is bounded by ``total_events / split_rows`` and it is
-   counted before use: broadcast when small, joined normally (with AQE
-   skew splitting) beyond that; no hot case means no join at all.
-2. ``_chunk`` = equal-width slice of the case's order range, ``2 *
-   ceil(n / split_rows)`` slices per hot case, 0 for all other cases. The
+   counted before use; no hot case means no join at all.
+2. ``_chunk`` = equal-depth slice of a hot case: its order range is cut
+   into ``16 * ceil(n / split_rows)`` fine equal-width buckets, the events
+   per bucket are counted, and buckets are packed into slices of about
+   ``split_rows`` events by a running count (0 for all other cases). The
    slice number never decreases along the case order, so chunk order is
-   case order.
+   case order, whatever the case's time distribution.
 3. Windows run on ``(case, _chunk)``; a per-chunk summary (count, first
    and last event, totals) is one row per chunk, and a window over that
    small table gives every chunk its offset, its neighbours and its carry.
@@ -38,20 +39,56 @@ from pyspark.sql import functions as F
 
 from ..log import EventLog
 
-# Hot-case tables above this many rows are joined instead of broadcast.
+# Hot-case tables up to this many rows are broadcast; beyond, they are
+# joined (AQE splits the hot keys on the event side).
 BROADCAST_HOT_ROWS = 500_000
+# Slice plans (fine buckets of all hot cases) above this many rows are
+# joined on (case, bucket) instead of broadcast.
+BROADCAST_PLAN_ROWS = 2_000_000
 
 
 def hot_cases(log: EventLog) -> DataFrame:
-    """Cases above the chunk size with their slice count and order range."""
+    """Cases above the chunk size with their event count and order range."""
     o = log.order_number()
     split = log.chunk_rows()
     return (log.df.groupBy(log.case)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(o).alias("_lo"), F.max(o).alias("_hi"))
             .where(F.col("_n") > F.lit(split))
-            .select(log.case,
-                    (F.ceil(F.col("_n") / F.lit(split)) * 2).cast("long").alias("_k"),
-                    "_lo", "_hi"))
+            .select(log.case, "_n", "_lo", "_hi",
+                    (F.ceil(F.col("_n") / F.lit(split)) * FINE).cast("long").alias("_fine")))
+
+
+# Fine buckets per slice of a hot case: slices are built from buckets of
+# 1/FINE of the even-width slice, so a burst narrower than that is the only
+# thing that can make a slice larger than ``split_rows``.
+FINE = 16
+
+
+def _bucket(o: Column) -> Column:
+    """Fine equal-width bucket of the case's order range (clipped, never decreasing)."""
+    frac = (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1))
+    return F.greatest(F.lit(0), F.least(F.floor(frac * F.col("_fine")), F.col("_fine") - 1)).cast("long")
+
+
+def _slice_plan(log: EventLog, hot: DataFrame, small: bool) -> DataFrame:
+    """(case, _fb, _chunk): every fine bucket of every hot case mapped to its slice.
+
+    Buckets are counted (partial aggregation, tiny output), then a running
+    count per case packs them into slices of about ``split_rows`` events:
+    equal-depth slices, whatever the case's time distribution. The table
+    covers all buckets (empty ones too), so any event of the case finds its
+    slice, and slice numbers never decrease with the bucket.
+    """
+    split = log.chunk_rows()
+    side = F.broadcast(hot) if small else hot
+    counts = (log.df.join(side, log.case)
+              .groupBy(log.case, _bucket(log.order_number()).alias("_fb"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    every = hot.select(log.case, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fine") - 1)).alias("_fb"))
+    full = every.join(counts, [log.case, "_fb"], "left").fillna(0, subset=["_c"])
+    w = Window.partitionBy(log.case).orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_c").over(w), F.lit(0))
+    return full.select(log.case, "_fb", F.floor(before / F.lit(split)).cast("long").alias("_chunk"))
 
 
 def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
@@ -60,31 +97,31 @@ def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
     ``flag=True`` also keeps ``_hot`` (the case was cut), so callers can
     finish the other cases in one step.
     """
-    # The hot-case table and its size are remembered on the log and shared
-    # with logs derived by ``with_df`` (same or sub-cases, at most a constant
-    # factor more rows), so a chain of ordered operators counts once. The
-    # slicing only balances work, it never changes a result; a log that
-    # gains rows later only risks balance, so build a new EventLog for it.
+    # The plan (hot cases and their slices) is remembered on the log and
+    # shared with logs derived by ``with_df`` (same or sub-cases, at most a
+    # constant factor more rows), so a chain of ordered operators builds it
+    # once. Slicing only balances work, it never changes a result; a log
+    # that gains rows later only risks balance, so build a new EventLog.
     memo_key = ("hot", log.order[0], log.chunk_rows())
     if memo_key in log.extra:
-        hot, n_hot = log.extra[memo_key]
+        hot, n_hot, plan, n_plan = log.extra[memo_key]
     else:
         hot = hot_cases(log)
-        n_hot = hot.count()  # size check before choosing the join
-        log.extra[memo_key] = (hot, n_hot)
+        sizes = hot.agg(F.count(F.lit(1)), F.sum("_fine")).collect()[0]  # size check, one job
+        n_hot, n_plan = int(sizes[0]), int(sizes[1] or 0)
+        plan = _slice_plan(log, hot, n_hot <= BROADCAST_HOT_ROWS) if n_hot else None
+        log.extra[memo_key] = (hot, n_hot, plan, n_plan)
     if n_hot == 0:
         out = log.df.withColumn("_chunk", F.lit(0).cast("long"))
         return (out.withColumn("_hot", F.lit(False)) if flag else out), False
-    side = F.broadcast(hot) if n_hot <= BROADCAST_HOT_ROWS else hot
-    o = log.order_number()
-    j = log.df.join(side, log.case, "left")
-    frac = (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1))
-    chunk = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor(frac * F.col("_k")), F.col("_k") - 1)).cast("long")
-    j = j.withColumn("_chunk", chunk)
+    hs = hot.select(log.case, "_lo", "_hi", "_fine")
+    j = log.df.join(F.broadcast(hs) if n_hot <= BROADCAST_HOT_ROWS else hs, log.case, "left")
+    j = j.withColumn("_fb", F.when(F.col("_fine").isNotNull(), _bucket(log.order_number())))
+    pl = F.broadcast(plan) if n_plan <= BROADCAST_PLAN_ROWS else plan
+    j = j.join(pl, [log.case, "_fb"], "left").withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     if flag:
-        j = j.withColumn("_hot", F.col("_k").isNotNull())
-    return j.drop("_k", "_lo", "_hi"), True
+        j = j.withColumn("_hot", F.col("_fine").isNotNull())
+    return j.drop("_lo", "_hi", "_fine", "_fb"), True
 
 
 def _order(log: EventLog) -> list[Column]:
