@@ -236,3 +236,31 @@ def test_simplicity_chain_is_one(spark):
     arcs = [("a", "i", 0, -1), ("a", "p", 1, 1), ("b", "p", 0, -1), ("b", "o", 1, 1)]
     p, a = J.net_tables(spark, places, arcs)
     assert K.simplicity(p, a).collect()[0][0] == 1.0
+
+
+def test_business_seconds_closed_form_matches_day_loop(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(7)
+
+    def loop(a, b, work=(8, 16), weekends=(6, 7)):
+        total, day = 0.0, dt.datetime(a.year, a.month, a.day)
+        while day <= b:
+            if day.isoweekday() not in weekends:
+                lo = max(a, day + dt.timedelta(hours=work[0]))
+                hi = min(b, day + dt.timedelta(hours=work[1]))
+                total += max(0.0, (hi - lo).total_seconds())
+            day += dt.timedelta(days=1)
+        return total
+
+    base = dt.datetime(2023, 12, 20)
+    pairs = []
+    for _ in range(300):
+        a = base + dt.timedelta(seconds=rnd.randint(0, 40 * 86400), microseconds=rnd.randint(0, 999999))
+        b = a + dt.timedelta(seconds=rnd.choice([rnd.randint(0, 7200), rnd.randint(0, 20 * 86400)]))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    for weekends in [(6, 7), (5, 6, 7), (1,)]:
+        got = df.select("a", "b", H.business_seconds(F.col("a"), F.col("b"), (8, 16), weekends).alias("s")).collect()
+        for r in got:
+            assert math.isclose(r["s"], loop(r["a"], r["b"], weekends=weekends), abs_tol=1e-6), (r, weekends)
