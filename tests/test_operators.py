@@ -264,3 +264,41 @@ def test_business_seconds_closed_form_matches_day_loop(spark):
         got = df.select("a", "b", H.business_seconds(F.col("a"), F.col("b"), (8, 16), weekends).alias("s")).collect()
         for r in got:
             assert math.isclose(r["s"], loop(r["a"], r["b"], weekends=weekends), abs_tol=1e-6), (r, weekends)
+
+
+def _between_loop(traces, a1, a2):
+    """S7 by hand: pieces end at every a2; keep from the first a1 strictly before it."""
+    out = set()
+    for c, tr in traces.items():
+        if a1 == a2:
+            occ = [i for i, x in enumerate(tr) if x == a1]
+            for k in range(len(occ) - 1):
+                for i in range(occ[k], occ[k + 1] + 1):
+                    out.add((f"{c}#{k + 1}", i))
+            continue
+        k, start = 0, 0
+        for i, x in enumerate(tr):
+            if x == a2:
+                firsts = [j for j in range(start, i) if tr[j] == a1]
+                if firsts:
+                    for j in range(firsts[0], i + 1):
+                        out.add((f"{c}#{k}", j))
+                k, start = k + 1, i + 1
+    return out
+
+
+@pytest.mark.parametrize("a1,a2,split", [("A", "C", None), ("A", "A", None), ("A", "C", 3), ("B", "B", 3)])
+def test_between_matches_loop(spark, a1, a2, split):
+    import random
+    rnd = random.Random(11)
+    traces = {f"c{n}": [rnd.choice("ABC") for _ in range(rnd.randint(1, 14))] for n in range(40)}
+    rows, k = [], 0
+    for c, tr in traces.items():
+        for i, x in enumerate(tr):
+            k += 1
+            rows.append((c, x, i, k))
+    log = make_log(spark, rows, split_rows=split)
+    first = {c: min(r[3] for r in rows if r[0] == c) for c in traces}
+    got = {(r["case_id"], r["tie"] - first[r["case_id"].split("#")[0]])
+           for r in C.between(log, a1, a2).df.collect()}
+    assert got == _between_loop(traces, a1, a2)
