@@ -302,3 +302,21 @@ def test_between_matches_loop(spark, a1, a2, split):
     got = {(r["case_id"], r["tie"] - first[r["case_id"].split("#")[0]])
            for r in C.between(log, a1, a2).df.collect()}
     assert got == _between_loop(traces, a1, a2)
+
+
+def test_token_replay_random_traces_match_loop(spark):
+    import random
+    rnd = random.Random(3)
+    acts = ["signup", "view", "click", "purchase", "error", "oops"]
+    traces = {f"r{n}": [rnd.choice(acts) for _ in range(rnd.randint(1, 12))] for n in range(60)}
+    rows, k = [], 0
+    for c, tr in traces.items():
+        for i, a in enumerate(tr):
+            k += 1
+            rows.append((c, a, i, k))
+    p, a = J.net_tables(spark)
+    want = _replay_loop(traces, J.FIXED_NET_PLACES, J.FIXED_NET_ARCS)
+    for split in (None, 3):
+        got = {r["case_id"]: (r["produced"], r["consumed"], r["missing"], r["remaining"])
+               for r in J.token_replay(make_log(spark, rows, split_rows=split), p, a).collect()}
+        assert got == want
