@@ -7,11 +7,15 @@ models, iterative solvers): those queries are held against brute force in
 
 from __future__ import annotations
 
+from .neighbours import OP8_SQL, op8_nearest
 from .packing import op2_pack
 from .sharding import op9_shards
+from .simhash import op3_simhash
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op3_simhash": op3_simhash,
+    "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_nearest": OP8_SQL}
