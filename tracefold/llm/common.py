@@ -98,3 +98,8 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str]) ->
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return dealt.mapInArrow(place, T.StructType(fields)), grand
+
+
+def when_small(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpointed table of slim rows, marked for broadcast only if it was counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

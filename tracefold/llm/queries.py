@@ -7,15 +7,23 @@ models, iterative solvers): those queries are held against brute force in
 
 from __future__ import annotations
 
+from .language import op5_language
+from .licenses import op4_licenses
+from .lines import op10_lines
 from .neighbours import OP8_SQL, op8_nearest
 from .packing import op2_pack
+from .quality import op6_quality
 from .sharding import op9_shards
 from .simhash import op3_simhash
 
 QUERIES = {
     "op2_pack": op2_pack,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
+    "op10_lines": op10_lines,
 }
 SQL: dict[str, str] = {"op8_nearest": OP8_SQL}
