@@ -10,18 +10,22 @@ from __future__ import annotations
 from .language import op5_language
 from .licenses import op4_licenses
 from .lines import op10_lines
+from .mixing import op1_mix
 from .neighbours import OP8_SQL, op8_nearest
 from .packing import op2_pack
 from .quality import op6_quality
+from .secrets import op7_secrets
 from .sharding import op9_shards
 from .simhash import op3_simhash
 
 QUERIES = {
+    "op1_mix": op1_mix,
     "op2_pack": op2_pack,
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_secrets": op7_secrets,
     "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
     "op10_lines": op10_lines,
