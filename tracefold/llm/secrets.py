@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,39 +91,45 @@ def battery(token: Column) -> Column:
     as uniform, by the noncentral chi-squared its concentration implies; it
     falls with length, so short tokens are never sure.
     """
-    def under(core: Column, alphabet: str, concentration: float) -> Column:
-        size = len(alphabet)
+    def under(core: Column, alphabet: Column, concentration: Column) -> Column:
+        size = F.length(alphabet).cast("double")
+        half = F.floor(size / 2)
         n = F.length(core).cast("double")
 
         def of(s: Column) -> Column:
             counts = F.transform(F.array_distinct(s), lambda x: F.size(F.filter(s, lambda y: y == x)).cast("double"))
             squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-            chi, df, shift = squares * size / n - n, size - 1.0, n * (size * concentration - 1)
+            chi, df, shift = squares * size / n - n, size - 1, n * (size * concentration - 1)
             text_like = normal((chi - df - shift) / F.sqrt(2 * (df + 2 * shift)))
-            uniform = 1 - normal((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
-            high = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x >= size // 2).cast("double"))
-            after = F.slice(s, 2, F.size(s))
-            pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), after, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-            runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + ((p["x"] >= size // 2) != (p["y"] >= size // 2)).cast("double"))
+            wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+            high = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x >= half).cast("double"))
+            pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)),
+                               lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + ((p["x"] >= half) != (p["y"] >= half)).cast("double"))
             expect = 1 + 2 * high * (n - high) / n
             spread = F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(1e-9))
             two_sided = lambda z: 2 * normal(-F.abs(z))
             mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
-            own = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            lag = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"] - mean) * (p["y"] - mean))
-            serial = F.when(own > 0, lag / own).otherwise(F.lit(1.0)) * F.sqrt(n)
-            worst = F.least(uniform, two_sided((runs - expect) / F.sqrt(spread)), two_sided(serial))
+
+            def correlation(m: Column) -> Column:
+                own = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+                lag = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"] - m) * (p["y"] - m))
+                return F.when(own > 0, lag / own).otherwise(F.lit(1.0)) * F.sqrt(n)
+
+            worst = F.least(1 - normal(wilson), two_sided((runs - expect) / F.sqrt(spread)),
+                            two_sided(let(mean, correlation)))
             return F.struct(text_like.alias("p"), (3 * worst >= REJECT).alias("sound"))
 
         letters = F.filter(F.split(core, ""), lambda c: c != "")
-        symbols = F.transform(letters, lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
+        symbols = F.transform(letters, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
         return let(F.filter(symbols, lambda x: x >= 0), of)
 
-    out = None
+    inferred = None
     for _, pattern, alphabet, concentration in reversed(ENCODINGS):
-        here = under(F.regexp_replace(token, "=+$", ""), alphabet, concentration)
-        out = here if out is None else F.when(token.rlike(f"^(?:{pattern})$"), here).otherwise(out)
-    return out
+        here = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(concentration).alias("concentration"))
+        inferred = here if inferred is None else F.when(token.rlike(f"^(?:{pattern})$"), here).otherwise(inferred)
+    found = F.struct(F.regexp_replace(token, "=+$", "").alias("core"), inferred.alias("e"))
+    return let(found, lambda f: under(f["core"], f["e"]["alphabet"], f["e"]["concentration"]))
 
 
 def stratum(token: Column) -> Column:
