@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,47 +17,87 @@ END_ID = 1          # closes every document
 DIMS = 4            # coordinates on the curve
 BITS = 12           # of each coordinate
 FEATURES = 512      # buckets of the hashed document vector
-CACHE_WORDS = 400_000   # words whose ids a task remembers
+CACHE_WORDS = 1_000_000     # words whose ids a Python worker remembers
 
 # Characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Words whose lower case is the same letter by letter in Python and in the tokenizer.
+LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+# Lower-case letters alone: one piece, nothing to normalise.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+class Cores(dict):
+    """Ids of lower-cased cores, as bytes; filled as they are asked for."""
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        super().__init__()
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, 0x100)
+                         if LETTERS.fullmatch(chr(c))}
+
+    def encode(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, core: str) -> bytes:
+        if LETTERS.fullmatch(core):
+            ids = array("H", [t.id for t in self.tokenizer.model.tokenize(core.translate(self.as_bytes))]).tobytes()
+        else:
+            ids = self.encode(core)
+        self[core] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of words, by their lower-cased core and closing full stops or commas."""
+
+    def __init__(self, cores: Cores):
+        super().__init__()
+        self.cores = cores
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(".,")
+        if not core or not LATIN.fullmatch(core):
+            ids = self.cores[word]
+        elif len(core) < len(word) and core[-1].isalnum():
+            ids = self.cores[core.lower()] + self.cores[word[len(core):]]
+        else:
+            ids = self.cores[word.lower()]
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Token ids of a text as little-endian 16-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text is
-    encoded as its words, each word once per task while the cache holds it
-    (the cache is emptied when full; that costs time, not results). Texts
+    encoded as its words. It lower-cases, and a full stop or comma after a
+    letter or digit is a piece of its own, so a word is looked up by its
+    lower-cased core. Words and cores are remembered as long as the Python
+    worker lives (emptied when full; that costs time, not results). Texts
     that hold a special token's string or an odd control character are
     encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.pack = __import__("array").array
-
-    def _ids(self, encoding) -> bytes:
-        return self.pack("H", encoding.ids).tobytes()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*[w for w in split if w]) - self.cache.keys()
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = set().union(*[w for w in split if w])
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
-                for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    self.cache[word] = self._ids(enc)
-        get = self.cache.__getitem__
-        return [self._ids(self.tokenizer.encode(t, add_special_tokens=False)) if words is None
-                else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        import tokenizers
+
+        # a worker runs many tasks: the memory hangs on a module, not on this task's copy of the class
+        memory = tokenizers.__dict__.setdefault("_tracefold_memory", {})
+        if path not in memory:
+            memory[path] = Words(Cores(path))
+        self.words = memory[path]
+
+    def text(self, text: str) -> bytes:
+        if "<|" in text or ODD_SPACE.search(text):
+            return self.words.cores.encode(text)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.words.cores.clear()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def projection():
@@ -113,13 +154,14 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
         encoder, (bucket, sign, directions) = WordEncoder(tokenizer_path), projection()
         end = END_ID.to_bytes(2, "little")
         for b in batches:
-            ids = [x + end for x in encoder.texts([t or "" for t in b.column(1).to_pylist()])]
-            at = np.zeros((len(ids), DIMS))
+            ids = [encoder.text(t or "") + end for t in b.column(1).to_pylist()]
+            hashed = np.zeros((len(ids), FEATURES))
             for r, raw in enumerate(ids):
-                tokens, counts = np.unique(np.frombuffer(raw, "<u2")[:-1], return_counts=True)
-                v = np.bincount(bucket[tokens], sign[tokens] * np.log1p(counts), FEATURES)
-                length = np.sqrt((v * v).sum())
-                at[r] = (v / length if length else v) @ directions
+                tokens = np.frombuffer(raw, "<u2")[:-1]
+                hashed[r] = np.bincount(bucket[tokens], sign[tokens], FEATURES)
+            hashed = np.sign(hashed) * np.log1p(np.abs(hashed))
+            length = np.sqrt((hashed * hashed).sum(axis=1, keepdims=True))
+            at = hashed / np.where(length > 0, length, 1) @ directions
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                  *[pa.array(at[:, k]) for k in range(DIMS)]], names=[f.name for f in fields])
