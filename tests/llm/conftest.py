@@ -1,0 +1,6 @@
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+from conftest_llm import docs, edge_docs, no_docs  # noqa: E402, F401

@@ -157,3 +157,36 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     """Quality rules over all documents; sources are the hosts."""
     return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, unnest(w) as word, unnest(range(len(w))) as i from d),
+triples as (select r, i, word as a, lead(word) over p as b, lead(word, 2) over p as c from words
+            window p as (partition by r order by i)),
+again as (select r, i, (c is not null and count(*) over (partition by r, a, b, c) > 1)::int as hit from triples),
+covered as (select r, greatest(hit, coalesce(lag(hit) over p, 0), coalesce(lag(hit, 2) over p, 0)) as hit from again
+            window p as (partition by r order by i)),
+repeats as (select r, sum(hit) as n from covered group by r),
+ls as (select r, source, t, unnest(string_split(t, chr(10))) as line from d),
+l as (select r, source, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
+             regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') as norm
+      from ls where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups as (select r, count(*) - count(distinct line) as n from l group by r),
+hosts as (select source, count(distinct t) as docs from d group by source),
+often as (select l.source, l.norm from (select source, norm, count(distinct t) as n from l group by source, norm) l
+          join hosts h on l.source is not distinct from h.source where l.n > 10 and l.n > 0.10::double * h.docs),
+removed as (select l.r, sum(l.words) as n from l join often o on l.source is not distinct from o.source and l.norm = o.norm
+            group by l.r),
+m as (select d.doc_id, len(d.w)::bigint as n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+             (length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+             coalesce(dups.n, 0)::bigint as n_dup_lines, coalesce(repeats.n, 0)::bigint as n_repeat_words,
+             coalesce(removed.n, 0)::bigint as removed_words
+      from d left join dups using (r) left join repeats using (r) left join removed using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
+       (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words < 0.5::double * n_words) as kept,
+       removed_words
+from m
+"""

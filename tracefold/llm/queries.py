@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from .language import op5_language
 from .licenses import op4_licenses
-from .lines import op10_lines
+from .lines import OP10_SQL, op10_lines
 from .mixing import op1_mix
 from .neighbours import OP8_SQL, op8_nearest
 from .packing import op2_pack
@@ -30,4 +30,4 @@ QUERIES = {
     "op9_shards": op9_shards,
     "op10_lines": op10_lines,
 }
-SQL: dict[str, str] = {"op8_nearest": OP8_SQL}
+SQL: dict[str, str] = {"op8_nearest": OP8_SQL, "op10_lines": OP10_SQL}
