@@ -36,11 +36,21 @@ def exact_mean_std(x_us: Column, scale: float = 1_000_000.0) -> tuple[Column, Co
     the same few double operations. std is NULL for one value.
     """
     x = x_us.cast("decimal(38,0)")
-    n = F.count(x_us)
-    s1 = F.sum(x)
-    s2 = F.sum(x * x)
+    return mean_std_of_sums(F.count(x_us), F.sum(x), F.sum(x * x), scale)
+
+
+def mean_std_of_sums(n: Column, s1: Column, s2: Column, scale: float = 1_000_000.0) -> tuple[Column, Column]:
+    """Mean and sample std (6 decimals) from a count and exact DECIMAL(38,0) sums.
+
+    The squares are centred on a whole number q near the mean before they
+    are divided: sum (x - q)^2 = s2 - q (2 s1 - n q), in which no term grows
+    beyond about twice s2. It holds while sum(x^2) stays below 5e37: some
+    1e11 steps of 120 days in microseconds.
+    """
+    big = lambda c: c.cast("decimal(38,0)")
+    q = big(F.floor(F.try_divide(s1.cast("double"), n.cast("double"))).cast("long"))
+    around = (big(s2) - q * (big(s1) + (big(s1) - big(n) * q))).cast("double")
+    off = (big(s1) - big(n) * q).cast("double")
     mean = F.try_divide(s1.cast("double"), n.cast("double")) / F.lit(scale)
-    num = (s2 * n.cast("decimal(38,0)") - s1 * s1).cast("double")
-    den = (n * (n - 1)).cast("double")
-    std = F.when(n > 1, F.sqrt(num / den) / F.lit(scale))
-    return mean, std
+    var = F.try_divide(around - F.try_divide(off * off, n.cast("double")), (n - 1).cast("double"))
+    return mean, F.when(n > 1, r6(F.sqrt(F.greatest(var, F.lit(0.0))) / F.lit(scale)))

@@ -4,8 +4,8 @@ Models are small tables: a Petri net as ``places(place, m0, mf)`` and
 ``arcs(activity, place, phase, delta)`` (phase 0 / delta -1 consumes,
 phase 1 / delta +1 produces), a directly-follows model as
 ``edges(a, b)``, an alignment reference as an ordered list of
-activities. Model tables are broadcast (their size is the model's, never
-the log's); the log side stays distributed.
+activities. Model tables are joined without a hint (adaptive execution
+broadcasts them when they are small); the log side stays distributed.
 
 Token replay (S13) is a running sum, not a loop: every (event, arc) row is
 a +1 / -1 on a (case, place) balance that starts with the initial marking
@@ -71,26 +71,27 @@ def replay_moves(log: EventLog, places: DataFrame, arcs: DataFrame) -> tuple[Dat
     _check_net(arcs)
     case = log.case
     ev = log.df.select(case, log.activity, *log.order_cols)
-    moves = ev.join(F.broadcast(arcs), log.activity).withColumn("_o", F.lit(1))
-    span = log.df.groupBy(case).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    moves = ev.join(arcs, log.activity).withColumn("_o", F.lit(1))
+    first = log.order[0]
+    span = log.df.groupBy(case).agg(F.min(first).alias("_t0"), F.max(first).alias("_t1"))
     marks = [r for r in places.collect() if (r["m0"] or 0) > 0 or (r["mf"] or 0) > 0]  # model-sized
     ends = []
     for r in marks:
         if r["m0"]:
             ends.append(F.struct(F.lit(r["place"]).alias("place"), F.lit(0).alias("_o"),
                                  F.lit(1).alias("phase"), F.lit(int(r["m0"])).alias("delta"),
-                                 F.col("_t0").alias("ts")))
+                                 F.col("_t0").alias(first)))
         if r["mf"]:
             ends.append(F.struct(F.lit(r["place"]).alias("place"), F.lit(2).alias("_o"),
                                  F.lit(0).alias("phase"), F.lit(-int(r["mf"])).alias("delta"),
-                                 F.col("_t1").alias("ts")))
+                                 F.col("_t1").alias(first)))
     init = span.select(case, F.inline(F.array(*ends)))
-    for c in log.tie:
+    for c in [*log.order[1:], *log.tie]:
         init = init.withColumn(c, F.lit(None).cast(dict(log.df.dtypes)[c]))
     init = init.withColumn(log.activity, F.lit(None).cast("string"))
     rows = moves.select(case, log.activity, "place", "phase", "delta", "_o", *log.order_cols) \
         .unionByName(init.select(case, log.activity, "place", "phase", "delta", "_o", *log.order_cols))
-    rlog = EventLog(rows, order=("ts",), tie=("_o", *log.tie, "phase"), case=case,
+    rlog = EventLog(rows, order=(first,), tie=("_o", *log.order[1:], *log.tie, "phase"), case=case,
                     activity=log.activity, split_rows=log.split_rows, extra=log.extra)
     return rows, rlog
 
@@ -111,15 +112,21 @@ def replay_places(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFram
         .withColumn("r", F.col("p") + F.col("m") - F.col("c"))
 
 
+def replay_fitness_of(produced: Column, consumed: Column, missing: Column, remaining: Column) -> Column:
+    """Mean of the two token shares; a side without tokens has nothing wrong."""
+    part = lambda bad, all_: F.when(all_ == 0, F.lit(1.0)).otherwise(1 - F.try_divide(bad, all_))
+    return 0.5 * part(remaining, produced) + 0.5 * part(missing, consumed)
+
+
 def token_replay(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """J1 (S13): per case produced, consumed, missing, remaining, fitness, fit flag, skipped events."""
     pl = replay_places(log, places, arcs)
     per = pl.groupBy(log.case).agg(*[F.sum(x).cast("long").alias(n) for x, n in
                                      (("p", "produced"), ("c", "consumed"), ("m", "missing"), ("r", "remaining"))])
     acts = arcs.select(F.col("activity").alias(log.activity)).distinct()
-    skipped = (log.df.join(F.broadcast(acts), log.activity, "left_anti")
+    skipped = (log.df.join(acts, log.activity, "left_anti")
                .groupBy(log.case).agg(F.count(F.lit(1)).alias("skipped")))
-    fit = 0.5 * (1 - F.col("remaining") / F.col("produced")) + 0.5 * (1 - F.col("missing") / F.col("consumed"))
+    fit = replay_fitness_of(F.col("produced"), F.col("consumed"), F.col("missing"), F.col("remaining"))
     return (per.join(skipped, log.case, "left")
             .select(log.case, "produced", "consumed", "missing", "remaining",
                     r6(fit).alias("fitness"),
@@ -136,7 +143,7 @@ def replay_problems(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFr
     created = prev_low - F.col("_bal")
     return (low.where((F.col("delta") < 0) & (F.col("_bal") < prev_low))
             .select(log.case, F.coalesce(F.col(log.activity), F.lit("(final marking)")).alias("transition"),
-                    "place", "ts", *log.tie, created.cast("long").alias("missing_tokens")))
+                    "place", *log.order_cols, created.cast("long").alias("missing_tokens")))
 
 
 def unfit_case_signatures(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -205,7 +212,7 @@ def edge_conformance(log: EventLog, edges: DataFrame) -> DataFrame:
     ends = s.where(F.col("next_activity").isNull()).select(log.case, F.col("activity").alias("a"),
                                                            F.lit(END_SYMBOL).alias("b"))
     steps = inner.unionByName(ends)
-    ok = F.broadcast(edges.select("a", "b").distinct().withColumn("_ok", F.lit(True)))
+    ok = edges.select("a", "b").distinct().withColumn("_ok", F.lit(True))
     j = steps.join(ok, ["a", "b"], "left")
     per = j.groupBy(log.case).agg(F.count(F.lit(1)).alias("n_steps"), F.count("_ok").alias("n_allowed"))
     return per.select(log.case, "n_steps", "n_allowed", (F.col("n_steps") - F.col("n_allowed")).alias("n_deviations"),
@@ -270,14 +277,20 @@ def model_move_pairs(moves: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def anomaly_classes(moves: DataFrame, case: str = "case_id") -> DataFrame:
-    """Skip / Insert / Early / Late per case and activity (distinct rows)."""
-    lm = moves.where(F.col("model_act").isNull()).select(case, F.col("log_act").alias("activity"), F.col("pos").alias("lp"))
-    mm = moves.where(F.col("log_act").isNull()).select(case, F.col("model_act").alias("activity"), F.col("pos").alias("mp"))
-    both = lm.join(mm, [case, "activity"])
-    timing = both.select(case, "activity", F.when(F.col("mp") < F.col("lp"), "Late").otherwise("Early").alias("class"))
-    skip = mm.join(lm, [case, "activity"], "left_anti").select(case, "activity", F.lit("Skip").alias("class"))
-    ins = lm.join(mm, [case, "activity"], "left_anti").select(case, "activity", F.lit("Insert").alias("class"))
-    return timing.unionByName(skip).unionByName(ins).distinct()
+    """Skip / Insert / Early / Late per case and activity (distinct rows).
+
+    One row per (case, activity) with the first and last place on each side
+    decides all classes: some model place before some log place is Late,
+    some model place at or behind some log place is Early.
+    """
+    log_side, model_side = F.col("model_act").isNull(), F.col("log_act").isNull()
+    per = (moves.where(log_side | model_side).groupBy(case, F.coalesce("log_act", "model_act").alias("activity"))
+           .agg(F.min(F.when(log_side, F.col("pos"))).alias("l0"), F.max(F.when(log_side, F.col("pos"))).alias("l1"),
+                F.min(F.when(model_side, F.col("pos"))).alias("m0"), F.max(F.when(model_side, F.col("pos"))).alias("m1")))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("l0").isNull(), F.lit("Skip")), F.when(F.col("m0").isNull(), F.lit("Insert")),
+        F.when(F.col("m0") < F.col("l1"), F.lit("Late")), F.when(F.col("m1") >= F.col("l0"), F.lit("Early"))))
+    return per.select(case, "activity", F.explode(kinds).alias("class"))
 
 
 def consensus_sequence(log: EventLog, groups: DataFrame | None = None) -> DataFrame:

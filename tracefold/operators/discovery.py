@@ -32,13 +32,17 @@ def dfg_frequency(log: EventLog) -> DataFrame:
 
 
 def dfg_performance(log: EventLog) -> DataFrame:
-    """Directly-follows time statistics in seconds: mean, min, max, sample std."""
+    """Directly-follows time statistics in seconds: mean, min, max, median, sample std."""
+    from .timing import exact_group_median
     d = us_between(F.col("ts"), F.col("next_ts"))
     s = _steps(log).select(F.col("activity").alias("a"), F.col("next_activity").alias("b"), d.alias("d"))
     mean, std = exact_mean_std(F.col("d"))
-    return s.groupBy("a", "b").agg(
+    stats = s.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), mean.alias("mean_s"),
         (F.min("d") / 1e6).alias("min_s"), (F.max("d") / 1e6).alias("max_s"), std.alias("std_s"))
+    # ties of a gap are interchangeable; a hash of the place only splits them over tasks
+    middle = exact_group_median(s.withColumn("_tie", F.monotonically_increasing_id()), ["a", "b"], "d", "_tie")
+    return stats.join(middle, ["a", "b"]).select(*stats.columns, (F.col("median") / 1e6).alias("median_s"))
 
 
 def dfg_triples(log: EventLog) -> DataFrame:
@@ -165,10 +169,12 @@ SWEEP_SETTINGS = [(0.6, 3, 3), (0.9, 30, 30), (0.9, 300, 300), (0.99, 3000, 3000
 
 
 def parameter_sweep(log: EventLog, settings: Sequence[tuple[float, int, int]] = SWEEP_SETTINGS) -> DataFrame:
-    """Model size for every (dependency, min act, min edge) setting in one job.
+    """Model size and score for every (dependency, min act, min edge) setting.
 
-    The edge table is computed once; each edge row is repeated once per
-    setting through an array of settings (bounded by the grid size).
+    The edge table is computed once; each edge row meets every setting of
+    the grid and counts where it is kept, so a setting that keeps nothing
+    has a row of zeros. ``fitness``: share of the log's steps on kept edges;
+    ``simplicity``: K4 of the edge graph; ``score``: their sum.
     """
     d = dependency_graph(log, dependency=-1.0, min_act=0, min_edge=0, loop2=2.0)
     counts = log.df.groupBy(F.col(log.activity).alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -177,12 +183,23 @@ def parameter_sweep(log: EventLog, settings: Sequence[tuple[float, int, int]] =
     grid = F.array(*[F.struct(F.lit(float(t)).alias("dep_t"), F.lit(int(a)).alias("act_t"),
                               F.lit(int(m)).alias("edge_t")) for t, a, m in settings])
     x = e.select("*", F.explode(grid).alias("g")).select("*", "g.*")
-    kept = x.where((F.col("dependency") >= F.col("dep_t")) & (F.col("n") >= F.col("edge_t"))
-                   & (F.col("cnt_a") >= F.col("act_t")) & (F.col("cnt_b") >= F.col("act_t")))
-    acts = F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))
-    return kept.groupBy("dep_t", "act_t", "edge_t").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.size(acts).alias("n_activities"),
-        F.sum("n").cast("long").alias("covered_steps"))
+    kept = ((F.col("dependency") >= F.col("dep_t")) & (F.col("n") >= F.col("edge_t"))
+            & (F.col("cnt_a") >= F.col("act_t")) & (F.col("cnt_b") >= F.col("act_t")))
+    key = ["dep_t", "act_t", "edge_t"]
+    ends = x.select(*key, kept.alias("kept"), F.explode(F.array("a", "b")).alias("act"))
+    acts = ends.groupBy(*key).agg(F.count_distinct(F.when(F.col("kept"), F.col("act"))).alias("n_activities"))
+    size = x.groupBy(*key).agg(F.count_if(kept).alias("n_edges"), F.sum("n").alias("_steps"),
+                               F.sum(F.when(kept, F.col("n")).otherwise(0)).cast("long").alias("covered_steps"))
+    fit = F.col("covered_steps") / F.col("_steps")
+    simple = edge_simplicity(F.col("n_edges"), F.col("n_activities"))
+    return size.join(acts, key).select(*key, "n_edges", "n_activities", "covered_steps", r6(fit).alias("fitness"),
+                                       r6(simple).alias("simplicity"), r6(fit + simple).alias("score"))
+
+
+def edge_simplicity(n_edges: Column, n_activities: Column) -> Column:
+    """K4 (S16) for an edge graph: 1 / (1 + max(0, mean degree - 2)); 1 without nodes."""
+    degree = F.coalesce(F.try_divide(2.0 * n_edges, n_activities.cast("double")), F.lit(0.0))
+    return 1 / (1 + F.greatest(F.lit(0.0), degree - 2))
 
 
 def sweep_bounds(log: EventLog) -> DataFrame:
@@ -254,7 +271,7 @@ def alpha_places(log: EventLog) -> DataFrame:
         .select(F.array("a").alias("A"), F.array("b").alias("B"))
     level = _checkpoint(seeds.distinct())
     found = level
-    for _ in range(2 * len(acts)):
+    while True:      # a pair only grows, so some level is empty
         ea = level.select("A", "B", F.explode(alph).alias("x")) \
             .where((F.col("x") > F.array_max("A")) & ok_a(F.col("A"), F.col("B"), F.col("x"))) \
             .select(F.array_sort(F.array_union("A", F.array("x"))).alias("A"), "B")
@@ -408,9 +425,9 @@ def log_split_by_cut(log: EventLog, cut: DataFrame) -> DataFrame:
     smallest group name); sequence / parallel: each event goes to its
     activity's group, the sub-case is (case, group); loop: the case is cut
     into pieces at every switch between do and redo part. Rows: events with
-    ``grp`` and ``sub_case``. The cut table is alphabet-sized (broadcast).
+    ``grp`` and ``sub_case``.
     """
-    c = F.broadcast(cut.select(F.col("activity").alias(log.activity), "cut", "grp"))
+    c = cut.select(F.col("activity").alias(log.activity), "cut", "grp")
     ev = log.df.join(c, log.activity)
     kind = cut.select(F.first("cut")).collect()[0][0]
     if kind == "xor":
@@ -427,21 +444,38 @@ def log_split_by_cut(log: EventLog, cut: DataFrame) -> DataFrame:
     return ev.withColumn("sub_case", F.concat_ws("#", log.case, "grp"))
 
 
-def inductive_tree(log: EventLog, noise: float = 0.0, max_depth: int | None = None) -> DataFrame:
+def inductive_tree(log: EventLog, noise: float = 0.0) -> DataFrame:
     """I13 + I14 repeated: process tree rows (node, parent, depth, op, activity).
 
     Each node's sub-log is cut (``activity_cut``) and projected
-    (``log_split_by_cut``); the children are the groups of the cut in
-    order. A sub-log with one activity is a leaf; one without a cut becomes
-    a flower (a loop over its activities as leaves). The loop runs over
-    tree nodes, at most about twice the alphabet; every node's work is a
-    Spark job over its sub-log, whose split is checkpointed. Only cut
-    tables (alphabet-sized) come to the driver.
+    (``log_split_by_cut``); the children are the groups of the cut in order.
+    A group that some case of its parent does without becomes
+    xor(tau, group); a single activity that a sub-case repeats becomes
+    loop(activity, tau). A sub-log without a cut becomes a flower (any
+    sequence of its activities, which are its leaves). With ``noise`` 0
+    every trace of the log is in the tree's language. Each cut splits its
+    activities, so the loop ends; it runs over tree nodes, every node's work
+    is a Spark job over its sub-log, whose split is checkpointed. Only cut
+    tables and one count per group come to the driver.
     """
-    n_acts = log.df.select(log.activity).distinct().count()
-    depth_cap = max_depth if max_depth is not None else 2 * n_acts + 1
     cols = log.df.columns
     rows: list[tuple] = []
+
+    def optional(node, parent, depth, skipped: bool) -> tuple:
+        if not skipped:
+            return node, parent, depth
+        rows.append((node, parent, depth, "xor", None))
+        rows.append((f"{node}.0", node, depth + 1, "tau", None))
+        return f"{node}.1", node, depth + 1
+
+    def leaf(node, parent, depth, activity: str, repeats: bool) -> None:
+        if repeats:
+            rows.append((node, parent, depth, "loop", None))
+            rows.append((f"{node}.0", node, depth + 1, "activity", activity))
+            rows.append((f"{node}.1", node, depth + 1, "tau", None))
+        else:
+            rows.append((node, parent, depth, "activity", activity))
+
     queue = [("0", None, 0, log)]
     while queue:
         node, parent, depth, sub = queue.pop(0)
@@ -451,10 +485,11 @@ def inductive_tree(log: EventLog, noise: float = 0.0, max_depth: int | None = No
             rows.append((node, parent, depth, "tau", None))
             continue
         kind = cut[0]["cut"]
-        if kind == "activity":
-            rows.append((node, parent, depth, "activity", cut[0]["activity"]))
+        if kind == "activity":      # the whole log has one activity
+            most = sub.df.groupBy(sub.case).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            leaf(node, parent, depth, cut[0]["activity"], most > 1)
             continue
-        if kind == "none" or depth >= depth_cap:
+        if kind == "none":
             rows.append((node, parent, depth, "flower", None))
             for i, a in enumerate(sorted(r["activity"] for r in cut)):
                 rows.append((f"{node}.{i}", node, depth + 1, "activity", a))
@@ -462,17 +497,19 @@ def inductive_tree(log: EventLog, noise: float = 0.0, max_depth: int | None = No
         rows.append((node, parent, depth, kind, None))
         groups = sorted({(r["grp_order"], r["grp"]) for r in cut})
         members = {g: sorted(r["activity"] for r in cut if r["grp"] == g) for _, g in groups}
-        if all(len(m) == 1 for m in members.values()):
-            # every child is one activity: leaves, known from the cut table alone
-            for i, (_, g) in enumerate(groups):
-                rows.append((f"{node}.{i}", node, depth + 1, "activity", members[g][0]))
-            continue
         split = _checkpoint(log_split_by_cut(sub, cut_df))
+        per = split.groupBy("grp", "sub_case").agg(F.count(F.lit(1)).alias("n"))
+        stats = {r["grp"]: r for r in per.groupBy("grp").agg(F.count(F.lit(1)).alias("cases"),
+                                                             F.max("n").alias("most")).collect()}
+        n_cases = (sub.df.select(F.count_distinct(sub.case)).first()[0]
+                   if kind in ("sequence", "parallel") else None)
         for i, (_, g) in enumerate(groups):
+            skipped = n_cases is not None and stats[g]["cases"] < n_cases
+            at = optional(f"{node}.{i}", node, depth + 1, skipped)
             if len(members[g]) == 1:
-                rows.append((f"{node}.{i}", node, depth + 1, "activity", members[g][0]))
+                leaf(*at, members[g][0], stats[g]["most"] > 1)
                 continue
             child = split.where(F.col("grp") == g).select(
                 *[F.col("sub_case").alias(c) if c == log.case else F.col(c) for c in cols])
-            queue.append((f"{node}.{i}", node, depth + 1, sub.with_cases(child)))
+            queue.append((*at, sub.with_cases(child)))
     return log.spark.createDataFrame(rows, "node string, parent string, depth int, op string, activity string")

@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..log import EventLog
 from ..plans.sequence import running
-from .conformance import token_replay
+from .conformance import replay_fitness_of, token_replay
 
 
 def replay_fitness(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """K1: percentage of fitting cases, mean case fitness, log fitness."""
     tr = token_replay(log, places, arcs)
-    raw = 0.5 * (1 - F.col("remaining") / F.col("produced")) + 0.5 * (1 - F.col("missing") / F.col("consumed"))
+    raw = replay_fitness_of(F.col("produced"), F.col("consumed"), F.col("missing"), F.col("remaining"))
+    whole = replay_fitness_of(*[F.sum(c) for c in ("produced", "consumed", "missing", "remaining")])
     return tr.agg(
         r6(F.count_if("is_fit") * 100.0 / F.count(F.lit(1))).alias("perc_fit_traces"),
         r6(F.avg(raw)).alias("average_trace_fitness"),
-        r6(0.5 * (1 - F.sum("remaining") / F.sum("produced"))
-           + 0.5 * (1 - F.sum("missing") / F.sum("consumed"))).alias("log_fitness"))
+        r6(whole).alias("log_fitness"))
 
 
 def _net(places: DataFrame, arcs: DataFrame):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog, micros
-from ..plans.cases import case_table, case_variants, keep_cases
+from ..plans.cases import case_table, case_variants, keep_cases, variant_text
 from ..plans.ranking import global_rank_sum
 from ..plans.sequence import running, sequenced
 
@@ -130,8 +130,12 @@ def endpoint_keywords(log: EventLog, start_words: Sequence[str], end_words: Sequ
 # ------------------------------------------------------------------ variants
 
 def variants_in(log: EventLog, variants, positive: bool = True) -> EventLog:
-    """Keep (positive) or drop the cases of the given variants."""
-    cv = case_variants(log).where(F.col("variant").isin(_as_list(variants)))
+    """Keep (positive) or drop the cases of the given variants.
+
+    A variant is its text (separators in names escaped) or a list of activity names.
+    """
+    texts = [v if isinstance(v, str) else variant_text(v) for v in _as_list(variants)]
+    cv = case_variants(log).where(F.col("variant").isin(texts))
     return keep_cases(log, cv, negate=not positive)
 
 
@@ -157,7 +161,9 @@ def variants_percentage(log: EventLog, pct: float) -> EventLog:
 def variants_top_k(log: EventLog, k: int) -> EventLog:
     """C11: cases of the k most frequent variants."""
     cv = case_variants(log)
-    return _keep_variants(log, cv, _ranked_variants(cv).where(F.col("rank0") < k))
+    top = (cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
+           .orderBy(F.col("n_cases").desc(), F.col("variant").asc()).limit(k))
+    return _keep_variants(log, cv, top)
 
 
 def variants_coverage(log: EventLog, min_share: float) -> EventLog:
@@ -168,7 +174,7 @@ def variants_coverage(log: EventLog, min_share: float) -> EventLog:
     return _keep_variants(log, cv, v.where(F.col("n_cases") >= F.lit(min_share) * total))
 
 
-def variant_text(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
+def variant_at(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
     """Cases matching the variant at rank ``row``.
 
     ``exact``: the case's variant equals it. ``substring``: the reference's
@@ -195,7 +201,7 @@ def attr_cases(log: EventLog, attr: str, values, positive: bool = True) -> Event
 def attr_events(log: EventLog, attr: str, values, positive: bool = True) -> EventLog:
     """C14: only the events with ``attr`` in ``values`` (or not in)."""
     cond = F.col(attr).isin(_as_list(values))
-    return log.with_df(log.df.where(cond if positive else ~cond))
+    return log.with_df(log.df.where(cond if positive else ~F.coalesce(cond, F.lit(False))))
 
 
 def numeric_cases(log: EventLog, attr: str, lo: float, hi: float) -> EventLog:
@@ -280,7 +286,8 @@ def event_predicate(log: EventLog, predicate: Column) -> EventLog:
 
 # ------------------------------------------------------------------ rule flags
 
-def case_flags(log: EventLog, x: str, y: str, extra: Sequence[str] = ()) -> DataFrame:
+def case_flags(log: EventLog, x: str, y: str, extra: Sequence[str] = (),
+               category: str | None = None) -> DataFrame:
     """One aggregate per case carrying every flag C24-C27 need.
 
     ``first_xy``: which of x / y occurs first (NULL if neither);
@@ -291,6 +298,8 @@ def case_flags(log: EventLog, x: str, y: str, extra: Sequence[str] = ()) -> Data
     xy = a.isin(x, y)
     aggs = [F.min_by(F.when(xy, a), F.when(xy, o)).alias("first_xy"),
             (F.count_if(a == x) - F.count_if(a == y)).alias("bal")]
+    if category is not None:
+        aggs.append(F.min(category).alias("_cat"))
     for act in dict.fromkeys([x, y, *extra]):
         aggs.append(F.bool_or(a == act).alias(f"has_{act}"))
     return log.df.groupBy(log.case).agg(*aggs)
@@ -325,7 +334,7 @@ def category_compliant(log: EventLog, category: str, invoice: str, goods: str,
     all three present; 2-way: invoice and clear present; consignment:
     goods present.
     """
-    f = case_flags(log, invoice, goods, extra=[clear])
+    f = case_flags(log, invoice, goods, extra=[clear], category=category)
     cat = F.col("_cat")
     first = F.col("first_xy")
     has_i, has_g, has_c = F.col(f"has_{invoice}"), F.col(f"has_{goods}"), F.col(f"has_{clear}")
@@ -335,9 +344,7 @@ def category_compliant(log: EventLog, category: str, invoice: str, goods: str,
             .when(cat == CATEGORIES[0], has_i & has_c)
             .when(cat == CATEGORIES[1], has_g)
             .otherwise(F.lit(False)))
-    cats = log.df.groupBy(log.case).agg(F.min(category).alias("_cat"))
-    ids = f.join(cats, log.case).where(rule)
-    return keep_cases(log, ids)
+    return keep_cases(log, f.where(rule))
 
 
 # ------------------------------------------------------------------ cleaning
@@ -349,9 +356,9 @@ def empty_attr(log: EventLog, attr: str) -> EventLog:
 
 
 def duplicates_none(log: EventLog, id_col: str) -> EventLog:
-    """Remove every row whose ``id_col`` value occurs more than once."""
-    once = log.df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
-    return log.with_df(log.df.join(once.select(id_col), id_col, "left_semi"))
+    """Remove every row whose ``id_col`` value occurs more than once; rows without a value stay."""
+    more = log.df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return log.with_df(log.df.join(more.select(id_col), id_col, "left_anti"))
 
 
 def single_case(log: EventLog, case_id: str) -> EventLog:

@@ -87,10 +87,15 @@ def artificial_ends(log: EventLog) -> DataFrame:
     return base.unionByName(start).unionByName(end)
 
 
+def number_in(label: Column) -> Column:
+    """The first run of digits of a text as a number."""
+    return F.regexp_extract(label, r"(\d+)", 1).try_cast("long")
+
+
 def case_number(df: DataFrame, col: str = "case_id") -> DataFrame:
     """The first run of digits of a case label as a number ("patient12" -> 12)."""
     return df.select(col).distinct().select(
-        col, F.regexp_extract(F.col(col), r"(\d+)", 1).try_cast("long").alias("case_number"))
+        col, number_in(F.col(col)).alias("case_number"))
 
 
 def trace_features(log: EventLog, values: Sequence[str], num: str = "num") -> DataFrame:
@@ -99,10 +104,9 @@ def trace_features(log: EventLog, values: Sequence[str], num: str = "num") -> Da
     ``values`` is the activity alphabet to encode (the feature columns).
     """
     s = sequenced(log, carry=("activity",))
-    pair = F.concat_ws("->", F.col("activity"), F.col("next_activity"))
     o = F.struct(*[F.col(c) for c in log.order_cols])
     aggs = [F.count_if(F.col("activity") == v).alias(f"act_{v}") for v in values]
-    aggs += [F.count_if(pair == f"{a}->{b}").alias(f"succ_{a}_{b}") for a in values for b in values]
+    aggs += [F.count_if((F.col("activity") == a) & (F.col("next_activity") == b)).alias(f"succ_{a}_{b}") for a in values for b in values]
     aggs.append(F.max_by(F.col(num), o).alias(f"last_{num}"))
     return s.groupBy(log.case).agg(*aggs)
 

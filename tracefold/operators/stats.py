@@ -86,7 +86,7 @@ def variant_profile(log: EventLog) -> DataFrame:
     p = _case_profile_us(log)
     mean, std = exact_mean_std(F.col("duration_us"))
     g = p.groupBy("activity_list").agg(
-        F.avg("n_events").alias("avg_activity"),
+        F.avg("n_events").alias("avg_events"),
         F.count(F.lit(1)).alias("cases"),
         F.avg("n_resources").alias("avg_resource"),
         mean.alias("_avg"), std.alias("_std"),
@@ -94,9 +94,9 @@ def variant_profile(log: EventLog) -> DataFrame:
         F.sum("duration_us").alias("_sum"))
     # exact sums and the same final double operations in every engine: no rounding
     # (rounding a mean of integer microseconds would meet .5 ties)
-    return g.select("activity_list", "avg_activity", "cases", "avg_resource",
+    return g.select("activity_list", "avg_events", "cases", "avg_resource",
                     F.col("_avg").alias("avg_duration"),
-                    (F.col("_min") / 1e6).alias("minimal_duration"),
+                    (F.col("_min") / 1e6).alias("min_duration"),
                     F.col("_std").alias("std_duration"),
                     (F.col("_sum") / 1e6).alias("sum_duration"))
 
@@ -114,7 +114,7 @@ def activity_counts(log: EventLog) -> DataFrame:
 def topic_dimensions(df: DataFrame, topic: str, sums: Sequence[str], ts: str = "ts") -> DataFrame:
     """Per topic: occurrences, sum of each listed column, duration max-min (s)."""
     return df.groupBy(F.col(topic).alias("topic")).agg(
-        F.count(F.lit(1)).alias("occurences"),
+        F.count(F.lit(1)).alias("occurrences"),
         *[_sum_keep_type(df, c).alias(f"sum_{c}") for c in sums],
         (seconds_between(F.min(ts), F.max(ts))).alias("duration_s"))
 
@@ -153,11 +153,13 @@ def nulls_per_column(df: DataFrame) -> DataFrame:
     return row.unpivot([], df.columns, "column", "n_null")
 
 
-def value_counts_all(df: DataFrame, cols: Sequence[str], max_distinct: int = 2000) -> DataFrame:
-    """Value counts of each listed column; columns with >= max_distinct values skipped."""
+def value_counts_all(df: DataFrame, cols: Sequence[str], max_distinct: int | None = None) -> DataFrame:
+    """Value counts of each listed column; ``max_distinct`` (off) leaves out columns with that many values."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value")
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if max_distinct is None:
+        return vc
     per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("_nd")).where(F.col("_nd") < max_distinct)
     # one row per listed column: a bounded broadcast side
     return vc.join(F.broadcast(per_col.select("column")), "column")
@@ -190,8 +192,9 @@ def filter_effect(log: EventLog, area: str, dup_id: str, d1, d2) -> DataFrame:
     left). One conditional aggregate per case, then one over cases.
     """
     once = log.df.groupBy(dup_id).agg(F.count(F.lit(1)).alias("_dn"))
-    ev = log.df.join(once, dup_id)
-    ok = F.col("_dn") == 1
+    # a NULL id is no duplicate of anything: it stays
+    ev = log.df.join(once.where(F.col(dup_id).isNotNull()), dup_id, "left")
+    ok = F.coalesce("_dn", F.lit(1)) == 1
     per = ev.groupBy(log.case).agg(
         F.bool_and(F.nullif(F.col(area), F.lit("")).isNotNull()).alias("ok_area"),
         F.count_if(ok).alias("n_left"),
@@ -229,15 +232,15 @@ def rank_index(df: DataFrame, order: Sequence[Column], name: str = "rank0") -> D
 def zscore_columns(df: DataFrame, key: str) -> DataFrame:
     """(x - mean) / sample std for every numeric column of an aggregated table."""
     nums = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
-    stats = {c: (df.select(F.avg(c)).scalar(), df.select(F.stddev_samp(c)).scalar()) for c in nums}
-    return df.select(key, *[r6(F.try_divide(F.col(c) - stats[c][0], stats[c][1])).alias(f"z_{c}")
+    w = Window.partitionBy(F.lit(0))       # an aggregated table: one row per key
+    return df.select(key, *[r6(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))).alias(f"z_{c}")
                             for c in nums])
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """L1: equal-width bins over [min, max], last bin closed; empty bins included."""
-    lo = df.select(F.min(col).cast("double")).scalar()
-    hi = df.select(F.max(col).cast("double")).scalar()
+    edge = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    lo, hi = F.lit(edge[0]).cast("double"), F.lit(edge[1]).cast("double")
     width = (hi - lo) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1))).cast("int")
@@ -252,8 +255,8 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def empirical_cdf(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """PDF and CDF over the histogram bins (bins are few: plain window)."""
     h = histogram_bins(df, col, bins)
-    total = h.select(F.sum("n")).scalar()
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return h.select("bin", "hi", "n", r6(F.col("n") / total).alias("pdf"),
                     r6(F.sum("n").over(w) / total).alias("cdf"))
 

@@ -9,7 +9,8 @@ The temporal profile (S19) never emits event pairs: with per-activity
 running counts C_a, sums S_a and sums of squares Q_a of earlier event
 times, the pairs (a, b) ending in event j contribute
 ``n = C_a``, ``sum d = C_a t_j - S_a``, ``sum d^2 = C_a t_j^2 - 2 t_j S_a + Q_a``.
-Times are exact integers (DECIMAL(38,0) microseconds from the log's first
+An event meets each activity of its own case once, whatever the alphabet.
+Times are exact integers (DECIMAL(38,0) microseconds from the case's first
 timestamp), so the result does not depend on summation order.
 """
 
@@ -20,15 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_mean_std, r6, seconds_between, us_between
+from ..functions.columns import exact_mean_std, mean_std_of_sums, r6, seconds_between, us_between
 from ..log import EventLog, micros
 from ..plans.ranking import global_rank_sum
 from ..plans.sequence import running, sequenced
 
-# Alphabets above this size use the exact pair join instead of one running
-# sum per activity.
-MAX_PROFILE_ALPHABET = 200
-
 
 def case_durations(log: EventLog) -> DataFrame:
     """H1: duration of every case (seconds, from exact microseconds)."""
@@ -141,14 +138,15 @@ def lead_cycle_time(log: EventLog, start: str = "start_ts", end: str = "ts",
 
 
 def case_profile_times(log: EventLog, start: str = "start_ts", end: str = "ts") -> DataFrame:
-    """E5: case profile with the final cycle, lead and waste of each case."""
+    """E5: case profile (E4) with the final cycle, lead and waste of each case."""
+    from .stats import case_profile
     lc = lead_cycle_time(log, start, end)
     per = lc.groupBy(log.case).agg(
         F.max("partial_cycle_s").alias("cycle_s"), F.max("partial_lead_s").alias("lead_s"),
-        F.count(F.lit(1)).alias("n_events"),
         F.count_distinct("activity").alias("n_activities"))
-    return per.select(log.case, "n_events", "n_activities", "cycle_s", "lead_s",
-                      r6(F.col("lead_s") - F.col("cycle_s")).alias("waste_s"))
+    return case_profile(log).join(per, log.case).select(
+        log.case, "n_events", "activity_list", "n_activities", "n_resources", "duration_s", "cycle_s", "lead_s",
+        r6(F.col("lead_s") - F.col("cycle_s")).alias("waste_s"))
 
 
 def sojourn_time(log: EventLog, start: str = "start_ts", end: str = "ts") -> DataFrame:
@@ -174,40 +172,27 @@ def performance_spectrum(log: EventLog, acts: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------ eventually follows
 
 def _pair_sums(log: EventLog) -> DataFrame:
-    """(a, b, n, s1, s2): pairs i<j in a case with act_i=a, act_j=b; sums of d and d^2 (us)."""
-    acts = [r[0] for r in log.df.select(log.activity).distinct().orderBy(log.activity).collect()]
-    origin = log.df.select(F.min(micros(F.col("ts")))).scalar()
-    t = (micros(F.col("ts")) - origin).cast("decimal(38,0)")
-    if len(acts) > MAX_PROFILE_ALPHABET:
-        return _pair_sums_join(log, t)
-    zero = F.lit(0).cast("decimal(38,0)")
-    aggs = {}
-    for i, a in enumerate(acts):
-        is_a = F.col(log.activity) == a
-        aggs[f"_c{i}"] = ("sum", is_a.cast("long"))
-        aggs[f"_s{i}"] = ("sum", F.when(is_a, t).otherwise(zero))
-        aggs[f"_q{i}"] = ("sum", F.when(is_a, t * t).otherwise(zero))
-    base = log.with_df(log.df.select(log.case, log.activity, *log.order_cols))
-    r = running(base, None, [log.case], aggs, inclusive=False)
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.col(f"_c{i}").alias("c"),
-                             F.col(f"_s{i}").alias("s"), F.col(f"_q{i}").alias("q"))
-                    for i, a in enumerate(acts)])
-    x = r.select(F.col(log.activity).alias("b"), t.alias("t"), F.inline(arr)).where(F.col("c") > 0)
-    c = F.col("c").cast("decimal(38,0)")
-    return x.groupBy("a", "b").agg(
-        F.sum("c").alias("n"),
-        F.sum(c * F.col("t") - F.col("s")).alias("s1"),
-        F.sum(c * F.col("t") * F.col("t") - F.lit(2) * F.col("t") * F.col("s") + F.col("q")).alias("s2"))
-
-
-def _pair_sums_join(log: EventLog, t: Column) -> DataFrame:
-    """Exact fallback for very large alphabets: ordered self-join within the case."""
-    s = sequenced(log.with_df(log.df.withColumn("_t", t)), carry=())
-    l = s.select(log.case, F.col(log.activity).alias("a"), F.col("pos").alias("pi"), F.col("_t").alias("ti"))
-    rgt = s.select(log.case, F.col(log.activity).alias("b"), F.col("pos").alias("pj"), F.col("_t").alias("tj"))
-    d = (F.col("tj") - F.col("ti"))
-    return (l.join(rgt, log.case).where(F.col("pi") < F.col("pj"))
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("s1"), F.sum(d * d).alias("s2")))
+    """(a, b, n, s1, s2): pairs i<j in a case with act_i=a, act_j=b; sums of d and d^2 (us).
+
+    Each event is repeated once per distinct activity of its case; running
+    sums per (case, activity) then carry count, time and squared time of the
+    earlier events of that activity. Nothing depends on the whole alphabet
+    and nothing is gathered on the driver.
+    """
+    per = log.df.groupBy(log.case).agg(F.min(micros(F.col("ts"))).alias("_t0"),
+                                       F.collect_set(log.activity).alias("_acts"))
+    x = (log.df.select(log.case, log.activity, *log.order_cols).join(per, log.case)
+         .withColumn("_t", (micros(F.col("ts")) - F.col("_t0")).cast("decimal(38,0)"))
+         .withColumn("_a", F.explode("_acts")).drop("_t0", "_acts"))
+    is_a, zero = F.col(log.activity) == F.col("_a"), F.lit(0).cast("decimal(38,0)")
+    r = running(log, x, [log.case, "_a"], {
+        "_c": ("sum", is_a.cast("long")), "_s": ("sum", F.when(is_a, F.col("_t")).otherwise(zero)),
+        "_q": ("sum", F.when(is_a, F.col("_t") * F.col("_t")).otherwise(zero))}, inclusive=False)
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    c, t, s, q = (big(k) for k in ("_c", "_t", "_s", "_q"))
+    return (r.where(F.col("_c") > 0).groupBy(F.col("_a").alias("a"), F.col(log.activity).alias("b"))
+            .agg(F.sum(c).alias("n"), F.sum(c * t - s).alias("s1"),
+                 F.sum(t * (c * t - s) - (t * s - q)).alias("s2")))
 
 
 def eventually_follows(log: EventLog) -> DataFrame:
@@ -218,10 +203,7 @@ def eventually_follows(log: EventLog) -> DataFrame:
 def temporal_profile(log: EventLog) -> DataFrame:
     """H11 (S19): mean and sample std of the time from a to every later b, in seconds."""
     p = _pair_sums(log)
-    n = F.col("n").cast("decimal(38,0)")
-    mean = F.col("s1").cast("double") / F.col("n").cast("double") / 1e6
-    num = (F.col("s2") * n - F.col("s1") * F.col("s1")).cast("double")
-    std = F.when(F.col("n") > 1, F.sqrt(num / (F.col("n") * (F.col("n") - 1)).cast("double")) / 1e6)
+    mean, std = mean_std_of_sums(F.col("n"), F.col("s1"), F.col("s2"))
     return p.select("a", "b", F.col("n").cast("long").alias("n_pairs"), mean.alias("mean_s"), std.alias("std_s"))
 
 
@@ -231,8 +213,7 @@ def exact_group_median(df: DataFrame, keys: Sequence[str], col: str, tie: str) -
     r = global_rank_sum(df.select(*keys, col, tie),
                         [*(F.col(k).asc() for k in keys), F.col(col).asc(), F.col(tie).asc()], {}, "_r")
     g = r.groupBy(*keys).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    # a group key can be hot, so the small per-group table is broadcast once its size is known
-    j = r.join(F.broadcast(g) if g.count() <= 1_000_000 else g, keys)
+    j = r.join(g, keys)     # a hot group key is split by adaptive execution
     mid = (F.col("_r") == F.col("_s") + F.floor((F.col("_n") - 1) / 2)) | \
           (F.col("_r") == F.col("_s") + F.ceil((F.col("_n") - 1) / 2))
     return j.where(mid).groupBy(*keys).agg(F.avg(col).alias("median"))

@@ -47,6 +47,16 @@ def variants_cte(log: str) -> str:
 
 SQL: dict[str, str] = {}
 
+
+def std_sql(x: str) -> str:
+    """Sample std in seconds of whole microseconds, centred on a whole number near the mean."""
+    n, s1 = "CAST(count(*) AS HUGEINT)", f"sum(CAST({x} AS HUGEINT))"
+    q = f"CAST(CAST(floor(CAST({s1} AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS HUGEINT)"
+    off = f"({s1} - {n} * {q})"
+    around = f"CAST(sum(CAST({x} AS HUGEINT) * CAST({x} AS HUGEINT)) - {q} * ({s1} + {off}) AS DOUBLE)"
+    return (f"CASE WHEN count(*) > 1 THEN round(sqrt(greatest(0, ({around} - CAST({off} AS DOUBLE) * CAST({off} AS DOUBLE)"
+            f" / count(*)) / (count(*) - 1))) / 1000000.0, 6) END")
+
 # ------------------------------------------------------------------ E1-E3
 SQL["variant_stats"] = variants_cte("day") + "SELECT variant, n_cases FROM vc"
 
@@ -236,12 +246,11 @@ _PROFILE = f"""prof AS (
 """
 SQL["case_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}SELECT * FROM prof"
 SQL["variant_profile"] = f"WITH log AS ({DAY}),\n{_PROFILE}" + """
-SELECT activity_list, avg(n_events) AS avg_activity, count(*) AS cases,
+SELECT activity_list, avg(n_events) AS avg_events, count(*) AS cases,
        avg(n_resources) AS avg_resource,
        CAST(sum(us) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS avg_duration,
-       min(us) / 1000000.0 AS minimal_duration,
-       CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(us AS HUGEINT) * us) * count(*) - sum(CAST(us AS HUGEINT)) * sum(CAST(us AS HUGEINT)) AS DOUBLE)
-             / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_duration,
+       min(us) / 1000000.0 AS min_duration,
+       """ + std_sql("us") + """ AS std_duration,
        sum(us) / 1000000.0 AS sum_duration
 FROM (SELECT *, CAST(round(duration_s * 1000000) AS BIGINT) AS us FROM prof) GROUP BY activity_list"""
 SQL["attribute_values"] = with_log("day", "SELECT resource AS value, count(*) AS n_events FROM log GROUP BY 1")
@@ -251,7 +260,7 @@ SQL["end_activities"] = f"WITH log AS ({DAY}),\n{ct_cte('day')}" + \
     "SELECT last_activity AS activity, count(*) AS n_cases FROM ct GROUP BY 1"
 SQL["activity_counts"] = with_log("ord", "SELECT activity, count(*) AS n_events FROM log GROUP BY 1")
 
-_TOPICS = """tp AS (SELECT event_type AS topic, count(*) AS occurences, round(sum(value), 6) AS sum_value,
+_TOPICS = """tp AS (SELECT event_type AS topic, count(*) AS occurrences, round(sum(value), 6) AS sum_value,
        CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s
 FROM events GROUP BY event_type)"""
@@ -277,7 +286,7 @@ SQL["value_counts_all"] = """WITH long AS (
   UNION ALL SELECT 'props', props FROM events
   UNION ALL SELECT 'value', CAST(value AS VARCHAR) FROM events),
 vc AS (SELECT "column", value, count(*) AS n FROM long GROUP BY 1, 2)
-SELECT * FROM vc WHERE "column" IN (SELECT "column" FROM vc GROUP BY 1 HAVING count(*) < 2000)"""
+SELECT * FROM vc"""
 SQL["crosstab_case_activity"] = with_log("day", """SELECT case_id,
   count(*) FILTER (WHERE activity = 'click') AS click, count(*) FILTER (WHERE activity = 'error') AS error,
   count(*) FILTER (WHERE activity = 'purchase') AS purchase, count(*) FILTER (WHERE activity = 'signup') AS signup,
@@ -292,7 +301,7 @@ d AS (SELECT dup_id, count(*) AS dn FROM log GROUP BY 1),
 per AS (SELECT case_id, bool_and(area IS NOT NULL AND area <> '') AS ok_area,
           count(*) FILTER (WHERE dn = 1) AS n_left,
           min(ts) FILTER (WHERE dn = 1) AS t0, max(ts) FILTER (WHERE dn = 1) AS t1
-        FROM log JOIN d USING (dup_id) GROUP BY case_id),
+        FROM log LEFT JOIN d USING (dup_id) GROUP BY case_id),
 c AS (SELECT count(*) AS c0, count(*) FILTER (WHERE ok_area) AS c1,
         count(*) FILTER (WHERE ok_area AND n_left > 0) AS c2,
         count(*) FILTER (WHERE ok_area AND n_left > 0 AND t0 >= TIMESTAMP '2024-01-05 00:00:00'
@@ -314,7 +323,7 @@ SQL["next_event"] = with_log("day", """SELECT case_id, activity, ts, tie,
   CAST(row_number() OVER w - 1 AS BIGINT) AS pos, lead(activity) OVER w AS next_activity, lead(ts) OVER w AS next_ts
 FROM log WINDOW w AS (PARTITION BY case_id ORDER BY ts, tie)""")
 SQL["zscore_columns"] = f"WITH {_TOPICS}\n" + """SELECT topic,
-  round((occurences - avg(occurences) OVER ()) / stddev_samp(occurences) OVER (), 6) AS z_occurences,
+  round((occurrences - avg(occurrences) OVER ()) / stddev_samp(occurrences) OVER (), 6) AS z_occurrences,
   round((sum_value - avg(sum_value) OVER ()) / stddev_samp(sum_value) OVER (), 6) AS z_sum_value,
   round((sum_k - avg(sum_k) OVER ()) / stddev_samp(sum_k) OVER (), 6) AS z_sum_k,
   round((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER (), 6) AS z_duration_s
@@ -409,8 +418,7 @@ _PAIRS = """p AS (SELECT i.activity AS a, j.activity AS b, CAST(epoch_us(j.ts) -
 SQL["eventually_follows"] = f"WITH log AS ({DAY}),\n{_PAIRS}\nSELECT a, b, count(*) AS n_pairs FROM p GROUP BY a, b"
 SQL["temporal_profile"] = f"WITH log AS ({USER}),\n{_PAIRS}\n" + """SELECT a, b, count(*) AS n_pairs,
   CAST(sum(d) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS mean_s,
-  CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(d * d) * count(*) - sum(d) * sum(d) AS DOUBLE)
-        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_s
+  """ + std_sql("d") + """ AS std_s
 FROM p GROUP BY a, b"""
 _DURS = "SELECT case_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM log GROUP BY 1"
 SQL["case_durations"] = with_log("day", f"SELECT case_id, us / 1000000.0 AS duration_s FROM ({_DURS})")
@@ -463,10 +471,13 @@ FROM rs"""
 
 SQL["lead_cycle_time"] = _lead_cycle(False)
 SQL["lead_cycle_business"] = _lead_cycle(True)
-SQL["case_profile_times"] = "WITH lc AS (" + _lead_cycle(False) + """)
-SELECT case_id, count(*) AS n_events, count(DISTINCT activity) AS n_activities, max(partial_cycle_s) AS cycle_s,
-  max(partial_lead_s) AS lead_s, round(max(partial_lead_s) - max(partial_cycle_s), 6) AS waste_s
-FROM lc GROUP BY case_id"""
+SQL["case_profile_times"] = "WITH lc AS (" + _lead_cycle(False) + f"""),
+log AS ({IVL_USER}),
+prof AS (SELECT case_id, count(*) AS n_events, string_agg(activity, ', ' ORDER BY ts, tie) AS activity_list,
+           count(DISTINCT activity) AS n_activities, count(DISTINCT resource) AS n_resources,
+           (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s FROM log GROUP BY case_id),
+ends AS (SELECT case_id, max(partial_cycle_s) AS cycle_s, max(partial_lead_s) AS lead_s FROM lc GROUP BY case_id)
+SELECT prof.*, cycle_s, lead_s, round(lead_s - cycle_s, 6) AS waste_s FROM prof JOIN ends USING (case_id)"""
 SQL["sojourn_time"] = with_log("ivl", """SELECT activity,
   CAST(sum(epoch_us(ts) - epoch_us(start_ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS sojourn_s,
   count(*) AS n_events FROM log GROUP BY activity""")
@@ -498,9 +509,8 @@ SELECT activity AS a, na AS b, count(*) AS n,
   CAST(sum(epoch_us(nt) - epoch_us(ts)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0 AS mean_s,
   min(epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS min_s,
   max(epoch_us(nt) - epoch_us(ts)) / 1000000.0 AS max_s,
-  CASE WHEN count(*) > 1 THEN sqrt(CAST(sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT) * (epoch_us(nt) - epoch_us(ts))) * count(*)
-        - sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) * sum(CAST(epoch_us(nt) - epoch_us(ts) AS HUGEINT)) AS DOUBLE)
-        / CAST(count(*) * (count(*) - 1) AS DOUBLE)) / 1000000.0 END AS std_s
+  """ + std_sql("(epoch_us(nt) - epoch_us(ts))") + """ AS std_s,
+  quantile_cont(epoch_us(nt) - epoch_us(ts), 0.5) / 1000000.0 AS median_s
 FROM steps WHERE na IS NOT NULL GROUP BY 1, 2""")
 SQL["dfg_triples"] = _disc("day", "\nSELECT activity AS a, na AS b, nna AS c, count(*) AS n FROM steps WHERE nna IS NOT NULL GROUP BY 1, 2, 3")
 SQL["dfg_case_attributes"] = _disc("day", "\nSELECT category, activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2, 3", _CAT_LOG)
@@ -551,12 +561,16 @@ FROM kept x JOIN kept y ON x.a = y.a AND x.b < y.b
 LEFT JOIN dfg bc ON bc.a = x.b AND bc.b = y.b LEFT JOIN dfg cb ON cb.a = y.b AND cb.b = x.b""")
 SQL["parameter_sweep"] = _disc("day", _dep(-1.0, 0, 0, 2.0) + """,
 g AS (SELECT * FROM (VALUES (0.6, 3, 3), (0.9, 30, 30), (0.9, 300, 300), (0.99, 3000, 3000)) t(dep_t, act_t, edge_t)),
-x AS (SELECT g.*, dg.* FROM g JOIN dg ON dg.dep >= g.dep_t AND dg.n >= g.edge_t AND dg.ca >= g.act_t AND dg.cb >= g.act_t)
-SELECT CAST(dep_t AS DOUBLE) AS dep_t, act_t, edge_t, count(*) AS n_edges,
-  (SELECT count(DISTINCT v) FROM (SELECT a AS v FROM x x2 WHERE x2.dep_t = x.dep_t AND x2.act_t = x.act_t
-     UNION ALL SELECT b FROM x x3 WHERE x3.dep_t = x.dep_t AND x3.act_t = x.act_t)) AS n_activities,
-  CAST(sum(n) AS BIGINT) AS covered_steps
-FROM x GROUP BY dep_t, act_t, edge_t""")
+x AS (SELECT g.*, dg.* FROM g JOIN dg ON dg.dep >= g.dep_t AND dg.n >= g.edge_t AND dg.ca >= g.act_t AND dg.cb >= g.act_t),
+v AS (SELECT g.dep_t, g.act_t, (SELECT count(*) FROM x WHERE x.dep_t = g.dep_t AND x.act_t = g.act_t) AS n_edges, g.edge_t,
+  (SELECT count(DISTINCT e) FROM (SELECT a AS e FROM x WHERE x.dep_t = g.dep_t AND x.act_t = g.act_t
+     UNION ALL SELECT b FROM x WHERE x.dep_t = g.dep_t AND x.act_t = g.act_t)) AS n_activities,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM x WHERE x.dep_t = g.dep_t AND x.act_t = g.act_t) AS covered_steps,
+  (SELECT CAST(sum(n) AS BIGINT) FROM dfg) AS steps FROM g),
+m AS (SELECT *, CAST(covered_steps AS DOUBLE) / steps AS fit,
+  1 / (1 + greatest(0, CASE WHEN n_activities = 0 THEN 0 ELSE 2.0 * n_edges / CAST(n_activities AS DOUBLE) END - 2)) AS simple FROM v)
+SELECT CAST(dep_t AS DOUBLE) AS dep_t, act_t, edge_t, n_edges, n_activities, covered_steps,
+  round(fit, 6) AS fitness, round(simple, 6) AS simplicity, round(fit + simple, 6) AS score FROM m""")
 SQL["sweep_bounds"] = variants_cte("ord") + """SELECT min(n_cases) AS min_count, max(n_cases) AS max_count,
   (SELECT n_cases FROM (SELECT n_cases, row_number() OVER (ORDER BY n_cases DESC, variant) - 1 AS r FROM vc)
    WHERE r = floor((SELECT count(*) FROM vc) * 0.1)) AS count_at_10pct FROM vc"""
@@ -725,7 +739,9 @@ def _simp(places, arcs) -> str:
 
 
 SQL["generalization"] = "SELECT * FROM " + _gen(FIXED_NET_ARCS)
-SQL["simplicity"] = "SELECT * FROM " + _simp(FIXED_NET_PLACES, FIXED_NET_ARCS)
+SQL["simplicity"] = _disc("day", _dep(0.05, 100, 50, 0.9) + """
+SELECT round(1 / (1 + greatest(0, 2.0 * (SELECT count(*) FROM kept) / count(DISTINCT x) - 2)), 6) AS simplicity
+FROM (SELECT a AS x FROM kept UNION ALL SELECT b FROM kept)""")
 SQL["edge_precision"] = f"WITH log AS ({DAY}),\n{steps_cte('day')},\nedges AS {_values(FIXED_EDGES, 'a, b')}" + """,
 dfg AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2),
 seen AS (SELECT e.a, count(*) AS n_allowed, count(d.n) AS n_seen FROM edges e LEFT JOIN dfg d USING (a, b) GROUP BY 1),
@@ -760,7 +776,7 @@ SQL["src_csv_semicolon"] = with_log("day", "SELECT * FROM log")
 SQL["src_parse_timestamps"] = with_log("day", "SELECT case_id, activity, ts, tie FROM log")
 SQL["src_cached_table"] = with_log("day", "SELECT * FROM log")
 SQL["sink_table"] = SQL["case_profile"]
-SQL["sink_by_category"] = f"WITH log AS ({_CAT_LOG}) SELECT * FROM log WHERE category = 'Consignment'"
+SQL["sink_by_category"] = f"WITH log AS ({_CAT_LOG}) SELECT * FROM log"
 SQL["sink_report"] = SQL["rank_models"]
 SQL["src_xes"] = with_log("day", "SELECT case_id, activity, ts, resource FROM log")
 SQL["unfit_case_ids"] = replay_ctes() + """,

@@ -5,6 +5,9 @@ aggregation, so a hot case costs one row per map task in the shuffle.
 Keeping the events of qualifying cases is a ``left_semi`` join; AQE's
 skew-join handling splits a hot case on the event side.
 
+The text of a variant is unambiguous: a separator or backslash inside an
+activity name is escaped by a backslash, so equal texts are equal traces.
+
 Variants are built in two levels, so a long case is never sorted as one
 group: the activities of each (case, chunk) are joined in order, then the
 chunk texts of a case are joined in chunk order.
@@ -41,6 +44,16 @@ def duration_us(start: Column, end: Column) -> Column:
     return micros(end) - micros(start)
 
 
+def escaped(name: Column, sep: str = VARIANT_SEP) -> Column:
+    """Activity name as it stands in a variant text (the separator's first sign escaped)."""
+    return F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit(sep[0]), F.lit("\\" + sep[0]))
+
+
+def variant_text(activities, sep: str = VARIANT_SEP) -> str:
+    """Variant text of a Python sequence of activity names."""
+    return sep.join(a.replace("\\", "\\\\").replace(sep[0], "\\" + sep[0]) for a in activities)
+
+
 def case_variants(log: EventLog, sep: str = VARIANT_SEP, name: str = "variant",
                   value: str | None = None) -> DataFrame:
     """(case_id, variant, variant_len): the case's activities joined by ``sep``.
@@ -51,7 +64,7 @@ def case_variants(log: EventLog, sep: str = VARIANT_SEP, name: str = "variant",
     df, cut = with_chunks(log, flag=True)
     keys = [log.case, "_chunk", "_hot"] if cut else [log.case]
     ordered = F.sort_array(F.collect_list(
-        F.struct(*[F.col(c) for c in log.order_cols], F.col(value or log.activity).alias("_a"))))
+        F.struct(*[F.col(c) for c in log.order_cols], escaped(F.col(value or log.activity), sep).alias("_a"))))
     per = df.groupBy(*keys).agg(
         F.array_join(ordered["_a"], sep).alias("_txt"),
         F.count(F.lit(1)).alias("_len"))

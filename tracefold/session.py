@@ -1,8 +1,9 @@
 """Spark session settings the engine relies on.
 
-Everything the operators need from the session is set here once: UTC time
-zone (test parquet is TIMESTAMP_NTZ and some functions convert to zoned
-time), adaptive execution with skew-join splitting, and a checkpoint folder.
+Operators need two things from a session: the UTC time zone (test parquet is
+TIMESTAMP_NTZ and some functions convert to zoned time) and a checkpoint
+folder. Adaptive execution with skew-join splitting, Spark's default, is
+assumed; sessions built here for tests and local runs set it.
 On a cluster the checkpoint folder comes from ``spark.checkpoint.dir``; only
 when that is unset (tests, local runs) a scratch folder is created.
 """
@@ -14,9 +15,11 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every session used with the engine should carry.
+# The one setting results depend on; it is set on any session.
+RESULT_CONF = {"spark.sql.session.timeZone": "UTC"}
+# Settings of sessions that ``build_session`` makes; a caller's own session keeps its tuning.
 ENGINE_CONF = {
-    "spark.sql.session.timeZone": "UTC",
+    **RESULT_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -46,12 +49,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session (driver-made)."""
-    for k, v in ENGINE_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static or locked settings are left as they are
-            pass
+    """Set what results depend on (the time zone) on an existing session; tuning stays the caller's."""
+    for k, v in RESULT_CONF.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
 
 

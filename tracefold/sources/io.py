@@ -38,15 +38,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_csv_log(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                  sep: str = ",", encoding: str = "ISO-8859-1", rename: dict | None = None,
-                 header: bool = True) -> DataFrame:
+                 header: bool = True, timestamp_format: str | None = None) -> DataFrame:
     """A1 / A2: CSV to event table with an explicit schema, then canonical names.
 
     Without a schema every column is read as text (inference is opt-in via
-    ``parse_timestamps`` and casts).
+    ``parse_timestamps`` and casts). Without ``timestamp_format`` Spark's own
+    reading applies: ISO dates and times, with ``T`` or a blank between.
     """
     r = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-         .option("mode", "FAILFAST").option("timestampNTZFormat", CSV_TS_FORMAT)
-         .option("timestampFormat", CSV_TS_FORMAT))
+         .option("mode", "FAILFAST"))
+    if timestamp_format:
+        r = r.option("timestampNTZFormat", timestamp_format).option("timestampFormat", timestamp_format)
     df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
     if rename:
         df = df.withColumnsRenamed(rename)
@@ -68,10 +70,11 @@ def parse_timestamps(df: DataFrame, cols: Sequence[str] | None = None,
     text = [c for c, t in df.dtypes if t == "string" and (cols is None or c in cols)]
     if not text:
         return df
-    fails = df.agg(*[F.count_if(F.col(c).isNotNull() & (F.col(c) != "") & _parse_ts(F.col(c), formats).isNull())
-                     .alias(c) for c in text]).collect()[0]
-    seen = df.agg(*[F.count(F.nullif(F.col(c), F.lit(""))).alias(c) for c in text]).collect()[0]
-    ok = [c for c in text if fails[c] == 0 and seen[c] > 0]
+    value = {c: F.nullif(F.col(c), F.lit("")) for c in text}
+    row = df.agg(*[F.count(value[c]).alias(f"n_{k}") for k, c in enumerate(text)],
+                 *[F.count_if(value[c].isNotNull() & _parse_ts(F.col(c), formats).isNull()).alias(f"bad_{k}")
+                   for k, c in enumerate(text)]).first()
+    ok = [c for k, c in enumerate(text) if row[f"bad_{k}"] == 0 and row[f"n_{k}"] > 0]
     return df.withColumns({c: _parse_ts(F.col(c), formats) for c in ok}) if ok else df
 
 
@@ -118,22 +121,35 @@ def _attrs(x: Column) -> Column:
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
-    """A5: XES log to the canonical event table (case_id, activity, ts, resource, attrs).
+    """A5: XES log to the canonical event table (case_id, activity, ts, resource, attrs, case_attrs).
 
     Rows are traces (``rowTag=trace``); events are exploded with their
-    position. Dates are zoned in XES and read as UTC.
+    position. Dates are zoned in XES and read as UTC. ``case_attrs`` holds
+    the trace's own attributes (``creator`` and the like) as a map.
     """
-    tr = spark.read.format("xml").option("rowTag", "trace").schema(XES_TRACE_SCHEMA).load(path)
-    t = tr.select(_attrs(F.struct(*[F.col(tag) for tag in _TAGS])).alias("tattr"),
-                  F.posexplode("event").alias("pos", "ev"))
-    e = t.select("tattr", "pos", _attrs(F.col("ev")).alias("eattr"))
+    e = _xes_traces(spark, path).select("case_id", "case_attrs", F.posexplode("event").alias("pos", "ev")).select(
+        "case_id", "case_attrs", "pos", _attrs(F.col("ev")).alias("eattr"))
     return e.select(
-        F.col("tattr")["concept:name"].alias("case_id"),
+        "case_id",
         F.col("eattr")["concept:name"].alias("activity"),
         F.to_timestamp(F.col("eattr")["time:timestamp"]).cast("timestamp_ntz").alias("ts"),
         F.col("pos").cast("long").alias("tie"),
         F.col("eattr")["org:resource"].alias("resource"),
-        F.map_filter("eattr", lambda k, v: ~k.isin("concept:name", "time:timestamp", "org:resource")).alias("attrs"))
+        F.map_filter("eattr", lambda k, v: ~k.isin("concept:name", "time:timestamp", "org:resource")).alias("attrs"),
+        "case_attrs")
+
+
+def read_xes_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A5 (cases): every trace with its number of events and attributes, also those without events."""
+    return _xes_traces(spark, path).select(
+        "case_id", F.coalesce(F.size("event"), F.lit(0)).cast("long").alias("n_events"), "case_attrs")
+
+
+def _xes_traces(spark: SparkSession, path: str) -> DataFrame:
+    tr = spark.read.format("xml").option("rowTag", "trace").schema(XES_TRACE_SCHEMA).load(path)
+    t = tr.select(_attrs(F.struct(*[F.col(tag) for tag in _TAGS])).alias("tattr"), "event")
+    return t.select(F.col("tattr")["concept:name"].alias("case_id"), "event",
+                    F.map_filter("tattr", lambda k, v: k != "concept:name").alias("case_attrs"))
 
 
 def write_xes(cases: DataFrame, path: str) -> str:
