@@ -247,3 +247,13 @@ def test_scans_are_few(spark):
     assert scans("histogram_bins") <= 2 and scans("empirical_cdf") <= 2
     assert scans("set_all_categories") <= 2
     assert scans("scatter_case_time") <= 1
+
+
+def test_discovered_net_fits_its_log(spark):
+    rows = [("c1", a, i, i) for i, a in enumerate("abd")] + [("c2", a, i, 10 + i) for i, a in enumerate("acd")]
+    log = make_log(spark, rows)
+    places, arcs = I.alpha_net(log)
+    table = {r["model"]: r for r in K.rating_table(log, {"alpha": (places, arcs), "fixed": J.net_tables(spark)}).collect()}
+    assert table["alpha"]["perc_fit_traces"] == 100.0 and table["alpha"]["rank"] == 1
+    assert J.replay_outside(log, arcs).count() == 0
+    assert {r["activity"]: (r["n_events"], r["n_cases"]) for r in J.replay_outside(log, arcs.where("activity <> 'd'")).collect()} == {"d": (2, 2)}

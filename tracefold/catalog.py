@@ -235,6 +235,18 @@ def _set_all_categories(spark, d):
     return C.category_compliant(_with_category(L.day_log(spark, d)), "category", "click", "purchase", "view").df
 
 
+def _with_flags(lg):
+    lg = _with_category(lg)
+    return lg.with_df(lg.df.withColumns({"verified": F.col("tie") % 2 == 0, "received": F.col("tie") % 3 != 0}))
+
+
+_reg_filter("flt_category_flags", L.day_log,
+            lambda lg: C.category_flags(_with_flags(lg), "category", "verified", "received"))
+_reg_filter("flt_attr_events_not", L.day_log, lambda lg: C.attr_events(
+    lg.with_df(lg.df.withColumn("resource", F.when(F.col("tie") % 4 != 0, F.col("resource")))),
+    "resource", ["1", "2", "3"], positive=False))
+
+
 # ------------------------------------------------------------------ preparation (B), joins (D1, D4, D5), time (H)
 from .operators import prepare as B  # noqa: E402
 from .operators import timing as H  # noqa: E402
@@ -427,6 +439,18 @@ def _rating(spark, d):
 
 
 QUERIES["rating_table"] = _rating
+
+
+@register("rate_discovered")
+def _rate_discovered(spark, d):
+    # discover, rate, rank: the alpha net of the log beside the two given nets
+    lg = L.conv_log(spark, d)
+    places, arcs = I.alpha_net(lg)
+    return K.rating_table(lg, {"alpha_net": (places, arcs), "fixed_net": _net(spark)})
+
+
+QUERIES["replay_outside"] = lambda spark, d: J.replay_outside(
+    L.day_log(spark, d), _net(spark)[1].where(F.col("activity") != "error"))
 QUERIES["rank_models"] = lambda spark, d: _rating(spark, d).select("rank", "model", "score", "score_compat")
 
 

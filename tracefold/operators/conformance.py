@@ -102,6 +102,16 @@ def replay_balances(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFr
     return running(rlog, None, [log.case, "place"], {"_bal": ("sum", F.col("delta"))})
 
 
+def replay_lows(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Balance rows with ``_created``: tokens a consuming row had to make up for (0 for the others)."""
+    _, rlog = replay_moves(log, places, arcs)
+    key = [log.case, "place"]
+    b = running(rlog, None, key, {"_bal": ("sum", F.col("delta"))})
+    low = running(rlog, b, key, {"_low": ("min", F.col("_bal"))}, inclusive=False)
+    short = F.least(F.coalesce(F.col("_low"), F.lit(0)), F.lit(0)) - F.col("_bal")
+    return low.withColumn("_created", F.when(F.col("delta") < 0, F.greatest(short, F.lit(0))).otherwise(F.lit(0)))
+
+
 def replay_places(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """Per (case, place): produced, consumed, missing, remaining tokens."""
     b = replay_balances(log, places, arcs)
@@ -136,14 +146,9 @@ def token_replay(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame
 
 def replay_problems(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """The consume rows that create missing tokens (case, transition, place, tokens)."""
-    b = replay_balances(log, places, arcs)
-    _, rlog = replay_moves(log, places, arcs)
-    low = running(rlog, b, [log.case, "place"], {"_low": ("min", F.col("_bal"))}, inclusive=False)
-    prev_low = F.least(F.coalesce(F.col("_low"), F.lit(0)), F.lit(0))
-    created = prev_low - F.col("_bal")
-    return (low.where((F.col("delta") < 0) & (F.col("_bal") < prev_low))
+    return (replay_lows(log, places, arcs).where(F.col("_created") > 0)
             .select(log.case, F.coalesce(F.col(log.activity), F.lit("(final marking)")).alias("transition"),
-                    "place", *log.order_cols, created.cast("long").alias("missing_tokens")))
+                    "place", *log.order_cols, F.col("_created").cast("long").alias("missing_tokens")))
 
 
 def unfit_case_signatures(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -152,15 +157,17 @@ def unfit_case_signatures(log: EventLog, places: DataFrame, arcs: DataFrame) ->
     Signature = sorted distinct tags 'missing:<transition>@<place>' and
     'remaining:<place>'; one row per case, so no id list is gathered into a row.
     """
-    probs = replay_problems(log, places, arcs).select(
-        log.case, F.concat(F.lit("missing:"), F.col("transition"), F.lit("@"), F.col("place")).alias("tag"))
-    rem = replay_places(log, places, arcs).where(F.col("r") > 0).select(
-        log.case, F.concat(F.lit("remaining:"), F.col("place")).alias("tag"))
-    sig = probs.unionByName(rem).groupBy(log.case).agg(
-        F.array_join(F.array_sort(F.collect_set("tag")), ";").alias("signature"))
-    tr = token_replay(log, places, arcs)
-    return tr.where(~F.col("is_fit")).join(sig, log.case, "left").select(
-        log.case, F.coalesce("signature", F.lit("")).alias("signature"), "missing", "remaining")
+    tag = F.concat(F.lit("missing:"), F.coalesce(F.col(log.activity), F.lit("(final marking)")), F.lit("@"), "place")
+    # one balance table feeds the tokens and the tags of every place
+    per_place = replay_lows(log, places, arcs).groupBy(log.case, "place").agg(
+        F.sum("delta").alias("_left"), F.greatest(F.lit(0), -F.min("_bal")).alias("m"),
+        F.collect_set(F.when(F.col("_created") > 0, tag)).alias("_tags")).withColumn("r", F.col("_left") + F.col("m"))
+    left_over = F.when(F.col("r") > 0, F.array(F.concat(F.lit("remaining:"), "place"))).otherwise(
+        F.array().cast("array<string>"))
+    return (per_place.groupBy(log.case).agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("_tags", left_over))))), ";")
+        .alias("signature"), F.sum("m").cast("long").alias("missing"), F.sum("r").cast("long").alias("remaining"))
+        .where((F.col("missing") > 0) | (F.col("remaining") > 0)))
 
 
 def anomalous_cases(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -185,6 +192,13 @@ def replay_diagnostics_places(log: EventLog, places: DataFrame, arcs: DataFrame)
                                    F.sum("r").cast("long").alias("remaining_tokens"))
 
 
+def replay_outside(log: EventLog, arcs: DataFrame) -> DataFrame:
+    """J4 (outside): events and cases of every activity the model does not have."""
+    known = arcs.select(F.col("activity").alias(log.activity)).distinct()
+    return log.df.join(known, log.activity, "left_anti").groupBy(F.col(log.activity).alias("activity")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_distinct(log.case).alias("n_cases"))
+
+
 def replay_diagnostics_transitions(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """J4 (transitions): fit / unfit cases containing each transition and their median duration."""
     from .timing import case_durations, exact_group_median

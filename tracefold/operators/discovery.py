@@ -204,12 +204,11 @@ def edge_simplicity(n_edges: Column, n_activities: Column) -> Column:
 
 def sweep_bounds(log: EventLog) -> DataFrame:
     """I16: smallest / largest variant count and the count at rank floor(0.1 * n_variants)."""
-    v = variant_counts(log)
-    n = v.select(F.count(F.lit(1))).scalar()
-    r = global_rank_sum(v, [F.col("n_cases").desc(), F.col("variant").asc()], {}, "rank0")
-    at = r.where(F.col("rank0") == F.floor(n * F.lit(0.1))).select(F.max("n_cases")).scalar()
-    return v.agg(F.min("n_cases").alias("min_count"), F.max("n_cases").alias("max_count"),
-                 F.max(at).alias("count_at_10pct"))
+    r = global_rank_sum(variant_counts(log), [F.col("n_cases").desc(), F.col("variant").asc()], {}, "rank0",
+                        totals=True)
+    at = F.col("rank0") == F.floor(F.col("n_total") * F.lit(0.1))
+    return r.agg(F.min("n_cases").alias("min_count"), F.max("n_cases").alias("max_count"),
+                 F.max(F.when(at, F.col("n_cases"))).alias("count_at_10pct"))
 
 
 def model_decoration(log: EventLog, edges: DataFrame) -> DataFrame:
@@ -245,14 +244,16 @@ def _rel_lookup(fp: DataFrame):
     return acts, (lambda x, y: F.element_at(rel, F.concat(x, F.lit(_SEP), y)))
 
 
-def alpha_places(log: EventLog) -> DataFrame:
+def alpha_place_sets(log: EventLog) -> DataFrame:
     """Places of the alpha algorithm: maximal (A, B) with A -> B causal, A and B choice-free.
 
     Valid pairs are closed under taking subsets, so they grow level by
     level from single causal pairs (adding larger names only, distinct per
     level); a pair is maximal when no single activity can be added to
     either side. Plus the start place (-> first activities) and end place.
+    Rows: ``inputs``, ``outputs`` (arrays), ``kind``, ``place``.
     """
+    from ..plans.cases import case_table
     fp = footprint(log)
     acts, R = _rel_lookup(fp)
     alph = F.array(*[F.lit(a) for a in acts])
@@ -285,16 +286,33 @@ def alpha_places(log: EventLog) -> DataFrame:
     maximal = found.where(
         ~F.exists(alph, lambda x: ~F.array_contains("A", x) & ok_a(F.col("A"), F.col("B"), x))
         & ~F.exists(alph, lambda y: ~F.array_contains("B", y) & ok_b(F.col("A"), F.col("B"), y)))
-    places = maximal.select(F.array_join("A", ",").alias("inputs"), F.array_join("B", ",").alias("outputs"))
-    from ..plans.cases import case_table
-    ct = case_table(log)
-    start = ct.agg(F.array_join(F.array_sort(F.collect_set("first_activity")), ",").alias("outputs")) \
-        .select(F.lit("").alias("inputs"), "outputs")
-    end = ct.agg(F.array_join(F.array_sort(F.collect_set("last_activity")), ",").alias("inputs")) \
-        .select("inputs", F.lit("").alias("outputs"))
-    out = places.unionByName(start).unionByName(end)
-    return out.select(F.concat(F.lit("p("), "inputs", F.lit("|"), "outputs", F.lit(")")).alias("place"),
-                      "inputs", "outputs")
+    ends = case_table(log).agg(F.array_sort(F.collect_set("first_activity")).alias("_s"),
+                               F.array_sort(F.collect_set("last_activity")).alias("_e"))
+    none = F.array().cast("array<string>")
+    return (maximal.select(F.col("A").alias("inputs"), F.col("B").alias("outputs"), F.lit("inner").alias("kind"))
+            .unionByName(ends.select(none.alias("inputs"), F.col("_s").alias("outputs"), F.lit("start").alias("kind")))
+            .unionByName(ends.select(F.col("_e").alias("inputs"), none.alias("outputs"), F.lit("end").alias("kind")))
+            .withColumn("place", _place_name(F.col("inputs"), F.col("outputs"))))
+
+
+def _place_name(inputs: Column, outputs: Column) -> Column:
+    return F.concat(F.lit("p("), F.array_join(inputs, ","), F.lit("|"), F.array_join(outputs, ","), F.lit(")"))
+
+
+def alpha_places(log: EventLog) -> DataFrame:
+    """The places of ``alpha_place_sets`` with their activities as text."""
+    return alpha_place_sets(log).select("place", F.array_join("inputs", ",").alias("inputs"),
+                                        F.array_join("outputs", ",").alias("outputs"))
+
+
+def alpha_net(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """The alpha algorithm's net as ``(places, arcs)`` tables, ready for replay and rating (K7)."""
+    sets = _checkpoint(alpha_place_sets(log))
+    places = sets.select("place", (F.col("kind") == "start").cast("int").alias("m0"),
+                         (F.col("kind") == "end").cast("int").alias("mf"))
+    put = sets.select(F.explode("inputs").alias("activity"), "place", F.lit(1).alias("phase"), F.lit(1).alias("delta"))
+    take = sets.select(F.explode("outputs").alias("activity"), "place", F.lit(0).alias("phase"), F.lit(-1).alias("delta"))
+    return places, put.unionByName(take)
 
 
 def _closure(edges: DataFrame) -> DataFrame:

@@ -347,6 +347,20 @@ def category_compliant(log: EventLog, category: str, invoice: str, goods: str,
     return keep_cases(log, f.where(rule))
 
 
+# Whether the invoice is verified against the receipt, and
+# whether goods are received, as each category requires.
+CATEGORY_FLAGS = {"3-way match, invoice after GR": (True, True), "3-way match, invoice before GR": (False, True),
+                  "2-way match": (False, False), "Consignment": (False, True)}
+
+
+def category_flags(log: EventLog, category: str, verified: str, received: str) -> EventLog:
+    """C27 (boolean attributes): events whose two flags are those their category requires; one row filter."""
+    ok = F.lit(False)
+    for name, (v, g) in CATEGORY_FLAGS.items():
+        ok = ok | ((F.col(category) == name) & (F.col(verified) == v) & (F.col(received) == g))
+    return log.with_df(log.df.where(ok))
+
+
 # ------------------------------------------------------------------ cleaning
 
 def empty_attr(log: EventLog, attr: str) -> EventLog:

@@ -785,3 +785,11 @@ tags AS (SELECT case_id, 'missing:' || transition || '@' || place AS tag FROM pr
 sig AS (SELECT case_id, string_agg(DISTINCT tag, ';' ORDER BY tag) AS signature FROM tags GROUP BY 1)
 SELECT tr.case_id, coalesce(signature, '') AS signature, missing, remaining
 FROM tr LEFT JOIN sig USING (case_id) WHERE NOT is_fit"""
+
+SQL["flt_category_flags"] = f"""WITH log AS (SELECT *, tie % 2 = 0 AS verified, tie % 3 <> 0 AS received FROM ({_CAT_LOG}))
+SELECT * FROM log WHERE (category, verified, received) IN (('3-way match, invoice after GR', true, true),
+  ('3-way match, invoice before GR', false, true), ('2-way match', false, false), ('Consignment', false, true))"""
+SQL["flt_attr_events_not"] = f"""WITH log AS (SELECT * REPLACE (CASE WHEN tie % 4 <> 0 THEN resource END AS resource) FROM ({DAY}))
+SELECT * FROM log WHERE resource IS NULL OR resource NOT IN ('1', '2', '3')"""
+SQL["replay_outside"] = with_log("day", """SELECT activity, count(*) AS n_events, count(DISTINCT case_id) AS n_cases
+FROM log WHERE activity = 'error' GROUP BY activity""")

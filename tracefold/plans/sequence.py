@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog
+from ..session import ensure_checkpoint_dir
 
 # Hot-case tables up to this many rows are broadcast; beyond, they are
 # joined (AQE splits the hot keys on the event side).
@@ -106,10 +107,13 @@ def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
     if memo_key in log.extra:
         hot, n_hot, plan, n_plan = log.extra[memo_key]
     else:
-        hot = hot_cases(log)
+        # small tables, read by every ordered operator on the log: written once
+        ensure_checkpoint_dir(log.spark)
+        hot = hot_cases(log).checkpoint(eager=True)
         sizes = hot.agg(F.count(F.lit(1)), F.sum("_fine")).collect()[0]  # size check, one job
         n_hot, n_plan = int(sizes[0]), int(sizes[1] or 0)
-        plan = _slice_plan(log, hot, n_hot <= BROADCAST_HOT_ROWS) if n_hot else None
+        plan = (_slice_plan(log, hot, n_hot <= BROADCAST_HOT_ROWS).checkpoint(eager=True)
+                if n_hot else None)
         log.extra[memo_key] = (hot, n_hot, plan, n_plan)
     if n_hot == 0:
         out = log.df.withColumn("_chunk", F.lit(0).cast("long"))

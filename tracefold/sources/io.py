@@ -29,9 +29,12 @@ TIMESTAMP_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared scratch location for ``name``."""
+    """A fresh folder under the shared scratch location for ``name``; it goes when the session ends."""
     base = spark.conf.get("tracefold.scratch.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tracefold-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tracefold-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 # ------------------------------------------------------------------ CSV (A1-A3)
