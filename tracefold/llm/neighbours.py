@@ -13,6 +13,7 @@ QUERY_BLOCK = 1024    # queries in a block
 LEVELS = 127          # of the int8 codes
 EXACT_DIMS = 1024     # float32 sums of this many code products are whole numbers below 2^24
 PAIRS_AT_ONCE = 1 << 16
+HEAP_QUERIES = 100_000  # whose heaps a task holds before it hands them on
 
 
 def usable(vec):
@@ -105,10 +106,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
 
     Vectors are numbered into tiles, queries into blocks; every query block
     is sent to every tile as one bounded row group (queries against all rows
-    in blocks, no cross join). A task multiplies int8 codes, drops the pairs
-    that the error bounds exclude, measures the rest in double precision and
-    keeps a heap of ``k`` per query over all its tiles; a window merges the
-    heaps of the tasks.
+    in blocks, no cross join). A task holds one tile and one query block: it
+    multiplies int8 codes, drops the pairs that the error bounds exclude,
+    measures the rest in double precision and keeps a heap of ``k`` per query
+    over its tiles; a window merges the heaps of the tasks.
 
     Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the
     smaller id; fewer candidates than ``k`` give fewer rows. Vectors that are
@@ -128,22 +129,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_tiles, n_blocks = -(-n // tile), max(1, -(-asks.count() // query_block))
-    dealt = lambda df, parts, seed: df.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed)), parts).cast("int"))
-    candidates = dealt(rows, n_tiles, 1).select(F.col("_part").alias("_tile"), F.lit(1).alias("_side"),
-                                                F.lit(0).alias("_block"), "_id", "_v")
-    blocks = (dealt(asks, n_blocks, 2).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
-              .select("_tile", F.lit(0).alias("_side"), F.col("_part").alias("_block"), "_id", "_v"))
-    # queries of a tile come first in its partition, block by block, then its candidates
+    dealt = lambda df, parts: df.withColumn("_part", F.pmod(F.xxhash64("_id", "_v"), parts).cast("int"))
+    candidates = dealt(rows, n_tiles).select(F.col("_part").alias("_tile"), F.lit(0).alias("_side"),
+                                             F.lit(0).alias("_block"), "_id", "_v")
+    blocks = (dealt(asks, n_blocks).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
+              .select("_tile", F.lit(1).alias("_side"), F.col("_part").alias("_block"), "_id", "_v"))
+    # the candidates of a tile come first in its partition, then the query blocks, one after the other
     parts = min(n_tiles, shuffle_partitions(spark))
     sent = (candidates.unionByName(blocks).repartition(parts, "_tile")
             .sortWithinPartitions("_tile", "_side", "_block"))
-    found = sent.mapInArrow(search(k, tile), "query_id long, vec_id long, score double")
+    found = sent.mapInArrow(search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def search(k: int, tile_rows: int):
+def search(k: int):
+    """Task code: holds one tile and one query block at a time, and heaps of a bounded number of queries."""
     def run(batches):
         import heapq
 
@@ -151,57 +153,60 @@ def search(k: int, tile_rows: int):
         import pyarrow as pa
 
         heaps: dict[int, list] = {}
-        state = {"tile": None, "queries": [], "rows": []}
 
-        def by_length(ids, flat, lengths):
+        def by_length(chunks):
+            ids, flat, lengths = (np.concatenate(x) for x in zip(*chunks))
             ends = np.cumsum(lengths)
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
                 yield Side(ids[at], flat[(ends[at] - d)[:, None] + np.arange(d)])
 
-        def measure():
-            """The waiting candidates against the tile's query blocks."""
-            if state["rows"] and state["queries"]:
-                ids, flat, lengths = (np.concatenate(x) for x in zip(*state["rows"]))
-                for tile in by_length(ids, flat, lengths):
-                    for block in state["queries"]:
-                        if block.x.shape[1] == tile.x.shape[1]:
-                            limit = np.array([-heaps[q][0][0] if len(heaps.get(q, ())) == k else np.inf
-                                              for q in block.ids.tolist()])
-                            for r, i, s in zip(*(x.tolist() for x in tile_nearest(block, tile, k, limit))):
-                                heap = heaps.setdefault(int(block.ids[r]), [])
-                                item = (-s, -i)
-                                if len(heap) < k:
-                                    heapq.heappush(heap, item)
-                                elif item > heap[0]:
-                                    heapq.heapreplace(heap, item)
-            state["rows"] = []
-
+        def drained():
+            rows = [(q, -i, -s) for q, heap in heaps.items() for s, i in heap]
+            heaps.clear()
+            q, i, s = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()),
+                                               pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+        def measure(chunks, tile):
+            for block in by_length(chunks):
+                same = [t for t in tile if t.x.shape[1] == block.x.shape[1]]
+                for part in same:
+                    limit = np.array([-heaps[q][0][0] if len(heaps.get(q, ())) == k else np.inf
+                                      for q in block.ids.tolist()])
+                    for r, i, s in zip(*(x.tolist() for x in tile_nearest(block, part, k, limit))):
+                        heap = heaps.setdefault(int(block.ids[r]), [])
+                        item = (-s, -i)
+                        if len(heap) < k:
+                            heapq.heappush(heap, item)
+                        elif item > heap[0]:
+                            heapq.heapreplace(heap, item)
+
+        key, waiting, tile = None, [], []
         for b in batches:
             tiles, sides, blocks = (b.column(c).to_numpy() for c in ("_tile", "_side", "_block"))
             edges = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(sides) != 0) | (np.diff(blocks) != 0)) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(tiles)]):
                 if lo == hi:
                     continue
+                now = (int(tiles[lo]), int(sides[lo]), int(blocks[lo]))
+                if now != key:
+                    if key and key[1] == 0:
+                        tile = list(by_length(waiting)) if now[0] == key[0] else []
+                    elif key:
+                        measure(waiting, tile)
+                        if len(heaps) > HEAP_QUERIES:
+                            yield drained()
+                        tile = tile if now[0] == key[0] else []
+                    key, waiting = now, []
                 part = b.slice(lo, hi - lo)
                 vec = part.column("_v")
-                chunk = (part.column("_id").to_numpy(), vec.flatten().to_numpy(zero_copy_only=False),
-                         np.diff(vec.offsets.to_numpy()))
-                if state["tile"] != tiles[lo]:
-                    measure()
-                    state["tile"], state["queries"] = tiles[lo], []
-                if sides[lo] == 0:
-                    state["queries"] += by_length(*chunk)
-                else:
-                    state["rows"].append(chunk)
-                    if sum(len(c[0]) for c in state["rows"]) >= tile_rows:
-                        measure()
-        measure()
-        out = [(q, -i, -s) for q, heap in heaps.items() for s, i in heap]
-        if out:
-            q, i, s = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()),
-                                              pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+                waiting.append((part.column("_id").to_numpy(), vec.flatten().to_numpy(zero_copy_only=False),
+                                np.diff(vec.offsets.to_numpy())))
+        if key and key[1] == 1:
+            measure(waiting, tile)
+        if heaps:
+            yield drained()
 
     return run
 
