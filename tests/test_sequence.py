@@ -73,4 +73,4 @@ def test_ties_decide_order(spark):
 
 def test_comma_in_activity_name(spark):
     log = make_log(spark, [("c", "a,b", 0, 1), ("c", "d", 1, 2)])
-    assert case_variants(log).collect()[0]["variant"] == "a,b,d"
+    assert case_variants(log).collect()[0]["variant"] == "a\\,b,d"

@@ -79,3 +79,17 @@ def test_bursty_hot_case_gets_equal_depth_slices(spark):
     cols = ["a", "b", "n"]
     rows_of = lambda d: sorted(tuple(r[c] for c in cols) for r in d.collect())
     assert rows_of(I.dfg_frequency(log)) == rows_of(I.dfg_frequency(plain))
+
+
+def test_one_time_and_coarse_clocks_are_sliced(spark):
+    """A hot case at one single time, or on a clock of days, is cut by the tie column behind it."""
+    for minutes in (lambda i: 5, lambda i: 1440 * (i // 300), lambda i: 0 if i < 1000 else 10_000 + i):
+        rows = [("hot", "abc"[i % 3], minutes(i), i) for i in range(1200)] + [(f"c{i}", "a", i, 5000 + i) for i in range(50)]
+        log = make_log(spark, rows, split_rows=50)
+        df, cut = with_chunks(log)
+        assert cut
+        biggest = df.where("case_id = 'hot'").groupBy("_chunk").count().agg(F.max("count")).collect()[0][0]
+        assert biggest <= 50 + 8
+        order = [r["_chunk"] for r in df.where("case_id = 'hot'").orderBy("ts", "tie").collect()]
+        assert order == sorted(order)
+        assert _rows(I.dfg_frequency(make_log(spark, rows)), ["a", "b", "n"]) == _rows(I.dfg_frequency(log), ["a", "b", "n"])

@@ -36,8 +36,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..log import EventLog
+from ..log import EventLog, order_number
 from ..session import ensure_checkpoint_dir
 
 # Hot-case tables up to this many rows are broadcast; beyond, they are
@@ -60,36 +61,87 @@ def hot_cases(log: EventLog) -> DataFrame:
 
 
 # Fine buckets per slice of a hot case: slices are built from buckets of
-# 1/FINE of the even-width slice, so a burst narrower than that is the only
-# thing that can make a slice larger than ``split_rows``.
+# 1/FINE of the even-width slice; a bucket that still holds more than
+# ``split_rows`` events is cut once more.
 FINE = 16
 
 
+def _share(x: Column, lo: Column, hi: Column, parts: Column) -> Column:
+    """Equal-width part of [lo, hi] that x lies in (clipped, never decreasing)."""
+    frac = (x - lo) / (hi - lo + F.lit(1))
+    return F.greatest(F.lit(0), F.least(F.floor(frac * parts), parts - 1)).cast("long")
+
+
 def _bucket(o: Column) -> Column:
-    """Fine equal-width bucket of the case's order range (clipped, never decreasing)."""
-    frac = (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1))
-    return F.greatest(F.lit(0), F.least(F.floor(frac * F.col("_fine")), F.col("_fine") - 1)).cast("long")
+    """Fine equal-width bucket of the case's order range."""
+    return _share(o, F.col("_lo"), F.col("_hi"), F.col("_fine"))
+
+
+def _tie_number(log: EventLog) -> Column:
+    """Numeric image of the order column behind the first (0 if it has none)."""
+    rest = log.order_cols[1:2]
+    if not rest or not isinstance(log.df.schema[rest[0]].dataType, (T.NumericType, T.DateType, T.TimestampType,
+                                                                     T.TimestampNTZType)):
+        return F.lit(0).cast("long")
+    return order_number(log.df, rest[0])
 
 
-def _slice_plan(log: EventLog, hot: DataFrame, small: bool) -> DataFrame:
-    """(case, _fb, _chunk): every fine bucket of every hot case mapped to its slice.
+def _sub_bucket(o: Column, t: Column) -> Column:
+    """Part of an overfull bucket: by its own range, or by the tie where the whole bucket has one time."""
+    by_tie = F.col("_olo") == F.col("_ohi")
+    part = F.when(by_tie, _share(t, F.col("_tlo"), F.col("_thi"), F.col("_sub"))).otherwise(
+        _share(o, F.col("_olo"), F.col("_ohi"), F.col("_sub")))
+    return F.coalesce(part, F.lit(0).cast("long"))
+
+
+def _full_buckets(log: EventLog, hot: DataFrame, small: bool) -> DataFrame:
+    """(case, _fb, ranges, _sub): fine buckets with more than ``split_rows`` events (a burst, a coarse clock)."""
+    split = log.chunk_rows()
+    side = F.broadcast(hot) if small else hot
+    o, t = log.order_number(), _tie_number(log)
+    return (log.df.join(side, log.case).groupBy(log.case, _bucket(o).alias("_fb"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min(o).alias("_olo"), F.max(o).alias("_ohi"),
+                 F.min(t).alias("_tlo"), F.max(t).alias("_thi"))
+            .where(F.col("_c") > F.lit(split))
+            .select(log.case, "_fb", "_olo", "_ohi", "_tlo", "_thi",
+                    (F.ceil(F.col("_c") / F.lit(split)) * FINE).cast("long").alias("_sub")))
+
+
+def _located(log: EventLog, df: DataFrame, full: DataFrame | None) -> DataFrame:
+    """Rows (of hot cases) with their bucket ``_fb`` and part ``_sb``."""
+    out = df.withColumn("_fb", F.when(F.col("_fine").isNotNull(), _bucket(log.order_number())))
+    if full is None:
+        return out.withColumn("_sb", F.lit(0).cast("long"))
+    j = out.join(full, [log.case, "_fb"], "left")
+    return j.withColumn("_sb", _sub_bucket(log.order_number(), _tie_number(log))).drop(
+        "_olo", "_ohi", "_tlo", "_thi", "_sub")
+
+
+def _slice_plan(log: EventLog, hot: DataFrame, full: DataFrame | None, small: bool) -> DataFrame:
+    """(case, _fb, _sb, _chunk): every bucket of every hot case mapped to its slice.
 
     Buckets are counted (partial aggregation, tiny output), then a running
     count per case packs them into slices of about ``split_rows`` events:
-    equal-depth slices, whatever the case's time distribution. The table
-    covers all buckets (empty ones too), so any event of the case finds its
-    slice, and slice numbers never decrease with the bucket.
+    equal-depth slices, whatever the case's time distribution. Logs derived
+    from this one may hold events in buckets that were empty here, so every
+    bucket is listed; slice numbers never decrease along the case.
     """
     split = log.chunk_rows()
     side = F.broadcast(hot) if small else hot
-    counts = (log.df.join(side, log.case)
-              .groupBy(log.case, _bucket(log.order_number()).alias("_fb"))
-              .agg(F.count(F.lit(1)).alias("_c")))
+    counts = (_located(log, log.df.join(side, log.case), full)
+              .groupBy(log.case, "_fb", "_sb").agg(F.count(F.lit(1)).alias("_c")))
     every = hot.select(log.case, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fine") - 1)).alias("_fb"))
-    full = every.join(counts, [log.case, "_fb"], "left").fillna(0, subset=["_c"])
-    w = Window.partitionBy(log.case).orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
+    if full is None:
+        every = every.withColumn("_sb", F.lit(0).cast("long"))
+    else:
+        every = (every.join(full.select(log.case, "_fb", "_sub"), [log.case, "_fb"], "left")
+                 .withColumn("_sb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_sub", F.lit(1)) - 1)))
+                 .drop("_sub"))
+    keys = [log.case, "_fb", "_sb"]
+    w = Window.partitionBy(log.case).orderBy("_fb", "_sb").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_c").over(w), F.lit(0))
-    return full.select(log.case, "_fb", F.floor(before / F.lit(split)).cast("long").alias("_chunk"))
+    return every.join(counts, keys, "left").fillna(0, subset=["_c"]).select(
+        *keys, F.floor(before / F.lit(split)).cast("long").alias("_chunk"))
 
 
 def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
@@ -105,27 +157,32 @@ def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
     # that gains rows later only risks balance, so build a new EventLog.
     memo_key = ("hot", log.order[0], log.chunk_rows())
     if memo_key in log.extra:
-        hot, n_hot, plan, n_plan = log.extra[memo_key]
+        hot, n_hot, full, plan, n_plan = log.extra[memo_key]
     else:
         # small tables, read by every ordered operator on the log: written once
         ensure_checkpoint_dir(log.spark)
         hot = hot_cases(log).checkpoint(eager=True)
-        sizes = hot.agg(F.count(F.lit(1)), F.sum("_fine")).collect()[0]  # size check, one job
-        n_hot, n_plan = int(sizes[0]), int(sizes[1] or 0)
-        plan = (_slice_plan(log, hot, n_hot <= BROADCAST_HOT_ROWS).checkpoint(eager=True)
-                if n_hot else None)
-        log.extra[memo_key] = (hot, n_hot, plan, n_plan)
+        n_hot = hot.count()  # size check
+        full = plan = None
+        n_plan = 0
+        if n_hot:
+            small = n_hot <= BROADCAST_HOT_ROWS
+            full = _full_buckets(log, hot, small).checkpoint(eager=True)
+            full = full if full.limit(1).count() else None
+            plan = _slice_plan(log, hot, full, small).checkpoint(eager=True)
+            n_plan = plan.count()
+        log.extra[memo_key] = (hot, n_hot, full, plan, n_plan)
     if n_hot == 0:
         out = log.df.withColumn("_chunk", F.lit(0).cast("long"))
         return (out.withColumn("_hot", F.lit(False)) if flag else out), False
     hs = hot.select(log.case, "_lo", "_hi", "_fine")
     j = log.df.join(F.broadcast(hs) if n_hot <= BROADCAST_HOT_ROWS else hs, log.case, "left")
-    j = j.withColumn("_fb", F.when(F.col("_fine").isNotNull(), _bucket(log.order_number())))
+    j = _located(log, j, full)
     pl = F.broadcast(plan) if n_plan <= BROADCAST_PLAN_ROWS else plan
-    j = j.join(pl, [log.case, "_fb"], "left").withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
+    j = j.join(pl, [log.case, "_fb", "_sb"], "left").withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     if flag:
         j = j.withColumn("_hot", F.col("_fine").isNotNull())
-    return j.drop("_lo", "_hi", "_fine", "_fb"), True
+    return j.drop("_lo", "_hi", "_fine", "_fb", "_sb"), True
 
 
 def _order(log: EventLog) -> list[Column]:
