@@ -257,3 +257,11 @@ def test_discovered_net_fits_its_log(spark):
     assert table["alpha"]["perc_fit_traces"] == 100.0 and table["alpha"]["rank"] == 1
     assert J.replay_outside(log, arcs).count() == 0
     assert {r["activity"]: (r["n_events"], r["n_cases"]) for r in J.replay_outside(log, arcs.where("activity <> 'd'")).collect()} == {"d": (2, 2)}
+
+
+def test_alignments_keep_commas_apart(spark):
+    log = make_log(spark, [("c1", "x,y", 0, 0), ("c2", "x", 0, 1), ("c2", "y", 1, 2)])
+    got = {r["variant"]: r for r in J.nearest_trace_alignment(log, [["x,y"]]).collect()}
+    assert {k: r["cost"] for k, r in got.items()} == {"x\\,y": 0, "x,y": 3}
+    moves = J.alignment_moves(log, [["x,y"]]).collect()
+    assert len(moves) == 4 and sum(r["log_act"] == r["model_act"] for r in moves) == 1

@@ -368,24 +368,33 @@ def variant_arrays(log: EventLog) -> DataFrame:
     return c.groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"))
 
 
+def _nearest(log: EventLog, traces: Sequence[Sequence[str]]) -> DataFrame:
+    """Distinct traces (arrays) with their nearest model trace: trace, n_cases, cost, m."""
+    scored = F.transform(_model_array(traces), lambda m: F.struct(
+        (F.size("trace") + F.size(m) - 2 * _lcs(F.col("trace"), m)).alias("cost"),
+        F.array_join(m, ",").alias("model_trace"), m.alias("m")))
+    best = F.array_min(scored)
+    return variant_arrays(log).select("trace", "n_cases", best["cost"].alias("cost"), best["m"].alias("m"))
+
+
+def _text(trace: str) -> Column:
+    from ..plans.cases import escaped
+    return F.array_join(F.transform(trace, lambda a: escaped(a)), ",")
+
+
 def nearest_trace_alignment(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
     """Optimal alignment cost of each distinct variant against the nearest model trace.
 
     Without silent transitions a log or model move costs 1 and a
     synchronous move 0, so cost = |v| + |m| - 2 LCS(v, m); the worst case
     is |v| + the shortest model trace (S17). Work is per distinct variant;
-    the model (bounded) is a literal array, not a join.
+    the model (bounded) is a literal array, not a join. Traces are compared
+    as arrays; texts (separators in names escaped) are for display.
     """
-    v = variant_arrays(log)
-    models = _model_array(traces)
     min_len = min(len(t) for t in traces)
-    scored = F.transform(models, lambda m: F.struct(
-        (F.size("trace") + F.size(m) - 2 * _lcs(F.col("trace"), m)).alias("cost"),
-        F.array_join(m, ",").alias("model_trace")))
-    best = F.array_min(scored)
-    return v.select(F.array_join("trace", ",").alias("variant"), "n_cases", best["cost"].alias("cost"),
-                    best["model_trace"].alias("model_trace"),
-                    r6(1 - best["cost"] / (F.size("trace") + F.lit(min_len))).alias("fitness"))
+    return _nearest(log, traces).select(
+        _text("trace").alias("variant"), "n_cases", "cost", _text("m").alias("model_trace"),
+        r6(1 - F.col("cost") / (F.size("trace") + F.lit(min_len))).alias("fitness"))
 
 
 def alignment_moves(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
@@ -395,9 +404,7 @@ def alignment_moves(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_T
     from the end: synchronous move first, then log move, then model move.
     Rows: (variant, n_cases, pos, log_act, model_act), NULL for '>>'.
     """
-    nt = nearest_trace_alignment(log, traces).select("variant", "n_cases", "model_trace")
-    v = variant_arrays(log).select(F.array_join("trace", ",").alias("variant"), "trace")
-    j = nt.join(v, "variant").withColumn("m", F.split("model_trace", ","))
+    j = _nearest(log, traces).select(_text("trace").alias("variant"), "n_cases", "trace", "m")
     rows = _lcs_rows(F.col("trace"), F.col("m"))
     n, k = F.size("trace"), F.size("m")
 

@@ -793,3 +793,26 @@ SQL["flt_attr_events_not"] = f"""WITH log AS (SELECT * REPLACE (CASE WHEN tie %
 SELECT * FROM log WHERE resource IS NULL OR resource NOT IN ('1', '2', '3')"""
 SQL["replay_outside"] = with_log("day", """SELECT activity, count(*) AS n_events, count(DISTINCT case_id) AS n_cases
 FROM log WHERE activity = 'error' GROUP BY activity""")
+
+
+def _model_subsequences() -> str:
+    """Every subsequence of the short model traces as a LIKE pattern over '<a><b>' texts."""
+    from itertools import combinations
+
+    from .operators.conformance import FIXED_NET_TRACES
+    rows = []
+    for m in FIXED_NET_TRACES:
+        for k in range(len(m) + 1):
+            for part in sorted(set(combinations(m, k))):
+                rows.append((",".join(m), len(m), "%" + "%".join(f"<{a}>" for a in part) + "%", k))
+    return _values(rows, "model_trace, k, pat, m")
+
+
+# the longest common subsequence is the longest subsequence of the model trace that the variant holds
+SQL["nearest_trace_alignment"] = variants_cte("day").rstrip() + f""",
+w AS (SELECT variant, n_cases, len(string_split(variant, ',')) AS n, '<' || replace(variant, ',', '><') || '>' AS t FROM vc),
+lcs AS (SELECT variant, n_cases, n, model_trace, k, max(m) AS lcs FROM w JOIN {_model_subsequences()} s ON w.t LIKE s.pat
+        GROUP BY variant, n_cases, n, model_trace, k),
+r AS (SELECT *, n + k - 2 * lcs AS cost,
+        row_number() OVER (PARTITION BY variant ORDER BY n + k - 2 * lcs, model_trace) AS pick FROM lcs)
+SELECT variant, n_cases, cost, model_trace, round(1 - cost / (n + 2), 6) AS fitness FROM r WHERE pick = 1"""
