@@ -265,3 +265,19 @@ def test_alignments_keep_commas_apart(spark):
     assert {k: r["cost"] for k, r in got.items()} == {"x\\,y": 0, "x,y": 3}
     moves = J.alignment_moves(log, [["x,y"]]).collect()
     assert len(moves) == 4 and sum(r["log_act"] == r["model_act"] for r in moves) == 1
+
+
+@pytest.mark.parametrize("traces", [["ab", "cd"], ["abc", "acb", "ac"], ["ab", "ba", "ab"], ["abcbd", "abd", "acd"], ["abxab", "ab"],
+                                    ["a", "aa"], ["abab", "ba", "bb"]])
+def test_cut_equals_its_twin(spark, traces):
+    """Each kind of cut: the operator and the recursive SQL agree."""
+    import duckdb
+    from tracefold.oracle import SQL
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    rows = [(f"c{k}", a, i, 100 * k + i) for k, t in enumerate(traces) for i, a in enumerate(t)]
+    for c, a, i, tie in rows:
+        con.execute("INSERT INTO events VALUES (?, ?, ?, ?, 0, '{}')", [tie, dt.datetime(2024, 1, 1, 0, i), int(c[1:]), a])
+    want = {(r[0], r[1], r[2], r[3]) for r in con.execute(
+        f"SELECT activity, cut, grp, grp_order FROM ({SQL['activity_cut']})").fetchall()}
+    assert {tuple(r) for r in I.activity_cut(make_log(spark, rows)).collect()} == want

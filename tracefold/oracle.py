@@ -816,3 +816,67 @@ lcs AS (SELECT variant, n_cases, n, model_trace, k, max(m) AS lcs FROM w JOIN {_
 r AS (SELECT *, n + k - 2 * lcs AS cost,
         row_number() OVER (PARTITION BY variant ORDER BY n + k - 2 * lcs, model_trace) AS pick FROM lcs)
 SELECT variant, n_cases, cost, model_trace, round(1 - cost / (n + 2), 6) AS fitness FROM r WHERE pick = 1"""
+
+
+def _cut(log: str) -> str:
+    """CTEs of the inductive cut ``cut(activity, cut, grp, grp_order)``; closures are recursive."""
+    def closure(name: str, edges: str) -> str:
+        return (f"{name}(a, b) AS (SELECT x, x FROM nodes UNION SELECT c.a, e.b FROM {name} c "
+                f"JOIN {edges} e ON c.b = e.a)")
+
+    def groups(name: str, closed: str) -> str:
+        return f"{name} AS (SELECT a AS x, min(b) AS grp FROM {closed} GROUP BY a)"
+    both = "SELECT a, b FROM {0} UNION SELECT b, a FROM {0}"
+    return "WITH RECURSIVE " + _disc(log, f""",
+nodes AS (SELECT DISTINCT activity AS x FROM log),
+starts AS (SELECT DISTINCT activity AS x FROM steps WHERE pa IS NULL),
+ends AS (SELECT DISTINCT activity AS x FROM steps WHERE na IS NULL),
+pairs AS (SELECT p.x AS a, q.x AS b FROM nodes p JOIN nodes q ON p.x < q.x),
+und AS (SELECT a, b FROM dfg WHERE a <> b UNION SELECT b, a FROM dfg WHERE a <> b),
+{closure('c1', 'und')}, {groups('xg', 'c1')},
+reach(a, b) AS (SELECT a, b FROM dfg UNION SELECT r.a, d.b FROM reach r JOIN dfg d ON r.b = d.a),
+dir AS (SELECT p.a, p.b, f.a IS NOT NULL AS f, r.a IS NOT NULL AS r FROM pairs p
+        LEFT JOIN reach f ON f.a = p.a AND f.b = p.b LEFT JOIN reach r ON r.a = p.b AND r.b = p.a),
+same0 AS (SELECT a, b FROM dir WHERE f = r), same AS ({both.format('same0')}),
+{closure('c2', 'same')}, {groups('sg', 'c2')},
+across AS (SELECT ga.grp AS ga, gb.grp AS gb, f, r FROM dir JOIN sg ga ON ga.x = dir.a JOIN sg gb ON gb.x = dir.b
+           WHERE ga.grp <> gb.grp),
+behind AS (SELECT DISTINCT CASE WHEN f THEN ga ELSE gb END AS g0, CASE WHEN f THEN gb ELSE ga END AS grp FROM across),
+so AS (SELECT g.grp, count(b.g0) AS o FROM (SELECT DISTINCT grp FROM sg) g LEFT JOIN behind b ON b.grp = g.grp GROUP BY g.grp),
+apart0 AS (SELECT p.a, p.b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM dfg WHERE dfg.a = p.a AND dfg.b = p.b)
+           OR NOT EXISTS (SELECT 1 FROM dfg WHERE dfg.a = p.b AND dfg.b = p.a)), apart AS ({both.format('apart0')}),
+{closure('c3', 'apart')}, {groups('pg', 'c3')},
+rest AS (SELECT x FROM nodes WHERE x NOT IN (SELECT x FROM starts UNION SELECT x FROM ends)),
+rest_e AS (SELECT a, b FROM und WHERE a IN (SELECT x FROM rest) AND b IN (SELECT x FROM rest)),
+{closure('c4', 'rest_e')}, lg AS (SELECT a AS x, min(b) AS grp FROM c4 WHERE a IN (SELECT x FROM rest) GROUP BY a),
+e2 AS (SELECT d.a, d.b, ga.grp AS ga, gb.grp AS gb FROM dfg d LEFT JOIN lg ga ON ga.x = d.a LEFT JOIN lg gb ON gb.x = d.b),
+bad AS (SELECT gb AS grp FROM e2 WHERE gb IS NOT NULL AND ga IS DISTINCT FROM gb AND a NOT IN (SELECT x FROM ends)
+        UNION SELECT ga FROM e2 WHERE ga IS NOT NULL AND ga IS DISTINCT FROM gb AND b NOT IN (SELECT x FROM starts)),
+redo AS (SELECT x FROM lg WHERE grp NOT IN (SELECT grp FROM bad)),
+kind AS (SELECT CASE
+  WHEN (SELECT count(DISTINCT grp) FROM xg) > 1 THEN 'xor'
+  WHEN (SELECT count(DISTINCT grp) FROM sg) > 1 AND NOT EXISTS (SELECT 1 FROM across WHERE f = r) THEN 'sequence'
+  WHEN (SELECT count(DISTINCT grp) FROM pg) > 1 AND NOT EXISTS (SELECT grp FROM pg GROUP BY grp
+       HAVING NOT bool_or(x IN (SELECT x FROM starts)) OR NOT bool_or(x IN (SELECT x FROM ends))) THEN 'parallel'
+  WHEN (SELECT count(*) FROM redo) > 0 THEN 'loop'
+  WHEN (SELECT count(*) FROM nodes) = 1 THEN 'activity' ELSE 'none' END AS k),
+named AS (SELECT x, grp, dense_rank() OVER (ORDER BY grp) - 1 AS o, 'xor' AS k FROM xg
+  UNION ALL SELECT sg.x, sg.grp, so.o, 'sequence' FROM sg JOIN so USING (grp)
+  UNION ALL SELECT x, grp, dense_rank() OVER (ORDER BY grp) - 1, 'parallel' FROM pg
+  UNION ALL SELECT x, CASE WHEN x IN (SELECT x FROM redo) THEN 'redo' ELSE 'do' END,
+                   CASE WHEN x IN (SELECT x FROM redo) THEN 1 ELSE 0 END, 'loop' FROM nodes
+  UNION ALL SELECT x, x, 0, 'activity' FROM nodes
+  UNION ALL SELECT x, 'all', 0, 'none' FROM nodes),
+cut AS (SELECT x AS activity, k AS cut, grp, CAST(o AS INTEGER) AS grp_order FROM named WHERE k = (SELECT k FROM kind))
+""").removeprefix("WITH ")
+
+
+SQL["activity_cut"] = _cut("day") + "SELECT * FROM cut"
+SQL["log_split_by_cut"] = _cut("day") + """,
+ev AS (SELECT log.*, c.cut, c.grp FROM log JOIN cut c USING (activity)),
+most AS (SELECT case_id, grp, row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, grp) AS r FROM ev GROUP BY 1, 2),
+turn AS (SELECT *, CASE WHEN grp IS DISTINCT FROM lag(grp) OVER (PARTITION BY case_id ORDER BY ts, tie) THEN 1 ELSE 0 END AS t FROM ev),
+piece AS (SELECT *, sum(t) OVER (PARTITION BY case_id ORDER BY ts, tie ROWS UNBOUNDED PRECEDING) AS p FROM turn)
+SELECT p.case_id, p.activity, p.ts, p.tie, p.resource, p.num, p.user_id, p.cut, p.grp,
+  p.case_id || '#' || CASE WHEN p.cut = 'loop' THEN CAST(CAST(p.p AS BIGINT) AS VARCHAR) ELSE p.grp END AS sub_case
+FROM piece p LEFT JOIN most m ON m.case_id = p.case_id AND m.r = 1 WHERE p.cut <> 'xor' OR p.grp = m.grp"""
