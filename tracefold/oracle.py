@@ -740,7 +740,8 @@ def _simp(places, arcs) -> str:
 
 SQL["generalization"] = "SELECT * FROM " + _gen(FIXED_NET_ARCS)
 SQL["simplicity"] = _disc("day", _dep(0.05, 100, 50, 0.9) + """
-SELECT round(1 / (1 + greatest(0, 2.0 * (SELECT count(*) FROM kept) / count(DISTINCT x) - 2)), 6) AS simplicity
+SELECT CASE WHEN count(*) = 0 THEN 1.0::DOUBLE
+  ELSE round(1 / (1 + greatest(0, 2.0 * (SELECT count(*) FROM kept) / count(DISTINCT x) - 2)), 6) END AS simplicity
 FROM (SELECT a AS x FROM kept UNION ALL SELECT b FROM kept)""")
 SQL["edge_precision"] = f"WITH log AS ({DAY}),\n{steps_cte('day')},\nedges AS {_values(FIXED_EDGES, 'a, b')}" + """,
 dfg AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2),
