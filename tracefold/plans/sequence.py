@@ -159,14 +159,15 @@ def with_chunks(log: EventLog, flag: bool = False) -> tuple[DataFrame, bool]:
     if memo_key in log.extra:
         hot, n_hot, full, plan, n_plan = log.extra[memo_key]
     else:
-        # small tables, read by every ordered operator on the log: written once
-        ensure_checkpoint_dir(log.spark)
-        hot = hot_cases(log).checkpoint(eager=True)
-        n_hot = hot.count()  # size check
+        hot = hot_cases(log)
+        n_hot = hot.count()  # size check, one job; most logs have no hot case
         full = plan = None
         n_plan = 0
         if n_hot:
+            # small tables, read by every ordered operator on the log: written once
+            ensure_checkpoint_dir(log.spark)
             small = n_hot <= BROADCAST_HOT_ROWS
+            hot = hot.checkpoint(eager=True)
             full = _full_buckets(log, hot, small).checkpoint(eager=True)
             full = full if full.limit(1).count() else None
             plan = _slice_plan(log, hot, full, small).checkpoint(eager=True)
