@@ -3,7 +3,7 @@ from collections import Counter
 
 import duckdb
 
-from conftest_llm import SF, edge_rows
+from .conftest import SF, edge_rows
 from tracefold.llm import lines as R
 
 WORD = re.compile("[^\x20\x09-\x0d]+")

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest_llm import SF, edge_rows
+from .conftest import SF, edge_rows
 from tracefold.llm import mixing as M
 
 WORD = re.compile("[^\x20\x09-\x0d]+")

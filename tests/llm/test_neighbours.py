@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 
-from conftest_llm import SF
+from .conftest import SF
 from tracefold.llm import neighbours as N
 
 

@@ -1,8 +1,8 @@
 from collections import Counter
 
 import corpus_pipeline as C
-from conftest_llm import SF, edge_rows
-from test_simhash import plain_components, plain_simhash
+from .conftest import SF, edge_rows
+from .test_simhash import plain_components, plain_simhash
 from tracefold.llm import mixing, packing, quality, secrets
 
 

@@ -2,7 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from conftest_llm import SF, edge_rows
+from .conftest import SF, edge_rows
 from tracefold.llm import language as G
 from tracefold.llm import quality as Q
 

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from conftest_llm import SF, edge_rows
+from .conftest import SF, edge_rows
 from tracefold.llm import secrets as S
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -5,7 +5,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest_llm import SF, edge_rows
+from .conftest import SF, edge_rows
 from tracefold.llm import simhash as S
 
 
