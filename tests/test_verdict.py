@@ -150,7 +150,7 @@ def test_tree_is_not_looser_than_needed(spark):
 
 def test_random_trees_hold_their_logs(spark):
     r = random.Random(13)
-    for _ in range(12):
+    for _ in range(6):
         traces = ["".join(r.choice("abcd") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 6))]
         tree = tree_of(spark, traces)
         assert all(accepts(tree, "0", tuple(t)) for t in traces), (traces, tree)
