@@ -114,3 +114,24 @@ def test_sql_twin(spark):
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"]
     want = sorted(con.execute(f"select {', '.join(names)} from ({R.OP10_SQL})").fetchall())
     assert sorted(tuple(r[n] for n in names) for r in R.op10_lines(spark, SF).collect()) == want
+
+
+def test_many_documents_suffice_in_a_large_host(spark):
+    """2% of a hot source share a line; a share alone would let it stand, and the documents made of it pass."""
+    line, short, rare = "Read more of our stories and share them with all", "Share", "This line stands in a hundred documents only"
+    own = lambda i, k: " ".join(f"{word(i, i // 26, i // 676)}{word(m)}" for m in range(k))
+
+    def text(i):
+        if i < 122:
+            return "\n".join([short, *[f"{line} {k}" for k in range(6 if i % 2 else 1)], own(i, 55)])
+        return "\n".join([own(i, 55), *[rare] * (i < 222)])
+
+    rows = [(i, text(i), "hot") for i in range(6000)] + [(10_000 + i, f"{line} 1\n{own(i, 55)}", "small") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in R.line_rules(df).collect()}
+    for i, *_ in rows:
+        lines = (6 if i % 2 else 1) if i < 122 else 0
+        assert got[i]["removed_words"] == 11 * lines, i
+        assert got[i]["kept"] == (lines < 6), i
+    cleaned = {r["doc_id"]: r["text"] for r in R.clean_documents(df).collect()}
+    assert cleaned[0] == f"{short}\n{own(0, 55)}" and cleaned[200] == text(200) and cleaned[10_001] == rows[6001][1]

@@ -11,7 +11,9 @@ MIN_WORDS = 50              # fixed by the contract
 MAX_REPEATED = 50           # percent of words in repeated windows, fixed by the contract
 WINDOW = 3                  # words
 LINE_DOCS = 10              # a line in more distinct documents of its host than this ...
-LINE_SHARE = 0.10           # ... and than this share of them is above the limit
+LINE_SHARE = 0.10           # ... and than this share of them is above the limit,
+LINE_MANY = 100             # and so is one in more distinct documents than this, whatever the share, ...
+LINE_WORDS = 3              # ... if it has as many words as this or more
 DEPLETED = 0.5              # removed share of words from which a document is depleted
 BROADCAST_ROWS = 50_000     # frequent lines that may be broadcast (two keys each, some MB)
 
@@ -80,17 +82,23 @@ def base_metrics(text: Column) -> Column:
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
-    """``(_host, _line)`` above the limits, from rows ``(_host, _hash, lines)``.
-
-    Documents count once per distinct text, so exact copies do not make
-    their own lines frequent. The distinct count first spreads by line and
-    text, so a line that a third of all documents share is counted in parts.
+    """``(_host, _line)`` above the limits, from rows ``(_host, _hash, lines, line_words)``.
+
+    In a small host the share decides; in a large one ``LINE_MANY``
+    documents suffice, for a share grows with the host and lets its
+    boilerplate stand. Documents count once per distinct text, so exact
+    copies do not make their own lines frequent. The distinct count first
+    spreads by line and text, so a line that a third of all documents share
+    is counted in parts.
     """
-    each = rows.select("_host", "_hash", F.explode(F.array_distinct("lines")).alias("_line"))
-    counts = (each.groupBy("_host", "_line").agg(F.count_distinct("_hash").alias("_n"))
+    long = F.transform("line_words", lambda n: n >= LINE_WORDS)
+    each = (rows.select("_host", "_hash", F.explode(F.array_distinct(F.arrays_zip(F.col("lines"), long.alias("long")))).alias("_l"))
+            .select("_host", "_hash", F.col("_l.lines").alias("_line"), F.col("_l.long").alias("_long")))
+    counts = (each.groupBy("_host", "_line", "_long").agg(F.count_distinct("_hash").alias("_n"))
               .filter(F.col("_n") > LINE_DOCS))
     hosts = rows.groupBy("_host").agg(F.count_distinct("_hash").alias("_docs"))
-    return (counts.join(hosts, counts["_host"].eqNullSafe(hosts["_host"])).filter(F.col("_n") > LINE_SHARE * F.col("_docs"))
+    return (counts.join(hosts, counts["_host"].eqNullSafe(hosts["_host"]))
+            .filter((F.col("_n") > LINE_SHARE * F.col("_docs")) | (F.col("_long") & (F.col("_n") > LINE_MANY)))
             .select(counts["_host"], "_line"))
 
 
@@ -100,8 +108,9 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A first pass over the texts keeps figures and line hashes only. Lines in
     more than ten distinct documents and a tenth of their host's distinct
-    documents are removed; a document that loses half of its words or more
-    is depleted and rejected, as is one that fails the base rules.
+    documents are removed, and so are lines of three or more words in over
+    a hundred of them; a document that loses half of its words or more is
+    depleted and rejected, as is one that fails the base rules.
 
     Returns id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept``, ``removed_words``. Null
