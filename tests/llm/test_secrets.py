@@ -104,3 +104,30 @@ def test_short_tokens_need_more_evidence(spark):
     df = spark.createDataFrame(rows, "n int, t string").select("n", S.battery(F.col("t")).alias("b"))
     p = {r["n"]: r["p"] for r in df.groupBy("n").agg(F.avg("b.p").alias("p")).collect()}
     assert p[20] > 10 * p[40] > 1000 * p[80]
+
+
+def test_secrets_behind_paths_and_names(spark):
+    """A random segment is found and masked whatever is glued to it; the path alone is not."""
+    b62 = string.ascii_letters + string.digits
+    heads = ["com/account/settings/reset/", "com/account/settings/profiles/members/reset/", "next=/account/settings/members/", "the_name_of_the_session_"]
+    rows = [(f"{k} {n} {i}", f"see {h}", t) for n in (32, 40) for k, h in enumerate(heads) for i, t in enumerate(tokens(100 * k + n, b62, 40, n))]
+    plain_rows = [(f"path {i}", f"see {heads[i % 4]}page{i}", "") for i in range(160)]
+    df = spark.createDataFrame([(i, h + t + " end") for i, h, t in rows + plain_rows], "doc_id string, text string")
+    found = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in S.scan_secrets(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in S.redacted(df).collect()}
+    for k in range(len(heads)):
+        for n in (32, 40):
+            mine = [(i, h, t) for i, h, t in rows if i.startswith(f"{k} {n} ")]
+            hit = [(i, t) for i, h, t in mine if any(a <= len(h) and len(h + t) <= z for a, z in found[i])]
+            assert len(hit) >= 0.95 * len(mine), (k, n, len(hit))
+            assert not [i for i, t in hit if t in masked[i]]
+    assert not [i for i, *_ in plain_rows if found[i]]
+
+
+def test_letters_alone_are_left_to_the_battery(spark):
+    good = tokens(5, string.ascii_letters, 40, 40)
+    bad = ["-" * 30, "=" * 30, "_" * 25, "1" + "=" * 30, "/" * 21, "thisisjustanotherlongword", "a-slug-of-words-and-no-digits"]
+    rows = [(i, f"text {t} end") for i, t in enumerate(good)] + [(1000 + i, f"text {bad[i % len(bad)]} end") for i in range(140)]
+    found = {r["doc_id"]: r["spans"] for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == "random:5:45" for i in range(len(good))) >= 0.95 * len(good)
+    assert not [i for i in found if i >= 1000 and found[i]]

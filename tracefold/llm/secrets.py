@@ -17,8 +17,10 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")     # ties of a start are listed in this order
 
-# Candidates of the battery: long runs that mix letters and digits.
+# Candidates of the battery: long runs, and what lies in them between separators ("=" ends a
+# candidate as padding), so that a path or a name before a secret is not tested with it.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+PARTS = (r"[A-Za-z0-9+/_-]{20,}=*", r"[A-Za-z0-9+_-]{20,}=*", r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9+]{20,}=*")
 # Encoding, pattern of the whole token, its symbols in order, concentration (sum of squared
 # shares) that ordinary text has over these symbols.
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -142,7 +144,18 @@ def p_bin(p: Column) -> Column:
 
 
 def candidate_tokens(text: Column) -> Column:
-    return F.filter(located(text, TOKEN, 3), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))
+    """Runs and, once each, their parts between separators; what is padding only is none."""
+    def with_parts(run: Column) -> Column:
+        def moved(pattern: str) -> Column:
+            return F.transform(located(run["found"], pattern, 3), lambda x: F.struct(
+                (run["start"] + x["start"]).alias("start"), x["kind"].alias("kind"),
+                (run["start"] + x["stop"]).alias("stop"), x["found"].alias("found")))
+
+        return F.when(run["found"].rlike("[/=_-]"), F.array_distinct(
+            F.concat(F.array(run), *[moved(p) for p in PARTS]))).otherwise(F.array(run))
+
+    runs = F.filter(located(text, TOKEN, 3), lambda x: x["found"].rlike("[^=].*[^=]"))
+    return F.flatten(F.transform(runs, with_parts))
 
 
 def thresholds(docs: DataFrame, text_col: str) -> dict[int, int]:
@@ -152,9 +165,8 @@ def thresholds(docs: DataFrame, text_col: str) -> dict[int, int]:
     tokens of the corpus, on binned p-values (a bin counts as its largest).
     Only counts leave the executors: at most 31 length classes times the bins.
     """
-    tokens = F.filter(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0)),
-                      lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]"))
-    counts = (docs.select(F.explode(tokens).alias("_t")).select(stratum(F.col("_t")).alias("_s"), battery(F.col("_t")).alias("_b"))
+    tokens = candidate_tokens(F.coalesce(F.col(text_col), F.lit("")))
+    counts = (docs.select(F.explode(tokens).alias("_c")).select(F.col("_c.found").alias("_t")).select(stratum(F.col("_t")).alias("_s"), battery(F.col("_t")).alias("_b"))
               .select("_s", p_bin(F.col("_b.p")).alias("_p")).groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n")).collect())
     out = {}
     for s in {r["_s"] for r in counts}:
@@ -177,7 +189,13 @@ def all_spans(text: Column, limits: dict[int, int]) -> Column:
     def joined(base: Column) -> Column:
         clear = lambda x: ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
         more = F.filter(candidate_tokens(text), lambda x: clear(x) & reported(x))
-        return F.array_sort(F.concat(base, more))
+        return F.array_sort(F.concat(base, let(more, outermost)))
+
+    def outermost(found: Column) -> Column:
+        """Without those that lie in a larger one."""
+        size = lambda x: x["stop"] - x["start"]
+        return F.filter(found, lambda x: ~F.exists(found, lambda y: (
+            (y["start"] <= x["start"]) & (x["stop"] <= y["stop"]) & (size(x) < size(y)))))
 
     base = base_spans(text)
     return let(base, joined) if limits else base
