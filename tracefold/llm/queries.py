@@ -7,6 +7,8 @@ models, iterative solvers): those queries are held against brute force in
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_audit
+from .infill import OP11_SQL, op11_infill
 from .language import op5_language
 from .licenses import op4_licenses
 from .lines import OP10_SQL, op10_lines
@@ -17,6 +19,7 @@ from .quality import op6_quality
 from .secrets import op7_secrets
 from .sharding import op9_shards
 from .simhash import op3_simhash
+from .token_counts import op13_tokens
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -29,5 +32,9 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
     "op10_lines": op10_lines,
+    "op11_infill": op11_infill,
+    "op12_audit": op12_audit,
+    "op13_tokens": op13_tokens,
 }
-SQL: dict[str, str] = {"op8_nearest": OP8_SQL, "op10_lines": OP10_SQL}
+SQL: dict[str, str] = {"op8_nearest": OP8_SQL, "op10_lines": OP10_SQL, "op11_infill": OP11_SQL,
+                      "op12_audit": OP12_SQL}
