@@ -55,6 +55,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+SHORT = 1024            # elements that are joined one by one
+
+
+def running_join(values: Column, join) -> Column:
+    """Inclusive running ``join`` (sum, greatest) of an array of longs, in time close to its length.
+
+    An array that grows element by element is copied each time, so only
+    blocks of ``SHORT`` elements are built so; their last values are joined
+    the same way and carried into the blocks behind.
+    """
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def one_by_one(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<bigint>"), lambda done, x: F.array_append(
+            done, F.when(F.size(done) == 0, x).otherwise(join(last(done), x))))
+
+    def carried(blocks: Column) -> Column:
+        return let(one_by_one(F.transform(blocks, last)), lambda upto: F.flatten(F.transform(
+            blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: join(F.get(upto, k - 1), x))))))
+
+    def by_size(a: Column) -> Column:
+        n_blocks = F.greatest(F.ceil(F.size(a) / SHORT).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1),
+                             lambda k: one_by_one(F.slice(a, k * SHORT + 1, F.lit(SHORT))))
+        return let(blocks, carried)
+
+    return let(values, by_size)
+
+
 def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str]) -> tuple[DataFrame, dict]:
     """Global position and exclusive running sums of whole columns in ``order``.
 

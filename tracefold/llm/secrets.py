@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running_join
 
 # Fixed values of the contract: the base patterns. A length is part of a pattern only where that
 # gives the same matches as dropping shorter ones afterwards (one greedy run of one class).
@@ -38,26 +38,19 @@ ENCODINGS = (
 REJECT = 0.003          # a token whose smallest test value (times three) is below is not random
 FALSE_SHARE = 0.01      # expected share of ordinary tokens among those reported
 BINS, BIN = 120, 0.25   # p-values are counted in quarter decades
+PIECE = 4096            # code points from which parts of a text are taken
 
 
 def normal(z: Column) -> Column:
     """Normal distribution function by a logistic curve; monotone, off by 2e-4 at most."""
-    return 1 / (1 + F.exp(-F.greatest(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(60.0)), F.lit(-600.0))))
+    return let(z, lambda z: 1 / (1 + F.exp(-F.greatest(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(60.0)), F.lit(-600.0)))))
 
 
-def starts(pieces: Column, matches: Column) -> Column:
-    """Start and end of each match from the text between the matches."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"),
-                    F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"))
+def stops(pieces: Column, matches: Column) -> Column:
+    """End of each match: running lengths of the matches and of the text between them."""
     size = lambda x: F.length(x).cast("long")
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"))
-    return F.aggregate(
-        F.transform(pairs, lambda x: F.struct(size(x["p"]).alias("p"), size(x["m"]).alias("m"))), zero,
-        lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"),
-                                F.concat(acc["out"], F.array(F.struct(
-                                    (acc["at"] + x["p"]).alias("start"),
-                                    (acc["at"] + x["p"] + x["m"]).alias("stop")))).alias("out")),
-        lambda acc: acc["out"])
+    return running_join(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: size(p) + size(m)),
+                        lambda a, b: a + b)
 
 
 def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -67,12 +60,9 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     give the places. ``keep`` looks at a match and drops it after matching.
     """
     def spans(m: Column) -> Column:
-        placed = F.arrays_zip(starts(F.split(text, pattern, -1), m).alias("s"), m.alias("m"))
-        if keep is not None:
-            placed = F.filter(placed, lambda x: keep(x["m"]))
-        return F.transform(placed, lambda x: F.struct(
-            x["s"]["start"].alias("start"), F.lit(kind).alias("kind"), x["s"]["stop"].alias("stop"),
-            x["m"].alias("found")))
+        placed = F.zip_with(m, stops(F.split(text, pattern, -1), m), lambda x, z: F.struct(
+            (z - F.length(x)).alias("start"), F.lit(kind).alias("kind"), z.alias("stop"), x.alias("found")))
+        return placed if keep is None else F.filter(placed, lambda x: keep(x["found"]))
 
     none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,found:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -81,7 +71,7 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
 
 def base_spans(text: Column) -> Column:
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= ASSIGN_VALUE
-    return F.array_sort(F.concat(located(text, ASSIGN, 0, value), located(text, ACCESS, 1), located(text, HEX, 2)))
+    return F.sort_array(F.concat(located(text, ASSIGN, 0, value), located(text, ACCESS, 1), located(text, HEX, 2)))
 
 
 def battery(token: Column) -> Column:
@@ -93,45 +83,48 @@ def battery(token: Column) -> Column:
     as uniform, by the noncentral chi-squared its concentration implies; it
     falls with length, so short tokens are never sure.
     """
-    def under(core: Column, alphabet: Column, concentration: Column) -> Column:
-        size = F.length(alphabet).cast("double")
-        half = F.floor(size / 2)
-        n = F.length(core).cast("double")
-
-        def of(s: Column) -> Column:
-            counts = F.transform(F.array_distinct(s), lambda x: F.size(F.filter(s, lambda y: y == x)).cast("double"))
-            squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-            chi, df, shift = squares * size / n - n, size - 1, n * (size * concentration - 1)
-            text_like = normal((chi - df - shift) / F.sqrt(2 * (df + 2 * shift)))
-            wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-            high = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x >= half).cast("double"))
-            pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)),
-                               lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-            runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + ((p["x"] >= half) != (p["y"] >= half)).cast("double"))
-            expect = 1 + 2 * high * (n - high) / n
-            spread = F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(1e-9))
-            two_sided = lambda z: 2 * normal(-F.abs(z))
-            mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
-
-            def correlation(m: Column) -> Column:
-                own = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-                lag = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"] - m) * (p["y"] - m))
-                return F.when(own > 0, lag / own).otherwise(F.lit(1.0)) * F.sqrt(n)
-
-            worst = F.least(1 - normal(wilson), two_sided((runs - expect) / F.sqrt(spread)),
-                            two_sided(let(mean, correlation)))
-            return F.struct(text_like.alias("p"), (3 * worst >= REJECT).alias("sound"))
-
-        letters = F.filter(F.split(core, ""), lambda c: c != "")
-        symbols = F.transform(letters, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        return let(F.filter(symbols, lambda x: x >= 0), of)
+    def figures(core: Column, e: Column) -> Column:
+        """Sums over the symbols; what counts signs only is left to functions on text."""
+        def of(letters: Column) -> Column:
+            x = F.transform(letters, lambda c: (F.instr(e["alphabet"], c) - 1).cast("double"))
+            counts = F.transform(F.array_distinct(letters), lambda c: F.length(core) - F.length(F.replace(core, c, F.lit(""))))
+            return let(x, lambda x: F.struct(
+                F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c * c).cast("double").alias("squares"),
+                F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("sum"),
+                F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("sum2"),
+                F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda v, w: v * w),
+                            F.lit(0.0), lambda a, v: a + v).alias("lag"),
+                (F.get(x, F.lit(0)) + F.get(x, F.size(x) - 1)).alias("ends")))
+
+        sides = F.call_function("translate", core, e["alphabet"], e["sides"])
+        seen = lambda t, what: ((F.length(t) - F.length(F.replace(t, F.lit(what), F.lit("")))) / len(what))
+        runs = let(sides, lambda t: F.struct(seen(t, "H").alias("high"), (1 + seen(t, "LH") + seen(t, "HL")).alias("runs")))
+        return F.struct(F.length(core).cast("double").alias("n"), F.length(e["alphabet"]).cast("double").alias("size"),
+                        let(F.filter(F.split(core, ""), lambda c: c != ""), of).alias("x"), runs.alias("r"))
+
+    def verdict(f: Column, concentration: Column) -> Column:
+        n, size, x = f["n"], f["size"], f["x"]
+        chi, df, shift = x["squares"] * size / n - n, size - 1, n * (size * concentration - 1)
+        text_like = normal((chi - df - shift) / F.sqrt(2 * (df + 2 * shift)))
+        wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        expect = 1 + 2 * f["r"]["high"] * (n - f["r"]["high"]) / n
+        spread = F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(1e-9))
+        mean = x["sum"] / n
+        own = x["sum2"] - x["sum"] * mean
+        lag = x["lag"] - mean * (2 * x["sum"] - x["ends"]) + (n - 1) * mean * mean
+        two_sided = lambda z: 2 * normal(-F.abs(z))
+        worst = F.least(1 - normal(wilson), two_sided((f["r"]["runs"] - expect) / F.sqrt(spread)),
+                        two_sided(F.when(own > 1e-9, lag / own).otherwise(F.lit(1.0)) * F.sqrt(n)))
+        return F.struct(text_like.alias("p"), (3 * worst >= REJECT).alias("sound"))
 
     inferred = None
     for _, pattern, alphabet, concentration in reversed(ENCODINGS):
-        here = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(concentration).alias("concentration"))
+        half = len(alphabet) // 2
+        here = F.struct(F.lit(alphabet).alias("alphabet"), F.lit("L" * half + "H" * (len(alphabet) - half)).alias("sides"),
+                        F.lit(concentration).alias("concentration"))
         inferred = here if inferred is None else F.when(token.rlike(f"^(?:{pattern})$"), here).otherwise(inferred)
-    found = F.struct(F.regexp_replace(token, "=+$", "").alias("core"), inferred.alias("e"))
-    return let(found, lambda f: under(f["core"], f["e"]["alphabet"], f["e"]["concentration"]))
+    found = F.struct(F.regexp_replace(token, "=+$|[^A-Za-z0-9+/_=-]", "").alias("core"), inferred.alias("e"))
+    return let(found, lambda t: let(figures(t["core"], t["e"]), lambda f: verdict(f, t["e"]["concentration"])))
 
 
 def stratum(token: Column) -> Column:
@@ -143,19 +136,51 @@ def p_bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(p) / BIN), F.lit(BINS)).cast("int")
 
 
-def candidate_tokens(text: Column) -> Column:
-    """Runs and, once each, their parts between separators; what is padding only is none."""
-    def with_parts(run: Column) -> Column:
-        def moved(pattern: str) -> Column:
-            return F.transform(located(run["found"], pattern, 3), lambda x: F.struct(
-                (run["start"] + x["start"]).alias("start"), x["kind"].alias("kind"),
-                (run["start"] + x["stop"]).alias("stop"), x["found"].alias("found")))
+def once(spans: Column) -> Column:
+    """Each span once, in order."""
+    return let(F.sort_array(spans), lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
 
-        return F.when(run["found"].rlike("[/=_-]"), F.array_distinct(
-            F.concat(F.array(run), *[moved(p) for p in PARTS]))).otherwise(F.array(run))
 
+def outermost(spans: Column) -> Column:
+    """Spans that lie in no other: by start, the longer first, none before them ends as late."""
+    def of(a: Column) -> Column:
+        return let(running_join(F.transform(a, lambda x: x["span"]["stop"]), F.greatest), lambda reach: F.transform(
+            F.filter(a, lambda x, i: (i == 0) | (F.get(reach, i - 1) < x["span"]["stop"])), lambda x: x["span"]))
+
+    return let(F.sort_array(F.transform(spans, lambda x: F.struct(
+        x["start"].alias("start"), (-x["stop"]).alias("back"), x.alias("span")))), of)
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """Spans that touch none of ``base``: of the base that starts before a span's end, none ends behind its start."""
+    def of(spans: Column) -> Column:
+        def kept(events: Column) -> Column:
+            reach = running_join(F.transform(events, lambda e: e["reach"]), F.greatest)
+            return let(reach, lambda r: F.transform(
+                F.filter(events, lambda e, i: (e["base"] == 0) & (F.get(r, i) <= F.get(spans, e["at"])["start"])),
+                lambda e: F.get(spans, e["at"])))
+
+        event = lambda place, is_base, reach, at: F.struct(
+            place.alias("place"), F.lit(is_base).alias("base"), reach.alias("reach"), at.alias("at"))
+        nothing = F.lit(-1).cast("long")
+        ends = F.transform(spans, lambda x, i: event(x["stop"], 0, nothing, i))
+        begins = F.transform(base, lambda y: event(y["start"], 1, y["stop"], F.lit(-1)))
+        return let(F.sort_array(F.concat(ends, begins)), kept)
+
+    return F.when(F.size(base) == 0, spans).otherwise(let(spans, of))
+
+
+def with_candidates(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_tf_tokens``: runs and, once each, their parts between separators; what is padding only is none.
+
+    A part lies in a run, so its pattern finds it in the text as well. Built
+    column by column: one deep expression takes the analyser too long.
+    """
     runs = F.filter(located(text, TOKEN, 3), lambda x: x["found"].rlike("[^=].*[^=]"))
-    return F.flatten(F.transform(runs, with_parts))
+    split = F.exists("_tf_runs", lambda x: x["found"].rlike("[/=_-]"))
+    parts = F.when(split, F.concat(*[located(text, p, 3) for p in PARTS])).otherwise(F.slice("_tf_runs", 1, 0))
+    return (df.withColumn("_tf_runs", runs).withColumn("_tf_parts", parts)
+            .withColumn("_tf_tokens", once(F.concat("_tf_runs", "_tf_parts"))).drop("_tf_runs", "_tf_parts"))
 
 
 def thresholds(docs: DataFrame, text_col: str) -> dict[int, int]:
@@ -165,8 +190,9 @@ def thresholds(docs: DataFrame, text_col: str) -> dict[int, int]:
     tokens of the corpus, on binned p-values (a bin counts as its largest).
     Only counts leave the executors: at most 31 length classes times the bins.
     """
-    tokens = candidate_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    counts = (docs.select(F.explode(tokens).alias("_c")).select(F.col("_c.found").alias("_t")).select(stratum(F.col("_t")).alias("_s"), battery(F.col("_t")).alias("_b"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    counts = (with_candidates(texts, F.col("_text")).select(F.explode("_tf_tokens.found").alias("_t"))
+              .select(stratum(F.col("_t")).alias("_s"), battery(F.col("_t")).alias("_b"))
               .select("_s", p_bin(F.col("_b.p")).alias("_p")).groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n")).collect())
     out = {}
     for s in {r["_s"] for r in counts}:
@@ -179,28 +205,6 @@ def thresholds(docs: DataFrame, text_col: str) -> dict[int, int]:
     return out
 
 
-def all_spans(text: Column, limits: dict[int, int]) -> Column:
-    """Base spans and, beside them, the random tokens that the battery reports."""
-    def reported(x: Column) -> Column:
-        least = reduce(lambda other, s: F.when(stratum(x["found"]) == s, F.lit(limits[s])).otherwise(other),
-                       sorted(limits), F.lit(BINS + 1))
-        return let(battery(x["found"]), lambda b: b["sound"] & (p_bin(b["p"]) >= least))
-
-    def joined(base: Column) -> Column:
-        clear = lambda x: ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
-        more = F.filter(candidate_tokens(text), lambda x: clear(x) & reported(x))
-        return F.array_sort(F.concat(base, let(more, outermost)))
-
-    def outermost(found: Column) -> Column:
-        """Without those that lie in a larger one."""
-        size = lambda x: x["stop"] - x["start"]
-        return F.filter(found, lambda x: ~F.exists(found, lambda y: (
-            (y["start"] <= x["start"]) & (x["stop"] <= y["stop"]) & (size(x) < size(y)))))
-
-    base = base_spans(text)
-    return let(base, joined) if limits else base
-
-
 def listed(spans: Column) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -210,10 +214,25 @@ def listed(spans: Column) -> Column:
 def with_spans(docs: DataFrame, text_col: str = "text", name: str = "secret_spans") -> DataFrame:
     """``docs`` with their spans: ``start``, ``kind`` (place in ``KINDS``), ``stop``, ``found``.
 
-    Two passes over the texts: one for the length-wise thresholds, one for
-    the spans; no text is shuffled. Null and empty texts have no spans.
+    Base spans and, beside them, the outermost random tokens that the
+    battery reports. Two passes over the texts: one for the length-wise
+    thresholds, one for the spans; no text is shuffled. Null and empty texts
+    have no spans.
     """
-    return docs.withColumn(name, all_spans(F.coalesce(F.col(text_col), F.lit("")), thresholds(docs, text_col)))
+    limits = thresholds(docs, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if not limits:
+        return docs.withColumn(name, base_spans(text))
+
+    def reported(x: Column) -> Column:
+        least = reduce(lambda other, s: F.when(stratum(x["found"]) == s, F.lit(limits[s])).otherwise(other),
+                       sorted(limits), F.lit(BINS + 1))
+        return let(battery(x["found"]), lambda b: b["sound"] & (p_bin(b["p"]) >= least))
+
+    return (with_candidates(docs.withColumn("_tf_base", base_spans(text)), text)
+            .withColumn("_tf_tokens", clear_of(F.col("_tf_tokens"), F.col("_tf_base")))
+            .withColumn("_tf_tokens", outermost(F.filter("_tf_tokens", reported)))
+            .withColumn(name, F.sort_array(F.concat("_tf_base", "_tf_tokens"))).drop("_tf_base", "_tf_tokens"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,26 +251,43 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         listed(F.col("_s")).alias("spans"))
 
 
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with sorted ``spans`` replaced, overlapping ones as one; in time close to its length.
+
+    Finding a place in a text takes as long as the place is far, so the
+    parts to keep are taken from pieces of ``PIECE`` code points.
+    """
+    def of(pieces: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            p, q = (F.floor(x / PIECE).cast("int") for x in (a, b))
+            i, j = ((x % PIECE).cast("int") for x in (a, b))
+            across = F.concat(F.substr(F.get(pieces, p), i + 1), F.array_join(F.slice(pieces, p + 2, q - p - 1), ""),
+                              F.coalesce(F.substr(F.get(pieces, q), F.lit(1), j), F.lit("")))
+            return F.when(a >= b, F.lit("")).when(p == q, F.substr(F.get(pieces, p), i + 1, j - i)).otherwise(across)
+
+        def joined(reach: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long"))
+            kept = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(
+                part(before(i), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+            return F.concat(F.array_join(kept, ""), part(before(F.size(reach)), F.length(text).cast("long")))
+
+        return let(running_join(F.transform(spans, lambda s: s["stop"]), F.greatest), joined)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)
+
+
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
              chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one.
 
     Columns are kept; ``chars_col``, if there, is renewed where the text
-    changed. Every row stays.
+    changed. Every row stays, repeated ones too; null and empty texts and
+    texts without a span stay as they are; an empty table gives no rows.
+    Spans and texts of any number and length are swept in sorted order.
     """
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] >= acc["at"], F.struct(
-            s["stop"].alias("at"), F.concat(acc["out"], before, F.lit(mark)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("_tf_spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
     hit = F.size("_tf_spans") > 0
-    out = with_spans(docs, text_col, "_tf_spans").withColumn("_tf_clean", F.when(hit, clean))
+    out = with_spans(docs, text_col, "_tf_spans").withColumn("_tf_clean", F.when(hit, masked(text, F.col("_tf_spans"), mark)))
     new = {text_col: F.when(hit, F.col("_tf_clean")).otherwise(text)}
     if chars_col in docs.columns:
         new[chars_col] = F.when(hit, F.length("_tf_clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
