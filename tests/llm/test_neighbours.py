@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import duckdb
 import numpy as np
 
@@ -33,6 +35,37 @@ def test_against_brute_force_and_sql(spark):
     assert got == sql
 
 
+def test_any_finite_vector(spark):
+    """Components whose squares overflow or vanish, beside ordinary ones, in one tile and in many."""
+    rng = np.random.default_rng(5)
+    scale = [1e200, 1e-200, 1.0, 1e-310, 1e307, 1e150]
+    rows = [(i, (rng.normal(size=6).clip(-1, 1) * scale[i % 6]).tolist()) for i in range(240)]
+
+    tiny = Fraction(1, 10**600)
+
+    def exact(x, y):
+        return sum((Fraction(a) - Fraction(b)) ** 2 for a, b in zip(x, y))
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for q, x in rows:
+        if q % 20 < 6:
+            want[q] = [exact(x, y) for i, y in rows if i != q]
+            want[q].sort()
+    for tile, held in ((4096, N.HELD), (16, 1)):
+        N.HELD = held
+        got = by_query(N.nearest(df, df.filter("vec_id % 20 < 6"), tile=tile, query_block=7))
+        N.HELD = 64 << 20
+        vec = dict(rows)
+        assert set(got) == set(want)
+        for q, near in got.items():
+            assert [r for r, *_ in near] == list(range(1, 11))
+            for (_, i, s), w in zip(near, want[q]):
+                d = exact(vec[q], vec[i])
+                # the rounding of doubles may swap what differs less
+                assert abs(d - w) <= w / 10**12 and abs(Fraction(s) ** 2 - d) <= d / 10**12 or w < tiny
+
+
 def test_small_tiles_ties_and_scales(spark):
     """Many tiles and blocks, one vector held by a third of the rows, huge and tiny lengths."""
     rng = np.random.default_rng(3)
