@@ -40,6 +40,10 @@ def plain_removed(rows, least=R.LINE_DOCS, share=R.LINE_SHARE):
                 if by.get((h, normal(x)), 0) > max(least, share * len(texts[h]))) for _, t, h in rows]
 
 
+def verdict(r):
+    return not r["base_failed"] and r["removed_words"] < 0.5 * r["n_words"] and r["n_words"] - r["removed_words"] >= 50
+
+
 def figures(r):
     return tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
 
@@ -54,7 +58,7 @@ def test_whole_table(spark):
     for r in got:
         assert figures(r) == plain(text[r["doc_id"]])
         assert r["removed_words"] == removed[r["doc_id"]]
-        assert r["kept"] == (not r["base_failed"] and r["removed_words"] < 0.5 * r["n_words"])
+        assert r["kept"] == verdict(r)
 
 
 def test_edges(edge_docs, no_docs):
@@ -85,7 +89,7 @@ def test_frequent_lines_and_depletion(spark):
     removed = dict(zip((r[0] for r in rows), plain_removed(rows)))
     for r in R.line_rules(df).collect():
         assert r["removed_words"] == removed[r["doc_id"]]
-        assert r["kept"] == (not r["base_failed"] and r["removed_words"] < 0.5 * r["n_words"])
+        assert r["kept"] == verdict(r)
     cleaned = {r["doc_id"]: r["text"] for r in R.clean_documents(df).collect()}
     assert "Subscribe" not in cleaned["a1"] and cleaned["a1"] == rows[1][1].split("\n", 1)[1]
     assert "Subscribe" in cleaned["small1"]
@@ -116,6 +120,22 @@ def test_sql_twin(spark):
     assert sorted(tuple(r[n] for n in names) for r in R.op10_lines(spark, SF).collect()) == want
 
 
+def test_sql_twin_on_a_large_host_and_short_leftovers(spark):
+    """3,000 documents of one host, a line in 150 of them; what is left of some is too short, though most of it stays."""
+    import pandas as pd
+    line = "Read more of our stories and share them with all your friends every day"
+    own = lambda i, k: " ".join(f"{word(i, i // 26, i // 676)}{word(m)}" for m in range(k))
+    rows = [(i, f"{line}\n{own(i, 45 + i % 10)}" if i < 150 else own(i, 55), "hot") for i in range(3000)]
+    rows += [(5000 + i, f"{line}\n{own(i, 45)}", None) for i in range(9)]
+    want = {i: (14 if i < 150 else 0, i >= 150 or i % 10 >= 5) for i, *_ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: (r["removed_words"], r["kept"]) for r in R.line_rules(df).collect()} == want
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert {i: (n, k) for i, n, k in con.execute(f"select doc_id, removed_words, kept from ({R.OP10_SQL})").fetchall()} == want
+    assert {r["doc_id"] for r in R.clean_documents(df).collect()} == {i for i, (_, k) in want.items() if k}
+
+
 def test_many_documents_suffice_in_a_large_host(spark):
     """2% of a hot source share a line; a share alone would let it stand, and the documents made of it pass."""
     line, short, rare = "Read more of our stories and share them with all", "Share", "This line stands in a hundred documents only"

@@ -14,7 +14,7 @@ LINE_DOCS = 10              # a line in more distinct documents of its host than
 LINE_SHARE = 0.10           # ... and than this share of them is above the limit,
 LINE_MANY = 100             # and so is one in more distinct documents than this, whatever the share, ...
 LINE_WORDS = 3              # ... if it has as many words as this or more
-DEPLETED = 0.5              # removed share of words from which a document is depleted
+DEPLETED = 0.5              # removed share of words from which a document is depleted; so is one left with under MIN_WORDS
 BROADCAST_ROWS = 50_000     # frequent lines that may be broadcast (two keys each, some MB)
 
 
@@ -109,8 +109,9 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A first pass over the texts keeps figures and line hashes only. Lines in
     more than ten distinct documents and a tenth of their host's distinct
     documents are removed, and so are lines of three or more words in over
-    a hundred of them; a document that loses half of its words or more is
-    depleted and rejected, as is one that fails the base rules.
+    a hundred of them; a document that loses half of its words or more, or
+    keeps fewer than the base rules ask for, is depleted and rejected, as is
+    one that fails the base rules.
 
     Returns id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept``, ``removed_words``. Null
@@ -142,7 +143,8 @@ def _judged(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return (rows.join(removed, "_row", "left").withColumn("removed_words", F.coalesce("_removed", F.lit(0).cast("long")))
             .withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("removed_words") < DEPLETED * F.col("n_words"))))
+            .withColumn("kept", ~failed & (F.col("removed_words") < DEPLETED * F.col("n_words"))
+                        & (F.col("n_words") - F.col("removed_words") >= MIN_WORDS)))
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -150,6 +152,8 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The kept documents without their frequent lines; columns as they were.
 
     The lines to remove come back by id and text hash; nulls compare equal.
+    Repeated rows are kept or rejected together; null and empty texts are
+    rejected; an empty table gives no rows.
     """
     rows = checkpointed(_figures(docs, id_col, text_col, host_col))
     verdict = (_judged(rows, frequent_lines(rows)).filter("kept")
@@ -184,8 +188,10 @@ l as (select r, source, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+
       from ls where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups as (select r, count(*) - count(distinct line) as n from l group by r),
 hosts as (select source, count(distinct t) as docs from d group by source),
-often as (select l.source, l.norm from (select source, norm, count(distinct t) as n from l group by source, norm) l
-          join hosts h on l.source is not distinct from h.source where l.n > 10 and l.n > 0.10::double * h.docs),
+often as (select l.source, l.norm from (select source, norm, any_value(words) as words, count(distinct t) as n from l
+                                        group by source, norm) l
+          join hosts h on l.source is not distinct from h.source
+          where l.n > 10 and (l.n > 0.10::double * h.docs or (l.words >= 3 and l.n > 100))),
 removed as (select l.r, sum(l.words) as n from l join often o on l.source is not distinct from o.source and l.norm = o.norm
             group by l.r),
 m as (select d.doc_id, len(d.w)::bigint as n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
@@ -195,7 +201,8 @@ m as (select d.doc_id, len(d.w)::bigint as n_words, length(regexp_replace(d.t, '
       from d left join dups using (r) left join repeats using (r) left join removed using (r))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-       (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words < 0.5::double * n_words) as kept,
+       (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words < 0.5::double * n_words
+        and n_words - removed_words >= 50) as kept,
        removed_words
 from m
 """
