@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,8 @@ BUDGET = (3, 2)         # words of the mix over words of the corpus: 150 percent
 MOST = 2                # copies of a document
 SALT = 256              # parts of the documents of one source and size
 UNIT = 1 << 20          # parts of a copy in which rates are added up
-NEWTON_ROUNDS = 60      # at most; about ten are used
+NEWTON_ROUNDS = 60      # then the brackets are halved; about ten are used
 CLOSE = 1e-6            # of a target, where Newton stops
-REPAIRS = 8             # rounds that take rounding back, at most
 SEED = 17
 
 
@@ -73,7 +74,9 @@ def balance(groups: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     the document's words over its source's mean. The dual in l is convex and
     has one number per source; Newton steps for all sources together, each a
     grouped sum over (source, size) groups and a join, kept inside a
-    bracket. Sums are over whole thousandths, so reruns agree bit for bit.
+    bracket. Rounds go on until every source is close or its bracket holds
+    no other number; after ``NEWTON_ROUNDS`` each round halves the brackets,
+    so they end. Sums are over whole thousandths, so reruns agree bit for bit.
     Sources at their limit take ``most`` of everything.
     """
     mean = F.col("source_size") / F.col("_docs")
@@ -81,7 +84,7 @@ def balance(groups: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     now = checkpointed(base.select("_k", "source_size", "target", mean.alias("_mean"), F.lit(0.0).alias("_l"),
                                    F.lit(-1e9).alias("_lo"), F.lit(1e9).alias("_hi"),
                                    (F.col("target") >= most * F.col("source_size")).alias("_done")))
-    for _ in range(NEWTON_ROUNDS):
+    for turn in count():
         u = F.col("_size") / F.col("_mean")
         r = rate(F.col("_l") * u, most)
         words = F.col("_n") * F.col("_size")
@@ -95,12 +98,14 @@ def balance(groups: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         step = F.when(slope > 0, F.greatest(F.least(-gap / slope, trust), -trust)).otherwise(
             F.when(gap > 0, -trust).otherwise(trust))
         new = F.col("_l") + step
-        inside = (new > lo) & (new < hi)
+        inside = (new > lo) & (new < hi) & F.lit(turn < NEWTON_ROUNDS)
+        middle = (lo + hi) / 2
         moved = now.join(sums, "_k", "left").select(
             "_k", "source_size", "target", "_mean",
-            F.when(F.col("_done") | gap.isNull(), F.col("_l")).when(inside, new).otherwise((lo + hi) / 2).alias("_l"),
+            F.when(F.col("_done") | gap.isNull(), F.col("_l")).when(inside, new).otherwise(middle).alias("_l"),
             F.coalesce(lo, "_lo").alias("_lo"), F.coalesce(hi, "_hi").alias("_hi"),
-            (F.col("_done") | F.coalesce(F.abs(gap) <= CLOSE * F.col("target"), F.lit(True))).alias("_ready"),
+            (F.col("_done") | F.coalesce((F.abs(gap) <= CLOSE * F.col("target")) | (middle <= lo) | (middle >= hi),
+                                         F.lit(True))).alias("_ready"),
             "_done")
         # a source that is close enough keeps the multiplier it was measured with
         now = checkpointed(now.select("_k", F.col("_l").alias("_was")).join(moved, "_k").select(
@@ -124,8 +129,8 @@ def whole_copies(rated: DataFrame, most: int = MOST) -> DataFrame:
     Rates are added up from the smallest size on and a copy is given at each
     whole number passed; neighbours differ little in size, so the error is
     at most one longest document. Then it is taken back: each round changes
-    copies of the largest size that still fits the error, until no size
-    does. Windows are over the distinct sizes of a source, not its documents.
+    copies of the largest size that still fits the error, which shrinks each
+    time, until no size does. Windows are over the distinct sizes of a source, not its documents.
     """
     order = Window.partitionBy("_k").orderBy("_size")
     run = F.sum(F.round(F.col("_n") * F.col("_r") * UNIT).cast("decimal(38,0)")).over(
@@ -134,7 +139,7 @@ def whole_copies(rated: DataFrame, most: int = MOST) -> DataFrame:
     now = checkpointed(rated.withColumn("_run", run).withColumn("_passed", passed).withColumn(
         "_c", F.least(F.greatest(F.col("_passed") - F.lag("_passed", 1, 0).over(order), F.lit(0)), most * F.col("_n")))
         .drop("_run", "_passed"))
-    for _ in range(REPAIRS):
+    while True:
         gap = now.groupBy("_k").agg((F.first("target") - F.sum(F.col("_c") * F.col("_size"))).alias("_gap"))
         fit = F.floor(F.abs("_gap") / F.col("_size")).cast("long")
         room = F.when(F.col("_gap") > 0, most * F.col("_n") - F.col("_c")).otherwise(F.col("_c"))
@@ -178,13 +183,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     (F.col("_c") % F.col("_n")).alias("_more"), F.col("target").alias("_tf_target"),
                     F.col("source_size").cast("long").alias("_tf_source_size")))
     keys = ["_tf_k", "_tf_size", "_tf_part"]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_tf_hash", id_col)) - 1 + F.col("_before")
+    tie = [F.xxhash64(F.col(text_col))] if text_col else []     # repeated ids with other texts
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_tf_hash", id_col, *tie)) - 1 + F.col("_before")
     return (sized.join(plan, keys).withColumn("_tf_copies", F.col("_each") + (rank < F.col("_more")).cast("long"))
             .select(*docs.columns, "_tf_size", "_tf_source_size", "_tf_target", "_tf_copies"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with its own columns."""
+    """The mix itself: every document as many times as it is taken, with its own columns.
+
+    Documents without words take no part in targets and follow their group;
+    repeated rows are documents each, and which of the rows of one id and
+    size is taken does not change between reruns; an empty table gives no rows.
+    """
     taken = mix(docs, id_col, text_col, source_col).filter("_tf_copies > 0")
     return taken.withColumn("_tf_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_tf_copies"))).select(*docs.columns)
 
