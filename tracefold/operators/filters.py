@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog, micros
-from ..plans.cases import case_table, case_variants, keep_cases, variant_text
-from ..plans.ranking import global_rank_sum
+from ..plans.cases import (SIGNATURE, case_signatures, case_table, first_of_level, keep_cases, kept_once, level_at,
+                           trace_signatures, variant_activities, variant_table)
 from ..plans.sequence import running, sequenced
 
 
@@ -134,44 +134,57 @@ def variants_in(log: EventLog, variants, positive: bool = True) -> EventLog:
 
     A variant is its text (separators in names escaped) or a list of activity names.
     """
-    texts = [v if isinstance(v, str) else variant_text(v) for v in _as_list(variants)]
-    cv = case_variants(log).where(F.col("variant").isin(texts))
-    return keep_cases(log, cv, negate=not positive)
+    traces = [variant_activities(v) if isinstance(v, str) else list(v) for v in _as_list(variants)]
+    wanted = trace_signatures(log.spark, traces)
+    return keep_cases(log, case_signatures(log).join(wanted, SIGNATURE, "left_semi"), negate=not positive)
 
 
-def _ranked_variants(cv: DataFrame) -> DataFrame:
-    v = cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
-    return global_rank_sum(v, [F.col("n_cases").desc(), F.col("variant").asc()],
-                           {"_cum": F.col("n_cases")}, rank_name="rank0", totals=True)
+def _variants(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the cases and the variant table, both written once."""
+    signatures = kept_once(case_signatures(log))
+    return signatures, kept_once(variant_table(log, signatures))
 
 
-def _keep_variants(log: EventLog, cv: DataFrame, kept: DataFrame) -> EventLog:
-    """Events of the cases whose variant is in ``kept`` (one variant table, built once)."""
-    return keep_cases(log, cv.join(kept.select("variant"), "variant", "left_semi"))
+def _keep_variants(log: EventLog, signatures: DataFrame, kept: DataFrame) -> EventLog:
+    """Events of the cases whose variant is in ``kept``."""
+    return keep_cases(log, signatures.join(kept.select(*SIGNATURE), SIGNATURE, "left_semi"))
+
+
+def _most_frequent(log: EventLog, variants: DataFrame, level, many: int) -> DataFrame:
+    """Variants above a level and ``many`` of it; only a level that is cut needs texts, to order it by."""
+    above = variants.where(F.col("n_cases") > level["n_cases"])
+    if many <= 0:
+        return above
+    return above.select(*SIGNATURE).unionByName(
+        first_of_level(log, variants, level["n_cases"], 0, many).select(*SIGNATURE))
 
 
 def variants_percentage(log: EventLog, pct: float) -> EventLog:
     """Most frequent variants while the cumulative share <= pct (rank 1 always)."""
-    cv = case_variants(log)
-    r = _ranked_variants(cv)
-    kept = r.where((F.col("rank0") == 0) | (F.col("_cum") <= F.lit(pct) * F.col("_cum_total")))
-    return _keep_variants(log, cv, kept)
+    signatures, variants = _variants(log)
+    limit = pct * (signatures.count())
+    level = level_at(variants, F.col("k") * F.col("n_cases"), limit)
+    if level is None:
+        return _keep_variants(log, signatures, variants)
+    n = level["n_cases"]
+    before = level["run"] - level["k"] * n
+    many = max(int((limit - before) // n), 0 if before else 1)
+    return _keep_variants(log, signatures, _most_frequent(log, variants, level, many))
 
 
 def variants_top_k(log: EventLog, k: int) -> EventLog:
     """C11: cases of the k most frequent variants."""
-    cv = case_variants(log)
-    top = (cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
-           .orderBy(F.col("n_cases").desc(), F.col("variant").asc()).limit(k))
-    return _keep_variants(log, cv, top)
+    signatures, variants = _variants(log)
+    level = level_at(variants, F.col("k"), k)
+    if level is None:
+        return _keep_variants(log, signatures, variants)
+    return _keep_variants(log, signatures, _most_frequent(log, variants, level, k - (level["run"] - level["k"])))
 
 
 def variants_coverage(log: EventLog, min_share: float) -> EventLog:
     """Variants covering at least ``min_share`` of the cases."""
-    cv = case_variants(log)
-    v = cv.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
-    total = cv.select(F.count(F.lit(1))).scalar()
-    return _keep_variants(log, cv, v.where(F.col("n_cases") >= F.lit(min_share) * total))
+    signatures, variants = _variants(log)
+    return _keep_variants(log, signatures, variants.where(F.col("n_cases") >= F.lit(min_share * signatures.count())))
 
 
 def variant_at(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
@@ -181,12 +194,14 @@ def variant_at(log: EventLog, row: int = 0, match: str = "exact") -> EventLog:
     behaviour, a case passes when any of its activity names occurs as a
     substring of that variant's text.
     """
-    cv = case_variants(log)
-    r = _ranked_variants(cv).where(F.col("rank0") == row).select(F.col("variant").alias("_v"))
+    signatures, variants = _variants(log)
+    level = level_at(variants, F.col("k"), row)
+    if level is None:
+        return log.with_df(log.df.where(F.lit(False)))
+    here = first_of_level(log, variants, level["n_cases"], row - (level["run"] - level["k"]), 1)
     if match == "exact":
-        return _keep_variants(log, cv, r.withColumnRenamed("_v", "variant"))
-    target = r.select(F.col("_v").alias("variant")).scalar()
-    ids = log.df.where(F.contains(target, F.col(log.activity))).select(log.case).distinct()
+        return _keep_variants(log, signatures, here)
+    ids = log.df.where(F.contains(here.select("variant").scalar(), F.col(log.activity))).select(log.case).distinct()
     return keep_cases(log, ids)
 
 

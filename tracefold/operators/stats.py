@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_mean_std, r6, seconds_between, us_between
 from ..log import EventLog
-from ..plans.cases import case_variants, variant_counts
+from ..plans.cases import (SIGNATURE, case_signatures, case_variants, kept_once, variant_counts, variant_table,
+                           with_variant_text)
 from ..plans.ranking import global_rank_sum
 
 
@@ -50,55 +51,68 @@ def _pareto(log: EventLog) -> DataFrame:
         r6(F.col("_cum") * 100.0 / total).alias("cum_percentage"), "n_total")
 
 
+def frequency_ranks(log: EventLog) -> DataFrame:
+    """Ranks by frequency without texts: per level of equal ``n_cases`` its variants, their ranks and totals.
+
+    ``first``, ``last``: 0-based ranks of the level; ``before``: cases of
+    more frequent variants; ``n_variants``, ``n_total``: of the whole log.
+    """
+    levels = variant_table(log, case_signatures(log)).groupBy("n_cases").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.orderBy(F.col("n_cases").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy(F.col("n_cases").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cases = F.col("k") * F.col("n_cases")
+    return levels.select("n_cases", (F.sum("k").over(down) - F.col("k")).alias("first"),
+                         (F.sum("k").over(down) - 1).alias("last"), (F.sum(cases).over(down) - cases).alias("before"),
+                         F.sum("k").over(whole).alias("n_variants"), F.sum(cases).over(whole).alias("n_total"))
+
+
 def pareto_check(log: EventLog, share: float = 0.2, threshold: float = 80.0) -> DataFrame:
     """Cumulative percentage at 0-based rank floor(share * n_variants) > threshold."""
-    p = _pareto(log)
-    idx = F.floor(F.col("n_total") * F.lit(share)).cast("long")
-    return (p.where(F.col("rank0") == idx)
-            .select(F.col("n_total").cast("long").alias("n_variants"), F.col("rank0").alias("pareto_rank"),
-                    F.col("cum_percentage"),
-                    (F.col("cum_percentage") > F.lit(threshold)).alias("is_pareto")))
+    at = F.floor(F.col("n_variants") * F.lit(share)).cast("long")
+    run = F.col("before") + (at - F.col("first") + 1) * F.col("n_cases")
+    pct = r6(run * 100.0 / F.col("n_total"))
+    return (frequency_ranks(log).where((F.col("first") <= at) & (at <= F.col("last")))
+            .select(F.col("n_variants").cast("long").alias("n_variants"), at.alias("pareto_rank"),
+                    pct.alias("cum_percentage"), (pct > F.lit(threshold)).alias("is_pareto")))
 
 
 # ------------------------------------------------------------- case / variant profiles
 
 def case_profile(log: EventLog) -> DataFrame:
     """Per case: events, activity list (', '), distinct resources, duration (s)."""
-    return _case_profile_us(log).drop("duration_us")
+    acts = case_variants(log, sep=", ", name="activity_list").drop("activity_list_len")
+    return _case_figures(log).join(acts, log.case).select(
+        log.case, "n_events", "activity_list", "n_resources", "duration_s")
 
 
-def _case_profile_us(log: EventLog) -> DataFrame:
+def _case_figures(log: EventLog) -> DataFrame:
     res = (F.count_distinct("resource") if "resource" in log.df.columns
            else F.lit(None).cast("long"))       # logs without a resource column
-    agg = log.df.groupBy(log.case).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        res.alias("n_resources"),
-        F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
-    acts = case_variants(log, sep=", ", name="activity_list").drop("activity_list_len")
-    return agg.join(acts, log.case).select(
-        log.case, "n_events", "activity_list", "n_resources",
-        seconds_between(F.col("_t0"), F.col("_t1")).alias("duration_s"),
-        us_between(F.col("_t0"), F.col("_t1")).alias("duration_us"))
+    return log.df.groupBy(log.case).agg(
+        F.count(F.lit(1)).alias("n_events"), res.alias("n_resources"),
+        seconds_between(F.min("ts"), F.max("ts")).alias("duration_s"),
+        us_between(F.min("ts"), F.max("ts")).alias("duration_us"))
 
 
 def variant_profile(log: EventLog) -> DataFrame:
     """Per activity list: mean events, cases, mean resources, duration mean/min/std, sum."""
-    p = _case_profile_us(log)
+    p = _case_figures(log).join(case_signatures(log), log.case)
     mean, std = exact_mean_std(F.col("duration_us"))
-    g = p.groupBy("activity_list").agg(
+    g = kept_once(p.groupBy(*SIGNATURE).agg(
         F.avg("n_events").alias("avg_events"),
         F.count(F.lit(1)).alias("cases"),
         F.avg("n_resources").alias("avg_resource"),
         mean.alias("_avg"), std.alias("_std"),
         F.min("duration_us").alias("_min"),
-        F.sum("duration_us").alias("_sum"))
+        F.sum("duration_us").alias("_sum"), F.min(log.case).alias("_rep")))
     # exact sums and the same final double operations in every engine: no rounding
     # (rounding a mean of integer microseconds would meet .5 ties)
-    return g.select("activity_list", "avg_events", "cases", "avg_resource",
-                    F.col("_avg").alias("avg_duration"),
-                    (F.col("_min") / 1e6).alias("min_duration"),
-                    F.col("_std").alias("std_duration"),
-                    (F.col("_sum") / 1e6).alias("sum_duration"))
+    return with_variant_text(log, g, ", ", "activity_list").select(
+        "activity_list", "avg_events", "cases", "avg_resource",
+        F.col("_avg").alias("avg_duration"),
+        (F.col("_min") / 1e6).alias("min_duration"),
+        F.col("_std").alias("std_duration"),
+        (F.col("_sum") / 1e6).alias("sum_duration"))
 
 
 def attribute_values(log: EventLog, attr: str) -> DataFrame:
@@ -111,12 +125,18 @@ def activity_counts(log: EventLog) -> DataFrame:
     return attribute_values(log, log.activity).withColumnRenamed("value", "activity")
 
 
-def topic_dimensions(df: DataFrame, topic: str, sums: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Per topic: occurrences, sum of each listed column, duration max-min (s)."""
+def topic_dimensions(df: DataFrame, topic: str, sums: Sequence[str], ts: str = "ts",
+                     seconds_of_day: bool = False) -> DataFrame:
+    """Per topic: occurrences, sum of each listed column, duration max-min (s).
+
+    ``seconds_of_day``: only the part of the duration beyond whole days.
+    """
+    us = us_between(F.min(ts), F.max(ts))
+    duration = F.pmod(us, F.lit(86_400_000_000)) / F.lit(1_000_000.0) if seconds_of_day else us / F.lit(1_000_000.0)
     return df.groupBy(F.col(topic).alias("topic")).agg(
         F.count(F.lit(1)).alias("occurrences"),
         *[_sum_keep_type(df, c).alias(f"sum_{c}") for c in sums],
-        (seconds_between(F.min(ts), F.max(ts))).alias("duration_s"))
+        duration.alias("duration_s"))
 
 
 def _sum_keep_type(df: DataFrame, c: str) -> Column:
@@ -230,11 +250,12 @@ def rank_index(df: DataFrame, order: Sequence[Column], name: str = "rank0") -> D
 
 
 def zscore_columns(df: DataFrame, key: str) -> DataFrame:
-    """(x - mean) / sample std for every numeric column of an aggregated table."""
+    """(x - mean) / sample std for every numeric column; the moments are one row joined back."""
     nums = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
-    w = Window.partitionBy(F.lit(0))       # an aggregated table: one row per key
-    return df.select(key, *[r6(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))).alias(f"z_{c}")
-                            for c in nums])
+    moments = df.agg(*[f(c).alias(f"_{n}_{c}") for c in nums for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    one = F.broadcast(moments.withColumn("_one", F.lit(1)))     # a single row
+    return df.withColumn("_one", F.lit(1)).join(one, "_one").select(key, *[
+        r6(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).alias(f"z_{c}") for c in nums])
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

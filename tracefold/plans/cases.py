@@ -8,18 +8,31 @@ skew-join handling splits a hot case on the event side.
 The text of a variant is unambiguous: a separator or backslash inside an
 activity name is escaped by a backslash, so equal texts are equal traces.
 
-Variants are built in two levels, so a long case is never sorted as one
-group: the activities of each (case, chunk) are joined in order, then the
-chunk texts of a case are joined in chunk order.
+Counting and filtering variants needs no text. A trace is known by its
+*signature*: its length and two 64-bit sums (exclusive or) over hashes of
+(activity, place in the case). Places make it sensitive to order, and the
+sums merge in any grouping, so the slices of a long case are added up like
+any partial aggregate and no task ever holds a case. Two different traces
+share a signature with a chance of 2^-128.
+
+Texts are made for shown variants only, from one case of each, in two
+levels: the activities of each (case, chunk) are joined in order, then the
+chunk texts of a case in chunk order, so a long case is never sorted as one
+group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog, VARIANT_SEP, micros
-from .sequence import with_chunks
+from ..session import ensure_checkpoint_dir
+from .ranking import global_rank_sum
+from .sequence import sequenced, with_chunks
+
+# Columns of a trace's signature.
+SIGNATURE = ["variant_len", "_v1", "_v2"]
 
 
 def case_table(log: EventLog, *aggs: Column) -> DataFrame:
@@ -99,6 +112,75 @@ def case_arrays(log: EventLog, cols) -> DataFrame:
     return per.select(log.case, proj.alias("events"))
 
 
+def _signature(activity: Column, pos: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("variant_len"), F.bit_xor(F.xxhash64(activity, pos)).alias("_v1"),
+            F.bit_xor(F.xxhash64(pos, activity, F.lit("second"))).alias("_v2")]
+
+
+def case_signatures(log: EventLog) -> DataFrame:
+    """(case, ``SIGNATURE``): one slim row per case, from places and a mergeable sum."""
+    return sequenced(log, carry=()).groupBy(log.case).agg(*_signature(F.col(log.activity), F.col("pos")))
+
+
+def trace_signatures(spark: SparkSession, traces) -> DataFrame:
+    """Signatures of given traces (lists of activity names; the empty trace has none)."""
+    rows = [(k, pos, a) for k, t in enumerate(traces) for pos, a in enumerate(t)]
+    df = spark.createDataFrame(rows, "_k long, pos long, activity string")
+    return df.groupBy("_k").agg(*_signature(F.col("activity"), F.col("pos"))).select(*SIGNATURE).distinct()
+
+
+def variant_activities(text: str, sep: str = VARIANT_SEP) -> list[str]:
+    """Activity names of a variant text: the way back of ``variant_text``."""
+    out, name, at = [], "", 0
+    while at < len(text):
+        if text[at] == "\\":
+            name, at = name + text[at + 1:at + 2], at + 2
+        elif text.startswith(sep, at):
+            out, name, at = [*out, name], "", at + len(sep)
+        else:
+            name, at = name + text[at], at + 1
+    return [*out, name]
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """Reliable copy of a table that several jobs read, one slim row per case or variant."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def variant_table(log: EventLog, signatures: DataFrame) -> DataFrame:
+    """(``SIGNATURE``, n_cases, ``_rep``): one row per variant, with its smallest case id to show it by."""
+    return signatures.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n_cases"), F.min(log.case).alias("_rep"))
+
+
+def with_variant_text(log: EventLog, variants: DataFrame, sep: str = VARIANT_SEP, name: str = "variant") -> DataFrame:
+    """Rows of a variant table with the text of their ``_rep`` case; other cases' events are not gathered."""
+    reps = keep_cases(log, variants.select(F.col("_rep").alias(log.case)))
+    text = case_variants(reps, sep, name).select(F.col(log.case).alias("_rep"), name)
+    return variants.join(text, "_rep")
+
+
+def level_at(variants: DataFrame, amount: Column, limit) -> Row | None:
+    """The first level of equal ``n_cases``, from the most frequent down, whose running ``amount`` exceeds ``limit``.
+
+    ``k``: its variants, ``run``: amount up to and with it. None if no level
+    does. N cases have at most sqrt(2 N) different frequencies, so the
+    levels are few and one window orders them.
+    """
+    down = Window.orderBy(F.col("n_cases").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = variants.groupBy("n_cases").agg(F.count(F.lit(1)).alias("k"))
+    run = F.sum(amount).over(down)
+    return levels.select("n_cases", "k", run.alias("run")).where(F.col("run") > F.lit(limit)).orderBy(
+        F.col("n_cases").desc()).limit(1).first()
+
+
+def first_of_level(log: EventLog, variants: DataFrame, n_cases: int, first: int, many: int) -> DataFrame:
+    """Variants of one frequency with ranks ``first`` to ``first + many - 1`` in text order (``rank0`` added)."""
+    level = with_variant_text(log, variants.where(F.col("n_cases") == n_cases))
+    ranked = global_rank_sum(level, [F.col("variant").asc()], {}, "rank0")
+    return ranked.where((F.col("rank0") >= first) & (F.col("rank0") < first + many))
+
+
 def variant_counts(log: EventLog) -> DataFrame:
     """(variant, n_cases) over the whole log."""
-    return case_variants(log).groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
+    return with_variant_text(log, kept_once(variant_table(log, case_signatures(log)))).select("variant", "n_cases")
