@@ -64,6 +64,10 @@ def _check_net(arcs: DataFrame) -> None:
     bad = arcs.where(F.col("activity").isNull() | (F.col("activity") == "")).limit(1).count()
     if bad:
         raise ValueError("token replay needs visible transitions (no silent / empty labels)")
+    if "transition" in arcs.columns:
+        shared = arcs.groupBy("activity").agg(F.count_distinct("transition").alias("n")).where("n > 1")
+        if shared.limit(1).count():
+            raise ValueError("token replay needs uniquely labelled transitions")
 
 
 def replay_moves(log: EventLog, places: DataFrame, arcs: DataFrame) -> tuple[DataFrame, EventLog]:
@@ -85,6 +89,9 @@ def replay_moves(log: EventLog, places: DataFrame, arcs: DataFrame) -> tuple[Dat
             ends.append(F.struct(F.lit(r["place"]).alias("place"), F.lit(2).alias("_o"),
                                  F.lit(0).alias("phase"), F.lit(-int(r["mf"])).alias("delta"),
                                  F.col("_t1").alias(first)))
+    if not ends:    # a net without markings: a row without place or tokens keeps every case
+        ends = [F.struct(F.lit(None).cast("string").alias("place"), F.lit(0).alias("_o"), F.lit(1).alias("phase"),
+                         F.lit(0).alias("delta"), F.col("_t0").alias(first))]
     init = span.select(case, F.inline(F.array(*ends)))
     for c in [*log.order[1:], *log.tie]:
         init = init.withColumn(c, F.lit(None).cast(dict(log.df.dtypes)[c]))
@@ -201,14 +208,14 @@ def replay_outside(log: EventLog, arcs: DataFrame) -> DataFrame:
 
 def replay_diagnostics_transitions(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
     """J4 (transitions): fit / unfit cases containing each transition and their median duration."""
-    from .timing import case_durations, exact_group_median
+    from .timing import case_durations, group_median
     tr = token_replay(log, places, arcs).select(log.case, "is_fit")
     dur = case_durations(log).select(log.case, "duration_us")
     has = log.df.select(log.case, F.col(log.activity).alias("transition")).distinct()
     x = has.join(tr, log.case).join(dur, log.case)
     counts = x.groupBy("transition").agg(F.count_if("is_fit").alias("fit_cases"),
                                          F.count_if(~F.col("is_fit")).alias("unfit_cases"))
-    med = exact_group_median(x, ["transition", "is_fit"], "duration_us", log.case)
+    med = group_median(x, ["transition", "is_fit"], "duration_us")
     pv = med.groupBy("transition").agg(
         F.max(F.when(F.col("is_fit"), F.col("median"))).alias("_mf"),
         F.max(F.when(~F.col("is_fit"), F.col("median"))).alias("_mu"))
@@ -279,7 +286,7 @@ def alignment_summary(costs: DataFrame, case: str = "case_id") -> DataFrame:
 def anomaly_odds(costs: DataFrame) -> DataFrame:
     """Unfit share and odds unfit / fit."""
     return costs.agg(F.count_if(F.col("cost") > 0).alias("n_unfit"), F.count_if(F.col("cost") == 0).alias("n_fit")) \
-        .select("n_unfit", "n_fit", r6(F.col("n_unfit") / (F.col("n_unfit") + F.col("n_fit"))).alias("unfit_share"),
+        .select("n_unfit", "n_fit", r6(F.try_divide(F.col("n_unfit").cast("double"), F.col("n_unfit") + F.col("n_fit"))).alias("unfit_share"),
                 r6(F.try_divide(F.col("n_unfit").cast("double"), F.col("n_fit"))).alias("odds_unfit_fit"))
 
 
@@ -332,109 +339,13 @@ FIXED_NET_TRACES = [["signup", "error"], ["signup", "view", "click", "purchase"]
                     ["signup", "click", "view", "purchase"]]
 
 
-def _lcs_rows(v: Column, m: Column) -> Column:
-    """All rows of the LCS table of arrays v and m (row i = prefix of v of length i)."""
-    k = F.size(m)
-    first = F.array_repeat(F.lit(0), k + 1)
+def nearest_trace_alignment(log: EventLog, traces=FIXED_NET_TRACES) -> DataFrame:
+    """See ``operators.alignment``; by default against the language of the fixed net."""
+    from . import alignment
+    return alignment.nearest_trace_alignment(log, traces)
 
-    def step(rows, x):
-        prev = F.element_at(rows, -1)
-        new = F.aggregate(F.sequence(F.lit(1), k), F.array(F.lit(0)), lambda cur, j: F.concat(
-            cur, F.array(F.when(x == F.element_at(m, j), F.element_at(prev, j) + 1)
-                         .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))))))
-        return F.concat(rows, F.array(new))
-    return F.aggregate(v, F.array(first), step)
 
-
-def _lcs(v: Column, m: Column) -> Column:
-    """Length of the longest common subsequence, one DP row kept at a time."""
-    k = F.size(m)
-
-    def step(prev, x):
-        return F.aggregate(F.sequence(F.lit(1), k), F.array(F.lit(0)), lambda cur, j: F.concat(
-            cur, F.array(F.when(x == F.element_at(m, j), F.element_at(prev, j) + 1)
-                         .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))))))
-    return F.element_at(F.aggregate(v, F.array_repeat(F.lit(0), k + 1), step), -1)
-
-
-def _model_array(traces: Sequence[Sequence[str]]) -> Column:
-    return F.array(*[F.array(*[F.lit(a) for a in t]) for t in traces])
-
-
-def variant_arrays(log: EventLog) -> DataFrame:
-    """Distinct activity sequences (ARRAY<STRING>) with their number of cases."""
-    from ..plans.cases import case_arrays
-    c = case_arrays(log, [log.activity]).select(log.case, F.col("events")[log.activity].alias("trace"))
-    return c.groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"))
-
-
-def _nearest(log: EventLog, traces: Sequence[Sequence[str]]) -> DataFrame:
-    """Distinct traces (arrays) with their nearest model trace: trace, n_cases, cost, m."""
-    scored = F.transform(_model_array(traces), lambda m: F.struct(
-        (F.size("trace") + F.size(m) - 2 * _lcs(F.col("trace"), m)).alias("cost"),
-        F.array_join(m, ",").alias("model_trace"), m.alias("m")))
-    best = F.array_min(scored)
-    return variant_arrays(log).select("trace", "n_cases", best["cost"].alias("cost"), best["m"].alias("m"))
-
-
-def _text(trace: str) -> Column:
-    from ..plans.cases import escaped
-    return F.array_join(F.transform(trace, lambda a: escaped(a)), ",")
-
-
-def nearest_trace_alignment(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
-    """Optimal alignment cost of each distinct variant against the nearest model trace.
-
-    Without silent transitions a log or model move costs 1 and a
-    synchronous move 0, so cost = |v| + |m| - 2 LCS(v, m); the worst case
-    is |v| + the shortest model trace (S17). Work is per distinct variant;
-    the model (bounded) is a literal array, not a join. Traces are compared
-    as arrays; texts (separators in names escaped) are for display.
-    """
-    min_len = min(len(t) for t in traces)
-    return _nearest(log, traces).select(
-        _text("trace").alias("variant"), "n_cases", "cost", _text("m").alias("model_trace"),
-        r6(1 - F.col("cost") / (F.size("trace") + F.lit(min_len))).alias("fitness"))
-
-
-def alignment_moves(log: EventLog, traces: Sequence[Sequence[str]] = FIXED_NET_TRACES) -> DataFrame:
-    """The move list of J6's optimal alignment, one row per move.
-
-    The DP table is built per (variant, nearest trace) and walked back
-    from the end: synchronous move first, then log move, then model move.
-    Rows: (variant, n_cases, pos, log_act, model_act), NULL for '>>'.
-    """
-    j = _nearest(log, traces).select(_text("trace").alias("variant"), "n_cases", "trace", "m")
-    rows = _lcs_rows(F.col("trace"), F.col("m"))
-    n, k = F.size("trace"), F.size("m")
-
-    def cell(i, jj):
-        return F.element_at(F.element_at(F.col("_rows"), i + 1), jj + 1)
-
-    def back(st, _):
-        i, jj = st["i"], st["j"]
-        sync = (i > 0) & (jj > 0) & (F.element_at(F.col("trace"), F.greatest(i, F.lit(1)))
-                                     == F.element_at(F.col("m"), F.greatest(jj, F.lit(1)))) \
-            & (cell(i, jj) == cell(F.greatest(i - 1, F.lit(0)), F.greatest(jj - 1, F.lit(0))) + 1)
-        logm = (i > 0) & (cell(F.greatest(i - 1, F.lit(0)), jj) == cell(i, jj))
-        done = (i == 0) & (jj == 0)
-        mv_sync = F.struct(F.element_at(F.col("trace"), F.greatest(i, F.lit(1))).alias("l"),
-                           F.element_at(F.col("m"), F.greatest(jj, F.lit(1))).alias("m"))
-        mv_log = F.struct(F.element_at(F.col("trace"), F.greatest(i, F.lit(1))).alias("l"),
-                          F.lit(None).cast("string").alias("m"))
-        mv_model = F.struct(F.lit(None).cast("string").alias("l"),
-                            F.element_at(F.col("m"), F.greatest(jj, F.lit(1))).alias("m"))
-        return (F.when(done, st)
-                .when(sync, F.struct((i - 1).alias("i"), (jj - 1).alias("j"),
-                                     F.concat(F.array(mv_sync), st["mv"]).alias("mv")))
-                .when(logm, F.struct((i - 1).alias("i"), jj.alias("j"),
-                                     F.concat(F.array(mv_log), st["mv"]).alias("mv")))
-                .otherwise(F.struct(i.alias("i"), (jj - 1).alias("j"),
-                                    F.concat(F.array(mv_model), st["mv"]).alias("mv"))))
-    empty = F.array().cast("array<struct<l:string,m:string>>")
-    init = F.struct(n.alias("i"), k.alias("j"), empty.alias("mv"))
-    walk = F.aggregate(F.sequence(F.lit(1), n + k), init, back)
-    out = j.withColumn("_rows", rows).select("variant", "n_cases", walk["mv"].alias("mv"))
-    return out.select("variant", "n_cases", F.posexplode("mv").alias("pos", "_m")).select(
-        "variant", "n_cases", F.col("pos").cast("long").alias("pos"),
-        F.col("_m")["l"].alias("log_act"), F.col("_m")["m"].alias("model_act"))
+def alignment_moves(log: EventLog, traces=FIXED_NET_TRACES) -> DataFrame:
+    """See ``operators.alignment``; by default against the language of the fixed net."""
+    from . import alignment
+    return alignment.alignment_moves(log, traces)

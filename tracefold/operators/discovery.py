@@ -13,10 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_mean_std, r6, us_between
+from ..functions.columns import exact_mean_std, mean_std_of_sums, r6, us_between
 from ..log import END_SYMBOL, START_SYMBOL, EventLog
-from ..plans.cases import variant_counts
-from ..plans.ranking import global_rank_sum
+from ..plans.cases import escaped, kept_once
 from ..plans.sequence import running, sequenced
 
 
@@ -31,18 +30,34 @@ def dfg_frequency(log: EventLog) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def _step_times(log: EventLog) -> DataFrame:
+    return _steps(log).select(F.col("activity").alias("a"), F.col("next_activity").alias("b"),
+                              us_between(F.col("ts"), F.col("next_ts")).alias("d"))
+
+
 def dfg_performance(log: EventLog) -> DataFrame:
-    """Directly-follows time statistics in seconds: mean, min, max, median, sample std."""
-    from .timing import exact_group_median
-    d = us_between(F.col("ts"), F.col("next_ts"))
-    s = _steps(log).select(F.col("activity").alias("a"), F.col("next_activity").alias("b"), d.alias("d"))
-    mean, std = exact_mean_std(F.col("d"))
-    stats = s.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), mean.alias("mean_s"),
-        (F.min("d") / 1e6).alias("min_s"), (F.max("d") / 1e6).alias("max_s"), std.alias("std_s"))
-    # ties of a gap are interchangeable; a hash of the place only splits them over tasks
-    middle = exact_group_median(s.withColumn("_tie", F.monotonically_increasing_id()), ["a", "b"], "d", "_tie")
-    return stats.join(middle, ["a", "b"]).select(*stats.columns, (F.col("median") / 1e6).alias("median_s"))
+    """Directly-follows time statistics in seconds: mean, min, max, median, sample std.
+
+    One histogram of the steps holds the exact sums of all statistics but
+    the median, which is selected from it and one more pass.
+    """
+    from .timing import binned, group_median
+    s, key = _step_times(log), ["a", "b"]
+    x = F.col("d").cast("decimal(38,0)")
+    hist = kept_once(binned(s, key, "d", F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2")))
+    mean, std = mean_std_of_sums(F.col("n"), F.col("_s1"), F.col("_s2"))
+    stats = hist.groupBy(*key).agg(F.sum("_c").alias("n"), F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"),
+                                   F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select(
+        *key, "n", mean.alias("mean_s"), (F.col("_lo") / 1e6).alias("min_s"), (F.col("_hi") / 1e6).alias("max_s"),
+        std.alias("std_s"))
+    middle = group_median(s, key, "d", hist.select(*key, "_bin", "_c", "_lo", "_hi"))
+    return stats.join(middle, key).select(*stats.columns, (F.col("median") / 1e6).alias("median_s"))
+
+
+def edge_times(log: EventLog) -> DataFrame:
+    """Count and mean time (seconds) of every step, in one pass."""
+    mean, _ = exact_mean_std(F.col("d"))
+    return _step_times(log).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean_s"))
 
 
 def dfg_triples(log: EventLog) -> DataFrame:
@@ -190,9 +205,11 @@ def parameter_sweep(log: EventLog, settings: Sequence[tuple[float, int, int]] =
     acts = ends.groupBy(*key).agg(F.count_distinct(F.when(F.col("kept"), F.col("act"))).alias("n_activities"))
     size = x.groupBy(*key).agg(F.count_if(kept).alias("n_edges"), F.sum("n").alias("_steps"),
                                F.sum(F.when(kept, F.col("n")).otherwise(0)).cast("long").alias("covered_steps"))
-    fit = F.col("covered_steps") / F.col("_steps")
+    fit = F.coalesce(F.try_divide(F.col("covered_steps").cast("double"), F.col("_steps").cast("double")), F.lit(0.0))
     simple = edge_simplicity(F.col("n_edges"), F.col("n_activities"))
-    return size.join(acts, key).select(*key, "n_edges", "n_activities", "covered_steps", r6(fit).alias("fitness"),
+    table = log.spark.createDataFrame([(float(t), int(a), int(m)) for t, a, m in settings], size.select(*key).schema)
+    out = table.join(size, key, "left").join(acts, key, "left").fillna(0, ["n_edges", "n_activities", "covered_steps"])
+    return out.select(*key, "n_edges", "n_activities", "covered_steps", r6(fit).alias("fitness"),
                                        r6(simple).alias("simplicity"), r6(fit + simple).alias("score"))
 
 
@@ -204,16 +221,16 @@ def edge_simplicity(n_edges: Column, n_activities: Column) -> Column:
 
 def sweep_bounds(log: EventLog) -> DataFrame:
     """I16: smallest / largest variant count and the count at rank floor(0.1 * n_variants)."""
-    r = global_rank_sum(variant_counts(log), [F.col("n_cases").desc(), F.col("variant").asc()], {}, "rank0",
-                        totals=True)
-    at = F.col("rank0") == F.floor(F.col("n_total") * F.lit(0.1))
-    return r.agg(F.min("n_cases").alias("min_count"), F.max("n_cases").alias("max_count"),
-                 F.max(F.when(at, F.col("n_cases"))).alias("count_at_10pct"))
+    from .stats import frequency_ranks
+    at = F.floor(F.col("n_variants") * F.lit(0.1))
+    here = (F.col("first") <= at) & (at <= F.col("last"))
+    return frequency_ranks(log).agg(F.min("n_cases").alias("min_count"), F.max("n_cases").alias("max_count"),
+                                    F.max(F.when(here, F.col("n_cases"))).alias("count_at_10pct"))
 
 
 def model_decoration(log: EventLog, edges: DataFrame) -> DataFrame:
     """Frequency and mean time of each model edge, and frequency of its activities."""
-    perf = dfg_performance(log).select("a", "b", F.col("n").alias("freq"), "mean_s")
+    perf = edge_times(log).withColumnRenamed("n", "freq")
     counts = log.df.groupBy(F.col(log.activity).alias("a")).agg(F.count(F.lit(1)).alias("act_freq"))
     return (edges.select("a", "b").join(perf, ["a", "b"], "left").join(counts, "a", "left")
             .select("a", "b", F.coalesce("freq", F.lit(0)).alias("freq"), "mean_s", "act_freq"))
@@ -233,76 +250,92 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _rel_lookup(fp: DataFrame):
-    """A literal map 'a<sep>b' -> relation built from the footprint (alphabet squared entries)."""
-    rows = fp.collect()
-    acts = sorted({r["a"] for r in rows})
-    kv = []
-    for r in rows:
-        kv += [F.lit(r["a"] + _SEP + r["b"]), F.lit(r["relation"])]
-    rel = F.create_map(*kv)
-    return acts, (lambda x, y: F.element_at(rel, F.concat(x, F.lit(_SEP), y)))
+def _choices(fp: DataFrame) -> DataFrame:
+    """Per activity that is no loop of its own: ``loose`` (never beside it), ``after`` and ``before`` (caused, causing).
+
+    One row per activity with sorted arrays, from the footprint's rows.
+    """
+    fits = fp.where((F.col("a") == F.col("b")) & (F.col("relation") == "#")).select("a")
+    pairs = fp.join(fits, "a", "left_semi").join(fits.withColumnRenamed("a", "b"), "b", "left_semi")
+    every = lambda cond, other: F.array_sort(F.collect_set(F.when(cond, F.col(other))))
+    ahead = pairs.groupBy(F.col("a").alias("x")).agg(
+        every((F.col("relation") == "#") & (F.col("a") != F.col("b")), "b").alias("loose"),
+        every(F.col("relation") == "->", "b").alias("after"))
+    back = pairs.groupBy(F.col("b").alias("x")).agg(every(F.col("relation") == "->", "a").alias("before"))
+    return _checkpoint(ahead.join(back, "x"))
 
 
 def alpha_place_sets(log: EventLog) -> DataFrame:
     """Places of the alpha algorithm: maximal (A, B) with A -> B causal, A and B choice-free.
 
     Valid pairs are closed under taking subsets, so they grow level by
-    level from single causal pairs (adding larger names only, distinct per
-    level); a pair is maximal when no single activity can be added to
-    either side. Plus the start place (-> first activities) and end place.
-    Rows: ``inputs``, ``outputs`` (arrays), ``kind``, ``place``.
+    level from single causal pairs, distinct per level. Every pair carries
+    what can still be added to either side; that shrinks by an intersection
+    with the arrays of the added activity, met by a join. Activities that
+    exclude no other candidate are added all at once, so a choice between
+    hundreds takes one level; only true alternatives branch. A pair is
+    maximal when nothing is left to add. Plus the start
+    place (-> first activities) and end place. Rows: ``inputs``,
+    ``outputs`` (arrays), ``kind``, ``place``.
     """
     from ..plans.cases import case_table
-    fp = footprint(log)
-    acts, R = _rel_lookup(fp)
-    alph = F.array(*[F.lit(a) for a in acts])
-    spark = log.spark
-
-    def ok_a(A, B, x):
-        return ((R(x, x) == "#") & F.forall(A, lambda a: R(x, a) == "#")
-                & F.forall(B, lambda b: R(x, b) == "->"))
-
-    def ok_b(A, B, y):
-        return ((R(y, y) == "#") & F.forall(B, lambda b: R(y, b) == "#")
-                & F.forall(A, lambda a: R(a, y) == "->"))
-
-    seeds = fp.where((F.col("relation") == "->") & (R(F.col("a"), F.col("a")) == "#")
-                     & (R(F.col("b"), F.col("b")) == "#")) \
-        .select(F.array("a").alias("A"), F.array("b").alias("B"))
-    level = _checkpoint(seeds.distinct())
-    found = level
-    while True:      # a pair only grows, so some level is empty
-        ea = level.select("A", "B", F.explode(alph).alias("x")) \
-            .where((F.col("x") > F.array_max("A")) & ok_a(F.col("A"), F.col("B"), F.col("x"))) \
-            .select(F.array_sort(F.array_union("A", F.array("x"))).alias("A"), "B")
-        eb = level.select("A", "B", F.explode(alph).alias("y")) \
-            .where((F.col("y") > F.array_max("B")) & ok_b(F.col("A"), F.col("B"), F.col("y"))) \
-            .select("A", F.array_sort(F.array_union("B", F.array("y"))).alias("B"))
-        level = _checkpoint(ea.unionByName(eb).distinct())
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    maximal = found.where(
-        ~F.exists(alph, lambda x: ~F.array_contains("A", x) & ok_a(F.col("A"), F.col("B"), x))
-        & ~F.exists(alph, lambda y: ~F.array_contains("B", y) & ok_b(F.col("A"), F.col("B"), y)))
+    fp = _checkpoint(footprint(log))
+    known = _choices(fp)
+    both = lambda p, q: F.array_sort(F.array_intersect(p, q))
+    side = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns])
+    seeds = (fp.where(F.col("relation") == "->").join(side(known, "a"), F.col("a") == F.col("a_x"))
+             .join(side(known, "b"), F.col("b") == F.col("b_x")))
+    level = _checkpoint(seeds.select(F.array("a").alias("A"), F.array("b").alias("B"),
+                                     both("a_loose", "b_before").alias("more_a"), both("b_loose", "a_after").alias("more_b")))
+    maximal = level.where("false")
+    while not level.isEmpty():      # a pair only grows, so some level is empty
+        none_left = (F.size("more_a") == 0) & (F.size("more_b") == 0)
+        maximal = maximal.unionByName(level.where(none_left))
+        each = level.select("*", F.explode(F.concat(
+            F.transform("more_a", lambda x: F.struct(x.alias("x"), F.lit(True).alias("to_a"))),
+            F.transform("more_b", lambda x: F.struct(x.alias("x"), F.lit(False).alias("to_a"))))).alias("_e"))
+        each = each.select("A", "B", "more_a", "more_b", "_e.*").join(known, "x").select(
+            "*", both("more_a", F.when(F.col("to_a"), F.col("loose")).otherwise(F.col("before"))).alias("next_a"),
+            both("more_b", F.when(F.col("to_a"), F.col("after")).otherwise(F.col("loose"))).alias("next_b"))
+        # what excludes no other candidate belongs to every maximal pair above: all of it is added at once
+        free = (F.size("next_a") + F.size("next_b")) == (F.size("more_a") + F.size("more_b") - 1)
+        state = Window.partitionBy("A", "B")
+        each = each.withColumn("free", free).withColumn("any_free", F.max("free").over(state))
+        at_once = lambda to_a: F.array_sort(F.collect_set(F.when(F.col("to_a") == F.lit(to_a), F.col("x"))))
+        jumps = each.where("free").groupBy("A", "B", "more_a", "more_b").agg(at_once(True).alias("ua"), at_once(False).alias("ub"))
+        grown = lambda s, more: F.array_sort(F.array_union(s, more))
+        jumped = jumps.select(grown("A", "ua").alias("A"), grown("B", "ub").alias("B"),
+                              F.array_except("more_a", "ua").alias("more_a"), F.array_except("more_b", "ub").alias("more_b"))
+        new = F.array("x")
+        branched = each.where("not any_free").select(
+            F.when(F.col("to_a"), grown("A", new)).otherwise(F.col("A")).alias("A"),
+            F.when(F.col("to_a"), F.col("B")).otherwise(grown("B", new)).alias("B"),
+            F.col("next_a").alias("more_a"), F.col("next_b").alias("more_b"))
+        level = _checkpoint(jumped.unionByName(branched).distinct())
+    maximal = maximal.select("A", "B").distinct()
     ends = case_table(log).agg(F.array_sort(F.collect_set("first_activity")).alias("_s"),
                                F.array_sort(F.collect_set("last_activity")).alias("_e"))
     none = F.array().cast("array<string>")
     return (maximal.select(F.col("A").alias("inputs"), F.col("B").alias("outputs"), F.lit("inner").alias("kind"))
             .unionByName(ends.select(none.alias("inputs"), F.col("_s").alias("outputs"), F.lit("start").alias("kind")))
             .unionByName(ends.select(F.col("_e").alias("inputs"), none.alias("outputs"), F.lit("end").alias("kind")))
+            .where(F.size("inputs") + F.size("outputs") > 0)     # an empty log has no ends
             .withColumn("place", _place_name(F.col("inputs"), F.col("outputs"))))
 
 
+def _names(activities: Column) -> Column:
+    return F.array_join(F.transform(activities, lambda a: F.replace(escaped(a, ","), F.lit("|"), F.lit("\\|"))), ",")
+
+
 def _place_name(inputs: Column, outputs: Column) -> Column:
-    return F.concat(F.lit("p("), F.array_join(inputs, ","), F.lit("|"), F.array_join(outputs, ","), F.lit(")"))
+    """``p(a,b|c)``; separators in activity names are escaped, so different places have different names."""
+    return F.concat(F.lit("p("), _names(inputs), F.lit("|"), _names(outputs), F.lit(")"))
 
 
 def alpha_places(log: EventLog) -> DataFrame:
     """The places of ``alpha_place_sets`` with their activities as text."""
-    return alpha_place_sets(log).select("place", F.array_join("inputs", ",").alias("inputs"),
-                                        F.array_join("outputs", ",").alias("outputs"))
+    return alpha_place_sets(log).select("place", _names(F.col("inputs")).alias("inputs"),
+                                        _names(F.col("outputs")).alias("outputs"))
 
 
 def alpha_net(log: EventLog) -> tuple[DataFrame, DataFrame]:

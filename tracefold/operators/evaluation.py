@@ -17,12 +17,12 @@ from .conformance import replay_fitness_of, token_replay
 
 
 def replay_fitness(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFrame:
-    """K1: percentage of fitting cases, mean case fitness, log fitness."""
+    """K1: percentage of fitting cases, mean case fitness, log fitness (null for a log without cases)."""
     tr = token_replay(log, places, arcs)
     raw = replay_fitness_of(F.col("produced"), F.col("consumed"), F.col("missing"), F.col("remaining"))
     whole = replay_fitness_of(*[F.sum(c) for c in ("produced", "consumed", "missing", "remaining")])
     return tr.agg(
-        r6(F.count_if("is_fit") * 100.0 / F.count(F.lit(1))).alias("perc_fit_traces"),
+        r6(F.try_divide(F.count_if("is_fit") * 100.0, F.count(F.lit(1)))).alias("perc_fit_traces"),
         r6(F.avg(raw)).alias("average_trace_fitness"),
         r6(whole).alias("log_fitness"))
 
@@ -93,7 +93,7 @@ def generalization(log: EventLog, arcs: DataFrame) -> DataFrame:
 def simplicity(places: DataFrame, arcs: DataFrame) -> DataFrame:
     """K4 (S16): 1 / (1 + max(0, mean arc degree of places and transitions - 2))."""
     n_nodes = places.select("place").distinct().count() + arcs.select("activity").distinct().count()
-    d = arcs.agg((2.0 * F.count(F.lit(1)) / F.lit(n_nodes)).alias("d"))
+    d = arcs.agg(F.coalesce(F.try_divide(2.0 * F.count(F.lit(1)), F.lit(n_nodes).cast("double")), F.lit(0.0)).alias("d"))
     return d.select(r6(1 / (1 + F.greatest(F.lit(0.0), F.col("d") - 2))).alias("simplicity"))
 
 

@@ -98,17 +98,43 @@ def case_number(df: DataFrame, col: str = "case_id") -> DataFrame:
         col, number_in(F.col(col)).alias("case_number"))
 
 
+def _feature_name(kind: str, *names: str) -> str:
+    return "_".join([kind, *[n.replace("\\", "\\\\").replace("_", "\\_") if len(names) > 1 else n for n in names]])
+
+
+def trace_feature_map(log: EventLog) -> DataFrame:
+    """B12, sparse: per case a map from feature to count, whatever the alphabet.
+
+    Features are structs ``(a, b)``: an activity (``b`` null) or a step from
+    ``a`` to ``b``. They are counted as rows with partial aggregation; a
+    case's map holds the features it has, nothing for the others.
+    """
+    s = sequenced(log, carry=("activity",))
+    none = F.lit(None).cast("string")
+    both = F.array(F.struct(F.col("activity").alias("a"), none.alias("b")),
+                   F.when(F.col("next_activity").isNotNull(),
+                          F.struct(F.col("activity").alias("a"), F.col("next_activity").alias("b"))))
+    counts = (s.select(log.case, F.explode(F.array_compact(both)).alias("_f"))
+              .groupBy(log.case, "_f").agg(F.count(F.lit(1)).alias("_n")))
+    return counts.groupBy(log.case).agg(F.map_from_entries(F.collect_list(F.struct("_f", "_n"))).alias("features"))
+
+
 def trace_features(log: EventLog, values: Sequence[str], num: str = "num") -> DataFrame:
     """Per case: count of each activity, of each succession a->b, last numeric value.
 
-    ``values`` is the activity alphabet to encode (the feature columns).
+    ``values`` is the activity alphabet to encode (the feature columns);
+    ``_`` in the names of a succession is escaped, so no two columns share
+    a name. Columns are looked up in the case's sparse map.
     """
-    s = sequenced(log, carry=("activity",))
+    def count(a: str, b: str | None) -> Column:
+        key = F.struct(F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"))
+        return F.coalesce(F.try_element_at(F.col("features"), key), F.lit(0).cast("long"))
+
     o = F.struct(*[F.col(c) for c in log.order_cols])
-    aggs = [F.count_if(F.col("activity") == v).alias(f"act_{v}") for v in values]
-    aggs += [F.count_if((F.col("activity") == a) & (F.col("next_activity") == b)).alias(f"succ_{a}_{b}") for a in values for b in values]
-    aggs.append(F.max_by(F.col(num), o).alias(f"last_{num}"))
-    return s.groupBy(log.case).agg(*aggs)
+    last = log.df.groupBy(log.case).agg(F.max_by(F.col(num), o).alias(f"last_{num}"))
+    return trace_feature_map(log).join(last, log.case).select(
+        log.case, *[count(v, None).alias(_feature_name("act", v)) for v in values],
+        *[count(a, b).alias(_feature_name("succ", a, b)) for a in values for b in values], f"last_{num}")
 
 
 def region_value(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

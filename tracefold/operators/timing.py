@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_mean_std, mean_std_of_sums, r6, seconds_between, us_between
 from ..log import EventLog, micros
-from ..plans.ranking import global_rank_sum
+from ..plans.cases import kept_once
 from ..plans.sequence import running, sequenced
 
 
@@ -33,17 +33,80 @@ def case_durations(log: EventLog) -> DataFrame:
         .select(log.case, (F.col("duration_us") / 1e6).alias("duration_s"), "duration_us")
 
 
-def exact_median(df: DataFrame, col: str, tie: str) -> DataFrame:
-    """Exact median of ``col`` via distributed ranks (mean of the two middle values)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    r = global_rank_sum(df.select(col, tie), [F.col(col).asc(), F.col(tie).asc()], {}, "_r")
-    lo, hi = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-    return r.where((F.col("_r") == lo) | (F.col("_r") == hi)).agg(F.avg(col).alias("median"))
+# Parts of a range in a round of selection, and how many values of a range are listed with their counts.
+SELECT_PARTS = 4096
+SELECT_LISTED = 1_000_000
+
+
+def value_bin(x: Column) -> Column:
+    """Bin of a whole number, rising with it: 256 to a power of two on either side of zero."""
+    return (F.signum(x) * F.floor(F.log2(F.abs(x.cast("double")) + 1) * 256)).cast("int")
+
+
+def binned(df: DataFrame, keys: Sequence[str], col: str, *aggs: Column) -> DataFrame:
+    """(keys, ``_bin``, ``_c``, ``_lo``, ``_hi``, aggs): the first histogram, one partial aggregate."""
+    return df.where(F.col(col).isNotNull()).groupBy(*keys, value_bin(F.col(col)).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min(col).alias("_lo"), F.max(col).alias("_hi"), *aggs)
+
+
+def _ranges_of(hist: DataFrame, keys: Sequence[str], order: str, rank: Column) -> DataFrame:
+    """Of each ``keys`` the bin that holds the rank: ``_at`` (the rank in the bin), ``_c``, ``_lo``, ``_hi``."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = hist.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    return run.where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))).select(
+        *keys, (rank - F.col("_before")).alias("_at"), "_c", "_lo", "_hi")
+
+
+def group_median(df: DataFrame, keys: Sequence[str], col: str, hist: DataFrame | None = None) -> DataFrame:
+    """(keys, median): exact median of a whole-number column per group, by distributed selection.
+
+    No sort and no copy of the rows. A histogram per group (counts only)
+    tells which bin holds the two middle ranks; a range that is still large
+    is parted again, with a pass over the rows that lie in it, until the
+    values left can be counted one by one. Ranges shrink by a factor of
+    ``SELECT_PARTS``, so a handful of rounds ends whatever the values are;
+    usually the first histogram and the final count are all. Nulls do not
+    count. ``hist``: a table from ``binned``, if the caller has one.
+    """
+    keys = list(keys)
+    hist = kept_once(hist if hist is not None else binned(df, keys, col))
+    n = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)))
+    asked = n.select(*keys, F.explode(ranks).alias("_rank"))
+    each = [*keys, "_rank"]
+    ranges = kept_once(_ranges_of(hist.join(asked, keys), each, "_bin", F.col("_rank")))
+    while True:
+        most = ranges.where("_lo < _hi").agg(F.max("_c")).first()[0]
+        if most is None or most <= SELECT_LISTED:
+            break
+        inside = df.select(*keys, F.col(col).alias("_x")).join(ranges.where("_lo < _hi"), keys).where(
+            (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        width = F.col("_hi").cast("double") - F.col("_lo") + 1
+        part = F.floor((F.col("_x").cast("double") - F.col("_lo")) / width * SELECT_PARTS)
+        finer = inside.groupBy(*each, "_at", part.alias("_part")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        parted = _ranges_of(finer.withColumnRenamed("_at", "_goal"), [*each, "_goal"], "_part", F.col("_goal")).drop("_goal")
+        ranges = kept_once(ranges.where("_lo = _hi").unionByName(parted))
+    left = ranges.where("_lo < _hi")
+    counts = (df.select(*keys, F.col(col).alias("_x")).join(left, keys)
+              .where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+              .groupBy(*each, "_at", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*each).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).where(
+        (F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c"))).select(*keys, "_x")
+    sure = ranges.where("_lo = _hi").select(*keys, F.col("_lo").alias("_x"))
+    return sure.unionByName(found).groupBy(*keys).agg(F.avg("_x").alias("median"))
+
+
+def exact_median(df: DataFrame, col: str) -> DataFrame:
+    """Exact median of a whole-number column (one row; null if there is no value)."""
+    one = group_median(df.select(F.lit(0).alias("_one"), col), ["_one"], col)
+    return one.agg(F.max("median").alias("median"))
 
 
 def median_case_duration(log: EventLog) -> DataFrame:
     """H2: exact median case duration in seconds."""
-    m = exact_median(case_durations(log), "duration_us", log.case)
+    m = exact_median(case_durations(log), "duration_us")
     return m.select((F.col("median") / 1e6).alias("median_s"))
 
 
@@ -205,15 +268,3 @@ def temporal_profile(log: EventLog) -> DataFrame:
     p = _pair_sums(log)
     mean, std = mean_std_of_sums(F.col("n"), F.col("s1"), F.col("s2"))
     return p.select("a", "b", F.col("n").cast("long").alias("n_pairs"), mean.alias("mean_s"), std.alias("std_s"))
-
-
-def exact_group_median(df: DataFrame, keys: Sequence[str], col: str, tie: str) -> DataFrame:
-    """Exact median of ``col`` per group, from distributed ranks (no group held in one task)."""
-    keys = list(keys)
-    r = global_rank_sum(df.select(*keys, col, tie),
-                        [*(F.col(k).asc() for k in keys), F.col(col).asc(), F.col(tie).asc()], {}, "_r")
-    g = r.groupBy(*keys).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = r.join(g, keys)     # a hot group key is split by adaptive execution
-    mid = (F.col("_r") == F.col("_s") + F.floor((F.col("_n") - 1) / 2)) | \
-          (F.col("_r") == F.col("_s") + F.ceil((F.col("_n") - 1) / 2))
-    return j.where(mid).groupBy(*keys).agg(F.avg(col).alias("median"))
