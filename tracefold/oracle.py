@@ -881,3 +881,57 @@ piece AS (SELECT *, sum(t) OVER (PARTITION BY case_id ORDER BY ts, tie ROWS UNBO
 SELECT p.case_id, p.activity, p.ts, p.tie, p.resource, p.num, p.user_id, p.cut, p.grp,
   p.case_id || '#' || CASE WHEN p.cut = 'loop' THEN CAST(CAST(p.p AS BIGINT) AS VARCHAR) ELSE p.grp END AS sub_case
 FROM piece p LEFT JOIN most m ON m.case_id = p.case_id AND m.r = 1 WHERE p.cut <> 'xor' OR p.grp = m.grp"""
+
+
+def _prefix_subsequences() -> str:
+    """Every subsequence of every prefix of the short model traces as a LIKE pattern."""
+    from itertools import combinations
+
+    from .operators.conformance import FIXED_NET_TRACES
+    rows = []
+    for m in FIXED_NET_TRACES:
+        for j in range(len(m) + 1):
+            for k in range(j + 1):
+                for part in sorted(set(combinations(m[:j], k))):
+                    rows.append((",".join(m), j, "%" + "%".join(f"<{a}>" for a in part) + "%", k))
+    return _values(rows, "model_trace, j, pat, k")
+
+
+# the table of longest common subsequences from LIKE, walked back by recursion: synchronous, log, model move
+SQL["alignment_moves"] = "WITH RECURSIVE " + SQL["nearest_trace_alignment"].rsplit("\nSELECT", 1)[0].removeprefix("WITH ") + f""",
+t AS (SELECT variant, n_cases, model_trace, string_split(variant, ',') AS v, string_split(model_trace, ',') AS m FROM r WHERE pick = 1),
+pre AS (SELECT variant, model_trace, i, CASE WHEN i = 0 THEN '' ELSE '<' || array_to_string(v[1:i], '><') || '>' END AS x
+        FROM (SELECT *, unnest(range(len(v) + 1)) AS i FROM t)),
+cells AS (SELECT variant, i, j, max(k) AS l FROM pre JOIN {_prefix_subsequences()} s
+          ON s.model_trace = pre.model_trace AND pre.x LIKE s.pat GROUP BY variant, i, j),
+walk(variant, n_cases, v, m, i, j, step, log_act, model_act) AS (
+  SELECT variant, n_cases, v, m, CAST(len(v) AS BIGINT), CAST(len(m) AS BIGINT), 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM t
+  UNION ALL
+  SELECT variant, n_cases, v, m, i - (mv <> 'm')::int, j - (mv <> 'l')::int, step + 1,
+    CASE WHEN mv <> 'm' THEN v[i] END, CASE WHEN mv <> 'l' THEN m[j] END
+  FROM (SELECT w.*, CASE WHEN w.i > 0 AND w.j > 0 AND w.v[w.i] = w.m[w.j] THEN 's'
+                         WHEN w.i > 0 AND up.l = here.l THEN 'l' ELSE 'm' END AS mv
+        FROM walk w JOIN cells here ON here.variant = w.variant AND here.i = w.i AND here.j = w.j
+        LEFT JOIN cells up ON up.variant = w.variant AND up.i = w.i - 1 AND up.j = w.j WHERE w.i + w.j > 0))
+SELECT variant, n_cases, CAST(max(step) OVER (PARTITION BY variant) - step AS BIGINT) AS pos, log_act, model_act
+FROM walk QUALIFY step > 0"""
+
+# all sets of activities as bit masks: the valid pairs, of which the maximal ones
+SQL["alpha_places"] = with_log("conv", """, steps AS (SELECT *, lead(activity) OVER w AS na, lag(activity) OVER w AS pa
+  FROM log WINDOW w AS (PARTITION BY case_id ORDER BY turn)),
+dfg AS (SELECT activity AS a, na AS b, count(*) AS n FROM steps WHERE na IS NOT NULL GROUP BY 1, 2)""" + _FP + """,
+ids AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS i FROM (SELECT DISTINCT a FROM fp)),
+masks AS (SELECT unnest(range(1, (1 << (SELECT count(*) FROM ids))::bigint)) AS m),
+has AS (SELECT m, a FROM masks JOIN ids ON (m >> i) & 1 = 1),
+free AS (SELECT m FROM masks WHERE m NOT IN (SELECT p.m FROM has p JOIN has q ON p.m = q.m
+         JOIN fp ON fp.a = p.a AND fp.b = q.a WHERE relation <> '#')),
+valid AS (SELECT p.m AS ma, q.m AS mb FROM free p CROSS JOIN free q WHERE NOT EXISTS (
+          SELECT 1 FROM has x JOIN has y ON x.m = p.m AND y.m = q.m JOIN fp ON fp.a = x.a AND fp.b = y.a WHERE relation <> '->')),
+top AS (SELECT ma, mb FROM valid v WHERE NOT EXISTS (SELECT 1 FROM valid w WHERE (w.ma, w.mb) <> (v.ma, v.mb)
+        AND w.ma & v.ma = v.ma AND w.mb & v.mb = v.mb)),
+names AS (SELECT m, string_agg(a, ',' ORDER BY a) AS t FROM has GROUP BY m),
+ends AS (SELECT (SELECT coalesce(string_agg(DISTINCT activity, ',' ORDER BY activity), '') FROM steps WHERE pa IS NULL) AS s,
+                (SELECT coalesce(string_agg(DISTINCT activity, ',' ORDER BY activity), '') FROM steps WHERE na IS NULL) AS e),
+sets AS (SELECT x.t AS inputs, y.t AS outputs FROM top JOIN names x ON x.m = ma JOIN names y ON y.m = mb
+         UNION ALL SELECT '', s FROM ends UNION ALL SELECT e, '' FROM ends)
+SELECT 'p(' || inputs || '|' || outputs || ')' AS place, inputs, outputs FROM sets""")
