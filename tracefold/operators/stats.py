@@ -252,6 +252,7 @@ def rank_index(df: DataFrame, order: Sequence[Column], name: str = "rank0") -> D
 def zscore_columns(df: DataFrame, key: str) -> DataFrame:
     """(x - mean) / sample std for every numeric column; the moments are one row joined back."""
     nums = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
+    df = kept_once(df)      # read twice, computed once
     moments = df.agg(*[f(c).alias(f"_{n}_{c}") for c in nums for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     one = F.broadcast(moments.withColumn("_one", F.lit(1)))     # a single row
     return df.withColumn("_one", F.lit(1)).join(one, "_one").select(key, *[
