@@ -61,6 +61,57 @@ def test_repeated_and_long_notices(spark):
     assert len([m for m in row["matches"] if m["score"] == 1.0]) == 20_000
 
 
+def brute(words, label, text, phrases):
+    """Starts at which a template holds, trying every start."""
+    tokens = text.split()
+    slack = L.SLACK + len(tokens) // L.SLACK_EACH
+    out = {}
+    for s in range(-slack - len(tokens), len(words) + slack):
+        def stands(p):
+            q = p.split()
+            return any(words[i:i + len(q)] == q for i in range(max(0, s - slack), s + len(tokens) + slack - len(q) + 1))
+        n = sum(w in words[max(0, s + i - slack):max(0, s + i + slack + 1)] for i, w in enumerate(tokens))
+        if n >= L.LEAST * len(tokens) and all(stands(p) for p in phrases):
+            out[s] = n
+    return out
+
+
+def test_matches_against_every_start(spark):
+    """Notices with words lost, swapped and put in: labels, score and starts as when every start is tried."""
+    r = random.Random(5)
+    rows = []
+    for k in range(150):
+        _, text, _ = L.TEMPLATES[k % len(L.TEMPLATES)]
+        words = text.split()
+        for _ in range(r.randrange(1 + len(words) // 2)):
+            at = r.randrange(len(words))
+            how = r.randrange(3)
+            words[at:at + 1] = [] if how == 0 and len(words) > 2 else ["other"] if how == 1 else [words[at], "extra"]
+        rows.append((k, " ".join(["before"] * r.randrange(4) + words + ["after"] * r.randrange(4) + words[:r.randrange(9)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in L.scan_licenses(df).collect()}
+    hits = 0
+    for k, text in rows:
+        found, best = set(plain(text)[4].split(",")) - {""}, 0.5 * bool(plain(text)[4])
+        for label, words, phrases in L.TEMPLATES:
+            starts = brute(text.split(), label, words, phrases)
+            if starts:
+                found.add(label)
+                best = max(best, max(starts.values()) / len(words.split()))
+                at = [m for m in got[k]["matches"] if m["label"] == label and m["words"] == len(words.split())]
+                assert at and all(m["start"] in {max(0, s) for s in starts} for m in at)
+                hits += 1
+        assert (got[k]["labels"], got[k]["score"]) == (",".join(sorted(found)), best), text
+    assert hits > 60
+
+
+def test_words_of_a_template_that_no_document_has(spark):
+    """The rarest words of a template need not stand anywhere: the file's own rare words find the notice."""
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted"
+    df = spark.createDataFrame([(k, f"x {bsd} y") for k in range(5)], "doc_id long, text string")
+    assert {r["labels"] for r in L.scan_licenses(df).collect()} == {"bsd"}
+
+
 def test_frequency_counts_documents(spark, docs):
     found, n = L.document_frequency(docs)
     rows = [set(WORDS.findall(r["text"].lower())) for r in docs.collect()]
