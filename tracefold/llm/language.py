@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpointed
 from .quality import held_out
 
-LANGUAGES = ("de", "en", "es", "fr")    # of the production model
+LEAST_SHARE = 0.001     # of the labelled documents that a language must have to be learnt (so 1,000 at most)
+OTHER = "other"         # a language that was not learnt
 BUCKETS = 1 << 14       # of hashed byte trigrams
 SMOOTH = 0.5            # added to every trigram count
 PRIOR_ROWS = 20.0       # weight of the wider level when host shares are smoothed
 CLUE_ROWS = 1.0         # added to counts of declared languages and suffixes
+MILLION = 1e6
 TEMPER = 0.5            # power of the text length that its evidence grows with
 
 MARKUP = re.compile(rb"<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>", re.S | re.I)
@@ -38,23 +40,39 @@ def trigram_counts(text: str | None, markup: bool):
     return np.unique((mixed >> np.uint32(18)).astype(np.int64) & (BUCKETS - 1), return_counts=True)
 
 
-def train_text_model(docs: DataFrame, languages=LANGUAGES, text_col: str = "text", lang_col: str = "lang"):
+def learnt_languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
+    """Languages with at least ``LEAST_SHARE`` of the labelled documents, by a grouped count of the labels.
+
+    Shares add up to one, so the list has at most 1 / ``LEAST_SHARE`` names.
+    """
+    counts = docs.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    rows = (counts.join(F.broadcast(total), F.col("n") >= F.col("_all") * LEAST_SHARE)
+            .filter(F.col(lang_col) != OTHER).select(lang_col).collect())
+    return sorted(r[0] for r in rows)
+
+
+def train_text_model(docs: DataFrame, languages, text_col: str = "text", lang_col: str = "lang"):
     """Log shares ``[bucket, language]`` of trigrams, counted over all given documents.
 
     Counted inside each task first; what is gathered is at most ``BUCKETS``
-    counts per language of a fixed list.
+    counts per language of the given list. The last column is no language:
+    every bucket alike, the likelihood of a text whose trigrams none of the
+    languages accounts for.
     """
     import numpy as np
 
+    index = {x: k for k, x in enumerate(languages)}
+
     def count(batches):
         import pyarrow as pa
 
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if lang in languages:
+                if lang in index:
                     bucket, n = trigram_counts(text, False)
-                    total[languages.index(lang), bucket] += n
+                    total[index[lang], bucket] += n
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])],
                                          names=["l", "b", "n"])
@@ -65,7 +83,8 @@ def train_text_model(docs: DataFrame, languages=LANGUAGES, text_col: str = "text
     total = np.full((BUCKETS, len(languages)), SMOOTH)
     for r in rows:
         total[r["b"], r["l"]] += r["n"]
-    return np.log(total / total.sum(axis=0)).astype(np.float32)
+    shares = np.column_stack([total / total.sum(axis=0), np.full(BUCKETS, 1 / BUCKETS)])
+    return np.log(shares).astype(np.float32)
 
 
 def text_evidence(text: Column, model, markup: bool) -> Column:
@@ -106,7 +125,7 @@ def page_clues(url: Column, html: Column) -> dict[str, Column]:
             "_suffix": blank(F.element_at(labels, -1))}
 
 
-def fuse(evidence: DataFrame, languages=LANGUAGES) -> DataFrame:
+def fuse(evidence: DataFrame, languages) -> DataFrame:
     """Posterior of every row from its text evidence, clues and host prior.
 
     ``evidence``: ``_text`` (log likelihoods), ``_declared``, ``_suffix``,
@@ -165,20 +184,25 @@ def fuse(evidence: DataFrame, languages=LANGUAGES) -> DataFrame:
             .withColumn("score", best))
 
 
-def identify(docs: DataFrame, pages: DataFrame, languages=LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, pages: DataFrame, languages=None) -> DataFrame:
     """Language of every document and every page.
 
     The text model is learnt from the documents' own language labels (a
-    fifth of the ids is held out). Pages bring a declared language, an
+    fifth of the ids is held out); which languages there are, if not given,
+    from a count of the labels. Pages bring a declared language, an
     address suffix and a host, documents their source as host. Returns
     ``doc_id`` or ``page_id`` (the other null), ``lang``, ``score`` (its
     posterior) and ``held_out``. A row without any evidence gets the most
     frequent language and its share as score; null and empty texts and
-    addresses are such missing evidence; languages outside the list are not
-    learnt and never returned; repeated rows are rows of their own; empty
+    addresses are such missing evidence; a text that no learnt language
+    accounts for better than chance gets ``other``, and so does every text
+    where none is learnt; repeated rows are rows of their own; empty
     tables give no rows; other columns are ignored.
     """
-    model = train_text_model(docs.filter(~held_out(F.col("doc_id"))), languages)
+    learning = docs.filter(~held_out(F.col("doc_id")))
+    languages = learnt_languages(learning) if languages is None else list(languages)
+    model = train_text_model(learning, languages)
+    languages = [*languages, OTHER]
     nothing = F.lit(None).cast("string")
     from_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"),
                             held_out(F.col("doc_id")).alias("held_out"),
