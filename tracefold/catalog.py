@@ -368,6 +368,7 @@ def _model_decoration(spark, d):
 # ------------------------------------------------------------------ conformance (J, D6) and evaluation (K, G4)
 from .operators import conformance as J  # noqa: E402
 from .operators import evaluation as K  # noqa: E402
+from .operators import marking as M  # noqa: E402
 
 
 def _net(spark):
@@ -527,6 +528,7 @@ def _src_xes(spark, d):
     return A.read_xes(spark, path).select("case_id", "activity", "ts", "resource")
 QUERIES["nearest_trace_alignment"] = lambda spark, d: J.nearest_trace_alignment(L.day_log(spark, d))
 QUERIES["alignment_moves"] = lambda spark, d: J.alignment_moves(L.day_log(spark, d))
+QUERIES["net_alignment"] = lambda spark, d: M.net_alignment(L.day_log(spark, d), *_net(spark))
 QUERIES["alpha_places"] = lambda spark, d: I.alpha_places(L.conv_log(spark, d))
 QUERIES["activity_cut"] = lambda spark, d: I.activity_cut(L.day_log(spark, d))
 QUERIES["log_split_by_cut"] = lambda spark, d: I.log_split_by_cut(
