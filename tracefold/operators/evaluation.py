@@ -41,7 +41,8 @@ def etc_precision(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFram
 
     Prefix identity: (length, two position-salted 64-bit hash sums), so no
     prefix text is built; the marking before each event comes from running
-    sums of the per-place token deltas.
+    sums of the per-place token deltas. Null for an empty log and for a net
+    that never has a transition enabled.
     """
     P, A, T, inputs = _net(places, arcs)
     act = F.col(log.activity)
@@ -78,7 +79,7 @@ def etc_precision(log: EventLog, places: DataFrame, arcs: DataFrame) -> DataFram
     g = fitting.groupBy("_pos", "_h1", "_h2").agg(
         F.count(F.lit(1)).alias("w"), F.collect_set(log.activity).alias("obs"), F.first("_en").alias("en"))
     esc = F.size(F.array_except("en", "obs"))
-    return g.agg(r6(1 - F.sum(F.col("w") * esc) / F.sum(F.col("w") * F.size("en"))).alias("precision"))
+    return g.agg(r6(1 - F.try_divide(F.sum(F.col("w") * esc), F.sum(F.col("w") * F.size("en")))).alias("precision"))
 
 
 def generalization(log: EventLog, arcs: DataFrame) -> DataFrame:
@@ -123,9 +124,14 @@ def model_score(fitness: DataFrame, precision: DataFrame, gen: DataFrame, simp:
     reference does, so a perfect ratio 1.0 counts 0.01 there. ``focus``
     keeps one metric in the score ('fitness', 'precision', ...).
     """
-    row = fitness.select("*", precision.select(F.first("precision")).scalar().alias("precision"),
+    row = fitness.select(F.lit(model).alias("model"), "*",
+                         precision.select(F.first("precision")).scalar().alias("precision"),
                          gen.select(F.first("generalization")).scalar().alias("generalization"),
                          simp.select(F.first("simplicity")).scalar().alias("simplicity"))
+    return _scored(row, focus)
+
+
+def _scored(row: DataFrame, focus: str = "all") -> DataFrame:
     pf, avg, lf = F.col("perc_fit_traces"), F.col("average_trace_fitness"), F.col("log_fitness")
     fit = (pf / 100 + avg + lf + pf / 100) / 4
     fit_c = (_compat(pf) + _compat(avg) + _compat(lf) + _compat(pf)) / 4
@@ -134,7 +140,7 @@ def model_score(fitness: DataFrame, precision: DataFrame, gen: DataFrame, simp:
     keep = [k for k in parts if focus == "all" or k == focus]
     score = sum((parts[k][0] for k in keep), F.lit(0.0))
     score_c = sum((parts[k][1] for k in keep), F.lit(0.0))
-    return row.select(F.lit(model).alias("model"), "*", r6(score).alias("score"), r6(score_c).alias("score_compat"))
+    return row.select("*", r6(score).alias("score"), r6(score_c).alias("score_compat"))
 
 
 def rate_net(log: EventLog, places: DataFrame, arcs: DataFrame, name: str) -> DataFrame:
@@ -144,11 +150,13 @@ def rate_net(log: EventLog, places: DataFrame, arcs: DataFrame, name: str) -> Da
 
 
 def rating_table(log: EventLog, nets: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Every candidate net scored; rank 1 = best score (ties: name)."""
+    """Every candidate net scored; rank 1 = best score (ties: name; nets without a score last).
+
+    All nets are rated in one reading of the log (``operators.rating``).
+    """
     from pyspark.sql import Window
-    rows = None
-    for name, (p, a) in nets.items():
-        r = rate_net(log, p, a, name)
-        rows = r if rows is None else rows.unionByName(r)
+    from .rating import rate_nets
+    rows = _scored(rate_nets(log, nets).select(
+        "model", "perc_fit_traces", "average_trace_fitness", "log_fitness", "precision", "generalization", "simplicity"))
     w = Window.orderBy(F.col("score").desc(), F.col("model").asc())   # one row per model
     return rows.withColumn("rank", F.row_number().over(w).cast("long"))

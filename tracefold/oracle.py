@@ -943,3 +943,62 @@ ends AS (SELECT (SELECT coalesce(string_agg(DISTINCT activity, ',' ORDER BY acti
 sets AS (SELECT x.t AS inputs, y.t AS outputs FROM top JOIN names x ON x.m = ma JOIN names y ON y.m = mb
          UNION ALL SELECT '', s FROM ends UNION ALL SELECT e, '' FROM ends)
 SELECT 'p(' || inputs || '|' || outputs || ')' AS place, inputs, outputs FROM sets""")
+
+
+# the alpha net of the log beside the fixed net, every figure row by row and model by model
+SQL["rate_discovered"] = with_log("conv", f""", ap AS (SELECT * FROM ({SQL["alpha_places"]})),
+places AS (SELECT 'alpha_net' AS model, place, CAST(inputs = '' AS INTEGER) AS m0, CAST(outputs = '' AS INTEGER) AS mf FROM ap
+  UNION ALL SELECT 'fixed_net', place, m0, mf FROM {_values(FIXED_NET_PLACES, 'place, m0, mf')}),
+arcs AS (SELECT 'alpha_net' AS model, unnest(string_split(inputs, ',')) AS activity, place, 1 AS phase, 1 AS delta
+    FROM ap WHERE inputs <> ''
+  UNION ALL SELECT 'alpha_net', unnest(string_split(outputs, ',')), place, 0, -1 FROM ap WHERE outputs <> ''
+  UNION ALL SELECT 'fixed_net', activity, place, phase, delta FROM {_values(FIXED_NET_ARCS, 'activity, place, phase, delta')}),
+models AS (SELECT DISTINCT model FROM places),
+ev AS (SELECT case_id, activity, row_number() OVER (PARTITION BY case_id ORDER BY turn) AS i FROM log),
+ends AS (SELECT case_id, max(i) AS n FROM ev GROUP BY 1),
+rws AS (SELECT e.case_id, a.model, a.place, e.i, a.phase, a.delta FROM ev e JOIN arcs a USING (activity)
+  UNION ALL SELECT case_id, model, place, 0, 1, m0 FROM ends CROSS JOIN places
+  UNION ALL SELECT case_id, model, place, n + 1, 0, -mf FROM ends CROSS JOIN places),
+bal AS (SELECT *, sum(delta) OVER (PARTITION BY case_id, model, place ORDER BY i, phase ROWS UNBOUNDED PRECEDING) AS b FROM rws),
+cp AS (SELECT case_id, model, place, sum(greatest(delta, 0)) AS p, sum(greatest(-delta, 0)) AS c, greatest(0, -min(b)) AS m
+  FROM bal GROUP BY 1, 2, 3),
+cs AS (SELECT case_id, model, sum(p) AS p, sum(c) AS c, sum(m) AS m, sum(p + m - c) AS r FROM cp GROUP BY 1, 2),
+fit AS (SELECT model, round(count(*) FILTER (WHERE m = 0 AND r = 0) * 100.0 / count(*), 6) AS perc_fit_traces,
+  round(avg(0.5 * (1 - r / p) + 0.5 * (1 - m / c)), 6) AS average_trace_fitness,
+  round(0.5 * (1 - sum(r) / sum(p)) + 0.5 * (1 - sum(m) / sum(c)), 6) AS log_fitness FROM cs GROUP BY 1),
+marks AS (SELECT e.case_id, e.i, r.model, r.place, sum(r.delta) AS tok FROM ev e
+  JOIN rws r ON r.case_id = e.case_id AND r.i < e.i GROUP BY 1, 2, 3, 4),
+trans AS (SELECT DISTINCT model, activity FROM arcs),
+needs AS (SELECT DISTINCT model, activity, place FROM arcs WHERE delta < 0),
+en AS (SELECT e.case_id, e.i, t.model, t.activity FROM ev e CROSS JOIN trans t
+  LEFT JOIN needs n ON n.model = t.model AND n.activity = t.activity
+  LEFT JOIN marks k ON k.case_id = e.case_id AND k.i = e.i AND k.model = n.model AND k.place = n.place
+  GROUP BY 1, 2, 3, 4 HAVING count(n.place) FILTER (WHERE coalesce(k.tok, 0) < 1) = 0),
+ok AS (SELECT e.case_id, e.i, x.model, en.activity IS NOT NULL AS ok FROM ev e CROSS JOIN models x
+  LEFT JOIN en ON en.case_id = e.case_id AND en.i = e.i AND en.model = x.model AND en.activity = e.activity),
+pre AS (SELECT case_id, i, model, coalesce(bool_and(ok) OVER (PARTITION BY case_id, model ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS fits FROM ok),
+px AS (SELECT case_id, i, activity, coalesce(string_agg(activity, ',') OVER (PARTITION BY case_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prefix FROM ev),
+weights AS (SELECT model, prefix, count(*) AS w FROM px JOIN pre USING (case_id, i) WHERE fits GROUP BY 1, 2),
+allowed AS (SELECT DISTINCT en.model, prefix, en.activity FROM px JOIN pre USING (case_id, i)
+  JOIN en ON en.case_id = px.case_id AND en.i = px.i AND en.model = pre.model WHERE fits),
+seen AS (SELECT DISTINCT prefix, activity FROM px),
+open AS (SELECT w.model, w.prefix, w.w, count(a.activity) AS n_en,
+    count(a.activity) FILTER (WHERE s.activity IS NULL) AS esc FROM weights w
+  LEFT JOIN allowed a ON a.model = w.model AND a.prefix = w.prefix
+  LEFT JOIN seen s ON s.prefix = a.prefix AND s.activity = a.activity GROUP BY 1, 2, 3),
+prec AS (SELECT model, round(1 - sum(w * esc) / sum(w * n_en), 6) AS precision FROM open GROUP BY 1),
+gen AS (SELECT model, round(1 - avg(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE 1 / sqrt(n) END), 6) AS generalization
+  FROM trans LEFT JOIN (SELECT activity, count(*) AS n FROM log GROUP BY 1) USING (activity) GROUP BY 1),
+simp AS (SELECT model, round(1 / (1 + greatest(0, 2.0 * a.n / (p.n + t.n) - 2)), 6) AS simplicity
+  FROM (SELECT model, count(*) AS n FROM arcs GROUP BY 1) a JOIN (SELECT model, count(*) AS n FROM places GROUP BY 1) p USING (model)
+  JOIN (SELECT model, count(*) AS n FROM trans GROUP BY 1) t USING (model)),
+rated AS (SELECT *, CASE WHEN perc_fit_traces < 1 THEN perc_fit_traces ELSE perc_fit_traces / 100 END AS pf,
+    CASE WHEN average_trace_fitness < 1 THEN average_trace_fitness ELSE average_trace_fitness / 100 END AS af,
+    CASE WHEN log_fitness < 1 THEN log_fitness ELSE log_fitness / 100 END AS lf
+  FROM fit JOIN prec USING (model) JOIN gen USING (model) JOIN simp USING (model)),
+scored AS (SELECT model, perc_fit_traces, average_trace_fitness, log_fitness, precision, generalization, simplicity,
+    round((perc_fit_traces / 50 + average_trace_fitness + log_fitness) / 4 + precision + generalization + simplicity, 6) AS score,
+    round((2 * pf + af + lf) / 4 + precision + generalization + simplicity, 6) AS score_compat FROM rated)
+SELECT *, CAST(row_number() OVER (ORDER BY score DESC, model) AS BIGINT) AS rank FROM scored""")

@@ -6,8 +6,10 @@ table (every order its own variant), so ranks here are computed the
 distributed way:
 
 1. range-partition the table on the order (sampled boundaries, so equal
-   work per task) and tag each row with its partition id;
-2. rank / sum inside each partition;
+   work per task), sort each partition and tag each row with its partition
+   id and its place in the partition;
+2. sum inside each partition, if running sums are asked for; ranks alone
+   need no second shuffle, the place in the sorted partition is the rank;
 3. per-partition totals are one row per partition: a window over that
    tiny table gives each partition its offset; it is broadcast (its size is
    the partition count, fixed by configuration) and added back.
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Fixed value: the lower 33 bits of monotonically_increasing_id count the rows of a partition.
+ROWS_OF_PARTITION = (1 << 33) - 1
+
 
 def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None,
                     rank_name: str = "rank0", num_partitions: int | None = None,
@@ -42,12 +47,11 @@ def global_rank_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Colu
     sums = sums or {}
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    r = (df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-         .checkpoint(eager=True))
-    w = Window.partitionBy("_pid").orderBy(*order)
-    wrun = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = r.select("*", (F.row_number().over(w) - 1).alias("_lrank"),
-                     *[F.sum(e).over(wrun).alias(f"_ls_{k}") for k, e in sums.items()])
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_OF_PARTITION))
+    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .select("*", F.spark_partition_id().alias("_pid"), place.alias("_lrank")).checkpoint(eager=True))
+    wrun = Window.partitionBy("_pid").orderBy("_lrank").rowsBetween(Window.unboundedPreceding, 0)
+    local = r.select("*", *[F.sum(e).over(wrun).alias(f"_ls_{k}") for k, e in sums.items()])
     tot = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"),
                                 *[F.sum(e).alias(f"_ps_{k}") for k, e in sums.items()])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

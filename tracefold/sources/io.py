@@ -155,15 +155,54 @@ def _xes_traces(spark: SparkSession, path: str) -> DataFrame:
                     F.map_filter("tattr", lambda k, v: k != "concept:name").alias("case_attrs"))
 
 
+# The standard keys of an event, and the XES tag of each kind of column (text otherwise).
+_STANDARD = {"activity": "concept:name", "resource": "org:resource", "ts": "time:timestamp"}
+_TAG_OF = {"timestamp": "date", "timestamp_ntz": "date", "date": "date", "tinyint": "int", "smallint": "int",
+           "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "boolean"}
+_XES_DATE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
+
+
+def _tagged(fields: dict[str, tuple[str, Column]], maps: Sequence[Column] = ()) -> list[Column]:
+    """One list of (_key, _value) per XES tag; attributes without a value are left out.
+
+    ``fields``: key -> (type, value); ``maps``: text maps, whose entries become strings.
+    """
+    item = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))
+    lists = {tag: [] for tag in _TAGS}
+    for key, (kind, value) in fields.items():
+        text = F.date_format(value, _XES_DATE) if _TAG_OF.get(kind) == "date" else value.cast("string")
+        lists[_TAG_OF.get(kind, "string")].append(F.struct(F.lit(key).alias("_key"), text.alias("_value")))
+    out = []
+    for tag, pairs in lists.items():
+        whole = F.array(*pairs).cast(item) if pairs else F.array().cast(item)
+        if tag == "string":
+            for m in maps:
+                whole = F.concat(whole, F.coalesce(F.transform(F.map_entries(m), lambda e: F.struct(
+                    e["key"].alias("_key"), e["value"].alias("_value"))), F.array().cast(item)))
+        out.append(F.filter(whole, lambda e: e["_value"].isNotNull()).alias(tag))
+    return out
+
+
 def write_xes(cases: DataFrame, path: str) -> str:
-    """Write (case_id, events ARRAY<STRUCT<activity, ts, resource>>) as an XES file."""
-    def kv(k, v):
-        return F.array(F.struct(F.lit(k).alias("_key"), v.alias("_value")))
-    ev = F.transform("events", lambda e: F.struct(
-        F.array(F.struct(F.lit("concept:name").alias("_key"), e["activity"].alias("_value")),
-                F.struct(F.lit("org:resource").alias("_key"), e["resource"].alias("_value"))).alias("string"),
-        F.array(F.struct(F.lit("time:timestamp").alias("_key"),
-                         F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("_value"))).alias("date")))
-    out = cases.select(kv("concept:name", F.col("case_id")).alias("string"), ev.alias("event"))
+    """Write (case_id, events ARRAY<STRUCT<activity, ts, resource, ...>>, ...) as an XES file.
+
+    Every further event field becomes an event attribute, every further column a trace
+    attribute, tagged by its type (date, int, float, boolean, else string). Map columns,
+    ``attrs`` and ``case_attrs`` of ``read_xes`` among them, give one string attribute per
+    key, so a log that is read, written and read again keeps its attributes. Null values
+    are left out; a trace without events stays.
+    """
+    kinds = dict(cases.dtypes)
+    fields = cases.schema["events"].dataType.elementType.fields
+
+    def event(e: Column) -> Column:
+        flat = {_STANDARD.get(f.name, f.name): (f.dataType.simpleString(), e[f.name]) for f in fields
+                if not isinstance(f.dataType, T.MapType)}
+        return F.struct(*_tagged(flat, [e[f.name] for f in fields if isinstance(f.dataType, T.MapType)]))
+    own = [c for c in cases.columns if c not in ("case_id", "events")]
+    flat = {"concept:name": ("string", F.col("case_id")),
+            **{c: (kinds[c], F.col(c)) for c in own if not kinds[c].startswith("map<")}}
+    out = cases.select(*_tagged(flat, [F.col(c) for c in own if kinds[c].startswith("map<")]),
+                       F.transform("events", event).alias("event"))
     out.write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log").save(path)
     return path
