@@ -112,6 +112,47 @@ def test_word_encoder_against_tokenizer(tokenizer):
         assert got == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_encoder_remembers_within_bounds(tokenizer, monkeypatch):
+    """What a worker remembers is bounded in bytes as well as in pieces; forgetting costs no id."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    import tokenizers
+
+    monkeypatch.setattr(tokenizers, "_tracefold_memory", {}, raising=False)
+    r, encoder = random.Random(7), packing.WordEncoder(packing.tokenizer_file())
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(120_000)]
+    texts = [" ".join(words[k:k + 20_000]) for k in range(0, len(words), 20_000)]
+    encoder.text(texts[0])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for t in texts[1:]:
+        encoder.text(t)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 10_000_000
+    monkeypatch.setattr(packing, "CACHE_PIECES", 1_000)
+    for t in texts[::-2]:
+        assert np.frombuffer(encoder.text(t + " one, Two!"), "<u2").tolist() == tokenizer.encode(
+            t + " one, Two!", add_special_tokens=False).ids
+        assert len(encoder.pieces.known) <= 1_000
+
+
+def test_word_encoder_on_arrow_arrays(tokenizer):
+    """Slices, long strings, arrays without a word and marks behind words."""
+    import pyarrow as pa
+
+    encoder = packing.WordEncoder(packing.tokenizer_file())
+    texts = ["cut off", None, "", "Stop!!! it's. dogs', ÄÖ***, (a) $$$ x_ ¿qué? 3.5%, ½. ²!", "  ", "你好!! <|endoftext|>"]
+    expect = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = encoder.texts(pa.array(texts, kind)[1:])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == expect[1:]
+    assert encoder.texts(pa.array([None, ""], pa.string())) == [b"", b""]
+    assert encoder.text("") == encoder.text(" \n") == b""
+
+
 def test_hilbert_neighbours():
     """Consecutive keys are neighbouring cells: the defining property of the curve."""
     bits, dims = packing.BITS, packing.DIMS

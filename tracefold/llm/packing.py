@@ -17,69 +17,120 @@ END_ID = 1          # closes every document
 DIMS = 4            # coordinates on the curve
 BITS = 12           # of each coordinate
 FEATURES = 512      # buckets of the hashed document vector
-CACHE_WORDS = 1_000_000     # words whose ids a Python worker remembers
-
-# Characters that Python takes for white space and the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-# Words whose lower case is the same letter by letter in Python and in the tokenizer.
-LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+CACHE_PIECES = 500_000      # pieces whose ids a Python worker remembers: some 15 MB
+SLICE_BYTES = 8 * 1024 * 1024   # text that is looked up at once
+CALL_PIECES = 16_384        # new pieces in one call of the tokenizer
+
+# Texts with a special token's string, or with a character that Python takes for white space and the tokenizer does not.
+WHOLE = "<\\||[\x1c-\x1f]"
+# Words whose lower case is the same letter by letter here and in the tokenizer.
+LATIN = "^[\x21-\x7e\xa1-\u012f\u0131-\u024f]+$"
 # Lower-case letters alone: one piece, nothing to normalise.
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+LETTERS = "^[a-z\xdf-\xf6\xf8-\xff]+$"
+# A run of these after a letter or digit is a piece of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Cores(dict):
-    """Ids of lower-cased cores, as bytes; filled as they are asked for."""
+class Pieces:
+    """Ids of pieces of text, remembered in Arrow arrays; the half seen last stays when they are full."""
 
     def __init__(self, path: str):
+        import numpy as np
+        import pyarrow as pa
         import tokenizers
 
-        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, 0x100)
-                         if LETTERS.fullmatch(chr(c))}
+                         if re.match(LETTERS, chr(c))}
+        self.letters = tokenizers.Tokenizer(self.tokenizer.model)    # normalised and split already
+        self.letters.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.closes = np.zeros(1 << 16, dtype=bool)     # ids that end a piece
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.seen, self.calls = np.zeros(0, dtype=np.int64), 0
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def add(self, new) -> None:
+        """Encodes pieces that are not known yet."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(new, LETTERS)
+        new = pa.concat_arrays([new.filter(plain), new.filter(pc.invert(plain))])
+        n_plain, ids, sizes = pc.sum(plain).as_py() or 0, [], []
+        for at in range(0, n_plain, CALL_PIECES):
+            some = new[at:min(at + CALL_PIECES, n_plain)].to_pylist()
+            found = self.letters.encode_batch_fast([" ".join(some).translate(self.as_bytes)],
+                                                   add_special_tokens=False)[0]
+            ids.append(np.array(found.ids, dtype="<u2"))
+            last = np.flatnonzero(self.closes[ids[-1]])
+            if len(last) != len(some) or last[-1] + 1 != len(ids[-1]):
+                raise ValueError("a tokenizer whose words do not end in ids of their own")
+            sizes.append(np.diff(last, prepend=-1))
+        for piece in new[n_plain:].to_pylist():
+            ids.append(np.array(self.encode(piece), dtype="<u2"))
+            sizes.append([len(ids[-1])])
+        ends = np.cumsum(np.concatenate([[0], *sizes]).astype(np.int64)) * 2
+        data = np.concatenate([np.zeros(0, dtype="<u2"), *ids])
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids = pa.concat_arrays([self.ids, binary(ends, pa.py_buffer(data))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), dtype=np.int64)])
+
+    def of(self, pieces):
+        """Ids of distinct pieces, as little-endian 16-bit bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count:
+            missing = at.is_null()
+            self.add(pieces.filter(missing))
+            fresh = pc.index_in(pieces.filter(missing), value_set=self.known[len(self.known) - at.null_count:])
+            at = pc.replace_with_mask(at, missing, pc.add(fresh, pa.scalar(len(self.known) - at.null_count, pa.int32())))
+        ids = self.ids.take(at)
+        self.calls += 1
+        self.seen[at.to_numpy()] = self.calls
+        if len(self.known) > CACHE_PIECES:
+            keep = pa.array(np.argsort(self.seen, kind="stable")[-(CACHE_PIECES // 2):])
+            self.known, self.ids = self.known.take(keep), self.ids.take(keep)
+            self.seen = self.seen[keep.to_numpy()]
+        return ids
 
-    def encode(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, core: str) -> bytes:
-        if LETTERS.fullmatch(core):
-            ids = array("H", [t.id for t in self.tokenizer.model.tokenize(core.translate(self.as_bytes))]).tobytes()
-        else:
-            ids = self.encode(core)
-        self[core] = ids
-        return ids
+def binary(ends, data):
+    """Binary array of the stretches of ``data`` between successive ``ends``."""
+    import numpy as np
+    import pyarrow as pa
 
+    ends = np.ascontiguousarray(ends, dtype=np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
 
-class Words(dict):
-    """Ids of words, by their lower-cased core and closing full stops or commas."""
 
-    def __init__(self, cores: Cores):
-        super().__init__()
-        self.cores = cores
+def offsets(array):
+    """Offsets of a string, binary or list array that is no slice."""
+    import numpy as np
 
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if not core or not LATIN.fullmatch(core):
-            ids = self.cores[word]
-        elif len(core) < len(word) and core[-1].isalnum():
-            ids = self.cores[core.lower()] + self.cores[word[len(core):]]
-        else:
-            ids = self.cores[word.lower()]
-        self[word] = ids
-        return ids
+    wide = str(array.type).startswith("large")
+    return np.frombuffer(array.buffers()[1], np.int64 if wide else np.int32)[:len(array) + 1]
 
 
 class WordEncoder:
-    """Token ids of a text as little-endian 16-bit bytes.
+    """Token ids of texts as little-endian 16-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text is
-    encoded as its words. It lower-cases, and a full stop or comma after a
-    letter or digit is a piece of its own, so a word is looked up by its
-    lower-cased core. Words and cores are remembered as long as the Python
-    worker lives (emptied when full; that costs time, not results). Texts
-    that hold a special token's string or an odd control character are
-    encoded whole.
+    encoded as its words. It lower-cases, and ASCII marks behind a letter or
+    digit are a piece of their own, so a word is looked up by its
+    lower-cased core and its closing marks. Each distinct word of a slice of
+    texts is looked up once. Pieces are remembered as long as the Python
+    worker lives (up to a number; what is forgotten costs time, not
+    results). Texts that hold a special token's string or an odd control
+    character are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -88,16 +139,59 @@ class WordEncoder:
         # a worker runs many tasks: the memory hangs on a module, not on this task's copy of the class
         memory = tokenizers.__dict__.setdefault("_tracefold_memory", {})
         if path not in memory:
-            memory[path] = Words(Cores(path))
-        self.words = memory[path]
+            memory[path] = Pieces(path)
+        self.pieces = memory[path]
+
+    def words(self, words):
+        """Ids of distinct words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        latin = pc.match_substring_regex(words, LATIN)
+        words = pc.if_else(latin, pc.utf8_lower(words), words)
+        core = pc.utf8_rtrim(words, MARKS)
+        cut = pc.and_(latin, pc.match_substring_regex(core, r"[\p{L}\p{N}]$"))
+        at = offsets(words)
+        cuts = np.empty(2 * len(words) + 1, dtype=np.int32)     # core, marks, core, marks ...
+        cuts[::2] = at
+        cuts[1::2] = at[:-1] + pc.binary_length(pc.if_else(cut, core, words)).to_numpy()
+        parts = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(cuts), words.buffers()[2]).dictionary_encode()
+        ids = self.pieces.of(parts.dictionary).take(parts.indices)
+        return binary(offsets(ids)[::2], ids.buffers()[2])
+
+    def texts(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array; none for a null text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, WHOLE)
+        lists = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        found = lists.values.dictionary_encode()
+        ids = self.words(found.dictionary).take(found.indices)
+        data, ends = ids.buffers()[2], offsets(ids)[offsets(lists)]
+        rows = [data[a:b].to_pybytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in pc.indices_nonzero(whole).to_pylist():
+            rows[k] = array("H", self.pieces.encode(texts[k].as_py())).tobytes()
+        return rows
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or ODD_SPACE.search(text):
-            return self.words.cores.encode(text)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.words.cores.clear()
-        return b"".join(map(self.words.__getitem__, text.split()))
+        import pyarrow as pa
+
+        return self.texts(pa.array([text], pa.string()))[0]
+
+
+def slices(batch, column: int):
+    """Consecutive rows of an Arrow batch, ``SLICE_BYTES`` of text and one text more at most."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    slot = np.cumsum(size) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(slot, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
 
 
 def projection():
@@ -153,8 +247,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
 
         encoder, (bucket, sign, directions) = WordEncoder(tokenizer_path), projection()
         end = END_ID.to_bytes(2, "little")
-        for b in batches:
-            ids = [encoder.text(t or "") + end for t in b.column(1).to_pylist()]
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            ids = [raw + end for raw in encoder.texts(b.column(1))]
             hashed = np.zeros((len(ids), FEATURES))
             for r, raw in enumerate(ids):
                 tokens = np.frombuffer(raw, "<u2")[:-1]
