@@ -17,7 +17,7 @@ END_ID = 1          # closes every document
 DIMS = 4            # coordinates on the curve
 BITS = 12           # of each coordinate
 FEATURES = 512      # buckets of the hashed document vector
-CACHE_PIECES = 500_000      # pieces whose ids a Python worker remembers: some 15 MB
+CACHE_PIECES = 500_000      # pieces whose ids a Python worker remembers
 SLICE_BYTES = 8 * 1024 * 1024   # text that is looked up at once
 CALL_PIECES = 16_384        # new pieces in one call of the tokenizer
 
